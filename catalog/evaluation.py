@@ -217,8 +217,9 @@ def summary(spark, sf_dir):
 
 @register(
     "e11_label_dimensions",
-    """with long as (unpivot include nulls (select candidate_set_id, hook_score, standalone_score, payoff_score, value_score, context_dependency from pool)
-        on hook_score, standalone_score, payoff_score, value_score, context_dependency into name field value value)
+    """with long as (select candidate_set_id, f.n as field, f.v as value from (select candidate_set_id, unnest([{'n': 'hook_score', 'v': hook_score},
+        {'n': 'standalone_score', 'v': standalone_score}, {'n': 'payoff_score', 'v': payoff_score}, {'n': 'value_score', 'v': value_score},
+        {'n': 'context_dependency', 'v': context_dependency}]) as f from pool))
     select candidate_set_id, field, count(value) as labelled, rnd3(avg(value)) as mean, rnd3(median(value)) as median,
       count(*) filter (where round_even(value, 0) = 0) as h0, count(*) filter (where round_even(value, 0) = 1) as h1,
       count(*) filter (where round_even(value, 0) = 2) as h2, count(*) filter (where round_even(value, 0) = 3) as h3,

@@ -21,19 +21,49 @@ def block_of(at: Column, width: int) -> Column:
     return F.floor(at / F.lit(width)).cast("long")
 
 
-def with_halo(df: DataFrame, at: str, width: int, ahead: int) -> DataFrame:
-    """Add ``block`` and ``halo``; rows starting within ``ahead`` of a block start are
-    repeated in the block before, flagged as halo, so that block can look ahead."""
+def with_lookahead(
+    df: DataFrame,
+    keys: Sequence[str],
+    at: str,
+    order: Sequence[str],
+    width: int,
+    ahead: int,
+    rows: int = 1,
+) -> DataFrame:
+    """Add ``block`` and ``halo``. Each block also receives, flagged as halo, what its
+    last rows may need to see: every row starting within ``ahead`` of the block's end,
+    and at least the ``rows`` next rows however long the silence before them."""
     if ahead > width:
         raise ValueError("the look-ahead must fit in one block")
-    own = block_of(F.col(at), width)
-    near = (F.col(at) - own * F.lit(width) < F.lit(ahead)) & (own > 0)
-    return (
-        df.withColumn("_shift", F.explode(F.when(near, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-        .withColumn("block", own - F.col("_shift"))
+    keys = list(keys)
+    own = df.withColumn("block", block_of(F.col(at), width))
+    near = (F.col(at) - F.col("block") * F.lit(width) < F.lit(ahead)) & (F.col("block") > 0)
+    shift = F.when(near, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    timed = (
+        own.withColumn("_shift", F.explode(shift))
+        .withColumn("block", F.col("block") - F.col("_shift"))
         .withColumn("halo", F.col("_shift") == 1)
         .drop("_shift")
     )
+    # the next rows across a silence: the heads of the following non-empty blocks
+    past = Window.partitionBy(*keys).orderBy("block")
+    targets = (
+        own.groupBy(*keys, "block")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select(*keys, "block", F.array(*[F.lag("block", i).over(past) for i in range(1, rows + 1)]).alias("_tos"))
+        .select(*keys, "block", F.explode("_tos").alias("_to"))
+        .where(F.col("_to").isNotNull())
+    )
+    first = Window.partitionBy(*keys, "block", "_to").orderBy(*order)
+    heads = (
+        own.join(targets, [*keys, "block"])
+        .withColumn("_rn", F.row_number().over(first))
+        .where((F.col("_rn") <= rows) & ~((F.col("_to") == F.col("block") - 1) & (F.col(at) - F.col("block") * width < ahead)))
+        .withColumn("block", F.col("_to"))
+        .withColumn("halo", F.lit(True))
+        .drop("_to", "_rn")
+    )
+    return timed.unionByName(heads)
 
 
 def number_rows(

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipspark.functions.exprs import digest
-from clipspark.operators.blocks import DAY_MS, block_of, number_rows, with_halo
+from clipspark.operators.intervals import interval_join
+from clipspark.operators.blocks import DAY_MS, block_of, number_rows, with_lookahead
 from clipspark.operators.chains import reach
 from clipspark.operators.stages import materialise
 
@@ -28,30 +29,26 @@ def window_pointers(
     the window. The pointer to the next window may lie beyond that after a long
     silence, and is then the first segment after the look-ahead.
     """
-    ahead = _ms(max_seconds) + 1
+    reach_ms = _ms(max_seconds)
     advance = _ms(max(MIN_ADVANCE_S, target - overlap))
     narrow = segments.where(F.trim("text") != "").select("source_id", "segment_id", "start_ms", "end_ms")
-    rows = with_halo(narrow, "start_ms", block_ms, ahead)
+    rows = with_lookahead(
+        narrow, ["source_id"], "start_ms", ["start_ms", "segment_id"], block_ms, reach_ms + 1, rows=1
+    )
     by_time = Window.partitionBy("source_id", "block").orderBy("start_ms", "segment_id")
-    view = Window.partitionBy("source_id", "block").orderBy("start_ms").rangeBetween(0, ahead - 1)
+    view = Window.partitionBy("source_id", "block").orderBy("start_ms").rangeBetween(0, reach_ms)
+    following = F.lead(F.struct(F.col("segment_id").alias("id"), F.col("start_ms").alias("s"))).over(by_time)
     item = F.struct(
-        F.col("segment_id").alias("id"),
-        F.col("start_ms").alias("s"),
-        F.col("end_ms").alias("e"),
-        F.col("lead.id").alias("lead_id"),
-        F.col("lead.s").alias("lead_s"),
+        F.col("segment_id").alias("id"), F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), "lead"
     )
     seen = (
-        rows.withColumn(
-            "lead",
-            F.lead(F.struct(F.col("segment_id").alias("id"), F.col("start_ms").alias("s"))).over(by_time),
-        )
+        rows.withColumn("lead", following)
         .withColumn("all", F.sort_array(F.collect_list(item).over(view)))
         .where(~F.col("halo"))
         .withColumn("run", F.filter("all", lambda x: x["id"] >= F.col("segment_id")))
     )
     goal = F.col("start_ms") + F.lit(_ms(target))
-    limit = F.col("start_ms") + F.lit(_ms(max_seconds))
+    limit = F.col("start_ms") + F.lit(reach_ms)
     later = F.col("start_ms") + F.lit(advance)
     closer = F.get(F.filter("run", lambda x: (x["id"] > F.col("segment_id")) & (x["e"] >= goal)), F.lit(0))
     shown = (
@@ -64,44 +61,17 @@ def window_pointers(
         )
         .withColumn("tail", F.element_at("members", -1))
         .withColumn("near", F.get(F.filter("run", lambda x: x["s"] >= later), F.lit(0)))
-        .withColumn("edge", F.element_at("run", -1))
-    )
-    # the first segment beyond a block's own halo, from one summary row per block
-    offset = F.col("start_ms") - F.col("block") * F.lit(block_ms)
-    head = F.struct(F.col("segment_id").alias("id"), F.col("start_ms").alias("s"))
-    summary = (
-        narrow.withColumn("block", block_of(F.col("start_ms"), block_ms))
-        .groupBy("source_id", "block")
-        .agg(F.min(head).alias("head"), F.min(F.when(offset >= ahead, head)).alias("beyond"))
-    )
-    over = Window.partitionBy("source_id").orderBy("block")
-    follow = summary.select(
-        "source_id",
-        "block",
-        F.when(
-            F.lead("block").over(over) == F.col("block") + 1,
-            F.coalesce(F.lead("beyond").over(over), F.lead("head", 2).over(over)),
-        )
-        .otherwise(F.lead("head").over(over))
-        .alias("after"),
-    )
-    linked = shown.join(follow, ["source_id", "block"])
-    after_tail = F.coalesce(F.col("tail.lead_id"), F.when(F.col("tail.id") == F.col("edge.id"), F.col("after.id")))
-    onward = F.coalesce(
-        F.when(F.col("near").isNotNull(), F.struct(F.col("near.id").alias("id"), F.col("near.s").alias("s"))),
-        F.when(
-            F.col("edge.lead_id").isNotNull(),
-            F.struct(F.col("edge.lead_id").alias("id"), F.col("edge.lead_s").alias("s")),
-        ),
-        F.col("after"),
+        .withColumn("edge", F.element_at("run", -1)["lead"])
     )
-    ends_source = after_tail.isNull()
-    return linked.select(
+    onward_id = F.coalesce(F.col("near.id"), F.col("edge.id"))
+    onward_s = F.coalesce(F.col("near.s"), F.col("edge.s"))
+    ends_source = F.col("tail.lead").isNull()
+    return shown.select(
         "source_id",
         "block",
         F.col("segment_id").cast("long").alias("pos"),
-        F.when(~ends_source, onward["id"]).cast("long").alias("nxt"),
-        F.when(~ends_source, block_of(onward["s"], block_ms)).alias("nxt_block"),
+        F.when(~ends_source, onward_id).cast("long").alias("nxt"),
+        F.when(~ends_source, block_of(onward_s, block_ms)).alias("nxt_block"),
         "start_ms",
         F.col("tail.e").alias("end_ms"),
         F.transform("members", lambda x: x["id"]).alias("segment_ids"),
@@ -163,3 +133,248 @@ def candidate_windows(
         F.transform("parts", lambda p: p["segment_id"]).alias("segment_ids"),
         text.alias("text"),
     )
+
+
+# Chapter, caption and digest rules.
+SCENE_SNAP_MS = 2_000
+TRUNCATION_MARK = "\n[... chapter transcript truncated ...]"
+TERMINAL_MARKS = (".", "!", "?")
+PAUSE_MARKS = (",", ":", ";", "—", "-")
+BRIDGE_MS = 200
+
+
+def transcript_hash(sources: DataFrame, segments: DataFrame, block_ms: int = DAY_MS) -> DataFrame:
+    """Digest of language, duration and all segments. Segments are digested per block
+    and the block digests per source, so no task holds a whole long source."""
+    line = F.concat_ws(":", F.col("segment_id"), F.concat_ws("-", F.col("start_ms"), F.col("end_ms")), F.col("text"))
+    per_block = (
+        segments.withColumn("block", block_of(F.col("start_ms"), block_ms))
+        .groupBy("source_id", "block")
+        .agg(F.sort_array(F.collect_list(F.struct("segment_id", line.alias("line")))).alias("lines"), F.count(F.lit(1)).alias("n"))
+        .select("source_id", "block", "n", digest(F.array_join(F.transform("lines", lambda x: x["line"]), "|"), chars=64).alias("h"))
+    )
+    whole = per_block.groupBy("source_id").agg(
+        F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("block", "h"))).alias("hs")
+    )
+    return sources.join(whole, "source_id").select(
+        "source_id",
+        digest(F.col("language"), F.col("duration_ms"), F.col("n"), F.array_join(F.transform("hs", lambda x: x["h"]), "|")).alias(
+            "transcript_hash"
+        ),
+    )
+
+
+def candidate_set_id(
+    hashes: DataFrame, min_s: float = 30.0, target_s: float = 60.0, max_s: float = 90.0, overlap_s: float = 15.0
+) -> DataFrame:
+    """Identity of a candidate set: its transcript's hash and the cutting parameters."""
+    params = [F.lit(f"{v:.3f}") for v in (min_s, target_s, max_s, overlap_s)]
+    return hashes.withColumn(
+        "candidate_set_id",
+        F.concat(F.lit("cset_"), digest(F.col("transcript_hash"), *params, F.lit(SEGMENTATION_VERSION))),
+    )
+
+
+def chapter_plan(
+    segments: DataFrame,
+    scenes: DataFrame | None = None,
+    target_s: float = 240.0,
+    min_s: float = 150.0,
+    max_s: float = 420.0,
+    pause_s: float = 0.6,
+    block_ms: int = DAY_MS,
+) -> DataFrame:
+    """Contiguous chapters that close on a pause or scene cut after the target length,
+    at the latest at the maximum; a short last chapter joins the one before."""
+    reach_ms = _ms(max_s)
+    flagged = segments.select("source_id", "segment_id", "start_ms", "end_ms")
+    if scenes is not None:
+        snapped = interval_join(
+            flagged.select("source_id", "segment_id", (F.col("end_ms") - SCENE_SNAP_MS).alias("a"), (F.col("end_ms") + SCENE_SNAP_MS).alias("b")),
+            scenes.select("source_id", F.col("t_ms").alias("ta"), F.col("t_ms").alias("tb")),
+            "source_id", ("a", "b"), ("ta", "tb"), closed=True,
+        ).select("source_id", "segment_id").distinct().withColumn("cut", F.lit(True))
+        flagged = flagged.join(snapped, ["source_id", "segment_id"], "left").withColumn("cut", F.coalesce("cut", F.lit(False)))
+    else:
+        flagged = flagged.withColumn("cut", F.lit(False))
+    rows = with_lookahead(flagged, ["source_id"], "start_ms", ["start_ms", "segment_id"], block_ms, reach_ms + 1, rows=2)
+    by_time = Window.partitionBy("source_id", "block").orderBy("start_ms", "segment_id")
+    view = Window.partitionBy("source_id", "block").orderBy("start_ms").rangeBetween(0, reach_ms)
+    me = F.struct(
+        F.col("start_ms").alias("s"), F.col("segment_id").alias("id"), F.col("end_ms").alias("e"), "cut",
+        F.greatest(F.lit(0), F.lead("start_ms").over(by_time) - F.col("end_ms")).alias("gap"),
+        F.lead("segment_id").over(by_time).alias("next_id"),
+        F.lead("start_ms").over(by_time).alias("next_s"),
+    )
+    elapsed_from = F.col("start_ms")
+
+    def closes(x):
+        long_enough = x["e"] - elapsed_from >= _ms(target_s)
+        return (x["e"] - elapsed_from >= reach_ms) | (long_enough & ((x["gap"] >= _ms(pause_s)) | x["cut"]))
+
+    seen = (
+        rows.withColumn("me", me)
+        .withColumn("then", F.lead("me").over(by_time))
+        .withColumn("all", F.sort_array(F.collect_list(F.struct("me", "then")).over(view)))
+        .where(~F.col("halo"))
+        .withColumn("run", F.filter("all", lambda x: x["me"]["id"] >= F.col("segment_id")))
+        .withColumn("hit", F.get(F.filter("run", lambda x: closes(x["me"])), F.lit(0))["me"])
+        .withColumn("last", F.coalesce("hit", F.element_at("run", -1)["then"], F.element_at("run", -1)["me"]))
+    )
+    final = F.col("last.next_id").isNull()
+    pointers = seen.select(
+        "source_id",
+        "block",
+        F.col("segment_id").cast("long").alias("pos"),
+        F.col("last.next_id").cast("long").alias("nxt"),
+        block_of(F.col("last.next_s"), block_ms).alias("nxt_block"),
+        "start_ms",
+        F.col("last.e").alias("end_ms"),
+        F.col("last.id").alias("last_id"),
+        F.when(final, "transcript_gap")
+        .when(F.col("last.e") - F.col("start_ms") >= reach_ms, "max_duration")
+        .when(F.col("last.cut"), "scene_change")
+        .otherwise("transcript_gap")
+        .alias("boundary_source"),
+    )
+    cut = reach(materialise(pointers), ["source_id"], ["start_ms", "end_ms", "last_id", "boundary_source"])
+    # one row per source: its last chapter, and whether it is short enough to merge
+    ends = cut.groupBy("source_id").agg(
+        F.max(F.struct("pos", "start_ms", "end_ms", "last_id")).alias("z"), F.count(F.lit(1)).alias("n")
+    )
+    short = (F.col("n") >= 2) & (F.col("z.end_ms") - F.col("z.start_ms") < _ms(min_s))
+    merged = cut.join(ends.select("source_id", F.when(short, F.col("z")).alias("z")), "source_id")
+    takes = F.coalesce(F.col("nxt") == F.col("z.pos"), F.lit(False))
+    kept = merged.where(F.col("z").isNull() | (F.col("pos") != F.col("z.pos"))).select(
+        "source_id", "block", "pos", "start_ms",
+        F.when(takes, F.col("z.end_ms")).otherwise(F.col("end_ms")).alias("end_ms"),
+        F.when(takes, F.col("z.last_id")).otherwise(F.col("last_id")).alias("last_segment"),
+        F.when(takes, "tail_merge").otherwise(F.col("boundary_source")).alias("boundary_source"),
+    )
+    return number_rows(kept, ["source_id"], "block", [F.col("pos")], "chapter").select(
+        "source_id", "chapter", F.format_string("chapter_%03d", F.col("chapter")).alias("chapter_id"),
+        "start_ms", "end_ms", F.col("pos").alias("first_segment"), "last_segment", "boundary_source",
+    )
+
+
+def _tenths(ms):
+    """Seconds at one decimal, by integer arithmetic."""
+    t = F.floor((ms + 50) / 100)
+    return F.concat(F.floor(t / 10).cast("string"), F.lit("."), (t % 10).cast("string"))
+
+
+def chapter_digest(chapters: DataFrame, segments: DataFrame, limit: int = 12_000) -> DataFrame:
+    """What a chapter's reader is shown: timestamped lines, cut off with a marker
+    beyond ``limit`` characters, and the hash of the whole chapter."""
+    inside = interval_join(
+        chapters.select("source_id", "chapter", "first_segment", "last_segment", F.col("start_ms").alias("c0"), F.col("end_ms").alias("c1")),
+        segments, "source_id", ("c0", "c1"), ("start_ms", "end_ms"), closed=True,
+    ).where(F.col("segment_id").between(F.col("first_segment"), F.col("last_segment")))
+    line = F.concat(F.lit("["), _tenths(F.col("start_ms")), F.lit("s] "), F.col("text"))
+    key = F.concat_ws(":", F.col("segment_id"), F.concat_ws("-", F.col("start_ms"), F.col("end_ms")), F.col("text"))
+    grouped = inside.groupBy("source_id", "chapter", "c0", "c1").agg(
+        F.sort_array(F.collect_list(F.struct("segment_id", line.alias("line"), key.alias("key")))).alias("rows")
+    )
+    text = F.array_join(F.transform("rows", lambda r: r["line"]), "\n")
+    return grouped.withColumn("full", text).select(
+        "source_id",
+        "chapter",
+        F.size("rows").cast("long").alias("segments"),
+        F.when(F.length("full") > limit, F.concat(F.substring("full", 1, limit), F.lit(TRUNCATION_MARK)))
+        .otherwise(F.col("full"))
+        .alias("shown"),
+        digest(F.col("c0"), F.col("c1"), F.size("rows"), F.array_join(F.transform("rows", lambda r: r["key"]), "|")).alias("chapter_hash"),
+    )
+
+
+def plan_hash(digests: DataFrame) -> DataFrame:
+    """Identity of a source's chapter plan, from its chapters' hashes in order."""
+    part = F.floor(F.col("chapter") / 1000)
+    per_part = digests.groupBy("source_id", part.alias("part")).agg(
+        F.sort_array(F.collect_list(F.struct("chapter", "chapter_hash"))).alias("hs")
+    )
+    joined = F.array_join(F.transform("hs", lambda x: x["chapter_hash"]), "|")
+    return (
+        per_part.select("source_id", "part", digest(joined).alias("h"))
+        .groupBy("source_id")
+        .agg(digest(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "h"))), lambda x: x["h"]), "|")).alias("plan_hash"))
+    )
+
+
+def caption_cards(
+    words: DataFrame, max_words: int = 4, max_chars: int = 32, pause_s: float = 0.35, min_s: float = 0.4,
+    block_ms: int = DAY_MS,
+) -> DataFrame:
+    """Short subtitle cards: closed by sentence ends, pauses, or the size limits.
+
+    ``words``: source_id, pos (order in the source), start_ms, end_ms, word.
+    """
+    rows = with_lookahead(words, ["source_id"], "start_ms", ["pos"], block_ms, min(block_ms, 60_000), rows=max_words + 1)
+    by_pos = Window.partitionBy("source_id", "block").orderBy("pos")
+    next_start, next_pos = F.lead("start_ms").over(by_pos), F.lead("pos").over(by_pos)
+
+    def ends_with(marks):
+        out = F.lit(False)
+        for m in marks:
+            out = out | F.col("word").endswith(m)
+        return out
+
+    me = F.struct(
+        "pos", "start_ms", "end_ms", "word",
+        ends_with(TERMINAL_MARKS).alias("stop"),
+        F.coalesce(next_start - F.col("end_ms") >= _ms(pause_s), F.lit(False)).alias("silent"),
+        ends_with(PAUSE_MARKS).alias("comma"),
+        next_pos.alias("next_pos"),
+        next_start.alias("next_s"),
+    )
+    ahead = Window.partitionBy("source_id", "block").orderBy("pos").rowsBetween(0, max_words - 1)
+    run = (
+        rows.withColumn("me", me).withColumn("run", F.collect_list("me").over(ahead)).where(~F.col("halo"))
+    )
+
+    def closes(x, i):
+        chars = F.aggregate(F.slice("run", 1, i + 1), F.lit(0), lambda a, y: a + F.length(y["word"])) + i
+        return (
+            x["stop"] | x["silent"] | (x["comma"] & (i >= 1)) | (i + 1 >= max_words) | (chars >= max_chars) | x["next_pos"].isNull()
+        )
+
+    size = F.array_position(F.transform("run", closes), F.lit(True)).cast("int")
+    carded = run.withColumn("card", F.slice("run", F.lit(1), size)).withColumn("z", F.element_at("card", -1))
+    pointers = carded.select(
+        "source_id", "block", "pos",
+        F.col("z.next_pos").alias("nxt"),
+        block_of(F.col("z.next_s"), block_ms).alias("nxt_block"),
+        "start_ms",
+        F.greatest(F.col("z.end_ms"), F.col("start_ms") + _ms(min_s)).alias("end_ms"),
+        F.array_join(F.transform("card", lambda x: x["word"]), " ").alias("text"),
+        F.transform("card", lambda x: F.struct(x["pos"], x["start_ms"].alias("s"), x["end_ms"].alias("e"), x["word"])).alias("words"),
+        F.col("z.next_s").alias("next_start_ms"),
+    )
+    reached = reach(materialise(pointers), ["source_id"], ["start_ms", "end_ms", "text", "words", "next_start_ms"])
+    gap = F.col("next_start_ms") - F.col("end_ms")
+    bridged = F.when((gap > 0) & (gap < BRIDGE_MS), F.col("next_start_ms")).otherwise(F.col("end_ms"))
+    return number_rows(reached, ["source_id"], "block", [F.col("pos")], "card").select(
+        "source_id", "card", "start_ms", bridged.alias("end_ms"), "text", "words"
+    )
+
+
+def caption_word_spans(cards: DataFrame) -> DataFrame:
+    """The span during which each word of a card is the active one."""
+    n = F.size("words")
+    flat = cards.select("source_id", "card", "start_ms", "end_ms", "words", n.alias("n"), F.posexplode("words").alias("i", "w"))
+    begin = F.when(F.col("i") == 0, F.col("start_ms")).otherwise(F.col("w.s"))
+    until = F.when(F.col("i") < F.col("n") - 1, F.get("words", F.col("i") + 1)["s"]).otherwise(F.col("end_ms"))
+    return flat.select(
+        "source_id", "card", F.col("i").cast("long").alias("word_idx"), F.col("w.word").alias("word"),
+        begin.alias("begin_ms"), F.when(until <= begin, begin + 100).otherwise(until).alias("until_ms"),
+    )
+
+
+def candidate_stats(cands: DataFrame) -> DataFrame:
+    d = F.col("duration_ms") / 1000.0
+    return cands.groupBy("source_id").agg(
+        F.count(F.lit(1)).alias("candidates"),
+        F.min(d).alias("min_s"),
+        F.round(F.sum("duration_ms") / (1000.0 * F.count(F.lit(1))), 2).alias("mean_s"),
+        F.max(d).alias("max_s"),
+    )

@@ -119,3 +119,89 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
         (i % 11 == 0).alias("outside_payoff"),
         F.concat(F.lit("text "), i.cast("string")).alias("reason"),
     )
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document-as-recording: language and length."""
+    seg = segments(spark, sf_dir).groupBy("source_id").agg(F.max("end_ms").alias("duration_ms"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), F.col("lang").alias("language"))
+    return docs.join(seg, "source_id")
+
+
+def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (
+        segments(spark, sf_dir)
+        .where(F.col("segment_id") % 40 == 0)
+        .select("source_id", (F.col("start_ms") + 300).alias("t_ms"))
+    )
+
+
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of every segment, 400 ms apart and 340 ms long."""
+    return segments(spark, sf_dir).select(
+        "source_id", "segment_id", "start_ms", F.posexplode(F.split("text", r"\s+")).alias("i", "word")
+    ).select(
+        "source_id",
+        (F.col("segment_id") * 100_000 + F.col("i")).alias("pos"),
+        (F.col("start_ms") + F.col("i") * 400).alias("start_ms"),
+        (F.col("start_ms") + F.col("i") * 400 + 340).alias("end_ms"),
+        "word",
+    )
+
+
+def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping one-minute candidates, one per 45 s in which somebody speaks."""
+    return (
+        segments(spark, sf_dir)
+        .groupBy("source_id", F.floor(F.col("start_ms") / 45_000).alias("candidate_seq"))
+        .agg(
+            F.min("start_ms").alias("start_ms"),
+            F.array_join(
+                F.transform(F.sort_array(F.collect_list(F.struct("segment_id", "text"))), lambda r: r["text"]), " "
+            ).alias("text"),
+        )
+        .withColumn("end_ms", F.col("start_ms") + 60_000)
+        .select("source_id", "candidate_seq", "start_ms", "end_ms", "text")
+    )
+
+
+def coarse_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four-minute stretches in which somebody speaks, with holes between them."""
+    return (
+        segments(spark, sf_dir)
+        .groupBy("source_id", F.floor(F.col("start_ms") / 240_000).alias("chapter"))
+        .agg(F.min("start_ms").alias("start_ms"), (F.min("start_ms") + 100_000).alias("end_ms"))
+    )
+
+
+def moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timestamps somebody asks about; some fall outside every candidate."""
+    return (
+        clips(spark, sf_dir)
+        .where(F.col("candidate_seq") % 3 == 0)
+        .select(
+            "source_id",
+            F.col("candidate_seq").alias("moment_id"),
+            (F.col("start_ms") + (F.col("source_id") % 70) * 1000).alias("t_ms"),
+        )
+    )
+
+
+def clip_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked predictions of three scorers over the one-minute candidates."""
+    from clipspark.operators.ranking import number_by_score
+
+    seq, src = F.col("candidate_seq"), F.col("source_id")
+    rows = F.array(
+        F.struct(F.lit("heuristic").alias("scorer"), ((seq * 37 + src) % 101).cast("double").alias("score")),
+        F.struct(
+            F.when(seq % 2 == 0, F.lit("multimodal")).alias("scorer"), ((seq * 53 + src * 3) % 101).cast("double").alias("score")
+        ),
+        F.struct(
+            F.when(seq % 4 == 0, F.lit("contextual")).alias("scorer"), ((seq * 71 + src * 7) % 101).cast("double").alias("score")
+        ),
+    )
+    flat = clips(spark, sf_dir).select("source_id", "candidate_seq", F.inline(rows)).where(F.col("scorer").isNotNull())
+    return number_by_score(flat, ["source_id", "scorer"], "score", "candidate_seq").withColumn(
+        "status", F.when(F.col("scorer") == "contextual", F.when(F.col("source_id") % 5 == 0, "rejected_weak").otherwise("ranked"))
+    )
