@@ -44,7 +44,7 @@ flag as (select n.*, n.n as cnt, lead(start_ms) over w as nxt_s, exists(select 1
 ptr as (select i.source_id, i.idx, i.n, i.start_ms, coalesce(min(j.idx), i.n - 1) as last
   from flag i left join flag j on j.source_id = i.source_id and j.idx >= i.idx and j.idx < i.n - 1 and
     (j.end_ms - i.start_ms >= 420000 or (j.end_ms - i.start_ms >= 240000 and (greatest(0, j.nxt_s - j.end_ms) >= 600 or j.cut)))
-  group by all),
+  group by i.source_id, i.idx, i.n, i.start_ms),
 hop as (select source_id, idx, last, n from ptr where idx = 0 union all
   select p.source_id, p.idx, p.last, p.n from hop h join ptr p on p.source_id = h.source_id and p.idx = h.last + 1),
 ch as (select h.source_id, h.idx, h.last, a.start_ms, b.end_ms, b.segment_id as last_segment, a.segment_id as first_segment,
