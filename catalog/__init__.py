@@ -30,5 +30,5 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     import importlib
 
-    for module in ("transcripts", "evaluation", "context"):
+    for module in ("transcripts", "evaluation", "context", "scoring"):
         importlib.import_module(f"catalog.{module}")

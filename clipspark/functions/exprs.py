@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -48,3 +48,13 @@ def flag_list(pairs: Sequence[tuple[Column, str | Column]], sep: str = "; ") ->
         F.when(cond, label if isinstance(label, Column) else F.lit(label)) for cond, label in pairs
     ]
     return F.array_join(F.array_compact(F.array(*labels)), sep)
+
+
+def pin(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add (or replace) columns so that they are computed once per row.
+
+    Catalyst copies a projected expression into every later use of it, filters
+    included; where the expression is a parse and the uses are many, the copies
+    outweigh everything else. A one-element generator is not copied through."""
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))

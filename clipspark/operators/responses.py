@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipspark.functions.exprs import clamp, digest, first_match, flag_list
+from clipspark.functions.exprs import clamp, digest, first_match, flag_list, pin
 
 # Classes, phrases and thresholds of the editorial and critic rules.
 VALID_CLASSES = ("FATAL_REJECT", "WEAK", "MAYBE", "GOOD", "STRONG")
@@ -61,24 +61,18 @@ def parse_responses(raw: DataFrame, column: str = "raw") -> DataFrame:
         F.when(valid, F.col("_bare"))
         .when(braces, F.substring(F.col("_bare"), first, last - first + 1))
     )
-    return (
-        raw.withColumn("_bare", bare)
-        .withColumn("_text", text)
-        .withColumn("_ok", _is_object(F.col("_text")))
-        .withColumn("body", F.when(F.col("_ok"), F.from_json("_text", "map<string,string>")))
-        .withColumn(
-            "error",
-            first_match(
-                [
-                    (F.col(column).isNull() | (F.col("_bare") == ""), "Empty model response"),
-                    (F.col("_ok"), F.lit(None).cast("string")),
-                    (F.try_parse_json(F.col("_text")).isNotNull(), "Expected a JSON object"),
-                ],
-                "Response is not JSON",
-            ),
-        )
-        .drop("_bare", "_text", "_ok")
+    rows = pin(pin(raw, _bare=bare), _text=text)
+    rows = pin(rows, _ok=_is_object(F.col("_text")))
+    error = first_match(
+        [
+            (F.col(column).isNull() | (F.col("_bare") == ""), "Empty model response"),
+            (F.col("_ok"), F.lit(None).cast("string")),
+            (F.try_parse_json(F.col("_text")).isNotNull(), "Expected a JSON object"),
+        ],
+        "Response is not JSON",
     )
+    body = F.when(F.col("_ok"), F.from_json("_text", "map<string,string>"))
+    return pin(rows, body=body, error=error).drop("_bare", "_text", "_ok")
 
 
 def _get(*names: str) -> Column:
@@ -89,7 +83,8 @@ def _get(*names: str) -> Column:
 
 def as_unit(value: Column, default: float = 0.0) -> Column:
     n = value.try_cast("double")
-    return F.coalesce(clamp(F.when(n > 1.0, n / 100.0).otherwise(n), 0.0, 1.0), F.lit(default))
+    scaled = clamp(F.when(n > 1.0, n / 100.0).otherwise(n), 0.0, 1.0)
+    return F.when(n.isNotNull(), scaled).otherwise(F.lit(default))
 
 
 def as_bool(value: Column, default: Column | bool = False) -> Column:
@@ -107,12 +102,12 @@ def as_bool(value: Column, default: Column | bool = False) -> Column:
 def as_penalty(value: Column, default: Column | float = 0.0) -> Column:
     n = value.try_cast("double")
     default = default if isinstance(default, Column) else F.lit(default)
-    return F.coalesce(clamp(-F.abs(n), -100.0, 0.0), default)
+    return F.when(n.isNotNull(), clamp(-F.abs(n), -100.0, 0.0)).otherwise(default)
 
 
 def as_list(value: Column, limit: int = 8) -> Column:
     """A JSON array's non-blank texts (at most ``limit``), or one text as a list."""
-    items = F.transform(F.from_json(value, "array<string>"), F.trim)
+    items = F.transform(F.from_json(value, "array<string>"), lambda x: F.trim(x))
     many = F.slice(F.filter(items, lambda x: x != ""), 1, limit)
     one = F.when(F.trim(value) != "", F.array(F.trim(value)))
     return F.coalesce(F.when(value.startswith("["), many).otherwise(one), F.array().cast("array<string>"))
@@ -160,32 +155,29 @@ def editorial_table(cands: DataFrame, responses: DataFrame, keys: Sequence[str])
     odd = (F.col("_raw") != "") & ~F.col("_raw").isin(*VALID_CLASSES, "REJECT")
     usable = F.col("body").isNotNull()
     units = {u: F.round(as_unit(_get(u)), 6) for u in UNITS}
-    return (
-        rows.withColumn("_raw", raw)
-        .withColumn("editorial_class", F.when(usable & named.isin(*VALID_CLASSES), named).otherwise("WEAK"))
-        .select(
-            *cands.columns,
-            "editorial_class",
-            *[v.alias(n) for n, v in units.items()],
-            as_bool(_get("salvageable"), F.col("editorial_class") != "FATAL_REJECT").alias("salvageable"),
-            as_bool(_get("best_internal_moment_present")).alias("internal_moment"),
-            as_bool(_get("needs_more_setup")).alias("needs_more_setup"),
-            as_bool(_get("needs_boundary_refinement")).alias("needs_refinement"),
-            as_bool(_get("payoff_inside_candidate")).alias("payoff_inside"),
-            F.round(as_unit(_get("standalone_after_refinement_probability")), 6).alias("standalone_probability"),
-            as_penalty(_get("quality_penalty", "penalty")).alias("quality_penalty"),
-            F.array_join(as_list(_get("fatal_reject_evidence", "fatal_evidence")), " ").alias("fatal_evidence"),
-            as_reason(_get("reason_to_watch")).alias("reason_to_watch"),
-            _append(
-                as_list(_get("reject_reasons")),
-                usable & odd,
-                F.concat(F.lit("unrecognized editorial_class '"), F.col("_raw"), F.lit("' treated as WEAK")),
-            ).alias("reject_reasons"),
-            F.round(as_unit(_get("confidence")), 6).alias("confidence"),
-            (~usable).alias("parse_failed"),
-            F.when(~usable, F.coalesce("error", F.lit("no response stored"))).alias("error"),
-        )
-    )
+    rows = pin(rows, _raw=raw)
+    rows = pin(rows, editorial_class=F.when(usable & named.isin(*VALID_CLASSES), named).otherwise("WEAK"))
+    fields = {
+        **units,
+        "salvageable": as_bool(_get("salvageable"), F.col("editorial_class") != "FATAL_REJECT"),
+        "internal_moment": as_bool(_get("best_internal_moment_present")),
+        "needs_more_setup": as_bool(_get("needs_more_setup")),
+        "needs_refinement": as_bool(_get("needs_boundary_refinement")),
+        "payoff_inside": as_bool(_get("payoff_inside_candidate")),
+        "standalone_probability": F.round(as_unit(_get("standalone_after_refinement_probability")), 6),
+        "quality_penalty": as_penalty(_get("quality_penalty", "penalty")),
+        "fatal_evidence": F.array_join(as_list(_get("fatal_reject_evidence", "fatal_evidence")), " "),
+        "reason_to_watch": as_reason(_get("reason_to_watch")),
+        "reject_reasons": _append(
+            as_list(_get("reject_reasons")),
+            usable & odd,
+            F.concat(F.lit("unrecognized editorial_class '"), F.col("_raw"), F.lit("' treated as WEAK")),
+        ),
+        "confidence": F.round(as_unit(_get("confidence")), 6),
+        "parse_failed": ~usable,
+        "error": F.when(~usable, F.coalesce("error", F.lit("no response stored"))),
+    }
+    return pin(rows, **fields).select(*cands.columns, "editorial_class", *fields)
 
 
 def editorial_gates(editorial: DataFrame) -> DataFrame:
@@ -217,29 +209,22 @@ def editorial_gates(editorial: DataFrame) -> DataFrame:
             "reason to watch describes continuation, not a concrete moment"
         ),
     )
-    return (
-        editorial.withColumn("reject_reasons", reasons)
-        .withColumn("_vague", vague)
-        .withColumn("recovered", unfounded)
-        .withColumn(
-            "quality_penalty",
-            F.round(
-                first_match(
-                    [
-                        (~live, F.col("quality_penalty")),
-                        (F.col("recovered"), F.least(penalty, F.lit(-30.0))),
-                        (F.col("_vague"), F.least(penalty, F.lit(-25.0))),
-                    ],
-                    penalty,
-                ),
-                6,
-            ),
-        )
-        .withColumn(
-            "editorial_class", F.when(F.col("recovered") | F.col("_vague"), "WEAK").otherwise(F.col("editorial_class"))
-        )
-        .drop("_vague")
+    gated = pin(editorial, _new_reasons=reasons, _vague=vague, recovered=unfounded, _penalty=penalty)
+    worst = first_match(
+        [
+            (F.col("parse_failed"), F.col("quality_penalty")),
+            (F.col("recovered"), F.least("_penalty", F.lit(-30.0))),
+            (F.col("_vague"), F.least("_penalty", F.lit(-25.0))),
+        ],
+        F.col("_penalty"),
+    )
+    out = pin(
+        gated,
+        reject_reasons=F.col("_new_reasons"),
+        quality_penalty=F.round(worst, 6),
+        editorial_class=F.when(F.col("recovered") | F.col("_vague"), "WEAK").otherwise(F.col("editorial_class")),
     )
+    return out.select(*editorial.columns, "recovered")
 
 
 def recover_rejections(gated: DataFrame, key: str, tie: str) -> DataFrame:
@@ -316,8 +301,7 @@ def critic_table(cands: DataFrame, responses: DataFrame, keys: Sequence[str]) ->
     for name in ("penalty", "critic_penalty", "failure_modes", "keep_for_comparison"):
         new_style = new_style | F.map_contains_key("body", name)
     return (
-        rows.withColumn("_raw", raw)
-        .withColumn("hard_reject", F.coalesce(usable & hard, F.lit(False)))
+        pin(pin(rows, _raw=raw), hard_reject=F.coalesce(usable & hard, F.lit(False)))
         .select(
             *cands.columns,
             F.when(F.col("hard_reject"), "REJECT").otherwise("KEEP").alias("decision"),
@@ -431,13 +415,12 @@ def multimodal_table(responses: DataFrame, keys: Sequence[str]) -> tuple[DataFra
         + [(F.col("body").isNotNull() & ~F.coalesce(flag(n).isin("true", "false"), F.lit(False)), f"{n} is not a boolean") for n in need_bool]
         + [(F.col("body").isNotNull() & _get("reason").isNull(), "reason missing")]
     )
-    rows = parsed.withColumn("breaches", breaches)
-    accepted = rows.where(F.col("breaches") == "").select(
-        *keys,
-        *[num(n).alias(n) for n in PERCENT_FIELDS],
-        num("confidence").alias("confidence"),
-        *[(flag(n) == "true").alias(n) for n in need_bool],
-        *[as_bool(_get(n)).alias(n) for n in ("outside_payoff", "missing_setup", "insufficient_visual_evidence")],
-        _get("reason").alias("reason"),
-    )
+    rows = pin(parsed, breaches=breaches)
+    fields = {
+        **{n: num(n) for n in (*PERCENT_FIELDS, "confidence")},
+        **{n: flag(n) == "true" for n in need_bool},
+        **{n: as_bool(_get(n)) for n in ("outside_payoff", "missing_setup", "insufficient_visual_evidence")},
+        "reason": _get("reason"),
+    }
+    accepted = pin(rows.where(F.col("breaches") == ""), **fields).select(*keys, *fields)
     return accepted, rows.where(F.col("breaches") != "").select(*keys, "breaches")

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipspark.functions.exprs import clamp, digest, first_match, flag_list
+from clipspark.functions.exprs import clamp, digest, first_match, flag_list, pin
 
 # Weights, penalties, ceilings and answer values of the versioned formulas.
 V2_WEIGHTS = {
@@ -156,8 +156,9 @@ def score_multimodal(results: DataFrame, packages: DataFrame) -> DataFrame:
     elsewhere = F.col("outside_payoff") & ~F.col("observable_event")
     headless = F.col("missing_setup") & (F.col("context_dependency") >= 80.0)
     q = F.col("quality_score")
-    s1 = F.when(dull, F.least(q, F.lit(35.0))).otherwise(q)
-    s2 = F.when(elsewhere, F.least(s1, F.lit(40.0))).otherwise(s1)
+    r = pin(r, _s1=F.when(dull, F.least(q, F.lit(35.0))).otherwise(q))
+    r = pin(r, _s2=F.when(elsewhere, F.least("_s1", F.lit(40.0))).otherwise(F.col("_s1")))
+    s1, s2 = F.col("_s1"), F.col("_s2")
     s3 = F.when(headless, F.least(s2, F.lit(45.0))).otherwise(s2)
     thin = F.coalesce("_thin", F.lit(False)) | F.col("insufficient_visual_evidence")
     lowered = F.greatest(F.lit(0.2), F.least("confidence", F.lit(0.4)))

@@ -205,3 +205,133 @@ def clip_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return number_by_score(flat, ["source_id", "scorer"], "score", "candidate_seq").withColumn(
         "status", F.when(F.col("scorer") == "contextual", F.when(F.col("source_id") % 5 == 0, "rejected_weak").otherwise("ranked"))
     )
+
+
+def _answer(body: Column, n: Column) -> Column:
+    """Some answers are broken, fenced or chatty, as stored model answers are."""
+    text = F.when(n % 11 == 0, F.expr("substring(_b, 1, length(_b) - 1)")).otherwise(body)
+    return (
+        F.when(n % 3 == 0, F.concat(F.lit("```json\n"), text, F.lit("\n```")))
+        .when(n % 5 == 0, F.concat(F.lit("Sure! "), text, F.lit(" Done.")))
+        .otherwise(text)
+    )
+
+
+def responses(spark: SparkSession, sf_dir: str, stage: str) -> DataFrame:
+    """Stored answers of one model stage, one per document; some are absent."""
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("source").alias("candidate_set_id"), F.col("doc_id").alias("candidate_id")
+    )
+    i = F.col("candidate_id")
+    s = F.substring("candidate_set_id", 4, 10).cast("long")
+
+    def pick(*options: str) -> Column:
+        return F.get(F.array(*[F.lit(o) for o in options]), (i % len(options)).cast("int"))
+
+    def pct(k: int) -> Column:
+        return (i * k % 101).cast("string")
+
+    yes = lambda k: F.when(i % k == 0, "true").otherwise("false")
+    if stage == "editorial":
+        cls = F.when((s % 4 == 0) & (i % 8 != 0), "fatal_reject").otherwise(
+            pick("STRONG", "good", "MAYBE", "WEAK", "REJECT", "odd", "")
+        )
+        fields = [
+            ("editorial_class", F.concat(F.lit('"'), cls, F.lit('"'))),
+            ("scroll_stop", pct(31)),
+            ("context_dependency", pct(17)),
+            ("dead_air", F.concat(F.lit('"'), pct(7), F.lit('"'))),
+            ("salvageable", F.when(i % 5 == 0, '"yes"').otherwise("false")),
+            ("best_internal_moment_present", yes(6)),
+            ("needs_more_setup", yes(2)),
+            ("needs_boundary_refinement", yes(3)),
+            ("payoff_inside_candidate", yes(10)),
+            ("standalone_after_refinement_probability", pct(13)),
+            ("quality_penalty", (i % 20).cast("string")),
+            ("fatal_reject_evidence", pick('["dead air", " "]', "[]", '["dead air"]', '"payoff lies outside, nothing useful"')),
+            (
+                "reason_to_watch",
+                pick("null", '"They continue talking about it all day"', '"Short one"', '"A host falls off the chair mid sentence"', '"n/a"'),
+            ),
+            ("reject_reasons", F.when(i % 9 == 0, '["too slow", ""]').otherwise("[]")),
+            ("confidence", pct(7)),
+        ]
+    elif stage == "critic":
+        fields = [
+            ("decision", F.concat(F.lit('"'), pick("keep", "REJECT", "", "maybe", "no"), F.lit('"'))),
+            ("reason", F.concat(F.lit('" because '), i.cast("string"), F.lit('"'))),
+            ("confidence", pct(37)),
+            ("hard_reject", yes(2)),
+            ("failure_modes", pick('["severe asr errors", "no visual value"]', '"duplicate"', "[]")),
+        ]
+        extra = F.concat(F.lit(', "keep_for_comparison": '), yes(7), F.lit(', "penalty": '), (i % 30).cast("string"))
+    else:
+        quality = [(n, pct(k)) for k, n in enumerate(
+            ("visual_event", "reaction", "emotion", "humor", "surprise", "energy", "standalone", "shareability",
+             "context_dependency", "quality_score"), start=11)]
+        fields = [
+            ("observable_event", yes(2)),
+            ("visual_payoff", F.when(i % 19 == 0, '"unsure"').otherwise("true")),
+            *quality,
+            ("boringness", F.when(i % 13 == 0, "150").otherwise((100 - i * 3 % 40).cast("string"))),
+            ("retention", F.when(i % 17 == 0, "null").otherwise((i % 60).cast("string"))),
+            ("outside_payoff", yes(3)),
+            ("missing_setup", yes(4)),
+            ("insufficient_visual_evidence", yes(5)),
+            ("confidence", ((i % 100) / 100.0).cast("string")),
+            ("reason", F.lit('"seen"')),
+        ]
+    parts: list[Column] = []
+    for n, (name, value) in enumerate(fields):
+        parts += [F.lit(("" if n == 0 else ", ") + f'"{name}": '), value]
+    inner = F.concat(*parts)
+    if stage == "critic":
+        inner = F.concat(inner, F.when(i % 4 != 0, extra).otherwise(""))
+    body = F.concat(F.lit("{"), inner, F.lit("}"))
+    return (
+        docs.where(i % 23 != 0)
+        .withColumn("_b", body)
+        .select("candidate_set_id", "candidate_id", F.lit(stage).alias("stage"), _answer(F.col("_b"), i).alias("raw"))
+    )
+
+
+def chapter_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("source_id") * 7 + F.col("chapter")
+    names = F.array_join(
+        F.transform(F.sequence(F.lit(1), F.lit(15)), lambda k: F.concat(F.lit('"e'), k.cast("string"), F.lit('"'))), ", "
+    )
+    body = F.concat(
+        F.lit('{"summary": " s'), n.cast("string"), F.lit(' ", "topic": "t'), (n % 5).cast("string"),
+        F.lit('", "participants": ["a", " ", "b"], "events": ['), names, F.lit('], "setups": "one", "payoffs": []}'),
+    )
+    return (
+        coarse_chapters(spark, sf_dir)
+        .where(n % 13 != 0)
+        .withColumn("_b", body)
+        .select("source_id", "chapter", _answer(F.col("_b"), n).alias("raw"))
+    )
+
+
+def source_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id")
+    kinds = F.get(F.array(*[F.lit(k) for k in ("Stream", "interview", "show", "", "GAME")]), (n % 5).cast("int"))
+    body = F.concat(
+        F.lit('{"video_summary": "v'), n.cast("string"), F.lit('", "content_type": "'), kinds,
+        F.lit('", "main_topics": ["x", "y'), (n % 4).cast("string"), F.lit('"], "conflicts": "c"}'),
+    )
+    return (
+        table(spark, sf_dir, "documents").select("doc_id").where(n % 13 != 0).withColumn("_b", body)
+        .select(F.col("doc_id").alias("source_id"), _answer(F.col("_b"), n).alias("raw"))
+    )
+
+
+def top_logprobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answer-token alternatives per document; a few offer no answer token at all."""
+    i = F.col("doc_id")
+    alts = F.array(
+        F.struct(F.when(i % 7 == 0, "hm").otherwise(" Yes.").alias("token"), (-(i % 50) / 10.0).alias("logprob")),
+        F.struct(F.when(i % 7 == 0, "er").otherwise("no").alias("token"), (-(i % 13) / 10.0).alias("logprob")),
+        F.struct(F.when(i % 7 == 0, "um").otherwise("YES").alias("token"), (-(i % 29) / 10.0).alias("logprob")),
+        F.struct(F.lit("maybe").alias("token"), (-(i % 3) / 10.0).alias("logprob")),
+    )
+    return table(spark, sf_dir, "documents").select(i.alias("candidate_id"), F.inline(alts))
