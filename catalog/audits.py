@@ -212,8 +212,8 @@ def e19(spark, sf_dir):
 
 FILES = f"""{JOBS}, files as (select l_orderkey as source_id, l_linenumber || '-' || l_partkey as path, case when l_linenumber = 1 then 'source' when l_linenumber <= 5 then 'clip' when l_linenumber = 6 then 'intermediate' else 'protected' end as kind,
    cast(round(l_extendedprice * 100) as bigint) as bytes, case when l_linenumber <= 5 and l_suppkey % 10 <> 0 then 'k' || l_orderkey || '-' || l_linenumber || '-' || l_partkey end as key from lineitem),
-reps as (select key, case when bytes % 11 = 0 then bytes + 1 else bytes end as rb from (select distinct key, bytes from files where key is not null) where bytes % 9 <> 0),
-acts as (select f.*, reps.rb, kind in ('source', 'clip') as copied from files f left join reps on reps.key = f.key and reps.rb in (f.bytes, f.bytes + 1)),
+reps as (select key, case when bytes % 11 = 0 then bytes + 1 else bytes end as rb from (select key, min(bytes) as bytes from files where key is not null group by 1) where bytes % 9 <> 0),
+acts as (select f.*, reps.rb, kind in ('source', 'clip') as copied from files f left join reps on reps.key = f.key),
 act as (select source_id, path, kind, bytes, case when copied and rb = bytes then 'DELETE' else 'KEEP' end as action,
    case when copied and key is null then 'remote_not_verified (no remote key)' when copied and rb is null then 'remote_not_verified (remote object missing)' when copied and rb <> bytes then 'remote_not_verified (remote size differs)'
      when kind = 'clip' then 'published at ' || key when kind = 'source' then 're-fetchable from ' || key when kind = 'intermediate' then 'cheap to keep, expensive to regenerate' else 'needed to resume without re-downloading' end as reason from acts)

@@ -335,3 +335,50 @@ def top_logprobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit("maybe").alias("token"), (-(i % 3) / 10.0).alias("logprob")),
     )
     return table(spark, sf_dir, "documents").select(i.alias("candidate_id"), F.inline(alts))
+
+
+def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second-by-second activity series per user, from the events in time order."""
+    from clipspark.operators.blocks import number_rows, with_key_totals
+    from clipspark.operators.signals import _with_previous, combined_activity
+
+    ev = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("source_id"), "event_id", "ts", "value", "event_type", F.to_date("ts").alias("day")
+    )
+    numbered = number_rows(ev, ["source_id"], "day", [F.col("ts"), F.col("event_id")], "n").withColumn("bin", F.col("n") - 1)
+    topped = with_key_totals(numbered, ["source_id"], "day", {"top": ("max", F.col("value"))})
+    rows = topped.select(
+        "source_id", "bin", F.round(F.col("value") / F.col("top"), 4).alias("energy"), ((F.col("event_id") % 100) / 100.0).alias("speech"),
+        F.round((F.col("event_id") % 37) / 37.0, 4).alias("motion"), (F.col("event_type") == "error").alias("scene_change"),
+    )
+    moved = _with_previous(rows, "source_id", "bin", {"energy": "before"})
+    with_delta = moved.withColumn("delta", F.round(F.coalesce(F.abs(F.col("energy") - F.col("before")), F.lit(0.0)), 4)).drop("before")
+    return with_delta.withColumn(
+        "combined", combined_activity(F.col("delta"), F.col("energy"), F.col("motion"), F.col("scene_change"))
+    )
+
+
+def spans(series: DataFrame, step: int = 20, length: int = 40) -> DataFrame:
+    """Candidates over a series: every ``step`` bins, ``length`` bins long; the last one
+    of each source starts after the series has ended."""
+    last = series.groupBy("source_id").agg(F.max("bin").alias("last"))
+    return last.select(
+        "source_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / step) + 1)).alias("seq")
+    ).select("source_id", "seq", (F.col("seq") * step).alias("start_bin"), (F.col("seq") * step + length).alias("end_bin"))
+
+
+def pcm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One second of sound per embedding vector; a label is one source."""
+    from clipspark.operators.blocks import number_rows
+
+    v = table(spark, sf_dir, "embeddings").select(
+        F.col("label").cast("long").alias("source_id"), "vec_id", F.col("embedding").alias("samples"),
+        F.floor(F.col("vec_id") / 1_000_000).alias("part"),
+    )
+    return number_rows(v, ["source_id"], "part", [F.col("vec_id")], "n").select(
+        "source_id", (F.col("n") - 1).alias("frame_idx"), "samples"
+    )
+
+
+def gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pcm(spark, sf_dir).withColumnRenamed("samples", "pixels")
