@@ -382,3 +382,49 @@ def pcm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pcm(spark, sf_dir).withColumnRenamed("samples", "pixels")
+
+
+CLIP_FRAMES = 225
+
+
+def clip_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled frames: a user's events cut into clips of at most 225 frames, 200 ms apart."""
+    from clipspark.operators.blocks import number_rows
+
+    ev = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type", F.to_date("ts").alias("day"))
+    n = number_rows(ev, ["user_id"], "day", [F.col("ts"), F.col("event_id")], "n").withColumn("n", F.col("n") - 1)
+    return n.select(
+        (F.col("user_id") * 1_000_000 + F.floor(F.col("n") / CLIP_FRAMES)).alias("clip_id"),
+        (F.col("n") % CLIP_FRAMES).alias("frame"),
+        (F.col("n") % CLIP_FRAMES * 200).alias("t_ms"),
+        (F.col("event_type") == "error").alias("scene_change"),
+        F.col("event_type"),
+    )
+
+
+def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two scripted subjects: a face that drifts and flickers, and a person now and then.
+    Frames in which nobody is seen keep one row without a box."""
+    fr = clip_frames(spark, sf_dir)
+    n = F.col("frame")
+    cut = (F.col("event_type") == "error") & (n % 10 == 9)
+
+    def box(subject: int, there: Column, x: Column, y: int, size: int, kind: str) -> Column:
+        return F.when(
+            there,
+            F.struct(
+                F.lit(subject).cast("long").alias("subject"), x.cast("long").alias("x"), F.lit(y).cast("long").alias("y"),
+                F.lit(size).cast("long").alias("w"), F.lit(size).cast("long").alias("h"), F.lit(kind).alias("type"),
+            ),
+        )
+
+    boxes = F.array_compact(
+        F.array(
+            box(1, ~(n % 7).isin(5, 6), 200 + n * 8 % 400, 260, 90, "face"),
+            box(2, F.col("event_type").isin("view", "click"), F.lit(900), 300, 80, "face"),
+            box(3, F.col("event_type") == "purchase", F.lit(520), 200, 150, "person"),
+        )
+    )
+    return fr.select("clip_id", "frame", "t_ms", cut.alias("scene_cut"), F.explode_outer(boxes).alias("b")).select(
+        "clip_id", "frame", "t_ms", "scene_cut", "b.*", F.lit(0.9).alias("conf")
+    )
