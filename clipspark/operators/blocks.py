@@ -45,20 +45,24 @@ def with_lookahead(
         .withColumn("halo", F.col("_shift") == 1)
         .drop("_shift")
     )
-    # the next rows across a silence: the heads of the following non-empty blocks
+    # and the first rows beyond that stretch: they lie in the next non-empty blocks, of
+    # which the very next may end before the stretch does
     past = Window.partitionBy(*keys).orderBy("block")
+    earlier = F.array(*[F.lag("block", i).over(past) for i in range(1, rows + 2)])
     targets = (
         own.groupBy(*keys, "block")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*keys, "block", F.array(*[F.lag("block", i).over(past) for i in range(1, rows + 1)]).alias("_tos"))
+        .select(*keys, "block", earlier.alias("_tos"))
         .select(*keys, "block", F.explode("_tos").alias("_to"))
         .where(F.col("_to").isNotNull())
     )
     first = Window.partitionBy(*keys, "block", "_to").orderBy(*order)
+    in_stretch = (F.col("_to") == F.col("block") - 1) & (F.col(at) - F.col("block") * width < ahead)
     heads = (
         own.join(targets, [*keys, "block"])
+        .where(~in_stretch)
         .withColumn("_rn", F.row_number().over(first))
-        .where((F.col("_rn") <= rows) & ~((F.col("_to") == F.col("block") - 1) & (F.col(at) - F.col("block") * width < ahead)))
+        .where(F.col("_rn") <= rows)
         .withColumn("block", F.col("_to"))
         .withColumn("halo", F.lit(True))
         .drop("_to", "_rn")
