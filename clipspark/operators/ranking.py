@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clipspark.operators.stages import materialise
+
 TIE_BLOCK = 1 << 20
 FOLD_LIMIT = 100_000
 
@@ -119,7 +120,8 @@ def nms_top_k(scored: DataFrame, k: int = 5, threshold: float = 0.6, fold_limit:
     ``fold_limit`` is reduced ``k`` times instead, each time to its best candidate not
     suppressed by the picks so far, which needs no grouping of its rows.
     """
-    narrow = scored.select("source_id", "candidate_seq", "start_ms", "end_ms", "score")
+    # the size check and the selection both read the scores: compute them once
+    narrow = materialise(scored.select("source_id", "candidate_seq", "start_ms", "end_ms", "score"))
     sizes = narrow.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
     large = sizes.where(F.col("n") > fold_limit).select("source_id")
     hot = not large.isEmpty()
