@@ -417,3 +417,31 @@ def verify_replicas(local: DataFrame, remote: DataFrame) -> DataFrame:
         reason.alias("reason"),
         F.coalesce((F.col("remote_bytes") == F.col("bytes")) & F.col("sha").eqNullSafe(F.col("remote_sha")), F.lit(False)).alias("skip_publish"),
     )
+
+
+def evidence_packages(
+    cands: DataFrame, segments: DataFrame, chapters: DataFrame, signals: DataFrame, frames: DataFrame, version: str = "package_v1_1"
+) -> DataFrame:
+    """One wide row per candidate with everything known about it, and its content hash.
+
+    ``signals``: source_id, candidate_seq and any columns, kept as one struct;
+    ``frames``: source_id, candidate_seq, decoded (usable sample frames)."""
+    from clipspark.functions.exprs import digest
+
+    around = surrounding_context(cands, segments)
+    home = assign_chapter(cands, chapters).select(*CAND, "chapter")
+    facts = signals.select(*CAND, F.struct(*[c for c in signals.columns if c not in CAND]).alias("signals"))
+    rows = (
+        cands.join(around, CAND)
+        .join(home, CAND, "left")
+        .join(facts, CAND, "left")
+        .join(frames.select(*CAND, "decoded"), CAND, "left")
+    )
+    thin = F.coalesce(F.col("decoded"), F.lit(0)) < 4
+    return rows.withColumn("insufficient_visual_evidence", thin).withColumn(
+        "package_hash",
+        digest(
+            F.lit(version), F.col("source_id"), F.col("candidate_seq"), F.col("start_ms"), F.col("end_ms"), F.col("text"),
+            F.col("previous_context"), F.col("next_context"), F.col("chapter"), F.coalesce("decoded", F.lit(0)), sep=":",
+        ),
+    )
