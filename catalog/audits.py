@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog import register
 from clipspark.operators import audits as au
 from clipspark.operators import lexical, ranking, segmentation
+from clipspark.operators.stages import materialise
 from clipspark.sources import derived
 
 STATUSES = ("QUEUED", "INGESTING", "TRANSCRIBING", "AWAITING_TRANSCRIPT", "DISCOVERING", "RANKING", "RENDERING", "UPLOADING", "DONE", "FAILED")
@@ -177,7 +178,7 @@ def e16(spark, sf_dir):
      from candidates c left join (select * from (select *, row_number() over (partition by source_id order by score desc, candidate_seq) as rank from heuristic) where rank <= 5) h using (source_id, candidate_seq)""",
 )
 def e17(spark, sf_dir):
-    cands = segmentation.candidate_windows(derived.segments(spark, sf_dir))
+    cands = materialise(segmentation.candidate_windows(derived.segments(spark, sf_dir)))
     ranked = ranking.rank_predictions(lexical.score_heuristic(cands).select("source_id", "candidate_seq", "score"))
     return au.review_export(cands, ranked.where(F.col("rank") <= 5))
 
@@ -286,7 +287,7 @@ def e21(spark, sf_dir):
      from (select *, row_number() over (partition by source_id order by score desc, candidate_seq) as rank from heuristic) h join candidates c using (source_id, candidate_seq) where rank <= 3""",
 )
 def e22(spark, sf_dir):
-    scored = lexical.score_heuristic(segmentation.candidate_windows(derived.segments(spark, sf_dir)))
+    scored = materialise(lexical.score_heuristic(segmentation.candidate_windows(derived.segments(spark, sf_dir))))
     top = ranking.rank_predictions(scored).where(F.col("rank") <= 3)
     q = F.col("candidate_seq")
     clips = scored.where(q % 4 != 3).select(

@@ -93,7 +93,7 @@ def s3(spark, sf_dir):
 
 @register(
     "s5_read_jobs",
-    """select cast(l_orderkey as varchar) as job_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1 as attempt, 's' || l_linenumber as stage, l_quantity as seconds, l_returnflag = 'R' as skipped
+    """select cast(l_orderkey as varchar) as job_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag = 'R') - 1 as attempt, 's' || l_linenumber as stage, l_quantity as seconds, l_returnflag = 'R' as skipped
       from lineitem where l_orderkey % 10 <> 7""",
 )
 def s5(spark, sf_dir):

@@ -52,8 +52,10 @@ def number_by_score(
 
 
 def rank_predictions(scores: DataFrame, keys: Sequence[str] = ("source_id",), tie: str = "candidate_seq") -> DataFrame:
-    """Rank by score, best first; equal scores keep candidate order."""
-    return number_by_score(scores, keys, "score", tie)
+    """Rank by score, best first; equal scores keep candidate order.
+
+    The scores are read for the counts and for the rows: they are computed once."""
+    return number_by_score(materialise(scores), keys, "score", tie)
 
 
 def overlap_ms(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
