@@ -28,20 +28,43 @@ def _scored(spark, sf_dir):
     )
 
 
-@register(
-    "v5_active_subject",
-    "with recursive " + WEIGHT + """, go as (select clip_id, i, t_ms, cast(best as bigint) as active, cast(null as bigint) as pending, cast(0 as bigint) as since, cast(-1000000 as bigint) as last, false as sw from fq where i = 1
+LEAD = "with recursive " + WEIGHT + """, go as (select clip_id, i, t_ms, cast(best as bigint) as active, cast(null as bigint) as pending, cast(0 as bigint) as since, cast(-1000000 as bigint) as last, false as sw from fq where i = 1
      union all select clip_id, i, t_ms, case when k in (1, 3, 6) then best else act end, case when k = 5 then best when k = 7 then pend else null end, case when k = 5 then t_ms else snc end, case when k in (1, 3, 6) then t_ms else lst end, k in (1, 3, 6)
       from (select f.clip_id, f.i, f.t_ms, cast(f.best as bigint) as best, g.active as act, g.pending as pend, g.since as snc, g.last as lst,
           case when w.wgt is null then 1 when f.best = g.active then 2 when f.cut then 3 when not f.bw > w.wgt * 1.25e0 then 4 when g.pending is null or g.pending <> f.best then 5
             when f.t_ms - g.since >= 800 and f.t_ms - g.last >= 1500 then 6 else 7 end as k
         from go g join fq f on f.clip_id = g.clip_id and f.i = g.i + 1 left join wt w on w.clip_id = f.clip_id and w.t_ms = f.t_ms and w.id = g.active))
-    select clip_id, t_ms, active as active_track, sw as switched from go""",
+"""
+
+
+@register(
+    "v5_active_subject",
+    LEAD + "select clip_id, t_ms, active as active_track, sw as switched from go",
 )
 def v5(spark, sf_dir):
     return ly.active_subject(_scored(spark, sf_dir))
 
 
+@register(
+    "v6_framing_targets",
+    LEAD + """, bx as (select o.*, w.wgt, x + w.w0 / 2.0e0 as cx, y + o.h / 2.0e0 as cy from ob o join (select *, 0 as z from wt) w0 on w0.clip_id = o.clip_id and w0.t_ms = o.t_ms and w0.id = o.subject, lateral (select w0.wgt as wgt, o.w as w0) w),
+     tg as (select b.*, case when w + 2 * (w * 0.55e0) <= 404 and x + w + w * 0.55e0 - 202 <= x - w * 0.55e0 + 202 then least(greatest(cx, x + w + w * 0.55e0 - 202), x - w * 0.55e0 + 202) else cx end as tx,
+        360.0e0 as ty, g.active = b.subject as mine from bx b join go g on g.clip_id = b.clip_id and g.t_ms = b.t_ms),
+     pf as (select clip_id, t_ms, max(tx) filter (where mine) as ox, max(ty) filter (where mine) as oy, max(type) filter (where mine) as oty, list({'cx': cx, 'cy': cy, 'w': w, 'g': wgt} order by cx) filter (where type = 'face') as f from tg group by 1, 2),
+     lv as (select *, len(f) = 2 and (f[2].cx + f[2].w / 2.0e0) - (f[1].cx - f[1].w / 2.0e0) <= 404 * 0.88e0 and abs(f[1].g - f[2].g) <= 0.35e0 * greatest(f[1].g, f[2].g) as dual from pf),
+     lx as (select clip_id, t_ms, case when dual then (f[1].cx + f[2].cx) / 2 else ox end as x, case when dual then 'dual_subject' else oty end as mode from lv),
+     fx as (select fr.clip_id, fr.t_ms, case when frame % 4 = 1 then 100.0e0 + frame end as dom, lx.x, lx.mode, last_value(lx.x ignore nulls) over w as px, last_value(case when lx.x is not null then fr.t_ms end ignore nulls) over w as pt, row_number() over w as i
+       from frames fr left join lx on lx.clip_id = fr.clip_id and lx.t_ms = fr.t_ms window w as (partition by fr.clip_id order by fr.t_ms)),
+     ow as (select *, case when x is not null then x when pt is not null and t_ms - pt <= 1200 then px when dom is not null then dom end as ox from fx)
+     select clip_id, t_ms, rnd4(coalesce(last_value(ox ignore nulls) over (partition by clip_id order by t_ms), 640.0e0)) as target_x, 360.0e0 as target_y,
+       case when x is not null then mode when pt is not null and t_ms - pt <= 1200 then 'previous_stable' when dom is not null then 'dominant_region' when i = 1 then 'center_crop' else 'previous_stable' end as mode from ow""",
+)
+def v6(spark, sf_dir):
+    n = F.col("frame")
+    frames = cf._frames(spark, sf_dir).select("clip_id", "t_ms", F.when(n % 4 == 1, 100.0 + n).alias("dominant_x"))
+    return ly.framing_targets(frames, _scored(spark, sf_dir))
+
+
 @register("v9_simplify_trajectory")
 def v9(spark, sf_dir):
     n = F.col("frame")
