@@ -346,15 +346,15 @@ def caption_cards(
         block_of(F.col("z.next_s"), block_ms).alias("nxt_block"),
         "start_ms",
         F.greatest(F.col("z.end_ms"), F.col("start_ms") + _ms(min_s)).alias("end_ms"),
-        F.array_join(F.transform("card", lambda x: x["word"]), " ").alias("text"),
         F.transform("card", lambda x: F.struct(x["pos"], x["start_ms"].alias("s"), x["end_ms"].alias("e"), x["word"])).alias("words"),
         F.col("z.next_s").alias("next_start_ms"),
     )
-    reached = reach(materialise(pointers), ["source_id"], ["start_ms", "end_ms", "text", "words", "next_start_ms"])
+    reached = reach(materialise(pointers), ["source_id"], ["start_ms", "end_ms", "words", "next_start_ms"])
     gap = F.col("next_start_ms") - F.col("end_ms")
     bridged = F.when((gap > 0) & (gap < BRIDGE_MS), F.col("next_start_ms")).otherwise(F.col("end_ms"))
     return number_rows(reached, ["source_id"], "block", [F.col("pos")], "card").select(
-        "source_id", "card", "start_ms", bridged.alias("end_ms"), "text", "words"
+        "source_id", "card", "start_ms", bridged.alias("end_ms"),
+        F.array_join(F.transform("words", lambda x: x["word"]), " ").alias("text"), "words",
     )
 
 
