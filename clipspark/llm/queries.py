@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
 from .decontamination import leak_digests
+from .packing import packed_digests
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,8 +22,16 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return leak_digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of `documents` as pieces of sequences of 2048 ids."""
+    import public_tokenizers
+
+    return packed_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Query] = {
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op7_packing": op7_packing,
 }
 SQL: dict[str, str] = {
     "op5_benchmark_decontamination": sql.OP5,
