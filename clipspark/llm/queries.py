@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import sql
 from .decontamination import leak_digests
 from .packing import packed_digests
+from .repeats import removal_digests
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,10 +30,17 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of `documents` without repeated passages of 35 words or more."""
+    return removal_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_packing": op7_packing,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 SQL: dict[str, str] = {
     "op5_benchmark_decontamination": sql.OP5,
+    "op10_substring_dedup": sql.OP10,
 }

@@ -14,3 +14,14 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, c
        coalesce(items_sha256, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join covered using (r) left join items using (r)
 """
+
+OP10 = r"""
+with d as (select doc_id, row_number() over () as r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select r, s, md5(array_to_string(list_slice(w, s, s + 34), ' ')) as h from (select r, w, unnest(range(1, len(w) - 33)) as s from d where len(w) >= 35)),
+again as (select h from win group by h having count(*) > 1),
+gone as (select r, list(distinct p) as ps from (select r, unnest(range(s, s + 35)) as p from win join again using (h)) group by r),
+k as (select doc_id, r, len(w) as n, coalesce(len(ps), 0) as g,
+             case when ps is null then w else list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: not list_contains(ps, x[2])), lambda x: x[1]) end as kept
+      from d left join gone using (r))
+select doc_id, n::bigint as n_words, g::bigint as n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from k
+"""
