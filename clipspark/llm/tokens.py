@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-CACHE_PIECES = 400_000
+CACHE_PIECES = 800_000
 CACHE_WORDS = 900_000
 _TAIL = ".,;:!?%$*&|#)("
 
