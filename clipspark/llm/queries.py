@@ -11,6 +11,7 @@ from .decontamination import leak_digests
 from .near_duplicates import class_digests
 from .packing import packed_digests
 from .repeats import removal_digests
+from .toxicity import toxicity_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +25,11 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_digests(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every whole text of `documents`."""
+    return toxicity_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten-word windows of `benchmark` in every whole text of `documents`."""
     return leak_digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -43,6 +49,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_jaccard_join": op2_jaccard_join,
+    "op4_toxicity": op4_toxicity,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_packing": op7_packing,
     "op10_substring_dedup": op10_substring_dedup,
