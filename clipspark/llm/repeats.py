@@ -8,9 +8,10 @@ naming is global without a dictionary: equal symbols have equal names in every t
 What a symbol becomes depends on itself and its neighbours only. The code tracks this: for
 every symbol it keeps the interval of words that its parse depends on. A symbol whose
 interval lies inside a window of ``window`` words is therefore the same in each
-occurrence of the window, wherever it stands. Each window is filed under the smallest
-name among these interior symbols (a window without one under its own number), so two
-equal windows always meet under one name, and neighbouring windows share it:
+occurrence of the window, wherever it stands. Each window is filed under the interior
+symbol with the smallest name, by the number of the words on which that symbol depends (a
+window without interior symbols by its own number). So two equal windows always meet under
+one name, a name stands for many words, and neighbouring windows share it:
 
 1. count the names; only names seen twice can hold a repeat;
 2. among those, equal stretches (all words of the neighbouring windows filed under one
@@ -128,7 +129,8 @@ def filed(part: Words, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np
     count = np.diff(np.append(at, len(first_word)))
     starts = first_word[at]
     stretch = runs(part.number, starts, starts + count + window - 1)
-    return starts, count, np.where(alone[at], stretch, best[at]), stretch
+    seat = np.where(alone[at], starts, where[at])
+    return starts, count, runs(part.number, seat, seat + np.where(alone[at], window, need[seat])), stretch
 
 
 def occurrences(docs: DataFrame, window: int) -> DataFrame:
