@@ -10,7 +10,7 @@ more than 1 / FREQUENT such words, so the list sent to the tasks is bounded.
 Equal sets become one member. Members with one prefix and size form a group, and prefixes
 are joined between groups. Since documents are wanted by connected component, links come
 in two steps. In each bucket of groups that share a prefix shingle, first every member is
-compared with one member of the bucket only, twice with different choices. Then, exactly,
+compared with two members of the bucket only. Then, exactly,
 all pairs of groups that share a bucket, fit in size and position, and still lie in
 different components are expanded to their members and compared. A pair that the second
 step leaves out is connected already, so no link is lost; and a large group of copies
@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import components, free_name, pick, written
+from .tables import Sieve, components, free_name, pick, written
 from .words import Words, mix, runs, words
 
 SHINGLE = 3
@@ -140,8 +140,13 @@ def _bits(pairs) -> Column:
     return total
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of set numbers whose sets link; ``texts`` has a text for each."""
+def verified(pairs: DataFrame, slim: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of set numbers whose sets link. Only texts of sets in a pair are
+    shuffled: a filter of fixed size holds back the rest."""
+    pairs = written(pairs)
+    wanted = written(pairs.select(F.col("a").alias("sk")).union(pairs.select("b")).distinct().join(slim.select("sk", "rid"), "sk"))
+    texts = Sieve(wanted.select("rid")).rows(docs.select("rid", "text"), "rid").join(wanted, "rid")
+    texts = written(texts.select("sk", "text").dropDuplicates(["sk"]))
     t = texts.select(F.col("sk").alias("a"), F.col("text").alias("text_a"))
     u = texts.select(F.col("sk").alias("b"), F.col("text").alias("text_b"))
     rows = pairs.join(t, "a").join(u, "b").select("a", "b", "text_a", "text_b")
@@ -167,61 +172,60 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     good.append(i)
             yield batch.select([0, 1]).take(pa.array(good, pa.int64()))
 
-    return rows.mapInArrow(task, T.StructType().add("a", "long").add("b", "long"))
+    return written(rows.mapInArrow(task, T.StructType().add("a", "long").add("b", "long")))
+
+
+def _posts(table: DataFrame) -> DataFrame:
+    """(token, g, n, pos): prefix shingles of the groups, without most of those that only
+    one set has."""
+    shared = table.select(F.explode("prefix").alias("token"), "sk").groupBy("token").agg(F.min("sk").alias("x"), F.max("sk").alias("y")).filter("x != y").select("token")
+    sieve = Sieve(shared)
+    schema = T.StructType().add("token", "long").add("g", "long").add("n", "long").add("pos", "integer")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.column(2).value_lengths().to_numpy().astype(np.int64)
+            token = batch.column(2).flatten().to_numpy()
+            pos = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+            keep = sieve.passes(token)
+            g, n = (np.repeat(batch.column(i).to_numpy(), size)[keep] for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(g), pa.array(n), pa.array(pos[keep].astype(np.int32))], names=schema.fieldNames())
+
+    return table.select("g", "n", "prefix").mapInArrow(task, schema).groupBy("token", "g").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
 
 
 def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members table, labels (sk, component)) for docs of (doc_id, rid, text); sets that
     link with no other set have no label."""
-    table = written(members(docs))
-    sets = written(
-        table.filter("n > 0").groupBy("sk").agg(F.min("rid").alias("rid"), F.first("n").alias("n"), *[F.first(m).alias(m) for m in _MASKS], F.first("prefix").alias("prefix"))
-        .withColumn("g", F.xxhash64("n", "prefix"))
-    )
-    groups = sets.groupBy("g").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("size"))
-    posts = groups.select("g", "n", "size", F.posexplode("prefix").alias("pos", "token"))
-    # a token of one group with one member leads to no pair
-    shared = posts.groupBy("token").agg(F.sum("size").alias("c")).filter("c > 1").select("token")
-    posts = written(posts.drop("size").join(shared, "token", "left_semi"))
-
-    near = posts.select("g").distinct()
-    wanted = sets.join(near, "g", "left_semi").select("rid", "sk")
-    texts = written(docs.select("rid", "text").join(wanted, "rid").select("sk", "text").dropDuplicates(["sk"]))
-    slim = written(sets.join(near, "g", "left_semi").select("sk", "g", "n", *_MASKS))
-
-    edges, labels = None, None
-    for seed in (1, 2):
-        found = written(verified(_stars(posts, slim, labels, seed), texts))
-        edges = found if edges is None else edges.union(found)
-        labels = components(edges)
-    rest = written(verified(_rest(posts, slim, labels), texts))
+    table = written(members(docs).withColumn("g", F.when(F.col("n") > 0, F.xxhash64("n", "prefix"))))
+    some = table.filter("n > 0")
+    posts = written(_posts(some))
+    slim = some.groupBy("sk").agg(F.min("rid").alias("rid"), F.first("g").alias("g"), F.first("n").alias("n"), *[F.first(m).alias(m) for m in _MASKS])
+    slim = written(slim.join(posts.select("g").distinct(), "g", "left_semi"))
+    stars = _stars(posts, slim, 1).union(_stars(posts, slim, 2)).distinct()
+    edges = verified(stars, slim, docs)
+    rest = verified(_rest(posts, slim, components(edges)), slim, docs)
     labels = components(edges.union(rest))
     return table, labels.select(F.col("node").alias("sk"), "component")
 
 
-def _labelled(slim: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return slim.withColumn("component", F.col("sk"))
-    return slim.join(labels.select(F.col("node").alias("sk"), "component"), "sk", "left").withColumn("component", F.coalesce("component", "sk"))
-
-
-def _stars(posts: DataFrame, slim: DataFrame, labels: DataFrame | None, seed: int) -> DataFrame:
+def _stars(posts: DataFrame, slim: DataFrame, seed: int) -> DataFrame:
     """Pairs of each member with one member of each of its buckets."""
-    slim = _labelled(slim, labels)
-    one = slim.groupBy("g").agg(F.min(F.struct(F.xxhash64("sk", F.lit(seed)).alias("h"), "sk", "component", "n", *_MASKS)).alias("one"))
+    one = slim.groupBy("g").agg(F.min(F.struct(F.xxhash64("sk", F.lit(seed)).alias("h"), "sk", "n", *_MASKS)).alias("one"))
     centre = posts.groupBy("token").agg(F.min(F.struct(F.xxhash64("g", "token", F.lit(seed)).alias("h"), F.col("g").alias("c"), F.col("n").alias("cn"))).alias("centre"))
-    pairs = posts.join(centre.select("token", "centre.c", "centre.cn"), "token").filter(10 * F.least("n", "cn") >= 9 * F.greatest("n", "cn")).select("g", "c")
-    pairs = pairs.union(slim.select("g", F.col("g").alias("c"))).distinct()
+    pairs = posts.join(centre.select("token", "centre.c", "centre.cn"), "token").filter(10 * F.least("n", "cn") >= 9 * F.greatest("n", "cn")).filter("g != c").select("g", "c")
+    pairs = pairs.distinct().union(slim.groupBy("g").agg(F.count("*").alias("size")).filter("size > 1").select("g", F.col("g").alias("c")))
     ends = slim.join(pairs, "g").join(one.select(F.col("g").alias("c"), "one"), "c")
     differ = _bits([F.col(m).bitwiseXOR(F.col(f"one.{m}")) for m in _MASKS])
-    may = (F.col("component") != F.col("one.component")) & _may_link(F.col("n"), F.col("one.n"), differ)
-    return ends.filter(may).select(F.least("sk", "one.sk").alias("a"), F.greatest("sk", "one.sk").alias("b")).distinct()
+    may = (F.col("sk") != F.col("one.sk")) & _may_link(F.col("n"), F.col("one.n"), differ)
+    return ends.filter(may).select(F.least("sk", "one.sk").alias("a"), F.greatest("sk", "one.sk").alias("b"))
 
 
 def _rest(posts: DataFrame, slim: DataFrame, labels: DataFrame) -> DataFrame:
     """All pairs of members that share a prefix shingle, may link, and lie in different
     components."""
-    slim = written(_labelled(slim, labels).withColumn("part", F.xxhash64("g", "component")))
+    slim = slim.join(labels.select(F.col("node").alias("sk"), "component"), "sk", "left").withColumn("component", F.coalesce("component", "sk"))
+    slim = written(slim.withColumn("part", F.xxhash64("g", "component")))
     parts = slim.groupBy("g", "part", "component", "n").agg(*[F.bit_and(m).alias(f"all_{m}") for m in _MASKS], *[F.bit_or(m).alias(f"any_{m}") for m in _MASKS])
     rows = posts.drop("n").join(parts, "g")
     split = rows.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("token")

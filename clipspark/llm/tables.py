@@ -6,11 +6,14 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .words import mix
+
 
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that ``df`` doesn't have yet (Spark compares without case)."""
@@ -92,3 +95,50 @@ def components(edges: DataFrame) -> DataFrame:
         state = step.select("node", F.col("low").alias("component"))
         if not moved:
             return state
+
+
+class Sieve:
+    """A Bloom filter of fixed size (8 MB) over numbers of type long, for use before an
+    exact join: what it holds back has no partner. With more keys it lets more rows
+    through, never fewer."""
+
+    WORDS = 1 << 20
+
+    def __init__(self, keys: DataFrame):
+        words = Sieve.WORDS
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = np.zeros(words, np.uint64)
+            for batch in batches:
+                for word, bit in Sieve._places(batch.column(0).to_numpy()):
+                    np.bitwise_or.at(table, word, bit)
+            at = np.flatnonzero(table)
+            for i in range(0, len(at), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000]), pa.array(table[at[i : i + 100_000]].view(np.int64))], names=["word", "bits"])
+
+        parts = keys.mapInArrow(task, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        table = np.zeros(words, np.uint64)
+        table[parts["word"].to_numpy()] = parts["bits"].to_numpy().view(np.uint64)
+        self.held = keys.sparkSession.sparkContext.broadcast(table)
+
+    @staticmethod
+    def _places(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for salt in (1, 2):
+            h = mix(keys.view(np.uint64) + np.uint64(salt))
+            yield (h >> np.uint64(44)).astype(np.int64), np.uint64(1) << (h & np.uint64(63))
+
+    def passes(self, keys: np.ndarray) -> np.ndarray:
+        table, out = self.held.value, np.ones(len(keys), bool)
+        for word, bit in Sieve._places(keys):
+            out &= table[word] & bit != 0
+        return out
+
+    def rows(self, df: DataFrame, key: str) -> DataFrame:
+        """The rows of ``df`` whose key passes; a key is never null."""
+        at = df.columns.index(key)
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(self.passes(batch.column(at).to_numpy())))
+
+        return df.mapInArrow(task, df.schema)
