@@ -11,6 +11,7 @@ from .decontamination import leak_digests
 from .near_duplicates import class_digests
 from .packing import packed_digests
 from .repeats import removal_digests
+from .secrets import secret_digests
 from .toxicity import toxicity_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text of `documents`."""
+    return secret_digests(table(spark, sf_dir, "documents"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all `documents`."""
     return class_digests(table(spark, sf_dir, "documents"))
@@ -48,6 +54,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_jaccard_join": op2_jaccard_join,
     "op4_toxicity": op4_toxicity,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
