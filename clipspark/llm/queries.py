@@ -10,8 +10,10 @@ from . import sql
 from .decontamination import leak_digests
 from .near_duplicates import class_digests
 from .packing import packed_digests
+from .quality import quality_table
 from .repeats import removal_digests
 from .secrets import secret_digests
+from .sharding import shard_table
 from .toxicity import toxicity_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +33,11 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base figures and cross-document line frequency of all `documents`, by source."""
+    return quality_table(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score for every whole text of `documents`."""
     return toxicity_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -41,6 +48,11 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return leak_digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All `documents` in shards of at most 16 MiB of text."""
+    return shard_table(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of `documents` as pieces of sequences of 2048 ids."""
     import public_tokenizers
@@ -56,12 +68,16 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_quality_rules": op3_quality_rules,
     "op4_toxicity": op4_toxicity,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_sharding": op6_sharding,
     "op7_packing": op7_packing,
     "op10_substring_dedup": op10_substring_dedup,
 }
 SQL: dict[str, str] = {
+    "op3_quality_rules": sql.OP3,
     "op5_benchmark_decontamination": sql.OP5,
+    "op6_sharding": sql.OP6,
     "op10_substring_dedup": sql.OP10,
 }

@@ -25,3 +25,29 @@ k as (select doc_id, r, len(w) as n, coalesce(len(ps), 0) as g,
       from d left join gone using (r))
 select doc_id, n::bigint as n_words, g::bigint as n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from k
 """
+
+OP3 = r"""
+with d as (select row_number() over () as r, doc_id, source, coalesce(text, '') as t from documents),
+w as (select r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from d),
+win as (select r, s, list_slice(w, s, s + 2) as k from (select r, w, unnest(range(1, len(w) - 1)) as s from w where len(w) >= 3)),
+rep as (select r, count(distinct p) as n from (select r, unnest(range(s, s + 3)) as p from (select r, s, count(*) over (partition by r, k) as c from win) where c > 1) group by r),
+line as (select r, source, t, trim(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) as line
+         from (select r, source, t, unnest(lines) as x from d join w using (r))),
+often as (select source, line from (select source, line, count(distinct t) as c from line group by all) join (select source as s2, count(distinct t) as n from d group by all) on source is not distinct from s2
+          where c >= 10 and c >= 0.10 * n),
+boiler as (select r, sum(len(line) - len(replace(line, ' ', '')) + 1) as n from line l where exists (select 1 from often o where o.source is not distinct from l.source and o.line = l.line) group by r),
+f as (select doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+             (length(t) - length(translate(t, '#*$%&|<>', '')))::bigint as n_symbols, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,
+             coalesce(rep.n, 0)::bigint as n_repeat_words, coalesce(boiler.n, 0)::bigint as n_boilerplate
+      from d join w using (r) left join rep using (r) left join boiler using (r))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+       not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and n_boilerplate <= 0.5 * n_words as kept, n_boilerplate from f
+"""
+
+OP6 = r"""
+with d as (select doc_id, strlen(coalesce(text, ''))::bigint as n_bytes, ('0x' || substr(md5(coalesce(doc_id::varchar, 'null')), 1, 15))::bigint as h from documents),
+node as (select depth, h >> (60 - depth) as p, sum(n_bytes)::bigint as b, count(*) as n from d, range(0, 61) as x(depth) group by all),
+own as (select doc_id, n_bytes, h, min(depth) as depth from d, range(0, 61) as x(depth) join node using (depth) where node.p = h >> (60 - depth) and (b <= 16777216 or n = 1) group by all)
+select doc_id, n_bytes, case when depth = 0 then '' else lpad(bin(h >> (60 - depth)), depth::int, '0') end as shard, depth::bigint as depth, b as shard_bytes
+from own join node using (depth) where node.p = h >> (60 - own.depth)
+"""
