@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
+from .cotraining import quality_scores
 from .decontamination import leak_digests
 from .near_duplicates import class_digests
 from .packing import packed_digests
@@ -14,6 +15,7 @@ from .quality import quality_table
 from .repeats import removal_digests
 from .secrets import secret_digests
 from .sharding import shard_table
+from .token_counts import read_pieces, token_counts, zipf_scores
 from .toxicity import toxicity_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +62,19 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for all `documents`, learned from `labels` by co-training."""
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pre-tokens and tokens of every whole text of `documents`."""
+    import public_tokenizers
+
+    scores = zipf_scores(read_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+    return token_counts(table(spark, sf_dir, "documents"), scores, keep=["doc_id"])
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of `documents` without repeated passages of 35 words or more."""
     return removal_digests(table(spark, sf_dir, "documents"))
@@ -73,6 +88,8 @@ QUERIES: dict[str, Query] = {
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_sharding": op6_sharding,
     "op7_packing": op7_packing,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op9_token_counts": op9_token_counts,
     "op10_substring_dedup": op10_substring_dedup,
 }
 SQL: dict[str, str] = {

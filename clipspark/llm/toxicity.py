@@ -30,11 +30,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import map_text, pick, written
+from .learning import fit, held_out, labelled_sample, platt
+from .tables import map_text, pick
 from .words import Words, runs, words
 
 TOXIC_ROWS = 4_000
@@ -116,27 +117,6 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def held_out(key: Column) -> Column:
-    """Whether a row is kept from learning."""
-    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(False))
-
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: tuple[int, int] = (CLEAN_ROWS, TOXIC_ROWS)) -> tuple[DataFrame, float]:
-    """((doc_id, label, text) of a bounded number of distinct texts, share of label 1).
-
-    The ids are drawn by hash; at most ``sum(most)`` reach the join, so it may be broadcast."""
-    known = pick(labels, "doc_id", column).filter(~held_out(F.col("doc_id")) & F.col(column).isNotNull() & F.col("doc_id").isNotNull())
-    known = known.groupBy("doc_id").agg(F.max(column).alias("label"))
-    counts = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    share = counts.get(1, 0) / max(1, sum(counts.values()))
-    drawn = None
-    for label, rows in ((0, most[0]), (1, most[1])):
-        part = known.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-        drawn = part if drawn is None else drawn.union(part)
-    sample = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
-    return written(sample.dropDuplicates(["text"]).select("doc_id", "label", "text")), share
-
-
 def _feature_counts(sample: DataFrame) -> list[tuple[int, int, int]]:
     """(number, rows with it, toxic rows with it) of the features that mark toxic rows best."""
     toxic = sample.filter("label = 1").count()
@@ -214,31 +194,12 @@ def label_model(n: float, ones: np.ndarray, both: np.ndarray, share: float) -> t
     return weight, float(np.log(share / (1 - share)) - weight @ (one + zero) / 2)
 
 
-def _fit(row: np.ndarray, index: np.ndarray, rows: int, scale: np.ndarray, target: np.ndarray, weight_of_row: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
-    """Logistic regression on 0/1 features times ``scale`` by accelerated gradient steps."""
-    k = len(scale)
-    w, b = np.zeros(k), 0.0
-    x = scale[index]
-    w_old, b_old = w, b
-    size = max(1.0, float(np.bincount(row, x * x, minlength=rows).max(initial=0)) + 1)
-    step = 4.0 / (size * max(1e-9, weight_of_row.sum()) * 1.0)
-    for t in range(1, 301):
-        m = (t - 1) / (t + 2)
-        w_at, b_at = w + m * (w - w_old), b + m * (b - b_old)
-        z = b_at + np.bincount(row, w_at[index] * x, minlength=rows)
-        g = weight_of_row * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - target)
-        w_old, b_old = w, b
-        w = w_at - step * (np.bincount(index, g[row] * x, minlength=k) + ridge * w_at)
-        b = b_at - step * g.sum()
-    return w * scale, b
-
-
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """The classifier, from all documents and a bounded sample of labels."""
     docs = pick(docs, "doc_id", "text")
     fixed = _insult_numbers()
     fallback = Model(np.sort(fixed), np.full(len(fixed), 4.0), -3.0)
-    sample, share = labelled_sample(docs, labels)
+    sample, share = labelled_sample(docs, labels, "toxic", (CLEAN_ROWS, TOXIC_ROWS))
     found = _feature_counts(sample)
     if not found or not 0 < share < 1:
         return fallback
@@ -278,26 +239,12 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     if label.min() == label.max():
         return fallback
     scale = np.sqrt(support / support.max())
-    w, b = _fit(row, index, len(rows), scale, posterior, np.ones(len(rows)))
+    w, b = fit(row, index, len(rows), scale, posterior, np.ones(len(rows)))
     margin = b + np.bincount(row, w[index], minlength=len(rows))
-    a, c = _platt(margin, label, weigh)
+    a, c = platt(margin, label, weigh)
     return Model(number, a * w, a * b + c)
 
 
-def _platt(margin: np.ndarray, label: np.ndarray, weigh: np.ndarray) -> tuple[float, float]:
-    """Slope and offset that turn margins into probabilities of label 1 (Newton steps)."""
-    a, c = 1.0, 0.0
-    t = np.where(label == 1, (label.sum() + 1) / (label.sum() + 2), 1 / ((1 - label).sum() + 2))
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * margin + c, -50, 50)))
-        g = np.array([(weigh * (p - t) * margin).sum() + 1e-3 * a, (weigh * (p - t)).sum()])
-        s = weigh * p * (1 - p)
-        h = np.array([[(s * margin * margin).sum(), (s * margin).sum()], [(s * margin).sum(), s.sum()]]) + 1e-3 * np.eye(2)
-        step = np.linalg.solve(h, g)
-        a, c = a - np.clip(step[0], -1, 1), c - np.clip(step[1], -1, 1)
-    return (a, c) if a > 0 else (1.0, 0.0)
-
-
 def toxicity_scores(docs: DataFrame, model: Model, into: str, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """``docs`` with a struct column ``into`` that holds the score."""
     held = docs.sparkSession.sparkContext.broadcast(model)
