@@ -10,12 +10,13 @@ more than 1 / FREQUENT such words, so the list sent to the tasks is bounded.
 Equal sets become one member. Members with one prefix and size form a group, and prefixes
 are joined between groups. Since documents are wanted by connected component, links come
 in two steps. In each bucket of groups that share a prefix shingle, first every member is
-compared with two members of the bucket only. Then, exactly,
+set beside two members of the bucket only, and linked to the closest. Then, exactly,
 all pairs of groups that share a bucket, fit in size and position, and still lie in
 different components are expanded to their members and compared. A pair that the second
 step leaves out is connected already, so no link is lost; and a large group of copies
-doesn't give all its pairs. A 256-bit parity mask of the sets bounds their difference from
-below, so most pairs that don't link are never verified. Verification counts the whole sets.
+doesn't give all its pairs. Parity masks of the sets bound their difference from below: 256
+bits inside the joins, then masks that grow with the set; few pairs that don't link are left
+for verification, which counts the whole sets.
 
 Memory of a task: rows of one Arrow batch. The buckets are joined by plain joins that Spark
 may split; comparisons in one bucket are quadratic only in the groups of it that the first
@@ -89,13 +90,14 @@ def _sets(part: Words, number: np.ndarray, level: np.ndarray) -> tuple[np.ndarra
 
 
 def members(docs: DataFrame) -> DataFrame:
-    """(doc_id, rid, n, sk, m0..m3, prefix) of every row of (doc_id, rid, text): the size
-    of its set, the number of the set (null if empty), its parity mask, its prefix."""
+    """(doc_id, rid, n, sk, m0..m3, mask, prefix) of every row of (doc_id, rid, text): the
+    size of its set, the number of the set (null if empty), a parity mask of 256 bits, one
+    of four to eight bits for each shingle, and the prefix."""
     held = docs.sparkSession.sparkContext.broadcast(frequent_words(docs))
     schema = T.StructType([docs.schema["doc_id"], docs.schema["rid"]]).add("n", "long").add("sk", "long")
     for m in _MASKS:
         schema = schema.add(m, "long")
-    schema = schema.add("prefix", T.ArrayType(T.LongType()))
+    schema = schema.add("mask", "binary").add("prefix", T.ArrayType(T.LongType()))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, level = held.value
@@ -114,6 +116,11 @@ def members(docs: DataFrame) -> DataFrame:
                     lane = (spread >> np.uint64(6)) & np.uint64(3)
                     for k in range(4):
                         masks[k, some] = np.bitwise_xor.reduceat(np.where(lane == k, bit, np.uint64(0)), first[some])
+                bits = 1 << np.ceil(np.log2(np.maximum(64, 4 * n))).astype(np.int64)
+                place = np.cumsum(bits) - bits
+                flips = np.bincount(place[row] + (spread & (bits[row] - 1).astype(np.uint64)).astype(np.int64), minlength=int(bits.sum())) & 1
+                packed = np.packbits(flips.astype(bool), bitorder="little").tobytes()
+                mask = [packed[a // 8 : (a + b) // 8] for a, b in zip(place.tolist(), bits.tolist())]
                 p = np.where(n > 0, n // 10 + 1, 0)
                 taken = np.repeat(first, p) + np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
                 offsets = np.concatenate([[0], np.cumsum(p)]).astype(np.int32)
@@ -121,7 +128,7 @@ def members(docs: DataFrame) -> DataFrame:
                 here = slice(part.rows.start, part.rows.stop)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0)[here], batch.column(1)[here], pa.array(n.astype(np.int64)), pa.array(sk.view(np.int64), mask=n == 0),
-                    *[pa.array(m.view(np.int64)) for m in masks], prefix,
+                    *[pa.array(m.view(np.int64)) for m in masks], pa.array(mask, pa.binary()), prefix,
                 ], names=schema.fieldNames())
 
     return docs.select("doc_id", "rid", "text").mapInArrow(task, schema)
@@ -140,6 +147,31 @@ def _bits(pairs) -> Column:
     return total
 
 
+def sifted(pairs: DataFrame, slim: DataFrame) -> DataFrame:
+    """(a, b, gap) of the pairs whose long masks leave room for a link. Two masks differ in
+    no more bits than the sets in shingles; the longer one is folded to the shorter's
+    length. ``gap`` is that difference as a share of both sizes."""
+    one = slim.select(F.col("sk").alias("a"), F.col("n").alias("na"), F.col("mask").alias("ma"))
+    two = slim.select(F.col("sk").alias("b"), F.col("n").alias("nb"), F.col("mask").alias("mb"))
+    rows = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ma", "mb")
+
+    def fold(x: np.ndarray, size: int) -> np.ndarray:
+        return np.bitwise_xor.reduce(x.reshape(-1, size), axis=0)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            differ = np.zeros(batch.num_rows, np.int64)
+            for i, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                size = min(len(x), len(y))
+                differ[i] = int(np.bitwise_count(fold(x, size) ^ fold(y, size)).sum())
+            may = differ <= both - 2 * (-(-9 * both // 19))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(differ / both)], names=["a", "b", "gap"]).filter(pa.array(may))
+
+    return rows.mapInArrow(task, "a bigint, b bigint, gap double")
+
+
 def verified(pairs: DataFrame, slim: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of set numbers whose sets link. Only texts of sets in a pair are
     shuffled: a filter of fixed size holds back the rest."""
@@ -200,11 +232,14 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     table = written(members(docs).withColumn("g", F.when(F.col("n") > 0, F.xxhash64("n", "prefix"))))
     some = table.filter("n > 0")
     posts = written(_posts(some))
-    slim = some.groupBy("sk").agg(F.min("rid").alias("rid"), F.first("g").alias("g"), F.first("n").alias("n"), *[F.first(m).alias(m) for m in _MASKS])
+    slim = some.groupBy("sk").agg(F.min("rid").alias("rid"), F.first("g").alias("g"), F.first("n").alias("n"), *[F.first(m).alias(m) for m in (*_MASKS, "mask")])
     slim = written(slim.join(posts.select("g").distinct(), "g", "left_semi"))
-    stars = _stars(posts, slim, 1).union(_stars(posts, slim, 2)).distinct()
-    edges = verified(stars, slim, docs)
-    rest = verified(_rest(posts, slim, components(edges)), slim, docs)
+    stars = written(sifted(_stars(posts, slim, 1).union(_stars(posts, slim, 2)).distinct(), slim))
+    # each member's closest one; the rest stage finds what these don't connect
+    ends = stars.select(F.col("a").alias("m"), "gap", "a", "b").union(stars.select("b", "gap", "a", "b"))
+    closest = ends.groupBy("m").agg(F.min(F.struct("gap", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+    edges = verified(closest, slim, docs)
+    rest = verified(sifted(_rest(posts, slim, components(edges)), slim).select("a", "b"), slim, docs)
     labels = components(edges.union(rest))
     return table, labels.select(F.col("node").alias("sk"), "component")
 
@@ -224,7 +259,7 @@ def _stars(posts: DataFrame, slim: DataFrame, seed: int) -> DataFrame:
 def _rest(posts: DataFrame, slim: DataFrame, labels: DataFrame) -> DataFrame:
     """All pairs of members that share a prefix shingle, may link, and lie in different
     components."""
-    slim = slim.join(labels.select(F.col("node").alias("sk"), "component"), "sk", "left").withColumn("component", F.coalesce("component", "sk"))
+    slim = slim.drop("mask", "rid").join(labels.select(F.col("node").alias("sk"), "component"), "sk", "left").withColumn("component", F.coalesce("component", "sk"))
     slim = written(slim.withColumn("part", F.xxhash64("g", "component")))
     parts = slim.groupBy("g", "part", "component", "n").agg(*[F.bit_and(m).alias(f"all_{m}") for m in _MASKS], *[F.bit_or(m).alias(f"any_{m}") for m in _MASKS])
     rows = posts.drop("n").join(parts, "g")
