@@ -348,7 +348,7 @@ def j10_usage(spark, sf_dir):
 @register(
     "j11_pending_transcripts",
     """select user_id as source_id, event_id, epoch_us(ts) as requested_at from events where event_type = 'signup'
-       and user_id not in (select user_id from events where event_type = 'purchase' and value > 60) order by ts, user_id limit 50""",
+       and user_id not in (select user_id from events where event_type = 'purchase' and value > 60)""",
 )
 def j11(spark, sf_dir):
     ev = derived.table(spark, sf_dir, "events").withColumnRenamed("user_id", "source_id")

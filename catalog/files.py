@@ -13,8 +13,8 @@ def _transcripts(spark, sf_dir):
     """Transcript documents as JSON text; some broken, some empty."""
     seg = derived.segments(spark, sf_dir)
     words = F.when(
-        F.col("segment_id") % 2 == 0,
-        F.array(F.struct((F.col("start_ms") / 1000.0).alias("start"), (F.col("end_ms") / 1000.0).alias("end"), F.split("text", " ")[0].alias("word"))),
+        F.col("segment_id") % 7 != 3,
+        F.transform(F.split("text", " "), lambda w: F.struct((F.col("start_ms") / 1000.0).alias("start"), (F.col("end_ms") / 1000.0).alias("end"), w.alias("word"))),
     )
     item = F.struct(
         F.col("segment_id").alias("id"), (F.col("start_ms") / 1000.0).alias("start"), (F.col("end_ms") / 1000.0).alias("end"), "text", words.alias("words")
@@ -35,7 +35,7 @@ def _transcripts(spark, sf_dir):
 
 @register(
     "s1_transcript_segments",
-    "select cast(source_id as varchar) as source_id, segment_id, start_ms, end_ms, text, segment_id % 2 = 0 as words_requested from segments where source_id % 10 not in (3, 7)",
+    "select cast(source_id as varchar) as source_id, segment_id, start_ms, end_ms, text, segment_id % 7 <> 3 as words_requested from segments where source_id % 10 not in (3, 7)",
 )
 def s1(spark, sf_dir):
     return files.parse_transcripts(_transcripts(spark, sf_dir))["segments"].drop("avg_logprob", "no_speech_prob")
@@ -43,7 +43,8 @@ def s1(spark, sf_dir):
 
 @register(
     "s1_transcript_words",
-    "select cast(source_id as varchar) as source_id, segment_id, cast(0 as bigint) as word_idx, start_ms, end_ms, string_split(text, ' ')[1] as word from segments where source_id % 10 not in (3, 7) and segment_id % 2 = 0",
+    """select cast(source_id as varchar) as source_id, segment_id, i - 1 as word_idx, start_ms, end_ms, string_split(text, ' ')[i] as word
+      from (select *, unnest(range(1, len(string_split(text, ' ')) + 1)) as i from segments where source_id % 10 not in (3, 7) and segment_id % 7 <> 3)""",
 )
 def s1_words(spark, sf_dir):
     return files.parse_transcripts(_transcripts(spark, sf_dir))["words"].drop("probability").withColumn("word_idx", F.col("word_idx").cast("long"))
@@ -78,10 +79,10 @@ def s2(spark, sf_dir):
 @register(
     "s3_read_predictions",
     """select candidate_set_id, scorer, 'c' || candidate_id as candidate_id, case when candidate_set_id in ('src1', 'src11') then rank * 2 else rank end as rank, score
-      from predictions where candidate_set_id not in ('src7', 'src17') and rank <= 20""",
+      from predictions where candidate_set_id not in ('src7', 'src17')""",
 )
 def s3(spark, sf_dir):
-    preds = derived.predictions(spark, sf_dir).where(F.col("rank") <= 20)
+    preds = derived.predictions(spark, sf_dir)
     odd = F.col("candidate_set_id").isin("src1", "src11")
     item = F.struct(F.col("rank").alias("k"), F.concat(F.lit("c"), F.col("candidate_id").cast("string")).alias("candidate_id"),
                     F.when(odd, F.col("rank") * 2).alias("rank"), "score")

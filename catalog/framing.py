@@ -27,8 +27,11 @@ def _frames(spark, sf_dir):
 
 @register(
     "v1_box_overlap",
-    f"""with {DET} select a.clip_id, a.frame, b.frame - a.frame as step, cast(a.subject as bigint) as a, cast(b.subject as bigint) as b, rnd6({IOU} / (a.w * a.h + b.w * b.h - {IOU})) as iou
-     from dets a join dets b on a.clip_id = b.clip_id and ((b.frame = a.frame and a.subject < b.subject) or b.frame = a.frame + 1)""",
+    f"""with {DET}, near_pairs as (select a.clip_id, a.frame, 0 as step, a.subject as sa, b.subject as sb, a.x as ax, a.y as ay, a.w as aw, a.h as ah, b.x as bx, b.y as by_, b.w as bw, b.h as bh
+       from dets a join dets b on a.clip_id = b.clip_id and a.frame = b.frame where a.subject < b.subject
+       union all select a.clip_id, a.frame, 1, a.subject, b.subject, a.x, a.y, a.w, a.h, b.x, b.y, b.w, b.h from dets a join (select *, frame - 1 as before from dets) b on a.clip_id = b.clip_id and a.frame = b.before),
+     met as (select *, greatest(0, least(ax + aw, bx + bw) - greatest(ax, bx)) * greatest(0, least(ay + ah, by_ + bh) - greatest(ay, by_)) as i from near_pairs)
+     select clip_id, frame, cast(step as bigint) as step, cast(sa as bigint) as a, cast(sb as bigint) as b, rnd6(i * 1.0e0 / (aw * ah + bw * bh - i)) as iou from met""",
 )
 def v1(spark, sf_dir):
     return fr.box_overlap(_dets(spark, sf_dir))

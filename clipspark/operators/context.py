@@ -387,13 +387,10 @@ def cache_usage(requests: DataFrame, cache: DataFrame, force: bool = False) -> D
     )
 
 
-def pending_transcripts(requests: DataFrame, transcripts: DataFrame, limit: int = 50) -> DataFrame:
-    """The oldest handoff requests for which no transcript has arrived."""
-    return (
-        requests.join(transcripts.select("source_id").distinct(), "source_id", "left_anti")
-        .orderBy("requested_at", "source_id")
-        .limit(limit)
-    )
+def pending_transcripts(requests: DataFrame, transcripts: DataFrame, limit: int | None = None) -> DataFrame:
+    """Handoff requests for which no transcript has arrived; with ``limit``, the oldest."""
+    waiting = requests.join(transcripts.select("source_id").distinct(), "source_id", "left_anti")
+    return waiting if limit is None else waiting.orderBy("requested_at", "source_id").limit(limit)
 
 
 def verify_replicas(local: DataFrame, remote: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from clipspark.operators.stages import materialise
 
 TIE_BLOCK = 1 << 20
-FOLD_LIMIT = 100_000
 
 
 def number_by_score(
@@ -114,60 +113,29 @@ def _suppressed(threshold: float):
     return by
 
 
-def nms_top_k(scored: DataFrame, k: int = 5, threshold: float = 0.6, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+def nms_top_k(scored: DataFrame, k: int = 5, threshold: float = 0.6) -> DataFrame:
     """Best ``k`` candidates per source such that none overlaps a better kept one.
 
-    ``scored``: source_id, candidate_seq, start_ms, end_ms, score. Sources of checked
-    size are folded as one sorted array; a source with more candidates than
-    ``fold_limit`` is reduced ``k`` times instead, each time to its best candidate not
-    suppressed by the picks so far, which needs no grouping of its rows.
+    ``scored``: source_id, candidate_seq, start_ms, end_ms, score. Each of ``k`` rounds
+    takes every source's best candidate that the picks so far leave standing: one partial
+    aggregate and one ordinary join with one row per source, so no source's candidates
+    ever meet in one task and a source of any size takes the same way.
     """
-    # the size check and the selection both read the scores: compute them once
-    narrow = materialise(scored.select("source_id", "candidate_seq", "start_ms", "end_ms", "score"))
-    sizes = narrow.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.where(F.col("n") > fold_limit).select("source_id")
-    hot = not large.isEmpty()
-    small = narrow.join(large, "source_id", "left_anti") if hot else narrow
+    # every round reads the scores: compute them once
+    rows = materialise(scored.select("source_id", "candidate_seq", "start_ms", "end_ms", "score"))
     clash = _suppressed(threshold)
-    entry = F.struct((-F.col("score")).alias("key"), "candidate_seq", "start_ms", "end_ms", "score")
-    grouped = small.groupBy("source_id").agg(F.sort_array(F.collect_list(entry)).alias("queue"))
-    kind = grouped.schema["queue"].dataType.simpleString()
-    picks = F.aggregate(
-        "queue",
-        F.expr(f"cast(array() as {kind})"),
-        lambda acc, x: F.when(
-            (F.size(acc) < k) & ~F.exists(acc, lambda y: clash(y, x["start_ms"], x["end_ms"])),
-            F.concat(acc, F.array(x)),
-        ).otherwise(acc),
-    )
-    chosen = grouped.select("source_id", F.posexplode(picks).alias("pos", "pick"))
-    if hot:
-        chosen = chosen.unionByName(_reduce_large(narrow.join(large, "source_id", "left_semi"), k, clash))
-    return chosen.select(
-        "source_id",
-        (F.col("pos") + 1).cast("long").alias("rank"),
-        "pick.candidate_seq",
-        "pick.start_ms",
-        "pick.end_ms",
-        "pick.score",
-    )
-
-
-def _reduce_large(rows: DataFrame, k: int, clash) -> DataFrame:
     best = F.min(F.struct((-F.col("score")).alias("key"), "candidate_seq", "start_ms", "end_ms", "score"))
     picked = rows.groupBy("source_id").agg(best.alias("pick")).select("source_id", F.array("pick").alias("picks"))
     for _ in range(k - 1):
-        # one row per large source: at most table rows / fold_limit rows
-        alive = rows.join(F.broadcast(picked), "source_id").where(
-            ~F.exists(
-                "picks",
-                lambda p: clash(p, F.col("start_ms"), F.col("end_ms"))
-                | (p["candidate_seq"] == F.col("candidate_seq")),
-            )
+        alive = rows.join(picked, "source_id").where(
+            ~F.exists("picks", lambda p: clash(p, F.col("start_ms"), F.col("end_ms")) | (p["candidate_seq"] == F.col("candidate_seq")))
         )
         following = alive.groupBy("source_id").agg(best.alias("pick"))
-        picked = picked.join(following, "source_id", "left").select(
-            "source_id",
-            F.when(F.col("pick").isNull(), F.col("picks")).otherwise(F.concat("picks", F.array("pick"))).alias("picks"),
+        picked = materialise(
+            picked.join(following, "source_id", "left").select(
+                "source_id", F.when(F.col("pick").isNull(), F.col("picks")).otherwise(F.concat("picks", F.array("pick"))).alias("picks")
+            )
         )
-    return picked.select("source_id", F.posexplode("picks").alias("pos", "pick"))
+    return picked.select("source_id", F.posexplode("picks").alias("pos", "pick")).select(
+        "source_id", (F.col("pos") + 1).cast("long").alias("rank"), "pick.candidate_seq", "pick.start_ms", "pick.end_ms", "pick.score"
+    )

@@ -6,9 +6,9 @@ rows, whatever the size of the set itself."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +17,6 @@ from clipspark.functions.exprs import first_match
 
 SET = "candidate_set_id"
 ID = "candidate_id"
-MAX_GROUP = 512
 
 # Class order, points and display bands.
 CLASS_ORDER = {"STRONG": 4, "GOOD": 3, "MAYBE": 2, "WEAK": 1, "REJECT": 0, "FATAL_REJECT": 0}
@@ -144,39 +143,48 @@ def borda_points(batches: DataFrame, orderings: DataFrame) -> DataFrame:
     )
 
 
+def _neighbours(standing: np.ndarray, opponents: list[set[int]]) -> Iterator[tuple[int, int]]:
+    """Players in the order of the standings, each with the nearest free one below it that
+    it hasn't met; with the nearest free one if it has met them all."""
+    below = np.append(np.arange(1, len(standing)), -1)  # linked list of free places
+    place = 0
+    while place >= 0:
+        nearest, before, at = below[place], place, below[place]
+        while at >= 0 and standing[at] in opponents[standing[place]]:
+            before, at = at, below[at]
+        if at < 0:
+            before, at = place, nearest
+        below[before] = below[at]
+        yield standing[place], standing[at]
+        place = below[place]
+
+
 def _swiss(key, seeded: pd.DataFrame, judged: pd.DataFrame) -> pd.DataFrame:
-    """Rounds for one shortlist: pair neighbours in the standings, never twice."""
-    if len(seeded) > MAX_GROUP:
-        raise ValueError(f"a shortlist of {len(seeded)} exceeds the bound of {MAX_GROUP}")
+    """Rounds of one shortlist, over arrays indexed by seed order."""
     players = seeded.sort_values("seed")
-    ids = players["candidate_id"].tolist()
-    base = dict(zip(ids, players["penalty"]))
-    listwise = dict(zip(ids, players["listwise_points"]))
-    place = {c: i for i, c in enumerate(ids)}
-    won = {(a, b): w for a, b, w in zip(judged["a"], judged["b"], judged["winner"])}
-    points = dict.fromkeys(ids, 0.0)
-    met: set[tuple[int, int]] = set()
-    rested: set[int] = set()
+    ids, n = players["candidate_id"].to_numpy(), len(players)
+    start, listwise = players["penalty"].to_numpy(float), players["listwise_points"].to_numpy(float)
+    verdict = judged.set_index(["a", "b"])["winner"].to_dict()
+    gained, resting = np.zeros(n), np.zeros(n, bool)
+    opponents: list[set[int]] = [set() for _ in range(n)]
     games = []
-    rounds = max(1, math.ceil(math.log2(len(ids)))) if len(ids) > 1 else 0
-    for number in range(1, rounds + 1):
-        table = sorted(ids, key=lambda c: (-(points[c] + base[c]), -listwise[c], place[c]))
-        if len(table) % 2:
-            idle = next((c for c in reversed(table) if c not in rested), table[-1])
-            rested.add(idle)
-            table.remove(idle)
-        while table:
-            head, rest = table[0], table[1:]
-            foe = next((c for c in rest if (min(head, c), max(head, c)) not in met), rest[0])
-            table = [c for c in rest if c != foe]
-            pair = (min(head, foe), max(head, foe))
-            if pair in met:
+    for number in range(1, (n - 1).bit_length() + 1):
+        standing = np.lexsort((np.arange(n), -listwise, -(gained + start)))
+        if n % 2:  # the lowest that hasn't rested yet sits out
+            fresh = np.flatnonzero(~resting[standing])
+            out = fresh[-1] if len(fresh) else n - 1
+            resting[standing[out]] = True
+            standing = np.delete(standing, out)
+        for one, two in list(_neighbours(standing, opponents)):
+            if two in opponents[one]:  # nobody new is left for them: no game
                 continue
-            met.add(pair)
-            winner = won.get(pair, "TIE")
-            games.append((key[0], number, *pair, winner))
-            points[pair[0]] += {"A": WIN, "TIE": TIE}.get(winner, 0.0)
-            points[pair[1]] += {"B": WIN, "TIE": TIE}.get(winner, 0.0)
+            opponents[one].add(two)
+            opponents[two].add(one)
+            a, b = sorted((one, two), key=lambda x: ids[x])
+            winner = verdict.get((ids[a], ids[b]), "TIE")
+            gained[a] += {"A": WIN, "TIE": TIE}.get(winner, 0.0)
+            gained[b] += {"B": WIN, "TIE": TIE}.get(winner, 0.0)
+            games.append((key[0], number, ids[a], ids[b], winner))
     return pd.DataFrame(games, columns=["candidate_set_id", "round", "a", "b", "winner"])
 
 

@@ -7,6 +7,7 @@ are spread over the cluster by file."""
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -157,8 +158,9 @@ def write_run(tables: dict[str, DataFrame], path: str, overwrite: bool = False)
     is ever read. A run is one directory per table, not one per source, so many short
     sources do not become many small files."""
     run = uuid.uuid4().hex
-    first = next(iter(tables.values()))
-    every = first.select(F.col("source_id").cast("string").alias("source_id")).distinct()
+    # a source may have rows in some of the tables only
+    named = [df.select(F.col("source_id").cast("string").alias("source_id")).distinct() for df in tables.values()]
+    every = reduce(DataFrame.union, named).distinct()
     todo = materialise(every if overwrite else unfinished(every, path))
     for name, df in tables.items():
         rows = df.withColumn("source_id", F.col("source_id").cast("string")).join(todo, "source_id", "left_semi")

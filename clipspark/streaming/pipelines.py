@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from clipspark.operators.framing import TRACK_COLUMNS, TRACK_SCHEMA, _Track, track_rows
+from clipspark.operators.framing import TRACK_COLUMNS, TRACK_SCHEMA, no_tracks, track_rows
 
 STALE_S = 120
 TRACK_EXPIRY_MS = 1_600
@@ -148,16 +149,13 @@ class _Tracker(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         import json
 
-        next_id, last_t, tracks = 1, None, []
+        next_id, last_t, tracks = 1, None, no_tracks()
         if self.state.exists():
             next_id, last_t, text = self.state.get()
-            tracks = [_Track(**{**d, "box": tuple(d["box"])}) for d in json.loads(text)]
+            tracks = {f: np.array(v, tracks[f].dtype) for f, v in json.loads(text).items()}
         pdf = pd.concat(list(rows))
         out, tracks, next_id, last_t = track_rows(int(key[0]), pdf, tracks, int(next_id), last_t)
-        plain = [
-            {**vars(x), "box": [int(v) for v in x.box], **{f: float(getattr(x, f)) for f in ("cx", "cy", "seen", "vx", "vy")}} for x in tracks
-        ]
-        self.state.update((int(next_id), last_t, json.dumps(plain)))
+        self.state.update((int(next_id), last_t, json.dumps({f: v.tolist() for f, v in tracks.items()})))
         if len(out):
             yield out[TRACK_COLUMNS]
 
