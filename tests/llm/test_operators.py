@@ -102,7 +102,7 @@ def test_secrets_adds_what_passes_for_random(spark):
     data = [(i, f"é key {k} end") for i, k in enumerate(keys + dull)]
     got = {r.doc_id: r.spans for r in secret_digests(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     assert sum(got[i] == f"random:6:{6 + len(k)}" for i, k in enumerate(keys)) >= 27
-    assert not any(got[len(keys) + i] for i in range(len(dull)))
+    assert not any("random" in got[len(keys) + i] for i in range(len(dull)))
 
 
 def test_quality(spark, edge, nothing):
