@@ -213,10 +213,10 @@ def e19(spark, sf_dir):
 
 FILES = f"""{JOBS}, files as (select l_orderkey as source_id, l_linenumber || '-' || l_partkey as path, case when l_linenumber = 1 then 'source' when l_linenumber <= 5 then 'clip' when l_linenumber = 6 then 'intermediate' else 'protected' end as kind,
    cast(round(l_extendedprice * 100) as bigint) as bytes, case when l_linenumber <= 5 and l_suppkey % 10 <> 0 then 'k' || l_orderkey || '-' || l_linenumber || '-' || l_partkey end as key from lineitem),
-reps as (select key, case when bytes % 11 = 0 then bytes + 1 else bytes end as rb from (select key, min(bytes) as bytes from files where key is not null group by 1) where bytes % 9 <> 0),
-acts as (select f.*, reps.rb, kind in ('source', 'clip') as copied from files f left join reps on reps.key = f.key),
-act as (select source_id, path, kind, bytes, case when copied and rb = bytes then 'DELETE' else 'KEEP' end as action,
-   case when copied and key is null then 'remote_not_verified (no remote key)' when copied and rb is null then 'remote_not_verified (remote object missing)' when copied and rb <> bytes then 'remote_not_verified (remote size differs)'
+reps as (select key, case when bytes % 11 = 0 then bytes + 1 else bytes end as rb, sha256(case when bytes % 13 = 0 then 'x' else key end) <> sha256(key) as odd from (select key, min(bytes) as bytes from files where key is not null group by 1) where bytes % 9 <> 0),
+acts as (select f.*, reps.rb, odd, kind in ('source', 'clip') as copied from files f left join reps on reps.key = f.key),
+act as (select source_id, path, kind, bytes, case when copied and rb = bytes and not odd then 'DELETE' else 'KEEP' end as action,
+   case when copied and key is null then 'remote_not_verified (no remote key)' when copied and rb is null then 'remote_not_verified (remote object missing)' when copied and rb <> bytes then 'remote_not_verified (remote size differs)' when copied and odd then 'remote_not_verified (remote sha256 differs)'
      when kind = 'clip' then 'published at ' || key when kind = 'source' then 're-fetchable from ' || key when kind = 'intermediate' then 'cheap to keep, expensive to regenerate' else 'needed to resume without re-downloading' end as reason from acts)
 """
 
@@ -228,7 +228,7 @@ def _files(spark, sf_dir):
         F.col("l_orderkey").alias("source_id"), F.concat_ws("-", "l_linenumber", "l_partkey").alias("path"),
         F.when(n == 1, "source").when(n <= 5, "clip").when(n == 6, "intermediate").otherwise("protected").alias("kind"),
         F.round(F.col("l_extendedprice") * 100).cast("long").alias("bytes"),
-        F.when((n <= 5) & (F.col("l_suppkey") % 10 != 0), key).alias("key"),
+        F.when((n <= 5) & (F.col("l_suppkey") % 10 != 0), key).alias("key"), F.sha2(key, 256).alias("sha"),
     )
 
 
@@ -238,7 +238,7 @@ def _actions(spark, sf_dir):
     reps = (
         files.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("bytes").alias("bytes"))
         .where(b % 9 != 0)
-        .select("key", F.when(b % 11 == 0, b + 1).otherwise(b).alias("bytes"))
+        .select("key", F.when(b % 11 == 0, b + 1).otherwise(b).alias("bytes"), F.sha2(F.when(b % 13 == 0, "x").otherwise(F.col("key")), 256).alias("sha"))
     )
     return au.file_actions(files, reps)
 

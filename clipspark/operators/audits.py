@@ -227,16 +227,20 @@ def stage_durations(timings: DataFrame, stages: Sequence[object], key: str = "jo
 def file_actions(files: DataFrame, replicas: DataFrame, aggressive: bool = False) -> DataFrame:
     """What may be deleted file by file: only what is verified to exist elsewhere.
 
-    ``files``: source_id, path, kind, bytes, key (null when never published)."""
-    r = replicas.select("key", F.col("bytes").alias("_rb"), F.lit(True).alias("_there"))
+    ``files``: source_id, path, kind, bytes, sha (may be null), key (null when never
+    published); ``replicas``: key, bytes, sha. Equal sizes don't make a true copy when both
+    checksums are known and differ."""
+    r = replicas.select("key", F.col("bytes").alias("_rb"), F.col("sha").alias("_rs"), F.lit(True).alias("_there"))
     rows = files.join(r, "key", "left")
     copied = F.col("kind").isin("clip", "source")
-    same = F.coalesce(F.col("_rb") == F.col("bytes"), F.lit(False))
+    sized = F.coalesce(F.col("_rb") == F.col("bytes"), F.lit(False))
+    same = sized & F.coalesce(F.col("_rs") == F.col("sha"), F.lit(True))
     reason = first_match(
         [
             (copied & F.col("key").isNull(), "remote_not_verified (no remote key)"),
             (copied & F.col("_there").isNull(), "remote_not_verified (remote object missing)"),
-            (copied & ~same, "remote_not_verified (remote size differs)"),
+            (copied & ~sized, "remote_not_verified (remote size differs)"),
+            (copied & ~same, "remote_not_verified (remote sha256 differs)"),
             (F.col("kind") == "clip", F.concat(F.lit("published at "), F.col("key"))),
             (F.col("kind") == "source", F.concat(F.lit("re-fetchable from "), F.col("key"))),
             (F.col("kind") == "intermediate", "regenerable intermediate" if aggressive else "cheap to keep, expensive to regenerate"),
@@ -249,7 +253,7 @@ def file_actions(files: DataFrame, replicas: DataFrame, aggressive: bool = False
 
 def retention_plan(
     dirs: DataFrame, actions: DataFrame, jobs: DataFrame, now_s: int, min_age_s: int = 3600,
-    keep_recent: int = 0, cap_bytes: int | None = None,
+    keep_recent: int = 0, cap_bytes: int | None = None, job_id: str | None = None,
 ) -> DataFrame:
     """Which run directories to clean: never active, recent or new ones, and oldest
     first only until the tree is under its cap.
@@ -263,6 +267,8 @@ def retention_plan(
         F.sum("bytes").alias("bytes"), F.sum(F.when(F.col("action") == "DELETE", F.col("bytes")).otherwise(0)).alias("reclaimable")
     )
     visible = dirs.where(~F.col("source_id").cast("string").startswith("_"))
+    if job_id is not None:  # only the directory of this job's source
+        visible = visible.join(jobs.where(F.col("job_id") == job_id).select("source_id").distinct(), "source_id", "left_semi")
     # at most keep_recent rows
     recent = visible.orderBy(F.col("mtime_s").desc(), F.col("source_id").desc()).limit(keep_recent).select("source_id", F.lit(True).alias("_recent"))
     rows = visible.join(sizes, "source_id", "left").join(active, "source_id", "left").join(F.broadcast(recent), "source_id", "left")

@@ -207,7 +207,8 @@ def refine_boundaries(
     max_shift_ms: int = 5_000, pre_ms: int = 500, post_ms: int = 500,
 ) -> DataFrame:
     """Move span edges to phrase edges: a cut phrase is kept whole where that is near,
-    long silence is trimmed, and the result stays inside the source."""
+    long silence is trimmed, and the result stays inside the source where its length is
+    known. Spans of a source without segments are only clipped."""
     seg = segments.select("source_id", "segment_id", F.col("start_ms").alias("s0"), F.col("end_ms").alias("s1"))
     info = F.struct("segment_id", "s0", "s1")
 
@@ -225,8 +226,10 @@ def refine_boundaries(
     rows = (
         near.join(holding("start_ms"), CAND, "left")
         .join(holding("end_ms"), CAND, "left")
-        .join(lengths.select("source_id", "duration_ms"), "source_id")
+        .join(lengths.select("source_id", "duration_ms"), "source_id", "left")
     )
+    # any segment of the source is after the start, before the end, or around both
+    silent = F.col("next").isNull() & F.col("prev").isNull() & F.col("at_start").isNull()
     start, end, length = F.col("start_ms"), F.col("end_ms"), F.col("duration_ms")
     cut_in = start - F.col("at_start.s0")
     lead = F.col("next.s0") - start
@@ -287,7 +290,7 @@ def refine_boundaries(
         ],
         F.lit(None).cast("string"),
     )
-    final_start = F.greatest(zero, F.least(F.col("new_start"), length - 1000))
+    final_start = F.greatest(zero, F.least(F.col("new_start"), F.when(silent, length).otherwise(length - 1000)))
     notes = F.array_join(F.array_compact(F.array("start_note", "end_note")), "; ")
     return (
         rows.withColumn("new_start", new_start)
@@ -299,7 +302,7 @@ def refine_boundaries(
             *CAND,
             "refined_start_ms",
             F.greatest(F.col("refined_start_ms") + 1000, F.least("new_end", length)).alias("refined_end_ms"),
-            F.when(notes == "", "boundaries preserved").otherwise(notes).alias("reason"),
+            F.when(silent, "No transcript segments available").when(notes == "", "boundaries preserved").otherwise(notes).alias("reason"),
         )
     )
 
