@@ -10,7 +10,8 @@ more than 1 / FREQUENT such words, so the list sent to the tasks is bounded.
 Equal sets become one member. Members with one prefix and size form a group, and prefixes
 are joined between groups. Since documents are wanted by connected component, links come
 in two steps. In each bucket of groups that share a prefix shingle, first every member is
-set beside two members of the bucket only, and linked to the closest. Then, exactly,
+set beside two members of the bucket only, and linked to the closest; this is done twice,
+the second time across the components found. Then, exactly,
 all pairs of groups that share a bucket, fit in size and position, and still lie in
 different components are expanded to their members and compared. A pair that the second
 step leaves out is connected already, so no link is lost; and a large group of copies
@@ -234,32 +235,46 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     posts = written(_posts(some))
     slim = some.groupBy("sk").agg(F.min("rid").alias("rid"), F.first("g").alias("g"), F.first("n").alias("n"), *[F.first(m).alias(m) for m in (*_MASKS, "mask")])
     slim = written(slim.join(posts.select("g").distinct(), "g", "left_semi"))
-    stars = written(sifted(_stars(posts, slim, 1).union(_stars(posts, slim, 2)).distinct(), slim))
-    # each member's closest one; the rest stage finds what these don't connect
-    ends = stars.select(F.col("a").alias("m"), "gap", "a", "b").union(stars.select("b", "gap", "a", "b"))
-    closest = ends.groupBy("m").agg(F.min(F.struct("gap", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    edges = verified(closest, slim, docs)
-    rest = verified(sifted(_rest(posts, slim, components(edges)), slim).select("a", "b"), slim, docs)
+    edges, labels = None, None
+    for seeds in ((1, 2), (3, 4)):
+        known = _with_component(slim, labels)
+        stars = written(sifted(_stars(posts, known, seeds[0]).union(_stars(posts, known, seeds[1])).distinct(), slim))
+        # each member's closest one; the rest stage finds what these don't connect
+        ends = stars.select(F.col("a").alias("m"), "gap", "a", "b").union(stars.select("b", "gap", "a", "b"))
+        closest = ends.groupBy("m").agg(F.min(F.struct("gap", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+        found = verified(closest, slim, docs)
+        edges = found if edges is None else edges.union(found)
+        labels = components(edges)
+    rest = verified(sifted(_rest(posts, _with_component(slim, labels)), slim).select("a", "b"), slim, docs)
     labels = components(edges.union(rest))
     return table, labels.select(F.col("node").alias("sk"), "component")
 
 
+def _with_component(slim: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The members with their component so far: themselves, if nothing links to them."""
+    slim = slim.drop("mask", "rid")
+    if labels is None:
+        return slim.withColumn("component", F.col("sk"))
+    known = slim.join(labels.select(F.col("node").alias("sk"), "component"), "sk", "left").withColumn("component", F.coalesce("component", "sk"))
+    return written(known)
+
+
 def _stars(posts: DataFrame, slim: DataFrame, seed: int) -> DataFrame:
-    """Pairs of each member with one member of each of its buckets."""
-    one = slim.groupBy("g").agg(F.min(F.struct(F.xxhash64("sk", F.lit(seed)).alias("h"), "sk", "n", *_MASKS)).alias("one"))
+    """Pairs of each member with one member of each of its buckets, if they lie in
+    different components."""
+    one = slim.groupBy("g").agg(F.min(F.struct(F.xxhash64("sk", F.lit(seed)).alias("h"), "sk", "component", "n", *_MASKS)).alias("one"))
     centre = posts.groupBy("token").agg(F.min(F.struct(F.xxhash64("g", "token", F.lit(seed)).alias("h"), F.col("g").alias("c"), F.col("n").alias("cn"))).alias("centre"))
     pairs = posts.join(centre.select("token", "centre.c", "centre.cn"), "token").filter(10 * F.least("n", "cn") >= 9 * F.greatest("n", "cn")).filter("g != c").select("g", "c")
     pairs = pairs.distinct().union(slim.groupBy("g").agg(F.count("*").alias("size")).filter("size > 1").select("g", F.col("g").alias("c")))
     ends = slim.join(pairs, "g").join(one.select(F.col("g").alias("c"), "one"), "c")
     differ = _bits([F.col(m).bitwiseXOR(F.col(f"one.{m}")) for m in _MASKS])
-    may = (F.col("sk") != F.col("one.sk")) & _may_link(F.col("n"), F.col("one.n"), differ)
+    may = (F.col("component") != F.col("one.component")) & _may_link(F.col("n"), F.col("one.n"), differ)
     return ends.filter(may).select(F.least("sk", "one.sk").alias("a"), F.greatest("sk", "one.sk").alias("b"))
 
 
-def _rest(posts: DataFrame, slim: DataFrame, labels: DataFrame) -> DataFrame:
-    """All pairs of members that share a prefix shingle, may link, and lie in different
-    components."""
-    slim = slim.drop("mask", "rid").join(labels.select(F.col("node").alias("sk"), "component"), "sk", "left").withColumn("component", F.coalesce("component", "sk"))
+def _rest(posts: DataFrame, slim: DataFrame) -> DataFrame:
+    """All pairs of members that share enough prefix shingles, may link, and lie in
+    different components."""
     slim = written(slim.withColumn("part", F.xxhash64("g", "component")))
     parts = slim.groupBy("g", "part", "component", "n").agg(*[F.bit_and(m).alias(f"all_{m}") for m in _MASKS], *[F.bit_or(m).alias(f"any_{m}") for m in _MASKS])
     rows = posts.drop("n").join(parts, "g")
@@ -276,7 +291,12 @@ def _rest(posts: DataFrame, slim: DataFrame, labels: DataFrame) -> DataFrame:
     )
     # no more can be shared than before both places and from both places on
     fits &= common + F.least(col("a", "pos"), col("b", "pos")) >= F.ceil(9 * (col("a", "n") + col("b", "n")) / 19)
-    pairs = a.join(b, fits).select(col("a", "part").alias("pa"), col("b", "part").alias("pb")).distinct()
+    met = a.join(b, fits).select(col("a", "part").alias("pa"), col("b", "part").alias("pb"), col("a", "n").alias("x"), col("b", "n").alias("y"))
+    # Up to the end of the prefix that ends first, what two sets share stands in both
+    # prefixes; behind it at most the rest of that set is shared.
+    behind = F.greatest(F.col("x") - F.floor(F.col("x") / 10) - 1, F.col("y") - F.floor(F.col("y") / 10) - 1)
+    met = met.groupBy("pa", "pb", "x", "y").agg(F.count("*").alias("c"))
+    pairs = met.filter(F.col("c") + behind >= F.ceil(9 * (F.col("x") + F.col("y")) / 19)).select("pa", "pb")
     left = slim.select(F.col("part").alias("pa"), F.col("sk").alias("a"), F.col("n").alias("na"), *[F.col(m).alias(f"a{m}") for m in _MASKS])
     right = slim.select(F.col("part").alias("pb"), F.col("sk").alias("b"), F.col("n").alias("nb"), *[F.col(m).alias(f"b{m}") for m in _MASKS])
     both = pairs.join(left, "pa").join(right, "pb")
