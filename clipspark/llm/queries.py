@@ -93,6 +93,8 @@ QUERIES: dict[str, Query] = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 SQL: dict[str, str] = {
+    "op1_secret_scan": sql.OP1,
+    "op2_jaccard_join": sql.OP2,
     "op3_quality_rules": sql.OP3,
     "op5_benchmark_decontamination": sql.OP5,
     "op6_sharding": sql.OP6,

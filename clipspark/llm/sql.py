@@ -51,3 +51,58 @@ own as (select doc_id, n_bytes, h, min(depth) as depth from d, range(0, 61) as x
 select doc_id, n_bytes, case when depth = 0 then '' else lpad(bin(h >> (60 - depth)), depth::int, '0') end as shard, depth::bigint as depth, b as shard_bytes
 from own join node using (depth) where node.p = h >> (60 - own.depth)
 """
+
+OP2 = r"""
+with recursive d as (select doc_id, row_number() over () as r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sh as (select distinct r, array_to_string(list_slice(w, s, s + 2), ' ') as x from (select r, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as s from d where len(w) > 0)),
+n as (select r, count(*) as n from sh group by r),
+pair as (select a.r as a, b.r as b, count(*) as c from sh a join sh b using (x) where a.r < b.r group by all),
+link as (select a, b from pair join n p on p.r = a join n q on q.r = b where 100 * c >= 90 * (p.n + q.n - c)),
+twoway as (select a, b from link union all select b, a from link),
+reach as (select r, r as o from d union select reach.r, twoway.b from reach join twoway on twoway.a = reach.o)
+select d.doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, case when any_value(n.n) is null then d.doc_id else min(e.doc_id) end as component_id
+from d left join n using (r) join reach using (r) join d e on e.r = reach.o group by d.r, d.doc_id
+"""
+
+OP1 = r"""
+with d as (select doc_id, row_number() over () as r, coalesce(text, '') as t from documents),
+k(kind, place, rx) as (values
+  ('assign', 1, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+  ('access', 2, '(AKIA)([A-Z0-9]+)'), ('hex', 3, '()([0-9a-f]+)'), ('random', 4, '()([A-Za-z0-9+/_-]{16,}={0,2})')),
+found as (
+  select r, 'assign' as kind, 1 as place, string_split_regex(t, (select rx from k where place = 1)) as gaps, regexp_extract_all(t, (select rx from k where place = 1)) as ms, regexp_extract_all(t, (select rx from k where place = 1), 2) as vs from d
+  union all select r, 'access', 2, string_split_regex(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+') from d
+  union all select r, 'hex', 3, string_split_regex(t, '[0-9a-f]{24,}'), regexp_extract_all(t, '[0-9a-f]{24,}'), regexp_extract_all(t, '[0-9a-f]{24,}') from d
+  union all select r, 'random', 4, string_split_regex(t, '[A-Za-z0-9+/_-]{16,}={0,2}'), regexp_extract_all(t, '[A-Za-z0-9+/_-]{16,}={0,2}'), regexp_extract_all(t, '[A-Za-z0-9+/_-]{16,}={0,2}') from d),
+m as (select r, kind, place, i, length(gaps[i]) as gap, length(ms[i]) as size, vs[i] as v from (select *, unnest(range(1, len(ms) + 1)) as i from found)),
+pos as (select r, kind, place, v, size, sum(gap + size) over (partition by r, kind order by i) as e from m),
+span as (select r, kind, place, v, (e - size)::bigint as s, e::bigint as e from pos
+         where case kind when 'assign' then length(v) >= 6 when 'access' then size >= 20 when 'random' then regexp_matches(v, '[0-9]') else true end),
+tok as (select distinct v, regexp_replace(v, '=+$', '') as core from span where kind = 'random'),
+enc as (select v, core, case when not regexp_matches(core, '[A-Za-z]') then null when regexp_matches(core, '^([0-9a-f]+|[0-9A-F]+)$') then 'hex' when regexp_matches(core, '^[A-Z2-7]+$') then 'base32'
+          when regexp_matches(core, '^[0-9a-z]+$') then 'lower36' when regexp_matches(core, '^[0-9A-Z]+$') then 'upper36'
+          when regexp_matches(core, '[a-z]') and regexp_matches(core, '[A-Z]') and regexp_matches(core, '^[0-9A-Za-z]+$') then 'base62'
+          when regexp_matches(core, '[a-z]') and regexp_matches(core, '[A-Z]') and regexp_matches(core, '^([0-9A-Za-z+/]+|[0-9A-Za-z_-]+)$') then 'base64' end as encoding from tok),
+alpha(encoding, a) as (values ('hex', '0123456789abcdef'), ('base32', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'), ('lower36', '0123456789abcdefghijklmnopqrstuvwxyz'), ('upper36', '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ'),
+  ('base62', '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz'), ('base64', 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/')),
+sym as (select v, encoding, length(a) as k, i, instr(a, substr(c, i, 1)) - 1 as x from (select v, e.encoding, a, case when e.encoding = 'hex' then lower(core) else translate(core, '_-', '/+') end as c, unnest(range(1, length(core) + 1)) as i
+        from enc e join alpha using (encoding))),
+lagged as (select *, lag(x) over (partition by v order by i) as y from sym),
+cnt as (select v, encoding, k, x, count(*) as c, sum((2 * x >= k)::int) as high, sum(coalesce(((2 * x >= k) <> (2 * y >= k))::int, 0)) as turns, sum(coalesce((x - (k - 1) / 2.0e0) * (y - (k - 1) / 2.0e0), 0)) as product from lagged group by all),
+st as (select v, encoding, k::double as k, sum(c)::double as n, sum(c * c)::double as squares, sum(high)::double as n1, sum(turns)::double as turns, sum(product)::double as product from cnt group by all),
+z as (select *, (pow(greatest(squares * k / n - n, 0) / (k - 1), 1 / 3.0e0) - (1 - 2 / (9 * (k - 1)))) / sqrt(2 / (9 * (k - 1))) as z1,
+        abs(turns + 1 - (1 + 2 * n1 * (n - n1) / n)) / sqrt(greatest((2 * n1 * (n - n1) / n) * (2 * n1 * (n - n1) / n - 1) / (n - 1), 1e-9)) as z2, abs(product / ((k * k - 1) / 12) / sqrt(n - 1)) as z3 from st),
+p as (select v, encoding || '/' || case when n < 24 then 0 when n < 32 then 1 when n < 48 then 2 else 3 end as stratum,
+        floor(1000000 * least(1, 3 * least(1 - 1 / (1 + exp(-(1.5976 * z1 + 0.07056 * z1 * z1 * z1))), case when n1 in (0, n) then 0 else 2 * (1 - 1 / (1 + exp(-(1.5976 * z2 + 0.07056 * z2 * z2 * z2)))) end,
+          2 * (1 - 1 / (1 + exp(-(1.5976 * z3 + 0.07056 * z3 * z3 * z3))))))) as p from z),
+step as (select stratum, p, sum(count(*)) over (partition by stratum order by p) as rank, sum(count(*)) over (partition by stratum) as m from p group by stratum, p),
+lim as (select stratum, max(p) filter (where p * m <= rank * 50000) as lim from step group by stratum),
+good as (select v from p join lim using (stratum) where lim is null or p > lim),
+every as (select r, kind, place, s, e from span where kind <> 'random'
+          union all select r, kind, place, s, e from span x where kind = 'random' and v in (select v from good)
+            and not exists (select 1 from span b where b.r = x.r and b.kind <> 'random' and b.s < x.e and x.s < b.e)),
+told as (select r, count(*) filter (where kind = 'assign') as n_assign, count(*) filter (where kind = 'access') as n_access, count(*) filter (where kind = 'hex') as n_hex, count(*) filter (where kind = 'random') as n_random,
+           string_agg(kind || ':' || s || ':' || e, ',' order by s, place) as spans, string_agg(kind || ':' || s || ':' || e, ',' order by s, place) filter (where kind <> 'random') as base from every group by r)
+select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_random, 0)::bigint as n_random
+from d left join told using (r)
+"""
