@@ -179,7 +179,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(rid, at, n): first words at:at + n of windows that also start elsewhere, for docs
     with columns rid (of type long, equal only for equal rows) and text."""
     found = occurrences(docs, window)
-    twice = found.groupBy("name").agg(F.count("*").alias("c")).filter("c > 1").select("name")
+    # written, so that the join's sides are plain exchanges, which Spark may split
+    twice = written(found.groupBy("name").agg(F.count("*").alias("c")).filter("c > 1").select("name"))
     found = written(found.join(twice, "name", "left_semi"))
     kinds = written(found.groupBy("name", "stretch").agg(F.count("*").alias("c"), F.min(F.struct("rid", "at", "n")).alias("one")))
     whole = found.join(kinds.filter("c > 1").select("name", "stretch"), ["name", "stretch"], "left_semi").select("rid", "at", "n")
@@ -188,7 +189,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     per_text = ones.groupBy("rid").agg(F.collect_list("span").alias("spans"))
     texts = docs.select("rid", "text").join(per_text, "rid")
     single = written(stretch_windows(texts, window))
-    again = single.groupBy("number").agg(F.count("*").alias("c"), F.min("known").alias("all_known")).filter("c > 1 and not all_known").select("number")
+    again = written(single.groupBy("number").agg(F.count("*").alias("c"), F.min("known").alias("all_known")).filter("c > 1 and not all_known").select("number"))
     part = single.filter("not known").join(again, "number", "left_semi").select("rid", "at", F.lit(1).alias("n"))
     return whole.union(part)
 
