@@ -84,6 +84,53 @@ def v11(spark, sf_dir):
     return ly.fits_single_crop(boxes, ["clip_id", "frame"])
 
 
+WIN = f"""{cf.OBS}, im as (select clip_id, track_id, mean_x, mean_y, mean_w, mean_h, rnd6(0.45e0 * visibility_ratio + 0.25e0 * least(1.0e0, mean_area / 40000.0e0) + 0.20e0 * mean_speaking + 0.10e0 * continuity) as importance
+    from s3 where persistent and mean_area / 921600.0e0 >= 0.0012e0),
+  ends as (select clip_id, max(t_ms) + 200 as dur from frames group by 1), wins as (select clip_id, dur, unnest(range(0, greatest(1, cast(ceil(dur / 750.0) as bigint)))) as win from ends),
+  own as (select w.clip_id, win, f.t_ms, f.scene_cut from wins w join frames f on f.clip_id = w.clip_id and f.t_ms // 750 = win),
+  ins as (select * from own union all select w.clip_id, w.win, f.t_ms, f.scene_cut from wins w join frames f on f.clip_id = w.clip_id and f.t_ms < win * 750 and f.t_ms > (win - 1) * 750 where not exists (select 1 from own o where o.clip_id = w.clip_id and o.win = w.win)),
+  seen as (select i.clip_id, win, o.* exclude (clip_id) from ins i join obs o on o.clip_id = i.clip_id and o.t_ms = i.t_ms),
+  pf as (select clip_id, win, t_ms, avg(conf) as c, count(*) as b from seen group by all),
+  facts as (select i.clip_id, i.win, count(*) as frame_count, rnd4(count(b) / count(*)) as coverage, rnd4(coalesce(avg(c), 0.0e0)) as tracking, bool_or(scene_cut) as scene_cut, rnd3(coalesce(sum(b), 0) / count(*)) as face_count
+    from ins i left join pf using (clip_id, win, t_ms) group by 1, 2),
+  mv as (select *, sqrt(pow(x + w / 2.0e0 - lag(x + w / 2.0e0) over k, 2) + pow(y + h / 2.0e0 - lag(y + h / 2.0e0) over k, 2)) as d from seen window k as (partition by clip_id, win, track_id order by t_ms)),
+  shown as (select clip_id, win, track_id, count(*) as n, sum(d) as path, count(d) as steps, arg_max([x, y, w, h], t_ms) as box from mv group by all),
+  act as (select clip_id, win, sum(path) / sum(steps) as activity from shown group by all having sum(steps) > 0),
+  held as (select distinct f.clip_id, f.win, o.track_id from facts f join obs o on o.clip_id = f.clip_id and o.t_ms < f.win * 750 and f.win * 750 - o.t_ms <= 1200 where not exists (select 1 from shown s where s.clip_id = f.clip_id and s.win = f.win and s.track_id = o.track_id)),
+  now as (select s.clip_id, s.win, track_id, rnd4(n / frame_count) as vis, box from shown s join facts using (clip_id, win) union all select clip_id, win, track_id, 0.45e0, null from held),
+  pl as (select n.*, [mean_x, mean_y, mean_w, mean_h] as mean_box, row_number() over (partition by n.clip_id, win order by vis * 0.5e0 + importance desc, n.track_id) as rn from now n join im using (clip_id, track_id) where vis > 0),
+  ld as (select clip_id, win, count(*) as subjects, max(track_id) filter (where rn = 1) as dominant, max(vis) filter (where rn = 1) as dv, max(track_id) filter (where rn = 2) as secondary, max(vis) filter (where rn = 2) as sv from pl group by all),
+  bx as (select clip_id, win, coalesce(box, mean_box) as b from pl where rn <= 2),
+  un as (select clip_id, win, min(b[1]) as l, max(b[1] + b[3]) as r, min(b[4]) as small, min(b[2] + b[4] / 2.0e0) as hi, max(b[2] + b[4] / 2.0e0) as lo from bx group by all),
+  ft as (select *, case when r - l + 2.0e0 * 0.06e0 * 404 > 404 then 'subjects wider than a safe vertical crop' when small * (1920 / 720.0e0) / 1920 < 0.055e0 then 'a subject would be too small to read'
+     when hi < 0.06e0 * 720 or lo > 0.76e0 * 720 then 'a subject would fall into the caption or platform-UI band' else 'subjects fit one safe vertical crop' end as why from un),
+  ro as (select w.clip_id, w.win, dur, f.* exclude (clip_id, win), coalesce(subjects, 0) as subjects, dominant, secondary, dv, sv, why, activity, secondary is not null and dv >= 0.45e0 and sv >= 0.45e0 as pair
+    from wins w left join facts f using (clip_id, win) left join ld using (clip_id, win) left join ft using (clip_id, win) left join act using (clip_id, win)),
+  wru as (select *, case when frame_count is null then 1 when coverage < 0.35e0 then 2 when tracking < 0.45e0 then 3 when subjects >= 3 then 4 when pair and why = 'subjects fit one safe vertical crop' then 5 when pair then 6 when dv >= 0.65e0 then 7 else 8 end as rule from ro)"""
+
+
+def _windows(spark, sf_dir):
+    obs = cf._obs(spark, sf_dir)
+    return ly.layout_windows(cf._frames(spark, sf_dir), obs, fr.track_summary(obs, cf._frames(spark, sf_dir)))
+
+
+@register(
+    "v12_layout_windows",
+    f"""with {WIN} select clip_id, win as "window", win * 750 as start_ms, least((win + 1) * 750, dur) as end_ms, coalesce(frame_count, 0) as frame_count, coalesce(coverage, 0.0e0) as coverage, coalesce(tracking, 0.0e0) as tracking, coalesce(scene_cut, false) as scene_cut,
+      coalesce(face_count, 0.0e0) as face_count, subjects, cast(dominant as bigint) as dominant, cast(secondary as bigint) as secondary, coalesce(dv, 0.0e0) as dominant_visibility, coalesce(sv, 0.0e0) as secondary_visibility, round(coalesce(activity, 0.0e0) / 1280.0e0, 5) as activity,
+      case when rule = 6 then 'dual_stack' when rule in (5, 7) then 'single_crop' else 'full_frame_context' end as layout, [0.5e0, 0.6e0, 0.6e0, 0.75e0, 0.8e0, 0.82e0, 0.85e0, 0.55e0][rule] as confidence,
+      case rule when 1 then 'no frames were analyzed in this window' when 2 then 'detection coverage too low to crop safely' when 3 then 'tracking confidence too low to crop safely' when 4 then 'group scene: ' || subjects || ' significant subjects'
+        when 5 then 'two subjects share one safe crop (' || why || ')' when 6 then 'two persistent subjects cannot fit one safe crop (' || why || ')' when 7 then 'one dominant persistent subject' else 'no dominant subject with enough evidence to crop' end as reason from wru""",
+)
+def v12(spark, sf_dir):
+    return _windows(spark, sf_dir)
+
+
+@register("v13_smooth_layout")
+def v13(spark, sf_dir):
+    return ly.smooth_layout(_windows(spark, sf_dir))
+
+
 SEGS = """segs as (select clip_id, frame // 20 as k, min(t_ms) as start_ms, max(t_ms) + 200 as end_ms, ['single_crop', 'dual_stack', 'full_frame_context'][1 + (clip_id + frame // 20) % 3] as layout from frames group by clip_id, frame // 20)"""
 
 
