@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import free_name
+from .tables import free_name, written
 
 FALSE_DISCOVERY = 0.05
 #: Kinds in the order of spans that start together: (name, pattern, least length).
@@ -127,7 +127,7 @@ def random_values(tokens: DataFrame) -> DataFrame:
 
 def spans(docs: DataFrame) -> DataFrame:
     """(rid, kind, start, end): base spans and added ones, for docs with rid and text."""
-    found = _matches(docs)
+    found = written(_matches(docs))  # small, and read by base spans, candidates and tests
     base = found.filter("kind != 'random'").filter(F.when(F.col("kind") == "assign", F.length("value") >= 6).otherwise(True))
     tokens = found.filter("kind = 'random'")
     added = tokens.join(random_values(tokens), "value").select("rid", "kind", "start", "end")
