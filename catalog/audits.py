@@ -160,16 +160,46 @@ def s7(spark, sf_dir):
     return au.run_identity(runs).select("source_id", "fingerprint_id")
 
 
-@register("e15_blind_export")
+@register(
+    "e15_blind_export",
+    "with c as (select source_id, start_ms // 45000 as candidate_seq, min(start_ms) as start_ms, min(start_ms) + 60000 as end_ms, string_agg(text, ' ' order by segment_id) as text from segments group by 1, 2)"
+    " select *, sha256('42:' || source_id || ':' || candidate_seq) as blind_order, cast(null as double) as human_score, cast(null as boolean) as publishable from c",
+)
 def e15(spark, sf_dir):
     return au.blind_export(derived.clips(spark, sf_dir))
 
 
-@register("e16_blind_groups")
-def e16(spark, sf_dir):
+BLIND = """a as (select candidate_set_id, candidate_id, 'A' as g from (select *, row_number() over (partition by candidate_set_id order by rank, candidate_id) as rn from predictions where scorer = 'A' and rank between 16 and 32) where rn <= 4),
+  b as (select candidate_set_id, candidate_id, 'B' as g from (select p.candidate_set_id, p.candidate_id, row_number() over (partition by p.candidate_set_id order by sha256('1337:' || p.candidate_id), p.candidate_id) as rn from pool p
+     where not exists (select 1 from predictions l where l.rank <= 20 and l.candidate_set_id = p.candidate_set_id and l.candidate_id = p.candidate_id)) where rn <= 4),
+  c as (select candidate_set_id, candidate_id, 'C' as g from (select *, row_number() over (partition by candidate_set_id order by rank, candidate_id) as rn from predictions where scorer = 'B' and (status is null or status = 'ranked')) where rn <= 4),
+  ch as (select candidate_set_id, candidate_id, min(g) as blind_group from (select * from a union all select * from b union all select * from c) group by all),
+  bg as (select *, format('blind_{:03d}', row_number() over (partition by candidate_set_id order by sha256('1338:' || candidate_id), candidate_id)) as blind_id from ch semi join pool using (candidate_set_id, candidate_id))"""
+
+
+def _blind(spark, sf_dir):
     preds = derived.predictions(spark, sf_dir)
-    listed = preds.where(F.col("rank") <= 20)
-    return au.blind_groups(derived.pool(spark, sf_dir), preds, listed, "B", "A")
+    return au.blind_groups(derived.pool(spark, sf_dir), preds, preds.where(F.col("rank") <= 20), "B", "A", sizes=(4, 4, 4))
+
+
+@register("e16_blind_groups", f"with {BLIND} select candidate_set_id, candidate_id, blind_group, blind_id from bg")
+def e16(spark, sf_dir):
+    return _blind(spark, sf_dir)
+
+
+@register("e16_blind_document", f"with {BLIND} select candidate_set_id, blind_id, d.text from bg join documents d on d.doc_id = bg.candidate_id")
+def e16_document(spark, sf_dir):
+    docs = derived.table(spark, sf_dir, "documents").select(F.col("source").alias("candidate_set_id"), F.col("doc_id").alias("candidate_id"), "text")
+    return au.blind_document(_blind(spark, sf_dir), docs)
+
+
+@register(
+    "e16_blind_mapping",
+    f"""with {BLIND} select candidate_set_id, blind_id, candidate_id, blind_group, max(rank) filter (where scorer = 'A') as mid_rank, max(rank) filter (where scorer = 'B') as final_rank
+      from bg left join predictions using (candidate_set_id, candidate_id) group by all""",
+)
+def e16_mapping(spark, sf_dir):
+    return au.blind_mapping(_blind(spark, sf_dir), derived.predictions(spark, sf_dir), "B", "A")
 
 
 @register(

@@ -305,3 +305,19 @@ def a19(spark, sf_dir):
         (i * 37 % 60000).alias("burst_1_ms"), (i * 53 % 60000).alias("burst_2_ms"),
     )
     return sig.frame_plan(cands)
+
+
+@register(
+    "a19_frame_plan_scenes",
+    """with c as (select doc_id as source_id, cast(0 as bigint) as seq, greatest(500, doc_id * 131 % 60000) as d, list_transform(range(1, 1 + doc_id % 9), lambda k: doc_id * 37 * k * k % greatest(500, doc_id * 131 % 60000)) as cuts from documents),
+     w as (select source_id, seq, list_concat([list_transform([50, 180, 310, 440, 560, 690, 820, 950], lambda f: {'ms': cast(round(d * f / 1000.0) as bigint), 'kind': 'uniform'})], list_transform(cuts, lambda x: [{'ms': cast(x as bigint), 'kind': 'scene_change'}])) as l from c),
+     p as (select source_id, seq, list_reduce(l, lambda acc, x: case when len(acc) < 12 and len(list_filter(acc, lambda y: abs(y.ms - x[1].ms) < 500)) = 0 then acc || x else acc end) as picked from w),
+     f as (select source_id, seq, unnest(picked) as f from p)
+     select source_id, seq, row_number() over (partition by source_id, seq order by f.ms, f.kind) - 1 as sample, f.ms as offset_ms, f.kind as kind from f""",
+)
+def a19_scenes(spark, sf_dir):
+    i = F.col("doc_id")
+    d = F.greatest(F.lit(500), i * 131 % 60000)
+    cuts = F.when(i % 9 > 0, F.transform(F.sequence(F.lit(1).cast("long"), i % 9), lambda k: i * 37 * k * k % d))
+    cands = derived.table(spark, sf_dir, "documents").select(i.alias("source_id"), F.lit(0).cast("long").alias("seq"), (i * 131 % 60000).alias("duration_ms"), cuts.alias("cuts_ms"))
+    return sig.frame_plan_scenes(cands)

@@ -145,12 +145,17 @@ def run_identity(runs: DataFrame) -> DataFrame:
     )
 
 
+def drawn(seed: int, *columns: str) -> Column:
+    """A sort key for drawing rows in an order that depends on the seed alone."""
+    return F.sha2(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]), 256)
+
+
 def blind_export(cands: DataFrame, seed: int = 42) -> DataFrame:
     """Candidates for blind review: no model column survives, and the order depends on
     the seed alone (shown as a sort key, so no task has to hold the whole order)."""
     return cands.select(
         "source_id", "candidate_seq", "start_ms", "end_ms", "text",
-        F.xxhash64(F.lit(seed), "source_id", "candidate_seq").alias("blind_order"),
+        drawn(seed, "source_id", "candidate_seq").alias("blind_order"),
         F.lit(None).cast("double").alias("human_score"),
         F.lit(None).cast("boolean").alias("publishable"),
     )
@@ -158,7 +163,7 @@ def blind_export(cands: DataFrame, seed: int = 42) -> DataFrame:
 
 def blind_groups(
     pool: DataFrame, preds: DataFrame, shortlist: DataFrame, final: str, mid: str,
-    mid_range: tuple[int, int] = (16, 32), sizes: tuple[int, int, int] = (4, 4, 4), seed: int = 1337,
+    mid_range: tuple[int, int] = (16, 32), sizes: tuple[int, int, int] = (4, 4, 0), seed: int = 1337,
 ) -> DataFrame:
     """Candidates for a blind spot check: some of middling rank, some never shortlisted,
     some at the top. Each candidate serves in its first group only."""
@@ -173,7 +178,7 @@ def blind_groups(
     b = (
         pool.select(*key, "candidate_id")
         .join(shortlist.select(*key, "candidate_id"), [*key, "candidate_id"], "left_anti")
-        .withColumn("_rn", F.row_number().over(pick.orderBy(F.xxhash64(F.lit(seed), "candidate_id"), "candidate_id")))
+        .withColumn("_rn", F.row_number().over(pick.orderBy(drawn(seed, "candidate_id"), "candidate_id")))
         .where(F.col("_rn") <= sizes[1])
         .select(*key, "candidate_id", F.lit("B").alias("blind_group"))
     )
@@ -185,10 +190,24 @@ def blind_groups(
     )
     chosen = a.unionByName(b).unionByName(c).groupBy(*key, "candidate_id").agg(F.min("blind_group").alias("blind_group"))
     known = chosen.join(pool.select(*key, "candidate_id"), [*key, "candidate_id"], "left_semi")
-    order = pick.orderBy(F.xxhash64(F.lit(seed + 1), "candidate_id"), "candidate_id")
+    order = pick.orderBy(drawn(seed + 1, "candidate_id"), "candidate_id")
     return known.withColumn("blind_id", F.format_string("blind_%03d", F.row_number().over(order)))
 
 
+def blind_document(groups: DataFrame, pool: DataFrame) -> DataFrame:
+    """What a reviewer gets: texts under blind ids, without candidate ids, ranks, scores or
+    groups. ``pool``: candidate_set_id, candidate_id, text."""
+    return groups.join(pool, ["candidate_set_id", "candidate_id"]).select("candidate_set_id", "blind_id", "text")
+
+
+def blind_mapping(groups: DataFrame, preds: DataFrame, final: str, mid: str) -> DataFrame:
+    """What stays with the examiner: the candidate behind each blind id, and its ranks."""
+    key = ["candidate_set_id", "candidate_id"]
+    rank = lambda scorer: F.max(F.when(F.col("scorer") == scorer, F.col("rank")))
+    ranks = preds.where(F.col("scorer").isin(final, mid)).groupBy(*key).agg(rank(mid).alias("mid_rank"), rank(final).alias("final_rank"))
+    return groups.join(ranks, key, "left").select("candidate_set_id", "blind_id", "candidate_id", "blind_group", "mid_rank", "final_rank")
+
+
 def review_export(cands: DataFrame, highlights: DataFrame) -> DataFrame:
     """Candidates for open review, ranked ones first; ``review_key`` sorts them."""
     h = highlights.select("source_id", "candidate_seq", "rank", "score")

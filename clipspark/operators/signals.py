@@ -527,3 +527,24 @@ def frame_plan(cands: DataFrame, limit: int = 12) -> DataFrame:
     return cands.select(*CAND, F.posexplode(F.sort_array(picked)).alias("i", "f")).select(
         *CAND, F.col("i").cast("long").alias("sample"), F.col("f.ms").alias("offset_ms"), F.col("f.kind").alias("kind")
     )
+
+
+# Where a clip is sampled when nothing else is known, in thousandths.
+EVEN_PLACES = (50, 180, 310, 440, 560, 690, 820, 950)
+
+
+def frame_plan_scenes(cands: DataFrame, limit: int = 12) -> DataFrame:
+    """Offsets (ms) to sample: eight across the clip, then scene cuts at least half a
+    second from every offset chosen before them.
+
+    ``cands``: source_id, seq, duration_ms, cuts_ms (array, in the order to try)."""
+    d = F.greatest(F.lit(500), F.col("duration_ms"))
+    chosen = lambda ms, kind: F.struct(ms.cast("long").alias("ms"), F.lit(kind).alias("kind"))
+    even = F.array(*[chosen(F.round(d * f / 1000), "uniform") for f in EVEN_PLACES])
+    picked = F.aggregate(
+        F.coalesce("cuts_ms", F.array().cast("array<bigint>")), even,
+        lambda acc, x: F.when((F.size(acc) < limit) & F.forall(acc, lambda y: F.abs(y["ms"] - x) >= 500), F.concat(acc, F.array(chosen(x, "scene_change")))).otherwise(acc),
+    )
+    return cands.select(*CAND, F.posexplode(F.sort_array(picked)).alias("i", "f")).select(
+        *CAND, F.col("i").cast("long").alias("sample"), F.col("f.ms").alias("offset_ms"), F.col("f.kind").alias("kind")
+    )
