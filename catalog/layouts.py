@@ -141,6 +141,32 @@ def _segs(spark, sf_dir):
     return s.withColumn("layout", F.get(names, ((F.col("clip_id") + F.col("k")) % 3).cast("int")))
 
 
+def _dual(spark, sf_dir):
+    """Frames, boxes and track summaries, and a plan with two-subject stretches."""
+    obs, frames = cf._obs(spark, sf_dir), cf._frames(spark, sf_dir)
+    plan = _segs(spark, sf_dir).withColumn("subjects", F.when(F.col("layout") == ly.DUAL, "1,2").otherwise(""))
+    return frames, obs, plan, fr.track_summary(obs, frames)
+
+
+@register(
+    "v15_viewport_targets",
+    f"""with {cf.OBS}, {SEGS}, pr as (select s.clip_id, s.start_ms, s.end_ms, t.track_id, row_number() over (partition by s.clip_id, s.start_ms order by mean_center_x, t.track_id) - 1 as side from segs s join s3 t on t.clip_id = s.clip_id and t.track_id in (1, 2) where layout = 'dual_stack'),
+     wn as (select f.clip_id, f.t_ms, side, track_id from frames f join pr on pr.clip_id = f.clip_id and start_ms <= t_ms and t_ms < end_ms),
+     tb as (select clip_id, t_ms, track_id, case when w + 2 * (w * 0.55e0) <= 810 and x + w + w * 0.55e0 - 405.0e0 <= x - w * 0.55e0 + 405.0e0 then least(greatest(x + w / 2.0e0, x + w + w * 0.55e0 - 405.0e0), x - w * 0.55e0 + 405.0e0) else x + w / 2.0e0 end as tx,
+       least(greatest(greatest(least(y + h / 2.0e0 + 720 * (0.5e0 - 0.38e0), y - 0.45e0 * h + 360.0e0), y + h - 360.0e0), 360.0e0), 360.0e0) as ty from obs),
+     rw2 as (select f.clip_id, f.t_ms, f.scene_cut, s.side from frames f, (values (0), (1)) s(side) where f.clip_id in (select clip_id from wn)),
+     lv as (select r.*, tx, ty from rw2 r left join (select * from wn join tb using (clip_id, t_ms, track_id)) l using (clip_id, t_ms, side))
+     select clip_id, side::int as side, t_ms, coalesce(last_value(tx ignore nulls) over k, 640.0e0) as x, coalesce(last_value(ty ignore nulls) over k, 360.0e0) as y, scene_cut from lv window k as (partition by clip_id, side order by t_ms rows between unbounded preceding and current row)""",
+)
+def v15_targets(spark, sf_dir):
+    return ly.viewport_targets(*_dual(spark, sf_dir))
+
+
+@register("v15_dual_viewports")
+def v15(spark, sf_dir):
+    return ly.dual_viewports(*_dual(spark, sf_dir))
+
+
 @register(
     "v14_layout_summary",
     f"""with {cf.OBS}, {SEGS}, im as (select clip_id, track_id, persistent, persistent and mean_area / 921600.0e0 >= 0.0012e0 as significant, frames_seen, rnd6(0.45e0 * visibility_ratio + 0.25e0 * least(1.0e0, mean_area / 40000.0e0) + 0.20e0 * mean_speaking + 0.10e0 * continuity) as importance from s3),
