@@ -7,7 +7,8 @@ jump of zero leads to the bucket of windows that end with the block, and a direc
 comparison of all words confirms an occurrence.
 
 The windows are cut into blocks of at most ``block_windows``; each block is one search
-over the documents, so what a task holds is bounded however large the benchmark is.
+over the documents, and a table is written after every few, so what the driver and a task
+hold is bounded however large the benchmark is.
 
 Defined results: null or empty texts have no words and no hits; items without words match
 nothing; equal windows of several items count for each of them; repeated rows get equal
@@ -23,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import free_name, map_text, pick
+from .tables import free_name, map_text, pick, written
 from .words import mix, words
 
 WINDOW = 10
-BLOCK_WINDOWS = 2_000_000
+BLOCK_WINDOWS = 200_000
+BLOCKS_AT_ONCE = 4
 FIELDS = "n_words bigint, starts array<int>, ends array<int>, items array<string>"
 _TABLE_BITS = 16
 _LANE = 512
@@ -171,6 +173,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, into: str = "leaks", text:
     part = F.pmod(F.xxhash64("item_id", "numbers"), F.lit(blocks))
     out = docs
     for k in range(blocks):
+        if k and k % BLOCKS_AT_ONCE == 0:  # searches in one stage hold their blocks together
+            out = written(out)
         rows = [(r.item_id, r.numbers) for r in windows.filter(part == k).toLocalIterator()]
         out = search_block(out, rows, into, into if k else None, text)
     return out
