@@ -61,35 +61,51 @@ def s1_rejects(spark, sf_dir):
 CLIPS = "clips as (select source_id, start_ms // 45000 as candidate_seq, min(start_ms) as start_ms, min(start_ms) + 60000 as end_ms, string_agg(text, ' ' order by segment_id) as text from segments group by 1, 2)"
 
 
-@register(
-    "s2_read_candidates",
-    f"with {CLIPS} select 'f' || source_id as path, case when source_id % 2 = 0 then 'legacy' else 'set' || source_id end as candidate_set_id, row_number() over (partition by source_id order by candidate_seq) - 1 as candidate_seq, 'c' || candidate_seq as candidate_id, start_ms, end_ms, text from clips where source_id % 10 <> 7",
-)
-def s2(spark, sf_dir):
+def _candidates(spark, sf_dir):
     q = F.col("candidate_seq")
     item = F.struct(q.alias("k"), F.concat(F.lit("c"), q.cast("string")).alias("id"), (F.col("start_ms") / 1000.0).alias("start"), (F.col("end_ms") / 1000.0).alias("end"), "text")
     docs = derived.clips(spark, sf_dir).groupBy("source_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
     i = F.col("source_id")
     wrapped = F.to_json(F.struct(F.concat(F.lit("set"), i.cast("string")).alias("candidate_set_id"), F.col("items").alias("candidates")))
     text = F.when(i % 10 == 7, "{broken").when(i % 2 == 0, F.to_json("items")).otherwise(wrapped)
-    raw = docs.select(F.concat(F.lit("f"), i.cast("string")).alias("path"), text.alias("value"))
-    return files.parse_candidates(raw).drop("segment_ids")
+    return docs.select(F.concat(F.lit("f"), i.cast("string")).alias("path"), text.alias("value"))
 
 
 @register(
-    "s3_read_predictions",
-    """select candidate_set_id, scorer, 'c' || candidate_id as candidate_id, case when candidate_set_id in ('src1', 'src11') then rank * 2 else rank end as rank, score
-      from predictions where candidate_set_id not in ('src7', 'src17')""",
+    "s2_read_candidates",
+    f"with {CLIPS} select 'f' || source_id as path, case when source_id % 2 = 0 then 'legacy' else 'set' || source_id end as candidate_set_id, row_number() over (partition by source_id order by candidate_seq) - 1 as candidate_seq, 'c' || candidate_seq as candidate_id, start_ms, end_ms, text from clips where source_id % 10 <> 7",
 )
-def s3(spark, sf_dir):
+def s2(spark, sf_dir):
+    return files.parse_candidates(_candidates(spark, sf_dir)).drop("segment_ids")
+
+
+@register("s2_candidate_rejects", "select distinct 'f' || source_id as path, 'not JSON' as reason from segments where source_id % 10 = 7")
+def s2_rejects(spark, sf_dir):
+    return files.candidate_rejects(_candidates(spark, sf_dir))
+
+
+def _prediction_documents(spark, sf_dir):
     preds = derived.predictions(spark, sf_dir)
     odd = F.col("candidate_set_id").isin("src1", "src11")
     item = F.struct(F.col("rank").alias("k"), F.concat(F.lit("c"), F.col("candidate_id").cast("string")).alias("candidate_id"),
                     F.when(odd, F.col("rank") * 2).alias("rank"), "score")
     docs = preds.groupBy("candidate_set_id", "scorer").agg(F.sort_array(F.collect_list(item)).alias("predictions"))
     text = F.when(F.col("candidate_set_id").isin("src7", "src17"), "not json").otherwise(F.to_json(F.struct("candidate_set_id", "predictions")))
-    raw = docs.select(F.concat(F.lit("run/"), "candidate_set_id", F.lit("/"), "scorer", F.lit(".json")).alias("path"), text.alias("value"))
-    return files.parse_predictions(raw).drop("reason")
+    return docs.select(F.concat(F.lit("run/"), "candidate_set_id", F.lit("/"), "scorer", F.lit(".json")).alias("path"), text.alias("value"))
+
+
+@register(
+    "s3_read_predictions",
+    """select candidate_set_id, scorer, 'c' || candidate_id as candidate_id, case when candidate_set_id in ('src1', 'src11') then rank * 2 else rank end as rank, score
+      from predictions where candidate_set_id not in ('src7', 'src17')""",
+)
+def s3(spark, sf_dir):
+    return files.parse_predictions(_prediction_documents(spark, sf_dir)).drop("reason")
+
+
+@register("s3_prediction_rejects", "select distinct 'run/' || candidate_set_id || '/' || scorer || '.json' as path, 'not JSON' as reason from predictions where candidate_set_id in ('src7', 'src17')")
+def s3_rejects(spark, sf_dir):
+    return files.prediction_rejects(_prediction_documents(spark, sf_dir))
 
 
 @register(

@@ -10,7 +10,7 @@ import uuid
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipspark.operators.stages import materialise
@@ -82,6 +82,28 @@ def parse_candidates(raw: DataFrame) -> DataFrame:
     )
 
 
+def _rejected(raw: DataFrame, usable: Column, missing: str) -> DataFrame:
+    """(path, reason) of documents that a reader leaves out."""
+    broken = F.try_parse_json("value").isNull()
+    return raw.where(broken | ~F.coalesce(usable, F.lit(False))).select("path", F.when(broken, "not JSON").otherwise(missing).alias("reason"))
+
+
+def candidate_rejects(raw: DataFrame) -> DataFrame:
+    """Documents without a list of candidates."""
+    wrapped = F.from_json("value", f"candidate_set_id string, candidates array<{CANDIDATE}>")
+    return _rejected(raw, F.ltrim("value").startswith("[") | wrapped["candidates"].isNotNull(), "no candidates")
+
+
+def prediction_rejects(raw: DataFrame) -> DataFrame:
+    """Documents without a list of predictions."""
+    return _rejected(raw, F.from_json("value", f"predictions array<{PREDICTION}>")["predictions"].isNotNull(), "no predictions")
+
+
+def job_rejects(raw: DataFrame) -> DataFrame:
+    """Documents without a job id."""
+    return _rejected(raw, F.from_json("value", "job_id string")["job_id"].isNotNull(), "no job id")
+
+
 def read_candidates(spark: SparkSession, path: str) -> DataFrame:
     return parse_candidates(read_documents(spark, path))
 

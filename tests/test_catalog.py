@@ -15,6 +15,8 @@ SAMPLE = (
     "g3_candidate_windows", "g4_chapter_plan", "c1_score_heuristic", "c3_score_v2_1", "c12_recover_rejections", "discover",
     "e2_ndcg_at_k", "e9_score_distribution", "e12_disagreements", "j1_surrounding_context", "j3_assign_chapter", "r4_shortlist_union",
     "r15_final_order", "a10_burst_peaks", "a18_refine_subclip", "v5_active_subject", "v7_smooth_crop", "e20_retention_plan", "s1_transcript_segments",
+    "s1_transcript_words", "s3_read_predictions", "v12_layout_windows", "v15_viewport_targets", "e16_blind_mapping", "a19_frame_plan_scenes",
+    "j6_refine_boundaries", "j11_pending_transcripts", "v1_box_overlap", "e15_blind_export",
 )
 
 

@@ -42,3 +42,12 @@ def test_fingerprints_change_with_content(spark, tmp_path):
     (tmp_path / "b.bin").write_bytes(b"x" * 299_999 + b"y")
     got = files.fingerprint_files(spark, str(tmp_path)).select("fingerprint_id").distinct().count()
     assert got == 2
+
+
+def test_a_source_of_the_second_table_only_is_published(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    a = spark.createDataFrame([("s1", 1)], "source_id string, v int")
+    b = spark.createDataFrame([("s1", 5), ("s2", 6)], "source_id string, w int")
+    files.write_run({"scores": a, "clips": b}, path)
+    assert rows(files.read_run(spark, path, "clips"), "source_id", "w") == [("s1", "5"), ("s2", "6")]
+    assert rows(files.unfinished(b.select("source_id"), path)) == []
