@@ -16,7 +16,6 @@ results; null item ids are left out of the item lists; empty tables give no hits
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 
 import numpy as np

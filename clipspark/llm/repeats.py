@@ -28,7 +28,6 @@ place; rows are told apart by id and text together, null ids included."""
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
