@@ -113,7 +113,7 @@ def test_quality(spark, edge, nothing):
     data = [(i, "a", "Home | About  us\n" + prose(60, i)) for i in range(40)] + [(i, "a", "\n".join(["home | about us " + "menu " * 50] * 1) + "\nshort " + prose(55, i)) for i in range(40, 60)]
     r = {x.doc_id: x for x in quality_table(spark.createDataFrame(data, "doc_id long, source string, text string")).collect()}
     assert all(r[i].n_boilerplate == 4 and r[i].kept == (not r[i].base_failed) for i in range(40))
-    assert all(r[i].n_boilerplate == 53 for i in range(40, 60))
+    assert all(r[i].n_boilerplate == 54 for i in range(40, 60))
 
 
 def test_packing(spark, edge, nothing):
