@@ -8,8 +8,8 @@
 2. The generative label model. Means and covariances of the votes are counted over all
    documents. If voters i, j, k are independent given the hidden label, then
    cov(i, j) = p (1 - p) d_i d_j with d the difference a label makes to a vote, so
-   d_i^2 = cov(i, j) cov(i, k) / (cov(j, k) p (1 - p)): the median over all such triples
-   gives each voter's accuracy. What is left of the covariances is the correlation of the
+   d_i^2 = cov(i, j) cov(i, k) / (cov(j, k) p (1 - p)): the lower quartile over all such
+   triples gives each voter's accuracy, as voters that repeat each other only raise it. What is left of the covariances is the correlation of the
    voters; it enters the posterior through the inverse of that matrix.
 3. A linear classifier over the marked features is fitted to the posterior labels of the
    sample and scaled to its labels. It scores every document.
@@ -178,7 +178,7 @@ def label_model(n: float, ones: np.ndarray, both: np.ndarray, share: float) -> t
                 if i not in (j, k) and cov[j, k] > 1e-7 and cov[i, j] > 0 and cov[i, k] > 0:
                     found.append(cov[i, j] * cov[i, k] / (cov[j, k] * spread))
         if found:
-            d[i] = min(1.0, float(np.sqrt(np.median(found))))
+            d[i] = min(1.0, float(np.sqrt(np.quantile(found, 0.25))))
     # a vote's rates given the label stay rates
     one = np.clip(mean + (1 - share) * d, 1e-4, 1 - 1e-4)
     zero = np.clip(mean - share * d, 1e-4, 1 - 1e-4)
