@@ -1,8 +1,9 @@
 """Near-duplicate documents by a grouped prefix join on word shingles.
 
-A document's set holds its distinct shingles of three lower-cased words. Two sets link when
-intersection / union >= 0.9 (in whole numbers). Under any fixed order of all shingles, two
-linked sets share one of the first ``n // 10 + 1`` shingles, the prefix. Here shingles of
+A document's set holds its distinct shingles of lower-cased words. Two sets link when
+intersection / union reaches a share (in whole numbers). A ``Rule`` gives both; the default
+is three words and 0.9, the contract of op2. Under any fixed order of all shingles, two
+linked sets share one of the first ``(1 - share) * n + 1`` shingles, the prefix. Here shingles of
 rare words come first, so few prefixes meet by chance: words with a share of at least
 ``FREQUENT`` of all words, counted over the whole corpus, lower the rank. There can be no
 more than 1 / FREQUENT such words, so the list sent to the tasks is bounded.
@@ -30,6 +31,7 @@ has a null id); rows that share an id but not a text are separate documents."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +42,41 @@ from pyspark.sql import types as T
 from .tables import Sieve, components, free_name, pick, written
 from .words import Words, mix, runs, words
 
-SHINGLE = 3
 FREQUENT = 1 / 8192
 _MASKS = ("m0", "m1", "m2", "m3")
 
 
+@dataclass(frozen=True)
+class Rule:
+    """Words in a shingle, and the share of the union, in hundredths, from which sets link."""
+
+    shingle: int = 3
+    percent: int = 90
+
+    def __post_init__(self) -> None:
+        if self.shingle < 1 or not 0 < self.percent <= 100:
+            raise ValueError(f"no rule for near duplicates: {self}")
+
+    def prefix(self, n: np.ndarray) -> np.ndarray:
+        """Length of the prefix of a set of ``n`` shingles."""
+        return (100 - self.percent) * n // 100 + 1
+
+    def behind(self, n: Column) -> Column:
+        """Shingles behind the prefix."""
+        return n - F.floor((100 - self.percent) * n / 100) - 1
+
+    def fits(self, n_a: Column, n_b: Column) -> Column:
+        """Whether sets of these sizes may link."""
+        return 100 * F.least(n_a, n_b) >= self.percent * F.greatest(n_a, n_b)
+
+    def common(self, both: Column) -> Column:
+        """Shingles that linked sets share at least, where ``both`` is the sum of the sizes."""
+        return F.ceil(self.percent * both / (100 + self.percent))
+
+
+RULE = Rule()
+
+
 def frequent_words(docs: DataFrame, share: float = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """(numbers, class): the words with at least about ``share`` of all words, sorted by
     number; the class rises by one each time the share doubles. Words under an eighth of
@@ -71,16 +103,18 @@ def frequent_words(docs: DataFrame, share: float = FREQUENT) -> tuple[np.ndarray
     return number[order], (1 + np.log2(np.maximum(1, n[order] / max(1, total) / share))).astype(np.uint64)
 
 
-def _sets(part: Words, number: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _sets(part: Words, number: np.ndarray, level: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, rank) of the distinct shingles of each row, in ascending order."""
     cls = np.zeros(len(part.number), np.uint64)
     if len(number):
         at = np.minimum(np.searchsorted(number, part.number), len(number) - 1)
         cls = np.where(number[at] == part.number, level[at], cls)
-    starts, value = part.windows(SHINGLE)
-    low = np.minimum(np.minimum(cls[starts], cls[starts + 1]), cls[starts + 2])
+    starts, value = part.windows(shingle)
+    low = cls[starts]
+    for k in range(1, shingle):
+        low = np.minimum(low, cls[starts + k])
     row = np.searchsorted(part.first, starts, "right") - 1
-    short = np.flatnonzero((part.counts > 0) & (part.counts < SHINGLE))
+    short = np.flatnonzero((part.counts > 0) & (part.counts < shingle))
     row = np.concatenate([row, short])
     rank = np.concatenate([(low << np.uint64(60)) | (value >> np.uint64(4)), runs(part.number, part.first[short], part.first[short + 1]) >> np.uint64(4)])
     order = np.lexsort((rank, row))
@@ -90,7 +124,7 @@ def _sets(part: Words, number: np.ndarray, level: np.ndarray) -> tuple[np.ndarra
     return row[new], rank[new]
 
 
-def members(docs: DataFrame) -> DataFrame:
+def members(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """(doc_id, rid, n, sk, m0..m3, mask, prefix) of every row of (doc_id, rid, text): the
     size of its set, the number of the set (null if empty), a parity mask of 256 bits, one
     of four to eight bits for each shingle, and the prefix."""
@@ -104,7 +138,7 @@ def members(docs: DataFrame) -> DataFrame:
         number, level = held.value
         for batch in batches:
             for part in words(batch.column(2), "spaced_lower"):
-                row, rank = _sets(part, number, level)
+                row, rank = _sets(part, number, level, rule.shingle)
                 rows = len(part.counts)
                 n = np.bincount(row, minlength=rows)
                 first = np.cumsum(n) - n
@@ -122,7 +156,7 @@ def members(docs: DataFrame) -> DataFrame:
                 flips = np.bincount(place[row] + (spread & (bits[row] - 1).astype(np.uint64)).astype(np.int64), minlength=int(bits.sum())) & 1
                 packed = np.packbits(flips.astype(bool), bitorder="little").tobytes()
                 mask = [packed[a // 8 : (a + b) // 8] for a, b in zip(place.tolist(), bits.tolist())]
-                p = np.where(n > 0, n // 10 + 1, 0)
+                p = np.where(n > 0, rule.prefix(n), 0)
                 taken = np.repeat(first, p) + np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
                 offsets = np.concatenate([[0], np.cumsum(p)]).astype(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(rank[taken].view(np.int64)))
@@ -135,10 +169,10 @@ def members(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "rid", "text").mapInArrow(task, schema)
 
 
-def _may_link(n_a: Column, n_b: Column, differ: Column) -> Column:
+def _may_link(n_a: Column, n_b: Column, differ: Column, rule: Rule) -> Column:
     """Sizes fit, and a lower bound of the sets' difference leaves room for a link."""
     both = n_a + n_b
-    return (10 * F.least(n_a, n_b) >= 9 * F.greatest(n_a, n_b)) & (differ <= both - 2 * F.ceil(9 * both / 19))
+    return rule.fits(n_a, n_b) & (differ <= both - 2 * rule.common(both))
 
 
 def _bits(pairs) -> Column:
@@ -148,7 +182,7 @@ def _bits(pairs) -> Column:
     return total
 
 
-def sifted(pairs: DataFrame, slim: DataFrame) -> DataFrame:
+def sifted(pairs: DataFrame, slim: DataFrame, rule: Rule = RULE) -> DataFrame:
     """(a, b, gap) of the pairs whose long masks leave room for a link. Two masks differ in
     no more bits than the sets in shingles; the longer one is folded to the shorter's
     length. ``gap`` is that difference as a share of both sizes."""
@@ -167,13 +201,13 @@ def sifted(pairs: DataFrame, slim: DataFrame) -> DataFrame:
                 x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
                 size = min(len(x), len(y))
                 differ[i] = int(np.bitwise_count(fold(x, size) ^ fold(y, size)).sum())
-            may = differ <= both - 2 * (-(-9 * both // 19))
+            may = differ <= both - 2 * (-(-rule.percent * both // (100 + rule.percent)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(differ / both)], names=["a", "b", "gap"]).filter(pa.array(may))
 
     return rows.mapInArrow(task, "a bigint, b bigint, gap double")
 
 
-def verified(pairs: DataFrame, slim: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, slim: DataFrame, docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """The pairs (a, b) of set numbers whose sets link. Only texts of sets in a pair are
     shuffled: a filter of fixed size holds back the rest."""
     pairs = written(pairs)
@@ -193,7 +227,7 @@ def verified(pairs: DataFrame, slim: DataFrame, docs: DataFrame) -> DataFrame:
                 fresh = list({k: i for i, k in enumerate(keys[side]) if k not in sets}.items())
                 column = batch.column(2 + side).take(pa.array([i for _, i in fresh], pa.int64()))
                 for part in words(column, "spaced_lower"):
-                    row, rank = _sets(part, none, none)
+                    row, rank = _sets(part, none, none, rule.shingle)
                     cut = np.searchsorted(row, np.arange(len(part.counts) + 1))
                     for i in range(len(part.counts)):
                         sets[fresh[part.rows.start + i][0]] = rank[cut[i] : cut[i + 1]]
@@ -201,7 +235,7 @@ def verified(pairs: DataFrame, slim: DataFrame, docs: DataFrame) -> DataFrame:
             for i, (a, b) in enumerate(zip(*keys)):
                 x, y = sets[a], sets[b]
                 common = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * common >= 90 * (len(x) + len(y) - common):
+                if 100 * common >= rule.percent * (len(x) + len(y) - common):
                     good.append(i)
             yield batch.select([0, 1]).take(pa.array(good, pa.int64()))
 
@@ -227,10 +261,10 @@ def _posts(table: DataFrame) -> DataFrame:
     return table.select("g", "n", "prefix").mapInArrow(task, schema).groupBy("token", "g").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
 
 
-def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def linked_sets(docs: DataFrame, rule: Rule = RULE) -> tuple[DataFrame, DataFrame]:
     """(members table, labels (sk, component)) for docs of (doc_id, rid, text); sets that
     link with no other set have no label."""
-    table = written(members(docs).withColumn("g", F.when(F.col("n") > 0, F.xxhash64("n", "prefix"))))
+    table = written(members(docs, rule).withColumn("g", F.when(F.col("n") > 0, F.xxhash64("n", "prefix"))))
     some = table.filter("n > 0")
     posts = written(_posts(some))
     slim = some.groupBy("sk").agg(F.min("rid").alias("rid"), F.first("g").alias("g"), F.first("n").alias("n"), *[F.first(m).alias(m) for m in (*_MASKS, "mask")])
@@ -238,14 +272,14 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges, labels = None, None
     for seeds in ((1, 2), (3, 4)):
         known = _with_component(slim, labels)
-        stars = written(sifted(_stars(posts, known, seeds[0]).union(_stars(posts, known, seeds[1])).distinct(), slim))
+        stars = written(sifted(_stars(posts, known, seeds[0], rule).union(_stars(posts, known, seeds[1], rule)).distinct(), slim, rule))
         # each member's closest one; the rest stage finds what these don't connect
         ends = stars.select(F.col("a").alias("m"), "gap", "a", "b").union(stars.select("b", "gap", "a", "b"))
         closest = ends.groupBy("m").agg(F.min(F.struct("gap", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-        found = verified(closest, slim, docs)
+        found = verified(closest, slim, docs, rule)
         edges = found if edges is None else edges.union(found)
         labels = components(edges)
-    rest = verified(sifted(_rest(posts, _with_component(slim, labels)), slim).select("a", "b"), slim, docs)
+    rest = verified(sifted(_rest(posts, _with_component(slim, labels), rule), slim, rule).select("a", "b"), slim, docs, rule)
     labels = components(edges.union(rest))
     return table, labels.select(F.col("node").alias("sk"), "component")
 
@@ -259,20 +293,20 @@ def _with_component(slim: DataFrame, labels: DataFrame | None) -> DataFrame:
     return written(known)
 
 
-def _stars(posts: DataFrame, slim: DataFrame, seed: int) -> DataFrame:
+def _stars(posts: DataFrame, slim: DataFrame, seed: int, rule: Rule) -> DataFrame:
     """Pairs of each member with one member of each of its buckets, if they lie in
     different components."""
     one = slim.groupBy("g").agg(F.min(F.struct(F.xxhash64("sk", F.lit(seed)).alias("h"), "sk", "component", "n", *_MASKS)).alias("one"))
     centre = posts.groupBy("token").agg(F.min(F.struct(F.xxhash64("g", "token", F.lit(seed)).alias("h"), F.col("g").alias("c"), F.col("n").alias("cn"))).alias("centre"))
-    pairs = posts.join(centre.select("token", "centre.c", "centre.cn"), "token").filter(10 * F.least("n", "cn") >= 9 * F.greatest("n", "cn")).filter("g != c").select("g", "c")
+    pairs = posts.join(centre.select("token", "centre.c", "centre.cn"), "token").filter(rule.fits(F.col("n"), F.col("cn"))).filter("g != c").select("g", "c")
     pairs = pairs.distinct().union(slim.groupBy("g").agg(F.count("*").alias("size")).filter("size > 1").select("g", F.col("g").alias("c")))
     ends = slim.join(pairs, "g").join(one.select(F.col("g").alias("c"), "one"), "c")
     differ = _bits([F.col(m).bitwiseXOR(F.col(f"one.{m}")) for m in _MASKS])
-    may = (F.col("component") != F.col("one.component")) & _may_link(F.col("n"), F.col("one.n"), differ)
+    may = (F.col("component") != F.col("one.component")) & _may_link(F.col("n"), F.col("one.n"), differ, rule)
     return ends.filter(may).select(F.least("sk", "one.sk").alias("a"), F.greatest("sk", "one.sk").alias("b"))
 
 
-def _rest(posts: DataFrame, slim: DataFrame) -> DataFrame:
+def _rest(posts: DataFrame, slim: DataFrame, rule: Rule) -> DataFrame:
     """All pairs of members that share enough prefix shingles, may link, and lie in
     different components."""
     slim = written(slim.withColumn("part", F.xxhash64("g", "component")))
@@ -287,20 +321,20 @@ def _rest(posts: DataFrame, slim: DataFrame) -> DataFrame:
     common = F.least(col("a", "n") - col("a", "pos"), col("b", "n") - col("b", "pos"))
     fits = (
         (col("a", "token") == col("b", "token")) & (col("a", "part") < col("b", "part")) & (col("a", "component") != col("b", "component"))
-        & _may_link(col("a", "n"), col("b", "n"), differ)
+        & _may_link(col("a", "n"), col("b", "n"), differ, rule)
     )
     # no more can be shared than before both places and from both places on
-    fits &= common + F.least(col("a", "pos"), col("b", "pos")) >= F.ceil(9 * (col("a", "n") + col("b", "n")) / 19)
+    fits &= common + F.least(col("a", "pos"), col("b", "pos")) >= rule.common(col("a", "n") + col("b", "n"))
     met = a.join(b, fits).select(col("a", "part").alias("pa"), col("b", "part").alias("pb"), col("a", "n").alias("x"), col("b", "n").alias("y"))
     # Up to the end of the prefix that ends first, what two sets share stands in both
     # prefixes; behind it at most the rest of that set is shared.
-    behind = F.greatest(F.col("x") - F.floor(F.col("x") / 10) - 1, F.col("y") - F.floor(F.col("y") / 10) - 1)
+    behind = F.greatest(rule.behind(F.col("x")), rule.behind(F.col("y")))
     met = met.groupBy("pa", "pb", "x", "y").agg(F.count("*").alias("c"))
-    pairs = met.filter(F.col("c") + behind >= F.ceil(9 * (F.col("x") + F.col("y")) / 19)).select("pa", "pb")
+    pairs = met.filter(F.col("c") + behind >= rule.common(F.col("x") + F.col("y"))).select("pa", "pb")
     left = slim.select(F.col("part").alias("pa"), F.col("sk").alias("a"), F.col("n").alias("na"), *[F.col(m).alias(f"a{m}") for m in _MASKS])
     right = slim.select(F.col("part").alias("pb"), F.col("sk").alias("b"), F.col("n").alias("nb"), *[F.col(m).alias(f"b{m}") for m in _MASKS])
     both = pairs.join(left, "pa").join(right, "pb")
-    may = _may_link(F.col("na"), F.col("nb"), _bits([F.col(f"a{m}").bitwiseXOR(F.col(f"b{m}")) for m in _MASKS]))
+    may = _may_link(F.col("na"), F.col("nb"), _bits([F.col(f"a{m}").bitwiseXOR(F.col(f"b{m}")) for m in _MASKS]), rule)
     return both.filter(may).select("a", "b")
 
 
@@ -308,19 +342,19 @@ def _numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(f"`{key}`").alias("doc_id"), F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("rid"), F.col(f"`{text}`").alias("text"))
 
 
-def duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = RULE) -> DataFrame:
     """(doc_id, rid, n_shingles, component_id) of every row; component_id is the smallest
     id that links reach."""
-    table, labels = linked_sets(_numbered(docs, key, text))
+    table, labels = linked_sets(_numbered(docs, key, text), rule)
     rows = table.select("doc_id", "rid", "n", "sk").join(labels, "sk", "left").withColumn("component", F.coalesce("component", "sk"))
     least = rows.filter("sk is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return rows.join(least, "component", "left").select("doc_id", "rid", F.col("n").alias("n_shingles"), F.when(F.col("sk").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = RULE) -> DataFrame:
     """The rows of ``docs`` with one row left of each component: the smallest id (null
     ids last), and one copy if its row is repeated. Rows without words stay."""
-    table, labels = linked_sets(_numbered(docs, key, text))
+    table, labels = linked_sets(_numbered(docs, key, text), rule)
     rows = table.select("doc_id", "rid", "sk").join(labels, "sk", "left").withColumn("component", F.coalesce("component", "sk"))
     first = rows.filter("sk is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "rid")).alias("one")).select(F.col("one.rid").alias("rid"), F.lit(True).alias("once"))
     stay = written(first.union(rows.filter("sk is null").select("rid", F.lit(False)).distinct()))

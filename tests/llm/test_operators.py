@@ -250,3 +250,32 @@ def test_learn_returns_sorted_features(spark):
     docs, labels = _labelled(spark)
     model = learn(docs, labels)
     assert (np.diff(model.number.astype(float)) >= 0).all() and len(model.number) == len(model.weight)
+
+
+def classes_by(data, shingle, percent):
+    """Classes by brute force, for any shingle length and share."""
+    words = [brute.SPACED.findall(brute.low(t)) for _, t in data]
+    sets = [{tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set() for w in words]
+    head = list(range(len(data)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if (both := len(x & y)) and 100 * both >= percent * (len(x) + len(y) - both) and head[i] != head[j]:
+                head = [head[i] if h == head[j] else h for h in head]
+    least = {h: min((d for (d, _), g in zip(data, head) if g == h and d is not None), default=None) for h in set(head)}
+    return [(d, len(s), least[h] if s else d) for (d, _), s, h in zip(data, sets, head)]
+
+
+def test_near_duplicates_by_another_rule(spark):
+    """Copies that 0.9 of three words keeps apart and 0.8 of five words links, and sets short of either."""
+    base = prose(200, 70).split()
+    data = [(0, " ".join(base)), (1, " ".join(base[:100] + prose(12, 71).split() + base[100:])), (2, " ".join(base[:100] + prose(60, 72).split() + base[100:])), (3, "one two three four"), (4, "one two three four")]
+    for i in range(10, 60):
+        w = prose(200, 70 + i % 3).split()
+        for k in range(i % 7):
+            w[(k * 25 + i) % 200] = f"own{i}x{k}"
+        data.append((i, " ".join(w)))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    rule, want = near_duplicates.Rule(5, 80), classes_by(data, 5, 80)
+    assert want[1][2] == 0 and want[4][2] == 3 and want != brute.classes(data)
+    assert rows(near_duplicates.duplicate_classes(df, rule=rule), "doc_id", "n_shingles", "component_id") == Counter(want)
+    assert {r.doc_id for r in one_of_each(df, rule=rule).collect()} == {c for _, _, c in want}
