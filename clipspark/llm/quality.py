@@ -5,7 +5,8 @@ A-Z lowered, white space collapsed) and hashed, and for each host the distinct d
 that hold it are counted. A line is boilerplate where it stands in at least ``LEAST_DOCS``
 documents and in ``LINE_SHARE`` of its host's documents; copies of one text count once. A
 document is rejected when it fails the base rules, or when more than ``DEPLETED`` of its
-words stand in boilerplate lines.
+words stand in boilerplate lines. ``quality_table`` has these figures of the whole texts;
+``cleaned_table`` removes the lines and judges what is left.
 
 Only (line number, host, text number) rows are shuffled, never texts, and distinct pairs
 are combined before the shuffle, so one line or host in a third of all documents is spread
@@ -37,9 +38,13 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, _SPACES), lambda w: w != "")
 
 
+def _worded(line: Column) -> Column:
+    return F.length(F.translate(line, _SPACE, "")) > 0
+
+
 def _lines(text: Column) -> Column:
     """Lines that hold a word."""
-    return F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, _SPACE, "")) > 0)
+    return F.filter(F.split(text, "\n"), _worded)
 
 
 def _repeat_words(w: Column) -> Column:
@@ -81,9 +86,9 @@ def _lowered(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def boilerplate_words(docs: DataFrame, least_docs: int = LEAST_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
-    """(rid, n_boilerplate): words in boilerplate lines, for texts with some; ``docs`` has
-    rid, text, host."""
+def boilerplate_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
+    """(rid, i, n): place among the lines with a word, and words, of each boilerplate line;
+    ``docs`` has rid, text, host."""
     normal = F.regexp_replace(_lowered(F.col("line")), _SPACES, " ")
     lines = docs.select("rid", "host", F.xxhash64("text").alias("tid"), F.posexplode(_lines(F.col("text"))).alias("i", "line")).select("rid", "host", "tid", "i", F.trim(normal).alias("line"))
     lines = lines.select("rid", "host", "tid", "i", F.xxhash64("line").alias("h"), (F.length("line") - F.length(F.translate("line", " ", "")) + 1).alias("n"))
@@ -91,16 +96,53 @@ def boilerplate_words(docs: DataFrame, least_docs: int = LEAST_DOCS, line_share:
     hosts = docs.select(F.col("host").alias("host_"), F.xxhash64("text").alias("tid")).distinct().groupBy("host_").agg(F.count("*").alias("all_docs"))
     often = held.join(hosts, F.col("host").eqNullSafe(F.col("host_"))).filter(F.col("docs") >= line_share * F.col("all_docs")).select("host_", F.col("h").alias("h_"))
     hits = lines.join(often, (F.col("h") == F.col("h_")) & F.col("host").eqNullSafe(F.col("host_")), "left_semi")
-    return hits.select("rid", "i", "n").distinct().groupBy("rid").agg(F.sum("n").alias("n_boilerplate"))
+    return hits.select("rid", "i", "n").distinct()
+
+
+def boilerplate_words(docs: DataFrame, least_docs: int = LEAST_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
+    """(rid, n_boilerplate): words in boilerplate lines, for texts with some; ``docs`` has
+    rid, text, host."""
+    return boilerplate_lines(docs, least_docs, line_share).groupBy("rid").agg(F.sum("n").alias("n_boilerplate"))
+
+
+def _keyed(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
+    t = F.col(f"`{text}`")
+    return docs.select(F.col(f"`{key}`").alias("doc_id"), t.alias("text"), F.col(f"`{host}`").alias("host"), F.xxhash64(F.col(f"`{key}`"), F.col(f"`{host}`"), t).alias("rid"))
+
+
+def _failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def _without(text: Column, gone: Column) -> Column:
+    """The text without the lines at the places of ``gone`` among its lines with a word."""
+    def left(lines: Column) -> Column:
+        worded = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: _worded(F.get(lines, i)))
+        drop = let(worded, lambda at: F.transform(gone, lambda g: F.get(at, g)))
+        places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop)
+        return F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
+
+    return F.when(gone.isNull(), text).otherwise(let(F.split(text, "\n"), left))
+
+
+def cleaned_table(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", depleted: float = DEPLETED) -> DataFrame:
+    """doc_id, text, n_words, n_removed, base_failed and kept of every row: the text
+    without its boilerplate lines (blank lines stay), its words, the words removed, and
+    whether what is left passes the base rules and is not depleted."""
+    docs = _keyed(docs, key, text, host)
+    gone = boilerplate_lines(docs).groupBy("rid").agg(F.collect_list("i").alias("gone"), F.sum("n").alias("n_removed"))
+    rows = docs.join(gone, "rid", "left").select("doc_id", _without(F.col("text"), F.col("gone")).alias("text"), F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"))
+    rows = rows.select("doc_id", "text", "n_removed", _base(F.col("text")).alias("b")).select("doc_id", "text", "n_removed", "b.*")
+    stays = ~_failed() & (F.col("n_removed") <= depleted * (F.col("n_words") + F.col("n_removed")))
+    return rows.select("doc_id", "text", "n_words", "n_removed", _failed().alias("base_failed"), stays.alias("kept"))
 
 
 def quality_table(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", depleted: float = DEPLETED) -> DataFrame:
     """doc_id, the base figures, base_failed, kept and n_boilerplate of every row."""
-    t = F.col(f"`{text}`")
-    docs = docs.select(F.col(f"`{key}`").alias("doc_id"), t.alias("text"), F.col(f"`{host}`").alias("host"), F.xxhash64(F.col(f"`{key}`"), F.col(f"`{host}`"), t).alias("rid"))
+    docs = _keyed(docs, key, text, host)
     figures = docs.select("doc_id", "rid", _base(F.col("text")).alias("b")).select("doc_id", "rid", "b.*")
     rows = figures.join(boilerplate_words(docs), "rid", "left").withColumn("n_boilerplate", F.coalesce("n_boilerplate", F.lit(0)).cast("long"))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    failed = _failed()
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         (~failed & (F.col("n_boilerplate") <= depleted * F.col("n_words"))).alias("kept"), "n_boilerplate",

@@ -12,7 +12,7 @@ from clipspark.llm.cotraining import quality_scores
 from clipspark.llm.decontamination import find_leaks, leak_digests
 from clipspark.llm.near_duplicates import class_digests, one_of_each
 from clipspark.llm.packing import best_cuts, packed_digests
-from clipspark.llm.quality import quality_table
+from clipspark.llm.quality import cleaned_table, quality_table
 from clipspark.llm.repeats import removal_digests
 from clipspark.llm.secrets import redacted, secret_digests
 from clipspark.llm.token_counts import token_counts
@@ -116,6 +116,25 @@ def test_quality(spark, edge, nothing):
     assert all(r[i].n_boilerplate == 54 for i in range(40, 60))
 
 
+def test_cleaned_table_removes_lines(spark, edge, nothing):
+    """46 of 90 words are left: fewer than the base rules ask for, though most words stay."""
+    menu = "\n".join(f"Menu entry {k} " + "link " * 19 for k in range(2))  # 44 words
+    data = [(i, "a", menu + "\n\n" + prose(46, i)) for i in range(30)] + [(i, "a", menu.upper() + "\n" + prose(60, i) + "\n \n" + menu) for i in range(30, 34)]
+    data += [(i, "a", prose(60, i)) for i in range(34, 40)] + [(40, "a", None), (41, "a", menu), (41, "a", menu)]
+    df = spark.createDataFrame(data, "doc_id long, source string, text string").repartition(3)
+    got = {x.doc_id: x for x in cleaned_table(df).collect()}
+    for i in range(30):
+        assert got[i].text == "\n" + prose(46, i) and (got[i].n_words, got[i].n_removed, got[i].kept) == (46, 44, False)
+    for i in range(30, 34):
+        assert got[i].text == prose(60, i) + "\n " and (got[i].n_words, got[i].n_removed, got[i].kept) == (60, 88, False)
+    assert all(got[i].text == prose(60, i) and got[i].n_removed == 0 and got[i].kept == (not got[i].base_failed) for i in range(34, 40))
+    assert got[40].text is None and got[41].text == "" and cleaned_table(df).count() == len(data)
+    figures = {x.doc_id: x.n_boilerplate for x in quality_table(df).collect()}
+    assert figures == {i: x.n_removed for i, x in got.items()}
+    assert Counter((r.doc_id, r.text) for r in cleaned_table(edge).collect()) == Counter(edge_rows())
+    assert cleaned_table(nothing).count() == 0
+
+
 def test_packing(spark, edge, nothing):
     import public_tokenizers
     from tokenizers import Tokenizer
