@@ -135,6 +135,16 @@ def test_cleaned_table_removes_lines(spark, edge, nothing):
     assert cleaned_table(nothing).count() == 0
 
 
+def test_cleaned_table_on_large_and_small_hosts(spark):
+    """A line in 4 % of a large host goes; on a small host a share is enough, two documents aren't."""
+    data = [(i, "large", ("Licensed to all\n" if i % 25 == 0 else "Seen in nine\n" if i % 50 == 1 and i < 450 else "") + prose(60, i)) for i in range(600)]
+    data += [(1000 + i, "small", ("In three\n" if i < 3 else "In two\n" if i < 5 else "") + prose(60, 1000 + i)) for i in range(12)]
+    got = {x.doc_id: x for x in cleaned_table(spark.createDataFrame(data, "doc_id long, source string, text string").repartition(4)).collect()}
+    for i, _, text in data:
+        gone = 3 if text.startswith("Licensed") else 2 if text.startswith("In three") else 0
+        assert got[i].n_removed == gone and got[i].text == (text.split("\n")[1] if gone else text)
+
+
 def test_packing(spark, edge, nothing):
     import public_tokenizers
     from tokenizers import Tokenizer
