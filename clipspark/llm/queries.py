@@ -17,6 +17,7 @@ from .secrets import secret_digests
 from .sharding import shard_table
 from .token_counts import read_pieces, token_counts, zipf_scores
 from .toxicity import toxicity_table
+from .turn_trie import conversation_trie
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -80,6 +81,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the prefix trie of all `conversations`, openings shared by hundreds."""
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_jaccard_join": op2_jaccard_join,
@@ -91,6 +97,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_token_counts": op9_token_counts,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_conversation_trie": op11_conversation_trie,
 }
 SQL: dict[str, str] = {
     "op1_secret_scan": sql.OP1,
@@ -99,4 +106,5 @@ SQL: dict[str, str] = {
     "op5_benchmark_decontamination": sql.OP5,
     "op6_sharding": sql.OP6,
     "op10_substring_dedup": sql.OP10,
+    "op11_conversation_trie": sql.OP11,
 }

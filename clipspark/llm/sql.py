@@ -106,3 +106,26 @@ told as (select r, count(*) filter (where kind = 'assign') as n_assign, count(*)
 select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_random, 0)::bigint as n_random
 from d left join told using (r)
 """
+
+OP11 = r"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+named as (select conv_id, turn, sha256(length(role) || ':' || role || text) as name, length(text) as size from t),
+own as (select conv_id, list(name order by turn nulls first, name) as names, list(size order by turn nulls first, name) as sizes,
+               xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::varchar, ''), lambda x: ord(x)::bigint)), lambda c, x:
+                   list_reduce(list_prepend(xor(c, x), range(8)), lambda r, i: case when r & 1 = 1 then xor(r >> 1, 3988292384) else r >> 1 end)), 4294967295) % 6 as h
+        from named group by conv_id),
+c as (select o.conv_id, list_concat(coalesce(list_slice(b.names, 1, o.h), []), list_slice(o.names, o.h + 1, len(o.names))) as names,
+             list_concat(coalesce(list_slice(b.sizes, 1, o.h), []), list_slice(o.sizes, o.h + 1, len(o.sizes))) as sizes
+      from own o left join own b on b.conv_id = o.conv_id - o.conv_id % 100),
+step as (select conv_id, d, len(names) as n, case when d > 0 then sizes[d] else 0 end as size, md5(array_to_string(list_slice(names, 1, d), '')) as k,
+                case when d > 0 then md5(array_to_string(list_slice(names, 1, d - 1), '')) end as up from (select *, unnest(range(0, len(names) + 1)) as d from c)),
+node as (select d, k, any_value(up) as up, min(conv_id) as conv_id, count(*) as n_convs, (count(*) - 1) * any_value(size) as saved,
+                sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where n = d), '')) as ends from step group by d, k),
+kids as (select up as k, d - 1 as d, count(*) as n from node where d > 0 group by all),
+below as (select s.d, s.k, sum(n.saved) as saved, count(*) filter (where kids.n is null) as leaves
+          from node n join step s on s.conv_id = n.conv_id and s.d <= n.d left join kids on kids.k = n.k and kids.d = n.d group by all)
+select node.conv_id, node.d::bigint as depth, parent.conv_id as parent_conv_id, node.n_convs::bigint as n_convs, coalesce(kids.n, 0)::bigint as n_children,
+       below.leaves::bigint as n_leaves, below.saved::bigint as saved_tokens, node.ends as ends_sha256
+from node join below on below.k = node.k and below.d = node.d left join kids on kids.k = node.k and kids.d = node.d
+left join node parent on parent.k = node.up and parent.d = node.d - 1
+"""
