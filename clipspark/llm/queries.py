@@ -18,6 +18,7 @@ from .sharding import shard_table
 from .token_counts import read_pieces, token_counts, zipf_scores
 from .toxicity import toxicity_table
 from .turn_trie import conversation_trie
+from .vector_codes import vector_codes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -86,6 +87,11 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all `embeddings` in four parts, with codebooks of 256 entries."""
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_jaccard_join": op2_jaccard_join,
@@ -98,6 +104,7 @@ QUERIES: dict[str, Query] = {
     "op9_token_counts": op9_token_counts,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_conversation_trie": op11_conversation_trie,
+    "op13_vector_codes": op13_vector_codes,
 }
 SQL: dict[str, str] = {
     "op1_secret_scan": sql.OP1,
@@ -107,4 +114,5 @@ SQL: dict[str, str] = {
     "op6_sharding": sql.OP6,
     "op10_substring_dedup": sql.OP10,
     "op11_conversation_trie": sql.OP11,
+    "op13_vector_codes": sql.OP13,
 }

@@ -129,3 +129,28 @@ select node.conv_id, node.d::bigint as depth, parent.conv_id as parent_conv_id,
 from node join below on below.k = node.k and below.d = node.d left join kids on kids.k = node.k and kids.d = node.d
 left join node parent on parent.k = node.up and parent.d = node.d - 1
 """
+
+
+def _op13(rounds: int = 4) -> str:
+    """Rounds written out one after another."""
+    with_ = [
+        "v as materialized (select vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as xs from embeddings "
+        "where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)",
+        "o as materialized (select *, row_number() over (order by vec_id nulls last, xs) - 1 as r, (select max(len(xs)) // 4 from v) as w from v)",
+        "x as materialized (select r, d, d // w as part, xs[d + 1] as x from (select *, unnest(range(0, len(xs))) as d from o))",
+        "c0 as materialized (select r as e, d, part, x as y from x where r < 256)",
+    ]
+    near = "select r, part, min(far * 256 + e) as m from (select x.r, x.part, c.e, sum((x - y) * (x - y))::bigint as far from x join c{0} c using (d) group by all) group by all"
+    for i in range(rounds):
+        with_.append(f"a{i} as materialized ({near.format(i)})")
+        with_.append(
+            f"c{i + 1} as materialized (select e, d, part, coalesce(f.y, c.y) as y from c{i} c left join "
+            f"(select m % 256 as e, x.d, floor(sum(x)::double / count(*))::bigint as y from a{i} a join x on x.r = a.r and x.part = a.part group by all) f using (e, d))"
+        )
+    with_.append(f"a as materialized ({near.format(rounds)})")
+    with_.append("code as (select r, string_agg(printf('%02x', (m % 256)::int), '' order by part) as code, sum(m // 256)::bigint as error from a group by r)")
+    with_.append(f"book as (select sha256(string_agg(y::varchar, ',' order by part, e, d)) as codebooks_sha256 from c{rounds})")
+    return "with " + ",\n".join(with_) + "\nselect vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, codebooks_sha256 from o join code using (r), book"
+
+
+OP13 = _op13()
