@@ -15,6 +15,7 @@ from .quality import quality_table
 from .repeats import removal_digests
 from .secrets import secret_digests
 from .sharding import shard_table
+from .simhash import fingerprint_table
 from .token_counts import read_pieces, token_counts, zipf_scores
 from .toxicity import toxicity_table
 from .turn_trie import conversation_trie
@@ -87,6 +88,11 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all whole and edited texts of `documents`, and the near ones of each hundredth."""
+    return fingerprint_table(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of all `embeddings` in four parts, with codebooks of 256 entries."""
     return vector_codes(table(spark, sf_dir, "embeddings"))
@@ -104,6 +110,7 @@ QUERIES: dict[str, Query] = {
     "op9_token_counts": op9_token_counts,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_conversation_trie": op11_conversation_trie,
+    "op12_simhash": op12_simhash,
     "op13_vector_codes": op13_vector_codes,
 }
 SQL: dict[str, str] = {

@@ -95,15 +95,16 @@ class Children:
 class Node:
     """A node that starts at byte ``start`` of its keys, ends after ``path`` and counts the
     members below it. ``ends`` is whatever the tree's owner keeps for keys that end here;
-    ``heads``, ``leaves`` and ``saved`` sum what was removed below it."""
+    ``heads``, ``leaves`` and ``saved`` sum what was removed below it, and ``via`` is then a
+    key that passes through it."""
 
-    __slots__ = ("start", "path", "weights", "children", "count", "low", "ends", "heads", "leaves", "saved")
+    __slots__ = ("start", "path", "weights", "children", "count", "low", "ends", "heads", "leaves", "saved", "via")
 
     def __init__(self, start: int, path: bytes, weights: list[int]):
         self.start, self.path, self.weights = start, path, weights
         self.children: Children | None = None
         self.count, self.low = 0, None
-        self.ends = None
+        self.ends = self.via = None
         self.heads = self.leaves = self.saved = 0
 
     @property
@@ -151,7 +152,7 @@ class RadixTree:
                 high = mid - 1
         passed = (at + low) // self.width - at // self.width  # numbers that end within the common part
         middle = Node(at, path[:low], child.weights[:passed])
-        middle.count, middle.low = child.count, child.low
+        middle.count, middle.low, middle.via = child.count, child.low, child.via
         child.start, child.path, child.weights = at + low, path[low:], child.weights[passed:]
         middle.children = Children()
         middle.children.put(path[low], child)

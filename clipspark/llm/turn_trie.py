@@ -139,6 +139,7 @@ class _Branch:
                 if node.stop < len(key):
                     wanted.setdefault(id(node), set()).add(key[node.stop])
         for node, key in where.values():
+            node.via = key
             if node.children is None:
                 continue
             keep, parent = wanted.get(id(node), set()), None
@@ -177,6 +178,7 @@ class _Branch:
                 up = above if i == 0 else node.low
                 self.out.append(
                     _EMPTY_ROW
+                    | {"id": _name(node.via[: (depth + i + 1) * WIDTH]) if node.via else None}  # may be named by rows emitted before
                     | {"kind": _WHOLE, "parent": parent if up is None else None, "depth": depth + i + 1, "conv_id": node.low, "parent_conv_id": up}
                     | {"n_convs": node.count, "heads": heads, "n_leaves": leaves, "saved": saved, "ends": ends or NOTHING}
                 )
@@ -316,7 +318,7 @@ def prefix_trie(keys: DataFrame, fan_in: int = FAN_IN, block: int = BLOCK) -> Da
     for more in merged[1:]:
         shared = shared.union(more)
     shared = written(shared.join(ends, "id", "left").withColumn("ends", F.coalesce("run_ends", "ends", F.lit(NOTHING))).select(*[c for c in _NAMES if c != "members"]))
-    lows = shared.select(F.col("id").alias("parent"), F.col("conv_id").alias("parent_low"))
+    lows = shared.unionByName(whole.filter("id is not null")).select(F.col("id").alias("parent"), F.col("conv_id").alias("parent_low"))
     lows = F.broadcast(lows) if lows.count() <= BROADCAST_ROWS else lows  # 40 bytes a row; else an ordinary join
     unset = whole.filter("parent is not null").unionByName(shared)
     found = unset.join(lows, "parent", "left").withColumn("parent_conv_id", F.col("parent_low")).select(*whole.columns)

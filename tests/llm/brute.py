@@ -2,7 +2,9 @@
 
 import hashlib
 import itertools
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -88,7 +90,7 @@ def quality(text):
 
 
 def unigram_tokens(text, scores):
-    low_score = min(scores.values()) - 10.0
+    low_score, longest = min(scores.values()) - 10.0, max(map(len, scores))
     total = 0
     for word in SPACED.findall(text or ""):
         word = "▁" + word
@@ -96,7 +98,97 @@ def unigram_tokens(text, scores):
         for end in range(1, len(word) + 1):
             n = len(word[end - 1].encode())
             options = [(best[end - 1][0] + low_score * n, best[end - 1][1] - n)]
-            options += [(best[s][0] + scores[word[s:end]], best[s][1] - 1) for s in range(end) if word[s:end] in scores]
+            options += [(best[s][0] + scores[word[s:end]], best[s][1] - 1) for s in range(max(0, end - longest), end) if word[s:end] in scores]
             best.append(max(options))
         total -= best[-1][1]
     return total
+
+
+def rebuilt(rows):
+    """Turns (role, text) of each conversation in order, openings replaced."""
+    turns = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            role, text = role or "", text or ""
+            turns[conv].append((turn is not None, turn or 0, hashlib.sha256(f"{len(role)}:{role}{text}".encode()).digest(), (role, text)))
+    own = {c: [t[3] for t in sorted(v)] for c, v in turns.items()}
+    opened = {c: zlib.crc32(str(c).encode()) % 6 for c in own}
+    return {c: tuple(own.get(c - c % 100, [])[: opened[c]] + own[c][opened[c] :]) for c in own}
+
+
+def trie(convs):
+    members, kids, below, out = defaultdict(list), defaultdict(list), {}, []
+    for c in sorted(convs):
+        for d in range(len(convs[c]) + 1):
+            members[convs[c][:d]].append(c)
+    for k in members:
+        if k:
+            kids[k[:-1]].append(k)
+    for k in sorted(members, key=lambda k: -len(k)):
+        under = kids.get(k, [])
+        leaves = sum(below[x][0] for x in under) or 1
+        saved = sum(below[x][1] for x in under) + ((len(members[k]) - 1) * len(k[-1][1]) if k else 0)
+        below[k] = leaves, saved
+        ends = ",".join(str(c) for c in members[k] if len(convs[c]) == len(k))
+        out.append((members[k][0], len(k), members[k[:-1]][0] if k else None, len(members[k]), len(under), leaves, saved, hashlib.sha256(ends.encode()).hexdigest()))
+    return out
+
+
+def pairs_of(text):
+    w = SPACED.findall(text or "")
+    return list(zip(w, [*w[1:], ""]))
+
+
+def simhash(text, hashes):
+    """128 bits; ``hashes`` gives the two 64-bit hashes of a pair of words."""
+    votes = [0] * 128
+    for a, b in pairs_of(text):
+        h, weight = (hashes[a, b][0] % 2**64) | (hashes[a, b][1] % 2**64) << 64, min(len(a) + len(b), 64)
+        votes = [v + (weight if h >> i & 1 else -weight) for i, v in enumerate(votes)]
+    return sum(1 << i for i, v in enumerate(votes) if v > 0)
+
+
+def edits(rows):
+    """(text, edited text, next text) of each row."""
+    least = {}
+    for d, t in rows:
+        k = (d is not None, d or 0)
+        least[k] = min(least.get(k, t or ""), t or "", key=lambda x: hashlib.md5(x.encode()).hexdigest())
+    ids = sorted(least)
+    after = {k: least[n] for k, n in zip(ids, [*ids[1:], ids[0]])} if ids else {}
+    out = []
+    for d, t in rows:
+        t, nxt = t or "", after[d is not None, d or 0]
+        q = len(t) // 4
+        out.append((t, t[: len(t) - q] + nxt[:q], nxt))
+    return out
+
+
+def likeness(a, b):
+    return max(0.0, math.cos((a ^ b).bit_count() * math.pi / 128))
+
+
+def vector_codes(rows, rounds=4, entries=256):
+    """(vec_id, code, error, label_error, digest) by plain loops."""
+    kept = [(i, [max(-(2**26), min(2**26, math.floor(1024 * x))) if math.isfinite(x) else x for x in v], label) for i, v, label in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    dims = -(-max((len(v) for _, v, _ in kept), default=0) // 4) * 4
+    order = sorted(kept, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    book, size = [v + [0] * (dims - len(v)) for _, v, _ in order[:entries]], dims // 4
+    kept = [(i, v + [0] * (dims - len(v)), label) for i, v, label in kept]
+
+    def nearest(v, p):
+        return min((sum((x - y) ** 2 for x, y in zip(v[p * size : p * size + size], e[p * size : p * size + size])), k) for k, e in enumerate(book))
+
+    for _ in range(rounds):
+        groups = defaultdict(list)
+        for _, v, _ in kept:
+            for p in range(4):
+                groups[nearest(v, p)[1], p].append(v[p * size : p * size + size])
+        for (k, p), parts in groups.items():
+            book[k][p * size : p * size + size] = [sum(c) // len(parts) for c in zip(*parts)]
+    coded = [(i, [nearest(v, p) for p in range(4)], label) for i, v, label in kept]
+    sums = Counter()
+    for _, near, label in coded:
+        sums[label] += sum(d for d, _ in near)
+    digest = hashlib.sha256(",".join(str(x) for p in range(4) for e in book for x in e[p * size : p * size + size]).encode()).hexdigest()
+    return [(i, "".join(f"{k:02x}" for _, k in near), sum(d for d, _ in near), sums[label], digest) for i, near, label in coded]
