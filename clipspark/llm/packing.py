@@ -1,8 +1,9 @@
 """Packing by order-preserving dynamic programming.
 
 The documents of a task keep their order and are written one after another, each closed by
-an end id. A cut may stand at a document's end (free), a sentence's end (small penalty)
-or, where no such end comes for a while, between any two ids (large penalty). Let
+an end id. A cut may stand at a document's end (free), a sentence's end (small penalty; of ends
+within the same ``SPACING`` ids only the first) or, where no such end comes for
+``FORCED_SPACING`` ids, between two ids (large penalty). Let
 position(j) be the ids before cut j; then
 
     cost(j) = min over cuts i with position(j) - position(i) <= size of
@@ -40,7 +41,6 @@ FORCED_PENALTY = 16
 SPACING = 8
 FORCED_SPACING = 16
 STRETCH = 400_000
-_TEXT_BYTES = 1_000_000
 
 
 def best_cuts(position: np.ndarray, penalty: np.ndarray, size: int) -> list[int]:
@@ -148,20 +148,14 @@ def pack(docs: DataFrame, vocabulary_path: str, size: int = SIZE, key: str = "do
         packer = Packer(code.ends_sentence(), size, TaskContext.get().partitionId() << 32)
         kind = arrow_key
         for rows in batches:
-            kind = rows.column(0).type
-            row, n = 0, rows.num_rows
-            while row < n:  # a bounded number of bytes at a time
-                stop, taken = row, 0
-                texts = []
-                while stop < n and (taken < _TEXT_BYTES or stop == row):
-                    texts.append(rows.column(1)[stop].as_py())
-                    taken += len(texts[-1] or "")
-                    stop += 1
-                for doc_id, ids in zip(rows.column(0).slice(row, stop - row).to_pylist(), code.encode(texts)):
-                    packer.add(doc_id, np.append(np.frombuffer(ids, "<u4"), np.uint32(END_ID)))
+            kind, row = rows.column(0).type, 0
+            for ids, first in code.encode(rows.column(1)):
+                n = len(first) - 1
+                for doc_id, a, b in zip(rows.column(0).slice(row, n).to_pylist(), first[:-1].tolist(), first[1:].tolist()):
+                    packer.add(doc_id, np.append(ids[a:b], np.uint32(END_ID)))
                     if packer.held >= STRETCH and (out := packer.pieces(False)):
                         yield batch(out, kind)
-                row = stop
+                row += n
         if out := packer.pieces(True):
             yield batch(out, kind)
 

@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from .learning import fit, held_out, labelled_sample, platt
 from .tables import map_text, pick
-from .words import Words, runs, words
+from .words import KINDS, Words, spans, words
 
 TOXIC_ROWS = 4_000
 CLEAN_ROWS = 8_000
@@ -50,19 +50,13 @@ INSULTS = ("clown", "disgusting", "dumb", "fool", "garbage", "idiot", "imbecile"
 def features(part: Words) -> tuple[np.ndarray, np.ndarray]:
     """(row, number) of all features of all words; the last two bits tell the kind."""
     numbers = [part.number]
-    letters = _letters()[part.buffer]
+    letters = KINDS["alnum_lower"][1][part.buffer]
     for k in (4, 5, 6):
-        numbers.append(runs(letters, part.begin, np.minimum(part.begin + k, part.end)))
+        numbers.append(spans(letters, part.begin, np.minimum(part.begin + k, part.end)))
     row = part.row_of()
     return np.tile(row, _KINDS), np.concatenate([(x & ~np.uint64(3)) | np.uint64(i) for i, x in enumerate(numbers)])
 
 
-def _letters() -> np.ndarray:
-    from .words import KINDS
-
-    return KINDS["alnum_lower"][1]
-
-
 def _insult_numbers() -> np.ndarray:
     part = next(words(pa.array([" ".join(INSULTS)]), "alnum_lower"))
     return part.number & ~np.uint64(3)

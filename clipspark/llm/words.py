@@ -6,6 +6,7 @@ code points in the right places. Null and empty texts have no words."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,49 +14,86 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1_000_000
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_LETTERS = np.random.Generator(np.random.PCG64(20)).integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
+_LONG = 1024  # bytes from which a word is hashed by itself
+_PRIME = np.uint64(2**61 - 1)
+_BASE = 0x9E3779B97F4A7C15 % (2**61 - 1)
 _powers: dict[int, np.ndarray] = {}
 
 _space = np.zeros(256, bool)
 _space[[0x20, *range(0x09, 0x0E)]] = True
-_alnum = np.zeros(256, bool)
-_alnum[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
-_alnum_any = _alnum.copy()
-_alnum_any[0x41:0x5B] = True
-_lower = np.arange(256)
+_alnum_any = np.zeros(256, bool)
+_alnum_any[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+_same, _lower = np.arange(256, dtype=np.uint8), np.arange(256, dtype=np.uint8)
 _lower[0x41:0x5B] += 32
-#: Kind of word: (bytes that belong to a word, number of each byte).
-KINDS = {
-    "spaced": (~_space, _LETTERS),
-    "spaced_lower": (~_space, _LETTERS[_lower]),
-    "alnum_lower": (_alnum_any, _LETTERS[_lower]),
-}
+_gap = np.zeros(256, bool)
+_gap[[0x20, 0x0A]] = True
+#: Kind of word: (bytes that belong to a word, what each byte counts as).
+KINDS = {"pieces": (~_gap, _same), "spaced": (~_space, _same), "spaced_lower": (~_space, _lower), "alnum_lower": (_alnum_any, _lower)}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """Spread every input bit over the 64 output bits."""
+    """Spread every input bit over the 64 output bits; different numbers stay different."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64, kept for the next call."""
-    have = _powers.get(int(base))
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), base)
-        have[0] = 1
-        have = _powers[int(base)] = np.multiply.accumulate(have)
+def spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """One number for each run of bytes data[begin:end], eight bytes at a time: each eight are
+    added to what came before and mixed, so spans of one length up to eight never share a
+    number, and longer ones only by chance."""
+    size = end - begin
+    lanes = np.concatenate([data, np.zeros(16, np.uint8)])
+    lanes = np.ndarray(len(data) + 8, "<u8", lanes, strides=(1,))  # the eight bytes from each place on
+    out = mix(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+    at, left = np.flatnonzero((size > 0) & (size <= _LONG)), None
+    done = 0
+    while len(at):
+        left = np.minimum(size[at] - done, 8).astype(np.uint64)
+        out[at] = mix(out[at] ^ (lanes[begin[at] + done] & (np.uint64(2**64 - 1) >> (np.uint64(64) - np.uint64(8) * left))))
+        done += 8
+        at = at[size[at] > done]
+    for i in np.flatnonzero(size > _LONG).tolist():
+        raw = hashlib.blake2b(data[begin[i] : end[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest()
+        out[i] = int.from_bytes(raw, "little")
+    return out
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2 ** 61 - 1, from halves of 31 bits."""
+    half, low = np.uint64(31), np.uint64(2**31 - 1)
+    a1, a0, b1, b0 = a >> half, a & low, b >> half, b & low
+    middle = a1 * b0 + a0 * b1
+    return _reduced(np.uint64(2) * a1 * b1 + (middle >> np.uint64(30)) + ((middle & np.uint64(2**30 - 1)) << half) + a0 * b0)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _PRIME) + (x >> np.uint64(61))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1) modulo 2 ** 61 - 1, kept for the next call."""
+    have = _powers.get(base)
+    if have is None:
+        have = np.ones(1, np.uint64)
+    while len(have) < n:
+        have = np.concatenate([have, _product(have, np.array(pow(base, len(have), 2**61 - 1), np.uint64))])
+    _powers[base] = have
     return have[:n]
 
 
 def runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """One number for each run values[start:end]; equal runs have equal numbers."""
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(_BASE, len(values)), out=total[1:])
-    return mix((total[ends] - total[starts]) * powers(_INVERSE, len(values) + 1)[starts] + (ends - starts).astype(np.uint64))
+    """One number for each run values[start:end]; equal runs have equal numbers. It is the
+    value of a polynomial modulo a prime, so no pattern of values makes runs collide."""
+    terms = _product(_reduced(values), powers(_BASE, len(values)))
+    low, high = np.zeros(len(values) + 1, np.uint64), np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(terms & np.uint64(2**32 - 1), out=low[1:])
+    np.cumsum(terms >> np.uint64(32), out=high[1:])
+    total = _reduced((high >> np.uint64(29)) + ((high & np.uint64(2**29 - 1)) << np.uint64(32)) + low)
+    part = _reduced(total[ends] + _PRIME - total[starts])
+    back = powers(pow(_BASE, -1, 2**61 - 1), len(values) + 1)[starts]
+    return mix(_product(part, back) + ((ends - starts).astype(np.uint64) << np.uint64(61)))
 
 
 @dataclass
@@ -105,7 +143,7 @@ def chunks(off: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[slice]:
 
 def words(texts: pa.Array, kind: str, most: int = CHUNK_BYTES) -> Iterator[Words]:
     """Words of a text column, a bounded number of bytes at a time."""
-    inside, numbers = KINDS[kind]
+    inside, counted = KINDS[kind]
     data, off = offsets(texts)
     for rows in chunks(off, most):
         at = off[rows.start : rows.stop + 1]
@@ -122,4 +160,4 @@ def words(texts: pa.Array, kind: str, most: int = CHUNK_BYTES) -> Iterator[Words
         begin = np.flatnonzero(mask & ~before)
         end = np.flatnonzero(mask & ~after) + 1
         first = np.searchsorted(begin, at)
-        yield Words(rows, buf, begin, end, first, runs(numbers[buf], begin, end))
+        yield Words(rows, buf, begin, end, first, spans(buf if counted is _same else counted[buf], begin, end))

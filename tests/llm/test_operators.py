@@ -192,6 +192,31 @@ def test_cuts_cost_least():
         assert sum(20 - (position[b] - position[a]) + penalty[b] for a, b in zip(cuts, cuts[1:])) == cost[40]
 
 
+def _thue_morse(n):
+    """Two different words of 2 ** n letters that many polynomial hashes can't tell apart."""
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [10, 12])
+def test_words_that_look_alike(spark, n):
+    a, b = _thue_morse(n)
+    rest = prose(34, 80).split()
+    data = [(1, " ".join([a, *rest])), (2, " ".join([b, *rest])), (3, a), (4, b), (5, " ".join([a, *prose(60, 81).split()])), (6, " ".join([b, *prose(60, 81).split()]))]
+    one, two = ("one " + " ".join(_thue_morse(10)[k]).replace("a", "ka").replace("b", "lo") for k in (0, 1))
+    data += [(7, one), (8, two)]  # the same pattern in words
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    assert rows(class_digests(df)) == Counter(brute.classes(data))
+    assert rows(removal_digests(df)) == Counter(brute.repeats(data))
+    assert not any(r.n_removed for r in removal_digests(df.filter("doc_id < 5")).collect())
+    items = [(1, a), (2, " ".join([a, *rest[:9]]))]
+    assert rows(leak_digests(df, spark.createDataFrame(items, "item_id long, text string"))) == Counter(brute.leaks(data, items))
+    scores = {"▁": -1.0, "a": -2.0, "b": -3.0, "ab": -2.5, "▁a": -1.5}
+    assert rows(token_counts(df, scores, keep=["doc_id"]), "doc_id", "n_tokens") == Counter((d, brute.unigram_tokens(t, scores)) for d, t in data)
+
+
 def test_token_counts(edge, nothing):
     scores = {p: -float(i) for i, p in enumerate("▁ a b d o r the ▁the an d ▁an ▁k ba ban ▁ka kaban dor lo lodor n e f ▁t wo".split())}
     got = rows(token_counts(edge, scores, keep=["doc_id"]), "doc_id", "n_tokens")
