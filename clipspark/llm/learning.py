@@ -17,7 +17,8 @@ def held_out(key: Column) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, most: tuple[int, int]) -> tuple[DataFrame, float]:
     """((doc_id, label, text) of a bounded number of distinct texts, share of label 1).
 
-    The ids are drawn by hash; at most ``sum(most)`` reach the join, so it may be broadcast."""
+    The ids are drawn by hash; at most ``sum(most)`` reach the join, so it may be broadcast. An
+    id or a text with both labels has label 1."""
     known = pick(labels, "doc_id", column).filter(~held_out(F.col("doc_id")) & F.col(column).isNotNull() & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max(column).alias("label"))
     counts = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -27,7 +28,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, most: tuple
         part = known.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         drawn = part if drawn is None else drawn.union(part)
     sample = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
-    return written(sample.dropDuplicates(["text"]).select("doc_id", "label", "text")), share
+    return written(sample.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label")).select("doc_id", "label", "text")), share
 
 
 def fit(row: np.ndarray, index: np.ndarray, rows: int, scale: np.ndarray, target: np.ndarray, weight_of_row: np.ndarray, ridge: float = 1.0, values: np.ndarray | None = None) -> tuple[np.ndarray, float]:

@@ -2,14 +2,14 @@
 
 Base figures are computed row by row. Then every line with a word is normalised (letters
 A-Z lowered, white space collapsed) and hashed, and for each host the distinct documents
-that hold it are counted. A line is boilerplate where it stands in at least ``LEAST_DOCS``
-documents and in ``LINE_SHARE`` of its host's documents; copies of one text count once. A
-document is rejected when it fails the base rules, or when more than ``DEPLETED`` of its
-words stand in boilerplate lines. ``quality_table`` has these figures of the whole texts;
-``cleaned_table`` removes the lines and judges what is left. On a host of a hundred documents
-or more a share drops lines that stand in thousands of them, so there either limit is enough:
-``LEAST_DOCS`` documents, or on small hosts ``SMALL_DOCS`` and ``LINE_SHARE``. The query keeps
-both limits, as its SQL has them.
+that hold it are counted; copies of one text count once. A line is boilerplate where it
+stands in at least ``LEAST_DOCS`` documents, or on small hosts in ``SMALL_DOCS`` and in
+``LINE_SHARE`` of the host's documents: either limit is enough, as on a large host a share
+alone would pass lines that stand in thousands of documents. A document that fails the base
+rules is rejected, and so is one that the removal of these lines depletes: more than
+``DEPLETED`` of its words go, or fewer than ``LEAST_WORDS`` are left. ``quality_table`` has the
+figures of the whole texts and this verdict; ``cleaned_table`` also returns what is left and
+applies all base rules to it.
 
 Only (line number, host, text number) rows are shuffled, never texts, and distinct pairs
 are combined before the shuffle, so one line or host in a third of all documents is spread
@@ -29,6 +29,7 @@ LEAST_DOCS = 10
 LINE_SHARE = 0.10
 SMALL_DOCS = 3
 DEPLETED = 0.50
+LEAST_WORDS = 50
 _SPACE = " \t\n\x0b\x0c\r"
 _SPACES = "[\\x20\\x09-\\x0D]+"
 
@@ -90,16 +91,15 @@ def _lowered(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def boilerplate_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, line_share: float = LINE_SHARE, either: bool = False) -> DataFrame:
-    """(rid, i, n): place among the lines with a word, and words, of each line over both
-    limits, or ``either``; ``docs`` has rid, text, host."""
+def boilerplate_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
+    """(rid, i, n): place among the lines with a word, and words, of each line over either
+    limit; ``docs`` has rid, text, host."""
     normal = F.regexp_replace(_lowered(F.col("line")), _SPACES, " ")
     lines = docs.select("rid", "host", F.xxhash64("text").alias("tid"), F.posexplode(_lines(F.col("text"))).alias("i", "line")).select("rid", "host", "tid", "i", F.trim(normal).alias("line"))
     lines = lines.select("rid", "host", "tid", "i", F.xxhash64("line").alias("h"), (F.length("line") - F.length(F.translate("line", " ", "")) + 1).alias("n"))
-    held = lines.select("host", "h", "tid").distinct().groupBy("host", "h").agg(F.count("*").alias("docs")).filter(F.col("docs") >= (min(SMALL_DOCS, least_docs) if either else least_docs))
+    held = lines.select("host", "h", "tid").distinct().groupBy("host", "h").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min(SMALL_DOCS, least_docs))
     hosts = docs.select(F.col("host").alias("host_"), F.xxhash64("text").alias("tid")).distinct().groupBy("host_").agg(F.count("*").alias("all_docs"))
-    over = F.col("docs") >= line_share * F.col("all_docs")
-    over = over | (F.col("docs") >= least_docs) if either else over
+    over = (F.col("docs") >= least_docs) | (F.col("docs") >= line_share * F.col("all_docs"))
     often = held.join(hosts, F.col("host").eqNullSafe(F.col("host_"))).filter(over).select("host_", F.col("h").alias("h_"))
     hits = lines.join(often, (F.col("h") == F.col("h_")) & F.col("host").eqNullSafe(F.col("host_")), "left_semi")
     return hits.select("rid", "i", "n").distinct()
@@ -117,7 +117,7 @@ def _keyed(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
 
 
 def _failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
 def _without(text: Column, gone: Column) -> Column:
@@ -136,7 +136,7 @@ def cleaned_table(docs: DataFrame, key: str = "doc_id", text: str = "text", host
     without its boilerplate lines (blank lines stay), its words, the words removed, and
     whether what is left passes the base rules and is not depleted."""
     docs = _keyed(docs, key, text, host)
-    gone = boilerplate_lines(docs, either=True).groupBy("rid").agg(F.collect_list("i").alias("gone"), F.sum("n").alias("n_removed"))
+    gone = boilerplate_lines(docs).groupBy("rid").agg(F.collect_list("i").alias("gone"), F.sum("n").alias("n_removed"))
     rows = docs.join(gone, "rid", "left").select("doc_id", _without(F.col("text"), F.col("gone")).alias("text"), F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"))
     rows = rows.select("doc_id", "text", "n_removed", _base(F.col("text")).alias("b")).select("doc_id", "text", "n_removed", "b.*")
     stays = ~_failed() & (F.col("n_removed") <= depleted * (F.col("n_words") + F.col("n_removed")))
@@ -144,12 +144,12 @@ def cleaned_table(docs: DataFrame, key: str = "doc_id", text: str = "text", host
 
 
 def quality_table(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", depleted: float = DEPLETED) -> DataFrame:
-    """doc_id, the base figures, base_failed, kept and n_boilerplate of every row."""
+    """doc_id, the base figures, base_failed, kept and n_boilerplate (words removed) of every row."""
     docs = _keyed(docs, key, text, host)
     figures = docs.select("doc_id", "rid", _base(F.col("text")).alias("b")).select("doc_id", "rid", "b.*")
     rows = figures.join(boilerplate_words(docs), "rid", "left").withColumn("n_boilerplate", F.coalesce("n_boilerplate", F.lit(0)).cast("long"))
-    failed = _failed()
+    failed, left = _failed(), F.col("n_words") - F.col("n_boilerplate")
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        (~failed & (F.col("n_boilerplate") <= depleted * F.col("n_words"))).alias("kept"), "n_boilerplate",
+        (~failed & (F.col("n_boilerplate") <= depleted * F.col("n_words")) & (left >= LEAST_WORDS)).alias("kept"), "n_boilerplate",
     )

@@ -34,14 +34,14 @@ rep as (select r, count(distinct p) as n from (select r, unnest(range(s, s + 3))
 line as (select r, source, t, trim(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) as line
          from (select r, source, t, unnest(lines) as x from d join w using (r))),
 often as (select source, line from (select source, line, count(distinct t) as c from line group by all) join (select source as s2, count(distinct t) as n from d group by all) on source is not distinct from s2
-          where c >= 10 and c >= 0.10 * n),
+          where c >= 10 or (c >= 3 and c >= 0.10 * n)),
 boiler as (select r, sum(len(line) - len(replace(line, ' ', '')) + 1) as n from line l where exists (select 1 from often o where o.source is not distinct from l.source and o.line = l.line) group by r),
 f as (select doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
              (length(t) - length(translate(t, '#*$%&|<>', '')))::bigint as n_symbols, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,
              coalesce(rep.n, 0)::bigint as n_repeat_words, coalesce(boiler.n, 0)::bigint as n_boilerplate
       from d join w using (r) left join rep using (r) left join boiler using (r))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
-       not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and n_boilerplate <= 0.5 * n_words as kept, n_boilerplate from f
+       not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and n_boilerplate <= 0.5 * n_words and n_words - n_boilerplate >= 50 as kept, n_boilerplate from f
 """
 
 OP6 = r"""

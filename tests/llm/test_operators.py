@@ -145,6 +145,16 @@ def test_cleaned_table_on_large_and_small_hosts(spark):
         assert got[i].n_removed == gone and got[i].text == (text.split("\n")[1] if gone else text)
 
 
+def test_removal_changes_the_verdict(spark):
+    """A line in 4 % of a large host's documents: those it leaves under 50 words, or under half, are rejected."""
+    menu = " ".join(f"entry{k}" for k in range(24))
+    data = [(i, "large", f"{menu}\n{prose(45 + i % 30, i)}" if i % 25 == 0 else prose(70, i)) for i in range(1000)]
+    got = quality_table(spark.createDataFrame(data, "doc_id long, source string, text string").repartition(4)).collect()
+    changed = [r for r in got if not r.kept and not r.base_failed]
+    assert {r.doc_id for r in changed} == {i for i in range(0, 1000, 25) if 45 + i % 30 < 50}
+    assert all(r.n_boilerplate == (24 if r.doc_id % 25 == 0 else 0) for r in got)
+
+
 def test_packing(spark, edge, nothing):
     import public_tokenizers
     from tokenizers import Tokenizer
