@@ -30,5 +30,5 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     import importlib
 
-    for module in ("transcripts", "evaluation", "context", "scoring", "fusion", "audits", "signals", "framing", "files", "layouts", "subclips"):
+    for module in ("transcripts", "evaluation", "context", "scoring", "fusion", "audits", "signals", "framing", "files", "layouts", "subclips", "streams"):
         importlib.import_module(f"catalog.{module}")

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from catalog import register
 from clipspark.sources import derived, files
-from clipspark.streaming import pipelines as st
 
 
 def _transcripts(spark, sf_dir):
@@ -126,67 +125,3 @@ def s5(spark, sf_dir):
 @register("s6_fingerprint_files")
 def s6(spark, sf_dir):
     return files.fingerprint_files(spark, f"{sf_dir}/*.parquet")
-
-
-def _events(spark, sf_dir):
-    return derived.table(spark, sf_dir, "events").withColumn("ts", F.to_timestamp("ts"))
-
-
-@register(
-    "st1_stream_activity",
-    """select user_id as source_id, cast(epoch(date_trunc('second', ts)) as bigint) as second, count(*) as frames, max(value) as peak, count(*) filter (where value >= 0.01e0) / count(*) as speech from events group by 1, 2""",
-)
-def st1(spark, sf_dir):
-    return st.stream_activity(_events(spark, sf_dir).select(F.col("user_id").alias("source_id"), "ts", F.col("value").alias("rms")))
-
-
-@register(
-    "st2_stream_runs",
-    """with s as (select *, coalesce(start_ms - max(end_ms) over (partition by source_id order by segment_id rows between unbounded preceding and 1 preceding) > 1200, false) as f from segments),
-     r as (select *, sum(cast(f as int)) over (partition by source_id order by segment_id) as run from s)
-     select source_id, min(start_ms) * 1000 as run_start_us, max(end_ms) * 1000 as run_end_us, count(*) as segments from r group by source_id, run""",
-)
-def st2(spark, sf_dir):
-    seg = derived.segments(spark, sf_dir).select("source_id", F.timestamp_millis("start_ms").alias("start_ts"), F.timestamp_millis("end_ms").alias("end_ts"))
-    return st.stream_runs(seg)
-
-
-@register(
-    "st3_stream_context",
-    """with w as (select source_id, text, unnest([0, 1, 2]) as k, start_ms // 15000 as b from segments), s as (select source_id, (b - k) * 15 as window_start, cast(sum(len(regexp_split_to_array(trim(text), '\\s+'))) as bigint) as words from w group by 1, 2)
-     select *, rnd1(words / 0.75e0) as wpm from s""",
-)
-def st3(spark, sf_dir):
-    return st.stream_context(derived.segments(spark, sf_dir).select("source_id", F.timestamp_millis("start_ms").alias("start_ts"), "text"))
-
-
-@register(
-    "st5_stream_handoff",
-    """select r.user_id as source_id, epoch_us(r.ts) as requested_us, epoch_us(t.ts) as arrived_us, t.ts is not null as resumed from (select * from events where event_type = 'signup') r
-      left join (select * from events where event_type = 'purchase') t on r.user_id = t.user_id and t.ts >= r.ts and t.ts <= r.ts + interval 12 hour""",
-)
-def st5(spark, sf_dir):
-    ev = _events(spark, sf_dir).withColumnRenamed("user_id", "source_id")
-    req = ev.where(F.col("event_type") == "signup").select("source_id", F.col("ts").alias("requested_at"))
-    arr = ev.where(F.col("event_type") == "purchase").select("source_id", F.col("ts").alias("arrived_at"))
-    return st.stream_handoff(req, arr, "12 hours").select(
-        "source_id", F.unix_micros("requested_at").alias("requested_us"), F.unix_micros("arrived_at").alias("arrived_us"), "resumed"
-    )
-
-
-@register("st6_stream_dedup", "select distinct user_id || ':' || event_type as request_hash from events")
-def st6(spark, sf_dir):
-    req = _events(spark, sf_dir).select(F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("request_hash"), "ts")
-    return st.stream_dedup(req).select("request_hash")
-
-
-@register(
-    "st8_stream_progress",
-    """with z as (select user_id as job_id, arg_max({'d': value, 'e': event_id}, {'t': ts, 'v': value}) as z from events group by 1)
-     select job_id, rnd2(least(100.0e0, z.d / 500.0e0 * 100)) as percent, rnd3(z.d / (z.e % 100 + 1)) as realtime_factor, rnd2(greatest(0.0e0, 500.0e0 - z.d) / (z.d / (z.e % 100 + 1))) as eta_s from z""",
-)
-def st8(spark, sf_dir):
-    p = _events(spark, sf_dir).select(
-        F.col("user_id").alias("job_id"), "ts", F.col("value").alias("done_s"), F.lit(500.0).alias("total_s"), (F.col("event_id") % 100 + 1).cast("double").alias("elapsed_s")
-    )
-    return st.stream_progress(p)

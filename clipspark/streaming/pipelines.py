@@ -1,11 +1,14 @@
 """The long-running behaviours as Structured Streaming transformations.
 
 Each function takes and returns a streaming DataFrame (the windowed ones give the same
-result on a batch one). State is keyed by source, clip or owner and expires with the
-watermark, so it does not grow with the stream."""
+result on a batch one). State is keyed by source, clip, owner or job. It goes when the
+watermark passes it; a job's progress goes when the job is done or has been silent for
+``PROGRESS_TTL_S`` of wall-clock time. So no state grows with the stream.
+``replay.py`` runs them over slices of tables."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,11 +22,12 @@ from clipspark.operators.framing import TRACK_COLUMNS, TRACK_SCHEMA, no_tracks,
 
 STALE_S = 120
 TRACK_EXPIRY_MS = 1_600
+PROGRESS_TTL_S = 24 * 3600
 
 
 def stream_activity(frames: DataFrame, delay: str = "10 seconds") -> DataFrame:
-    """One-second bins per source as sound arrives; later rows are dropped (Spark counts
-    them in the query progress). ``frames``: source_id, ts, rms."""
+    """One-second bins per source as sound arrives; later rows are dropped and counted as
+    one per bin in the query's progress (``replay`` sums that up). ``frames``: source_id, ts, rms."""
     return (
         frames.withWatermark("ts", delay)
         .groupBy("source_id", F.window("ts", "1 second").alias("w"))
@@ -79,12 +83,9 @@ def stream_handoff(requests: DataFrame, transcripts: DataFrame, patience: str =
     ).select(F.col("r.source_id").alias("source_id"), "requested_at", "arrived_at", F.col("arrived_at").isNotNull().alias("resumed"))
 
 
-def stream_progress(progress: DataFrame) -> DataFrame:
-    """Latest percent, realtime factor and remaining seconds of each job (update mode).
-    ``progress``: job_id, ts, done_s, total_s, elapsed_s."""
-    last = F.max(F.struct("ts", "done_s", "total_s", "elapsed_s")).alias("z")
+def _progress(last: DataFrame) -> DataFrame:
     rate = F.try_divide("z.done_s", "z.elapsed_s")
-    return progress.groupBy("job_id").agg(last).select(
+    return last.select(
         "job_id",
         F.round(F.least(F.lit(100.0), F.try_divide("z.done_s", "z.total_s") * 100), 2).alias("percent"),
         F.round(rate, 3).alias("realtime_factor"),
@@ -92,80 +93,162 @@ def stream_progress(progress: DataFrame) -> DataFrame:
     )
 
 
-class _Heartbeat(StatefulProcessor):
-    """Remembers an owner's last sign of life and its open job; speaks up when the
-    event-time timer set from it runs out."""
+class _Latest(StatefulProcessor):
+    """A job's newest report, kept until the job is done or silent for the time to live."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.newest = handle.getValueState("newest", "us long, done double, total double, elapsed double", ttlDurationMs=self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        best = tuple(self.newest.get()) if self.newest.exists() else None
+        for pdf in rows:
+            for row in pdf[["us", "done_s", "total_s", "elapsed_s"]].itertuples(index=False):
+                found = (int(row[0]), *map(float, row[1:]))
+                best = found if best is None or found > best else best
+        if best[1] >= best[2]:
+            self.newest.clear()
+        else:
+            self.newest.update(best)
+        yield pd.DataFrame({"job_id": [key[0]], "us": [best[0]], "done_s": [best[1]], "total_s": [best[2]], "elapsed_s": [best[3]]})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_progress(progress: DataFrame, ttl_s: float = PROGRESS_TTL_S) -> DataFrame:
+    """Latest percent, realtime factor and remaining seconds of each job, told anew in each
+    micro-batch that has news of it (update mode). ``progress``: job_id, ts, done_s, total_s,
+    elapsed_s. A stream needs the RocksDB state store."""
+    if not progress.isStreaming:
+        return _progress(progress.groupBy("job_id").agg(F.max(F.struct("ts", "done_s", "total_s", "elapsed_s")).alias("z")))
+    rows = progress.select("job_id", F.unix_micros("ts").alias("us"), "done_s", "total_s", "elapsed_s")
+    last = rows.groupBy("job_id").transformWithStateInPandas(
+        statefulProcessor=_Latest(int(1000 * ttl_s)), outputStructType="job_id long, us long, done_s double, total_s double, elapsed_s double",
+        outputMode="Update", timeMode="ProcessingTime",
+    )
+    return _progress(last.select("job_id", F.struct("done_s", "total_s", "elapsed_s").alias("z")))
+
+
+class _InOrder(StatefulProcessor):
+    """Holds the rows of a key until the watermark passes their time, and then hands all of
+    them on in order of time, so that results don't depend on the borders of batches."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", T.StructType([T.StructField("ms", T.LongType()), T.StructField("job", T.StringType())]))
+        self.waiting = handle.getMapState("waiting", "ms long", "rows string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self.last.get() if self.last.exists() else None
-        ms, job = (known[0], known[1]) if known else (0, None)
+        times = []
         for pdf in rows:
-            top = pdf.loc[pdf["ts_ms"].idxmax()]
-            if int(top["ts_ms"]) >= ms:
-                ms, job = int(top["ts_ms"]), top["job_id"]
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.last.update((ms, job))
-        self.handle.registerTimer(ms + STALE_S * 1000)
+            for ms, part in pdf.groupby("ms", sort=False):
+                ms = int(ms)
+                held = json.loads(self.waiting.getValue((ms,))[0]) if self.waiting.containsKey((ms,)) else []
+                held += json.loads(part.drop(columns="ts").to_json(orient="records"))
+                self.waiting.updateValue((ms,), (json.dumps(held),))
+                times.append(ms)
+        self._wake(min(times))
         yield from ()
 
+    def _wake(self, ms: int) -> None:
+        """Have the timer run out at ``ms`` or before."""
+        if not any(t <= ms for t in self.handle.listTimers()):
+            self.handle.registerTimer(ms)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        ms, job = self.last.get()
-        self.last.clear()
-        yield pd.DataFrame({"owner": [key[0]], "last_seen_ms": [ms], "orphaned_job": [job]})
+        now, times = timerValues.getCurrentWatermarkInMs(), sorted(k[0] for k in self.waiting.keys())
+        due = [(ms, json.loads(self.waiting.getValue((ms,))[0])) for ms in times if ms <= now]
+        for ms, _ in due:
+            self.waiting.removeKey((ms,))
+        yield from self.advance(key, [r for _, rows in due for r in rows], now)
+        later = [t for t in (*(ms for ms in times if ms > now), self.ends()) if t is not None]
+        if later:
+            self._wake(min(later))
+
+    def advance(self, key, rows: list[dict], now: int) -> Iterator[pd.DataFrame]:
+        """Results of the rows, which come in order, given that time is ``now``."""
+        raise NotImplementedError
+
+    def ends(self) -> int | None:
+        """When the state of the key ends if nothing comes, or None without state."""
+        raise NotImplementedError
 
     def close(self) -> None:
         pass
 
 
+class _Heartbeat(_InOrder):
+    """Remembers an owner's last sign of life and its open job; speaks up when the next is
+    later than the limit, or when the watermark passes the limit without one."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.last = handle.getValueState("last", "ms long, job string")
+
+    def advance(self, key, rows: list[dict], now: int) -> Iterator[pd.DataFrame]:
+        last, found = tuple(self.last.get()) if self.last.exists() else None, []
+        for ms, job in sorted((r["ms"], r["job_id"]) for r in rows):
+            if last and ms - last[0] > STALE_S * 1000:
+                found.append(last)
+            last = (ms, job)
+        if last and now - last[0] > STALE_S * 1000:
+            found.append(last)
+            last = None
+        self.last.update(last) if last else self.last.clear()
+        if found:
+            yield pd.DataFrame({"owner": [key[0]] * len(found), "last_seen_ms": [f[0] for f in found], "orphaned_job": [f[1] for f in found]})
+
+    def ends(self) -> int | None:
+        return self.last.get()[0] + STALE_S * 1000 + 1 if self.last.exists() else None
+
+
 def stream_stale(heartbeats: DataFrame, delay: str = "10 seconds") -> DataFrame:
-    """Owners silent for two minutes, with the job each leaves behind.
+    """Owners silent for more than two minutes, with the job each leaves behind.
 
     ``heartbeats``: owner, ts, job_id. Needs the RocksDB state store."""
-    return (
-        heartbeats.withWatermark("ts", delay)
-        .withColumn("ts_ms", F.unix_millis("ts"))
-        .groupBy("owner")
-        .transformWithStateInPandas(
-            statefulProcessor=_Heartbeat(), outputStructType="owner string, last_seen_ms long, orphaned_job string",
-            outputMode="Append", timeMode="EventTime",
-        )
+    rows = heartbeats.withWatermark("ts", delay).select("owner", "ts", F.unix_millis("ts").alias("ms"), "job_id")
+    return rows.groupBy("owner").transformWithStateInPandas(
+        statefulProcessor=_Heartbeat(), outputStructType="owner string, last_seen_ms long, orphaned_job string", outputMode="Append", timeMode="EventTime"
     )
 
 
-_TRACK_STATE = T.StructType([T.StructField("next_id", T.LongType()), T.StructField("last_t", T.DoubleType()), T.StructField("tracks", T.StringType())])
+_BOXES = ["clip_id", "frame", "t_ms", "subject", "x", "y", "w", "h", "type", "scene_cut"]
 
 
-class _Tracker(StatefulProcessor):
-    """The clip tracker with its live tracks kept between batches."""
+class _Tracker(_InOrder):
+    """The clip tracker with its live tracks kept between frames. A clip's state goes
+    ``TRACK_EXPIRY_MS`` after its last frame, when no track is live any more."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("tracks", _TRACK_STATE, ttlDurationMs=None)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        import json
+        super().init(handle)
+        self.state = handle.getValueState("tracks", "ms long, next_id long, last_t double, tracks string")
 
-        next_id, last_t, tracks = 1, None, no_tracks()
+    def advance(self, key, rows: list[dict], now: int) -> Iterator[pd.DataFrame]:
+        ms, next_id, last_t, tracks = None, 1, None, no_tracks()
         if self.state.exists():
-            next_id, last_t, text = self.state.get()
+            ms, next_id, last_t, text = self.state.get()
             tracks = {f: np.array(v, tracks[f].dtype) for f, v in json.loads(text).items()}
-        pdf = pd.concat(list(rows))
-        out, tracks, next_id, last_t = track_rows(int(key[0]), pdf, tracks, int(next_id), last_t)
-        self.state.update((int(next_id), last_t, json.dumps({f: v.tolist() for f, v in tracks.items()})))
-        if len(out):
-            yield out[TRACK_COLUMNS]
-
-    def close(self) -> None:
-        pass
-
-
-def stream_tracks(dets: DataFrame) -> DataFrame:
-    """Subject tracking as boxes arrive, frame order within a clip assumed; the live
-    tracks of a clip are those seen within the last 1.6 s. Needs RocksDB."""
-    return dets.groupBy("clip_id").transformWithStateInPandas(
-        statefulProcessor=_Tracker(), outputStructType=TRACK_SCHEMA, outputMode="Append", timeMode="None"
-    )
+        if rows:
+            ms = max(r["ms"] for r in rows)
+            frames = pd.DataFrame(rows, columns=_BOXES).astype({c: float for c in "xywh"})
+            out, tracks, next_id, last_t = track_rows(int(key[0]), frames, tracks, int(next_id), last_t)
+            if len(out):
+                yield out[TRACK_COLUMNS]
+        if ms is None or now > ms + TRACK_EXPIRY_MS:
+            self.state.clear()
+        else:
+            self.state.update((int(ms), int(next_id), float(last_t), json.dumps({f: v.tolist() for f, v in tracks.items()})))
+
+    def ends(self) -> int | None:
+        return self.state.get()[0] + TRACK_EXPIRY_MS + 1 if self.state.exists() else None
+
+
+def stream_tracks(dets: DataFrame, delay: str = "2 seconds") -> DataFrame:
+    """Subject tracking as boxes arrive: a frame is tracked, whole, once the watermark passes
+    its time, so rows may come in any order within ``delay`` and a frame may be split over
+    batches; later rows are dropped. ``dets``: the columns of ``track_subjects`` and ts, the
+    time of the frame. A clip silent for longer than 1.6 s starts anew. Needs RocksDB."""
+    rows = dets.withWatermark("ts", delay).select("ts", F.unix_millis("ts").alias("ms"), *_BOXES)
+    return rows.groupBy("clip_id").transformWithStateInPandas(statefulProcessor=_Tracker(), outputStructType=TRACK_SCHEMA, outputMode="Append", timeMode="EventTime")

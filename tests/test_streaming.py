@@ -1,12 +1,17 @@
 """Streaming runs over files, against the same transformation in batch."""
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from catalog import streams
 from clipspark.operators import framing
 from clipspark.sources import derived
 from clipspark.streaming import pipelines as st
+from clipspark.streaming.replay import replay
 from tests.conftest import rows
 
 
@@ -39,15 +44,6 @@ def rocks(spark):
     spark.conf.set(key, before) if before else spark.conf.unset(key)
 
 
-def test_activity_bins(spark, sf_dir, tmp_path):
-    ev = derived.table(spark, sf_dir, "events").select(F.col("user_id").alias("source_id"), F.to_timestamp("ts").alias("ts"), F.col("value").alias("rms"))
-    out = _run(st.stream_activity(_stream(spark, ev, str(tmp_path / "a"), 3, "ts")), "activity_bins", tmp_path)
-    batch = rows(st.stream_activity(ev))
-    got = rows(out)
-    # the last bins stay open until the watermark passes them
-    assert got and set(got) <= set(batch) and len(batch) - len(got) < 20
-
-
 def test_runs_split_on_silence(spark):
     seg = spark.createDataFrame(
         [(1, 0, 2_000), (1, 3_200, 4_000), (1, 5_201, 6_000), (2, 0, 1_000)], "source_id long, s long, e long"
@@ -62,14 +58,45 @@ def test_dedup_serves_once(spark, sf_dir, tmp_path):
     assert rows(out, "request_hash") == rows(ev.select("request_hash").distinct())
 
 
-def test_tracks_continue_between_batches(rocks, sf_dir, tmp_path):
-    spark = rocks
-    d = derived.detections(spark, sf_dir).where(F.col("clip_id") < 4_000_000).where(F.col("subject").isNotNull())
-    out = _run(st.stream_tracks(_stream(spark, d, str(tmp_path / "t"), 3, "t_ms")), "tracks_out", tmp_path)
-    # a batch border can fall inside a frame, so compare the identities, not the match order
-    whole = framing.track_subjects(d)
-    assert out.count() == whole.count()
-    assert out.groupBy("clip_id").agg(F.count_distinct("track_id")).count() == whole.select("clip_id").distinct().count()
+def test_tracks_equal_the_batch_ones(spark, sf_dir):
+    """Row by row, with batch borders inside frames and rows that come late; no clip's state is left."""
+    d = derived.detections(spark, sf_dir).where(F.col("clip_id") < 4_000_000)
+    slices = streams.split_frames(d)
+    assert all(s["in"].count() for s in slices)
+    run = replay(spark, slices, lambda s: st.stream_tracks(s["in"]))
+    assert rows(run.table.drop("batch").where("clip_id >= 0")) == rows(framing.track_subjects(d))
+    assert run.table.select("batch").distinct().count() > 1
+    # a buffered frame and its timer at most, of the clip that only moved time on
+    assert run.kept[0] > 50 and run.kept[-1] <= 6
+
+
+def test_a_silent_clip_starts_anew(spark):
+    box = "0 as subject, 10 as x, 10 as y, 50 as w, 50 as h, 'face' as type, false as scene_cut"
+    d = spark.sql(f"select 1L as clip_id, id as frame, id * 200 as t_ms, {box} from range(60) where id < 10 or id >= 30")
+    d = d.selectExpr("*", "timestamp_millis(t_ms + 86400000) as ts")
+    got = replay(spark, [{"in": d}, {"in": d.where("frame = 1").selectExpr("-1L as clip_id", *d.columns[1:-1], "ts + interval 1 day as ts")}], lambda s: st.stream_tracks(s["in"])).table
+    ids = {r.frame: (r.track_id, r.hits) for r in got.where("clip_id = 1").collect()}
+    assert ids[9] == (1, 10) and ids[30][1] == 1 and len(ids) == 40
+
+
+def test_progress_state_goes(spark):
+    """With the end of a job, and with the time to live of one that stays silent."""
+    schema = "job_id long, ts timestamp, done_s double, total_s double, elapsed_s double"
+
+    def part(*jobs):
+        return {"in": spark.createDataFrame([(j, datetime(2024, 1, 1, 0, m), d, 100.0, 10.0) for j, m, d in jobs], schema)}
+
+    build = lambda ttl: lambda s: st.stream_progress(s["in"], ttl)
+    run = replay(spark, [part((1, 0, 50.0), (2, 0, 10.0), (2, 1, 20.0)), part((1, 2, 100.0)), part((2, 0, 5.0))], build(3600), "update")
+    assert run.kept == [2, 1, 1]
+    assert sorted((r.batch, r.job_id, r.percent) for r in run.table.collect()) == [(0, 1, 50.0), (0, 2, 20.0), (1, 1, 100.0), (2, 2, 20.0)]
+    run = replay(spark, [part(*((j, 0, 1.0) for j in range(40))), part((100, 1, 1.0))], build(0.01), "update")
+    assert run.kept[0] == 40 and run.kept[1] <= 1
+
+
+def test_late_rows_are_counted(spark, sf_dir):
+    late = entry.queries()["st1_late_rows"](spark, sf_dir).first()
+    assert late.late_bins > 0 and late.bins > 0
 
 
 def test_silent_owner_is_reported(rocks, tmp_path):
