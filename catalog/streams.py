@@ -123,7 +123,7 @@ def split_frames(dets: DataFrame, border_ms: int = 4_000) -> list[dict[str, Data
     batches. Then one row far ahead."""
     at = dets.withColumn("ts", F.timestamp_millis(F.col("t_ms") + 86_400_000))  # Spark takes nothing at or before 1970-01-01 00:00
     slot: Column = F.least(F.floor(F.col("t_ms") / border_ms), F.lit(SLICES - 1))
-    moved = (F.col("t_ms") % border_ms >= border_ms - 1_000) & (F.col("subject") % 2 == 0)
+    moved = (F.col("t_ms") % border_ms >= border_ms - 1_000) & F.coalesce(F.col("subject") % 2 == 0, F.lit(False))
     slot = F.least(slot + moved.cast("int"), F.lit(SLICES - 1))
     return [*({"in": at.where(slot == k)} for k in range(SLICES)), {"in": _ahead(at, "ts", clip_id=-1, frame=0, t_ms=0, scene_cut=False)}]
 

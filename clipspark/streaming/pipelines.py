@@ -149,12 +149,12 @@ class _InOrder(StatefulProcessor):
                 held += json.loads(part.drop(columns="ts").to_json(orient="records"))
                 self.waiting.updateValue((ms,), (json.dumps(held),))
                 times.append(ms)
-        self._wake(min(times))
+        self._wake(min(times), timerValues.getCurrentWatermarkInMs())
         yield from ()
 
-    def _wake(self, ms: int) -> None:
-        """Have the timer run out at ``ms`` or before."""
-        if not any(t <= ms for t in self.handle.listTimers()):
+    def _wake(self, ms: int, now: int) -> None:
+        """Have a timer run out at ``ms`` or before; those up to ``now`` are spent."""
+        if not any(now < t <= ms for t in self.handle.listTimers()):
             self.handle.registerTimer(ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -165,7 +165,7 @@ class _InOrder(StatefulProcessor):
         yield from self.advance(key, [r for _, rows in due for r in rows], now)
         later = [t for t in (*(ms for ms in times if ms > now), self.ends()) if t is not None]
         if later:
-            self._wake(min(later))
+            self._wake(min(later), now)
 
     def advance(self, key, rows: list[dict], now: int) -> Iterator[pd.DataFrame]:
         """Results of the rows, which come in order, given that time is ``now``."""
@@ -230,9 +230,13 @@ class _Tracker(_InOrder):
         if self.state.exists():
             ms, next_id, last_t, text = self.state.get()
             tracks = {f: np.array(v, tracks[f].dtype) for f, v in json.loads(text).items()}
-        if rows:
-            ms = max(r["ms"] for r in rows)
-            frames = pd.DataFrame(rows, columns=_BOXES).astype({c: float for c in "xywh"})
+        while rows:
+            if ms is not None and rows[0]["ms"] > ms + TRACK_EXPIRY_MS:
+                next_id, last_t, tracks = 1, None, no_tracks()
+            n, ms = 1, rows[0]["ms"]
+            while n < len(rows) and rows[n]["ms"] <= ms + TRACK_EXPIRY_MS:
+                n, ms = n + 1, rows[n]["ms"]
+            frames, rows = pd.DataFrame(rows[:n], columns=_BOXES).astype({c: float for c in "xywh"}), rows[n:]
             out, tracks, next_id, last_t = track_rows(int(key[0]), frames, tracks, int(next_id), last_t)
             if len(out):
                 yield out[TRACK_COLUMNS]
