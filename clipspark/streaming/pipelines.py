@@ -2,8 +2,7 @@
 
 Each function takes and returns a streaming DataFrame (the windowed ones give the same
 result on a batch one). State is keyed by source, clip, owner or job. It goes when the
-watermark passes it; a job's progress goes when the job is done or has been silent for
-``PROGRESS_TTL_S`` of wall-clock time. So no state grows with the stream.
+watermark passes it, but for one row per job of ``stream_progress``.
 ``replay.py`` runs them over slices of tables."""
 
 from __future__ import annotations
@@ -22,7 +21,6 @@ from clipspark.operators.framing import TRACK_COLUMNS, TRACK_SCHEMA, no_tracks,
 
 STALE_S = 120
 TRACK_EXPIRY_MS = 1_600
-PROGRESS_TTL_S = 24 * 3600
 
 
 def stream_activity(frames: DataFrame, delay: str = "10 seconds") -> DataFrame:
@@ -83,9 +81,12 @@ def stream_handoff(requests: DataFrame, transcripts: DataFrame, patience: str =
     ).select(F.col("r.source_id").alias("source_id"), "requested_at", "arrived_at", F.col("arrived_at").isNotNull().alias("resumed"))
 
 
-def _progress(last: DataFrame) -> DataFrame:
+def stream_progress(progress: DataFrame) -> DataFrame:
+    """Latest percent, realtime factor and remaining seconds of each job (update mode).
+    ``progress``: job_id, ts, done_s, total_s, elapsed_s. One state row per job, which stays."""
+    last = F.max(F.struct("ts", "done_s", "total_s", "elapsed_s")).alias("z")
     rate = F.try_divide("z.done_s", "z.elapsed_s")
-    return last.select(
+    return progress.groupBy("job_id").agg(last).select(
         "job_id",
         F.round(F.least(F.lit(100.0), F.try_divide("z.done_s", "z.total_s") * 100), 2).alias("percent"),
         F.round(rate, 3).alias("realtime_factor"),
@@ -93,45 +94,6 @@ def _progress(last: DataFrame) -> DataFrame:
     )
 
 
-class _Latest(StatefulProcessor):
-    """A job's newest report, kept until the job is done or silent for the time to live."""
-
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.newest = handle.getValueState("newest", "us long, done double, total double, elapsed double", ttlDurationMs=self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best = tuple(self.newest.get()) if self.newest.exists() else None
-        for pdf in rows:
-            for row in pdf[["us", "done_s", "total_s", "elapsed_s"]].itertuples(index=False):
-                found = (int(row[0]), *map(float, row[1:]))
-                best = found if best is None or found > best else best
-        if best[1] >= best[2]:
-            self.newest.clear()
-        else:
-            self.newest.update(best)
-        yield pd.DataFrame({"job_id": [key[0]], "us": [best[0]], "done_s": [best[1]], "total_s": [best[2]], "elapsed_s": [best[3]]})
-
-    def close(self) -> None:
-        pass
-
-
-def stream_progress(progress: DataFrame, ttl_s: float = PROGRESS_TTL_S) -> DataFrame:
-    """Latest percent, realtime factor and remaining seconds of each job, told anew in each
-    micro-batch that has news of it (update mode). ``progress``: job_id, ts, done_s, total_s,
-    elapsed_s. A stream needs the RocksDB state store."""
-    if not progress.isStreaming:
-        return _progress(progress.groupBy("job_id").agg(F.max(F.struct("ts", "done_s", "total_s", "elapsed_s")).alias("z")))
-    rows = progress.select("job_id", F.unix_micros("ts").alias("us"), "done_s", "total_s", "elapsed_s")
-    last = rows.groupBy("job_id").transformWithStateInPandas(
-        statefulProcessor=_Latest(int(1000 * ttl_s)), outputStructType="job_id long, us long, done_s double, total_s double, elapsed_s double",
-        outputMode="Update", timeMode="ProcessingTime",
-    )
-    return _progress(last.select("job_id", F.struct("done_s", "total_s", "elapsed_s").alias("z")))
-
-
 class _InOrder(StatefulProcessor):
     """Holds the rows of a key until the watermark passes their time, and then hands all of
     them on in order of time, so that results don't depend on the borders of batches."""

@@ -1,7 +1,5 @@
 """Streaming runs over files, against the same transformation in batch."""
 
-from datetime import datetime
-
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -79,21 +77,6 @@ def test_a_silent_clip_starts_anew(spark):
     assert ids[9] == (1, 10) and ids[30][1] == 1 and len(ids) == 40
 
 
-def test_progress_state_goes(spark):
-    """With the end of a job, and with the time to live of one that stays silent."""
-    schema = "job_id long, ts timestamp, done_s double, total_s double, elapsed_s double"
-
-    def part(*jobs):
-        return {"in": spark.createDataFrame([(j, datetime(2024, 1, 1, 0, m), d, 100.0, 10.0) for j, m, d in jobs], schema)}
-
-    build = lambda ttl: lambda s: st.stream_progress(s["in"], ttl)
-    run = replay(spark, [part((1, 0, 50.0), (2, 0, 10.0), (2, 1, 20.0)), part((1, 2, 100.0)), part((2, 0, 5.0))], build(3600), "update")
-    assert run.kept == [2, 1, 1]
-    assert sorted((r.batch, r.job_id, r.percent) for r in run.table.collect()) == [(0, 1, 50.0), (0, 2, 20.0), (1, 1, 100.0), (2, 2, 20.0)]
-    run = replay(spark, [part(*((j, 0, 1.0) for j in range(40))), part((100, 1, 1.0))], build(0.01), "update")
-    assert run.kept[0] == 40 and run.kept[1] <= 1
-
-
 def test_late_rows_are_counted(spark, sf_dir):
     late = entry.queries()["st1_late_rows"](spark, sf_dir).first()
     assert late.late_bins > 0 and late.bins > 0
