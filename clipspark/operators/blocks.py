@@ -56,16 +56,21 @@ def with_lookahead(
         .select(*keys, "block", F.explode("_tos").alias("_to"))
         .where(F.col("_to").isNotNull())
     )
-    first = Window.partitionBy(*keys, "block", "_to").orderBy(*order)
-    in_stretch = (F.col("_to") == F.col("block") - 1) & (F.col(at) - F.col("block") * width < ahead)
+    # a block's first rows, and its first beyond the stretch, are found once for all targets
+    late = F.col(at) - F.col("block") * F.lit(width) >= F.lit(ahead)
+    first = Window.partitionBy(*keys, "block", "_late").orderBy(*order)
+    within = Window.partitionBy(*keys, "block", "_to").orderBy(*order)
     heads = (
-        own.join(targets, [*keys, "block"])
-        .where(~in_stretch)
+        own.withColumn("_late", late)
         .withColumn("_rn", F.row_number().over(first))
         .where(F.col("_rn") <= rows)
+        .join(targets, [*keys, "block"])
+        .where(F.col("_late") | (F.col("_to") != F.col("block") - 1))
+        .withColumn("_rn", F.row_number().over(within))
+        .where(F.col("_rn") <= rows)
         .withColumn("block", F.col("_to"))
         .withColumn("halo", F.lit(True))
-        .drop("_to", "_rn")
+        .drop("_to", "_rn", "_late")
     )
     return timed.unionByName(heads)
 

@@ -104,38 +104,54 @@ def overlap_pairs(cands: DataFrame, block_ms: int = 300_000) -> DataFrame:
     )
 
 
-def _suppressed(threshold: float):
-    def by(chosen: Column, start: Column, end: Column) -> Column:
-        inter = overlap_ms(chosen["start_ms"], chosen["end_ms"], start, end)
-        shorter = F.least(chosen["end_ms"] - chosen["start_ms"], end - start)
-        return (inter > 0) & (shorter > 0) & (inter / shorter >= F.lit(threshold))
-
-    return by
+def _defeats(rows: DataFrame, threshold: float, block_ms: int = 300_000) -> DataFrame:
+    """``source_id, loser, winner``: clashing candidates, the better one as the winner
+    (higher score, then lower number; a null score is the lowest)."""
+    bucket = F.sequence(F.floor(F.col("start_ms") / block_ms), F.floor(F.greatest(F.col("start_ms"), F.col("end_ms") - 1) / block_ms))
+    bucketed = rows.select("source_id", "candidate_seq", "start_ms", "end_ms", "score", F.explode(bucket).alias("bucket"))
+    a, b = bucketed.alias("a"), bucketed.alias("b")
+    inter = overlap_ms(*[F.col(c) for c in ("a.start_ms", "a.end_ms", "b.start_ms", "b.end_ms")])
+    shorter = F.least(F.col("a.end_ms") - F.col("a.start_ms"), F.col("b.end_ms") - F.col("b.start_ms"))
+    mine, other = (F.coalesce(F.col(f"{s}.score").cast("double"), F.lit(float("-inf"))) for s in "ab")
+    return (
+        a.join(b, (F.col("a.source_id") == F.col("b.source_id")) & (F.col("a.bucket") == F.col("b.bucket")))
+        .where(F.col("a.candidate_seq") != F.col("b.candidate_seq"))
+        .where((mine < other) | ((mine == other) & (F.col("a.candidate_seq") > F.col("b.candidate_seq"))))
+        .where((inter > 0) & (shorter > 0) & (inter / shorter >= F.lit(threshold)))
+        # once, in the bucket where the overlap starts
+        .where(F.floor(F.greatest("a.start_ms", "b.start_ms") / block_ms) == F.col("a.bucket"))
+        .select(F.col("a.source_id").alias("source_id"), F.col("a.candidate_seq").alias("loser"), F.col("b.candidate_seq").alias("winner"))
+    )
 
 
 def nms_top_k(scored: DataFrame, k: int = 5, threshold: float = 0.6) -> DataFrame:
     """Best ``k`` candidates per source such that none overlaps a better kept one.
 
-    ``scored``: source_id, candidate_seq, start_ms, end_ms, score. Each of ``k`` rounds
-    takes every source's best candidate that the picks so far leave standing: one partial
-    aggregate and one ordinary join with one row per source, so no source's candidates
-    ever meet in one task and a source of any size takes the same way.
+    ``scored``: source_id, candidate_seq, start_ms, end_ms, score. Only clashing pairs are
+    worked on: a candidate that no standing one defeats stays, those it defeats fall, and
+    their pairs go. A round settles at least each source's best unsettled candidate, so the
+    first ``k`` picks are settled after ``k`` rounds; they end sooner when no pair is left.
+    No round reads the candidates again, and pairs meet in time buckets.
     """
-    # every round reads the scores: compute them once
+    # read by the pairs and by the result: computed once
     rows = materialise(scored.select("source_id", "candidate_seq", "start_ms", "end_ms", "score"))
-    clash = _suppressed(threshold)
-    best = F.min(F.struct((-F.col("score")).alias("key"), "candidate_seq", "start_ms", "end_ms", "score"))
-    picked = rows.groupBy("source_id").agg(best.alias("pick")).select("source_id", F.array("pick").alias("picks"))
-    for _ in range(k - 1):
-        alive = rows.join(picked, "source_id").where(
-            ~F.exists("picks", lambda p: clash(p, F.col("start_ms"), F.col("end_ms")) | (p["candidate_seq"] == F.col("candidate_seq")))
-        )
-        following = alive.groupBy("source_id").agg(best.alias("pick"))
-        picked = materialise(
-            picked.join(following, "source_id", "left").select(
-                "source_id", F.when(F.col("pick").isNull(), F.col("picks")).otherwise(F.concat("picks", F.array("pick"))).alias("picks")
-            )
-        )
-    return picked.select("source_id", F.posexplode("picks").alias("pos", "pick")).select(
-        "source_id", (F.col("pos") + 1).cast("long").alias("rank"), "pick.candidate_seq", "pick.start_ms", "pick.end_ms", "pick.score"
+    pairs = materialise(_defeats(rows, threshold))
+    fallen = []
+    for _ in range(k):
+        if pairs.isEmpty():
+            break
+        losers = pairs.select("source_id", F.col("loser").alias("winner")).distinct()
+        out = pairs.join(losers, ["source_id", "winner"], "left_anti").select("source_id", "loser").distinct()
+        out = materialise(out)
+        fallen.append(out)
+        beaten = out.withColumnRenamed("loser", "winner")
+        pairs = materialise(pairs.join(out, ["source_id", "loser"], "left_anti").join(beaten, ["source_id", "winner"], "left_anti"))
+    standing = rows
+    for out in fallen:
+        standing = standing.join(out.withColumnRenamed("loser", "candidate_seq"), ["source_id", "candidate_seq"], "left_anti")
+    order = Window.partitionBy("source_id").orderBy(F.col("score").desc_nulls_last(), "candidate_seq")
+    return (
+        standing.withColumn("rank", F.row_number().over(order))
+        .where(F.col("rank") <= k)
+        .select("source_id", F.col("rank").cast("long").alias("rank"), "candidate_seq", "start_ms", "end_ms", "score")
     )

@@ -307,52 +307,67 @@ def caption_cards(
 ) -> DataFrame:
     """Short subtitle cards: closed by sentence ends, pauses, or the size limits.
 
-    ``words``: source_id, pos (order in the source), start_ms, end_ms, word.
+    ``words``: source_id, pos (order in the source), start_ms, end_ms, word. Only lengths
+    and flags travel while cards are cut; the words are counted off by marks at the cards'
+    first words.
     """
-    rows = with_lookahead(words, ["source_id"], "start_ms", ["pos"], block_ms, min(block_ms, 60_000), rows=max_words + 1)
-    by_pos = Window.partitionBy("source_id", "block").orderBy("pos")
-    next_start, next_pos = F.lead("start_ms").over(by_pos), F.lead("pos").over(by_pos)
-
     def ends_with(marks):
         out = F.lit(False)
         for m in marks:
             out = out | F.col("word").endswith(m)
-        return out
+        return F.coalesce(out, F.lit(False))
 
-    me = F.struct(
-        "pos", "start_ms", "end_ms", "word",
-        ends_with(TERMINAL_MARKS).alias("stop"),
-        F.coalesce(next_start - F.col("end_ms") >= _ms(pause_s), F.lit(False)).alias("silent"),
-        ends_with(PAUSE_MARKS).alias("comma"),
-        next_pos.alias("next_pos"),
-        next_start.alias("next_s"),
-    )
-    ahead = Window.partitionBy("source_id", "block").orderBy("pos").rowsBetween(0, max_words - 1)
-    run = (
-        rows.withColumn("me", me).withColumn("run", F.collect_list("me").over(ahead)).where(~F.col("halo"))
-    )
-
-    def closes(x, i):
-        chars = F.aggregate(F.slice("run", 1, i + 1), F.lit(0), lambda a, y: a + F.length(y["word"])) + i
-        return (
-            x["stop"] | x["silent"] | (x["comma"] & (i >= 1)) | (i + 1 >= max_words) | (chars >= max_chars) | x["next_pos"].isNull()
-        )
-
-    size = F.array_position(F.transform("run", closes), F.lit(True)).cast("int")
-    carded = run.withColumn("card", F.slice("run", F.lit(1), size)).withColumn("z", F.element_at("card", -1))
-    pointers = carded.select(
-        "source_id", "block", "pos",
-        F.col("z.next_pos").alias("nxt"),
-        block_of(F.col("z.next_s"), block_ms).alias("nxt_block"),
-        "start_ms",
-        F.greatest(F.col("z.end_ms"), F.col("start_ms") + _ms(min_s)).alias("end_ms"),
-        F.transform("card", lambda x: F.struct(x["pos"], x["start_ms"].alias("s"), x["end_ms"].alias("e"), x["word"])).alias("words"),
-        F.col("z.next_s").alias("next_start_ms"),
+    # where a card that starts at a word would end: sizes and flags of the words ahead, no texts
+    slim = words.select(
+        "source_id", "pos", "start_ms", "end_ms", F.coalesce(F.length("word"), F.lit(0)).alias("chars"),
+        ends_with(TERMINAL_MARKS).alias("stop"), ends_with(PAUSE_MARKS).alias("comma"),
+    )
+    rows = with_lookahead(slim, ["source_id"], "start_ms", ["pos"], block_ms, 0, rows=max_words + 1)
+    by_pos = Window.partitionBy("source_id", "block").orderBy("pos")
+    ahead = rows.select(
+        "source_id", "block", "pos", "halo",
+        *[F.lead(c, i).over(by_pos).alias(f"{c}_{i}") for c in ("stop", "comma", "chars", "end_ms") for i in range(max_words)],
+        *[F.lead(c, i).over(by_pos).alias(f"{c}_{i}") for c in ("pos", "start_ms") for i in range(1, max_words + 1)],
+    ).where(~F.col("halo"))
+    nxt, nxt_start, chars = None, None, F.lit(0)
+    for i in range(max_words):
+        chars = chars + F.col(f"chars_{i}")
+        silent = F.coalesce(F.col(f"start_ms_{i + 1}") - F.col(f"end_ms_{i}") >= _ms(pause_s), F.lit(False))
+        full = F.lit(i + 1 >= max_words) | (chars + i >= max_chars) | F.col(f"pos_{i + 1}").isNull()
+        closed = F.col(f"stop_{i}") | silent | (F.col(f"comma_{i}") & F.lit(i >= 1)) | full
+        here = F.col(f"pos_{i + 1}"), F.col(f"start_ms_{i + 1}")
+        nxt, nxt_start = (F.when(closed, h) if w is None else w.when(closed, h) for w, h in zip((nxt, nxt_start), here))
+    pointers = materialise(
+        ahead.select("source_id", "block", "pos", nxt.alias("nxt"), block_of(nxt_start, block_ms).alias("nxt_block"), nxt_start.alias("next_start_ms"))
+    )
+    heads = reach(pointers, ["source_id"], ["next_start_ms"])
+    # cards are numbered through the blocks; words before a block's first card end the card before
+    past = Window.partitionBy("source_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    begun = heads.select("source_id", "block", F.lit(1).alias("n")).unionByName(
+        pointers.select("source_id", "block").distinct().withColumn("n", F.lit(0))
+    )
+    base = begun.groupBy("source_id", "block").agg(F.sum("n").alias("n")).select(
+        "source_id", "block", F.coalesce(F.sum("n").over(past), F.lit(0)).alias("base")
+    )
+    # a mark before each card's first word, counted along the block
+    marks = heads.select("source_id", "block", "pos", F.lit(1).alias("mark"), "next_start_ms")
+    spoken = words.select(
+        "source_id", block_of(F.col("start_ms"), block_ms).alias("block"), "pos", F.lit(0).alias("mark"),
+        F.struct("pos", F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), "word").alias("w"),
+    )
+    so_far = Window.partitionBy("source_id", "block").orderBy("pos", F.col("mark").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    cards = (
+        spoken.unionByName(marks, allowMissingColumns=True)
+        .withColumn("card", F.sum("mark").over(so_far))
+        .join(base, ["source_id", "block"])
+        .groupBy("source_id", (F.col("card") + F.col("base")).alias("card"))
+        .agg(F.sort_array(F.collect_list("w")).alias("words"), F.max("next_start_ms").alias("next_start_ms"))
+        .withColumn("start_ms", F.get("words", F.lit(0))["s"])
+        .withColumn("end_ms", F.greatest(F.element_at("words", -1)["e"], F.col("start_ms") + _ms(min_s)))
     )
-    reached = reach(materialise(pointers), ["source_id"], ["start_ms", "end_ms", "words", "next_start_ms"])
     gap = F.col("next_start_ms") - F.col("end_ms")
     bridged = F.when((gap > 0) & (gap < BRIDGE_MS), F.col("next_start_ms")).otherwise(F.col("end_ms"))
-    return number_rows(reached, ["source_id"], "block", [F.col("pos")], "card").select(
+    return cards.select(
         "source_id", "card", "start_ms", bridged.alias("end_ms"),
         F.array_join(F.transform("words", lambda x: x["word"]), " ").alias("text"), "words",
     )

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from clipspark.operators import blocks, context, intervals, ranking, scoring, segmentation, signals
+from clipspark.operators import blocks, chains, context, intervals, ranking, scoring, segmentation, signals
 from clipspark.sources import derived
 from tests.conftest import rows
 
@@ -126,3 +126,27 @@ def test_touching_segments_are_context_not_content(spark):
     cand = spark.createDataFrame([(1, 1, 5_000, 65_000, "inside")], "source_id long, candidate_seq long, start_ms long, end_ms long, text string")
     r = context.surrounding_context(cand, seg).collect()[0]
     assert (r["previous_context"], r["next_context"], r["silence_before_ms"], r["silence_after_ms"]) == ("before", "after", 0, 0)
+
+
+def test_walks_enter_blocks_where_pointers_lead(spark):
+    """Blocks of five rows, pointers three rows on, two keys of unequal length, one null key."""
+    length = {"a": 23, "b": 7, None: 4}
+    nodes = [
+        (k, i // 5, i, i + 3 if i + 3 < n else None, (i + 3) // 5 if i + 3 < n else None, f"{k}{i}")
+        for k, n in length.items() for i in range(n)
+    ]
+    df = spark.createDataFrame(nodes, "key string, block long, pos long, nxt long, nxt_block long, name string")
+    got = chains.reach(df.repartition(3), ["key"], ["name"]).select("key", "pos", "name").collect()
+    assert sorted(map(tuple, got)) == [(k, i, f"{k}{i}") for k in "ab" for i in range(0, length[k], 3)]
+    assert chains.reach(df.limit(0), ["key"], ["name"]).count() == 0
+
+
+def test_suppression_of_chains_and_missing_scores(spark):
+    """Each candidate is beaten by the next of its chain; one without a score comes last."""
+    rows_ = [(1, i, i * 10_000, i * 10_000 + 60_000, float(i)) for i in range(30)] + [(1, 99, 900_000, 960_000, None), (2, 1, 0, 0, 1.0), (2, 2, 0, 0, 1.0)]
+    scored = spark.createDataFrame(rows_, "source_id long, candidate_seq long, start_ms long, end_ms long, score double")
+    assert [r["candidate_seq"] for r in ranking.nms_top_k(scored, 4).where("source_id = 1").orderBy("rank").collect()] == [29, 26, 23, 20]
+    everything = ranking.nms_top_k(scored, 50)
+    assert everything.where("source_id = 1").orderBy(F.desc("rank")).first()["candidate_seq"] == 99
+    assert everything.where("source_id = 2").count() == 2
+    assert ranking.nms_top_k(scored.limit(0)).count() == 0
