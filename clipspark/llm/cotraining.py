@@ -2,18 +2,24 @@
 
 Two views of a document: its content (shares of symbols, capitals, digits, breaks, distinct
 words and the like, each as one of a few bins) and its metadata (language, source, length).
-Each view has a logistic classifier, fitted to a bounded sample of labelled rows. In each
-round each classifier names the unlabelled rows of a bounded pool that it is most sure of,
-both ways, and these pseudo-labels join the training rows of the other. At the end each
-view is calibrated on the labelled rows, and the calibrated log odds are combined by
-weights fitted to the same rows. The model scores every document.
+Each view has a classifier whose weights are log ratios of feature counts, so that they come
+from sums over rows, however many there are. The first classifiers are made from a bounded
+sample of labelled rows. In round r each classifier names the share r * ``CONFIDENT`` of *all*
+unlabelled rows that it is most sure of, both ways, by quantiles of its odds over all of them;
+the feature counts of these rows join the labelled ones of the other view, together weighing
+``TRUST`` times that share of the labelled rows. At the end each view is calibrated on the
+labelled rows, and the calibrated log odds are combined by weights fitted to the same rows.
+The model scores every document.
 
 Labels come only from rows whose crc32 of the id modulo 3 is not 1. The driver holds the
-sample (``LABELLED`` rows of each label) and the pool (``POOL`` rows) as small features.
+sample (``LABELLED`` rows of each label, as small features) and the feature counts. Figures
+are made from the texts once and written; all later passes read those slim rows.
 
 Defined results: null and empty texts have zero shares; null metadata is a value of its
-own; null ids are never learned from; without both labels every score is the share of
-label 1; repeated rows get equal scores; an empty table gives no rows."""
+own; null ids are never learned from; rows of equal odds at the edge of the confident share
+are all named, and those of a label weigh together the same; without both labels every score
+is the share of label 1; repeated rows count as often as they stand and get equal scores; very
+long texts are read whole in parts; an empty table gives no rows; further columns are left out."""
 
 from __future__ import annotations
 
@@ -23,17 +29,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .learning import fit, held_out, labelled_sample, platt
 from .tables import map_text, pick, written
 from .words import offsets, words
 
 LABELLED = 4_000
-POOL = 8_000
 ROUNDS = 4
-CONFIDENT = 0.05  # share of the pool that a view labels in a round, each way
+CONFIDENT = 0.05  # share of all unlabelled rows that a view names in the first round
+TRUST = 0.5  # weight of a named row beside a labelled one
+STRENGTH = 8.0  # a feature's counts are drawn towards both labels' by so many rows
 _BINS = 8
-_BUCKETS = 256
+_BUCKETS = 1 << 16
 CONTENT = ("symbols", "capitals", "digits", "lines", "spaces", "marks", "other", "word_length", "distinct", "words")
 
 
@@ -69,46 +77,91 @@ def _metadata(docs: DataFrame) -> Column:
 
 @dataclass
 class View:
-    """A linear classifier over one-hot features; ``edges`` bins figures, if it has them."""
+    """A linear classifier over rows that each have a few of its features."""
 
-    edges: np.ndarray | None
     weight: np.ndarray
     bias: float
 
-    def columns(self, values: np.ndarray) -> np.ndarray:
-        """The feature that is on, for each row and figure."""
-        if self.edges is None:
-            return values.astype(np.int64) + np.arange(values.shape[1]) * _BUCKETS
-        return np.column_stack([np.searchsorted(e, values[:, i], "right") + i * _BINS for i, e in enumerate(self.edges)])
-
-    def odds(self, values: np.ndarray) -> np.ndarray:
-        return self.bias + self.weight[self.columns(values)].sum(axis=1)
-
-    def learn(self, values: np.ndarray, target: np.ndarray, weigh: np.ndarray) -> None:
-        on = self.columns(values)
-        row = np.repeat(np.arange(len(on)), on.shape[1])
-        self.weight, self.bias = fit(row, on.ravel(), len(on), np.ones(len(self.weight)), target, weigh)
-
-
-def co_train(seen: list[np.ndarray], label: np.ndarray, weigh: np.ndarray, pool: list[np.ndarray], share: float, rounds: int = ROUNDS) -> tuple[list[View], np.ndarray]:
-    """(both views, weights (a, b, c) of their calibrated sum). ``seen`` and ``pool`` hold
-    the figures of content and metadata."""
-    both = np.concatenate([seen[0], pool[0]])
-    edges = np.quantile(both, np.arange(1, _BINS) / _BINS, axis=0).T
-    views = [View(edges, np.zeros(_BINS * both.shape[1]), 0.0), View(None, np.zeros(_BUCKETS * seen[1].shape[1]), 0.0)]
-    given = [np.full(len(pool[0]), -1), np.full(len(pool[0]), -1)]  # pseudo-labels for each view
-    for _ in range(rounds + 1):
-        for v, view in enumerate(views):
-            more = given[v] >= 0
-            # a pseudo-label counts half a true one
-            view.learn(np.concatenate([seen[v], pool[v][more]]), np.concatenate([label, given[v][more]]), np.concatenate([weigh, np.full(more.sum(), 0.5)]))
-        for v, view in enumerate(views):
-            odds, free = view.odds(pool[v]), given[1 - v] < 0
-            order = np.flatnonzero(free)[np.argsort(odds[free], kind="stable")]
-            low, high = int(CONFIDENT * (1 - share) * len(odds)), int(CONFIDENT * share * len(odds))
-            sure = odds[order]
-            given[1 - v][order[:low][sure[:low] < 0]] = 0
-            given[1 - v][order[len(order) - high :][sure[len(order) - high :] > 0]] = 1
+    def odds(self, on: np.ndarray) -> np.ndarray:
+        return self.bias + self.weight[on].sum(axis=1)
+
+
+def learned(counts: np.ndarray, total: np.ndarray) -> View:
+    """The view whose features were counted ``counts[label]`` times in ``total[label]`` rows."""
+    pooled = counts.sum(axis=0) / total.sum()
+    drawn = (counts + STRENGTH * pooled) / (total[:, None] + STRENGTH)
+    weight = np.zeros(counts.shape[1])
+    known = pooled > 0
+    weight[known] = np.log(drawn[1, known]) - np.log(drawn[0, known])
+    return View(weight, float(np.log(total[1]) - np.log(total[0])))
+
+
+def _on(edges: np.ndarray):
+    """The features of a row in each view, as columns."""
+    bins = [sum(((F.get("figures", F.lit(i)) >= F.lit(float(e))).cast("int") for e in row), F.lit(0)) + i * _BINS for i, row in enumerate(edges)]
+    return F.array(*bins).alias("content"), F.transform("meta", lambda m, i: m + i * _BUCKETS).alias("metadata")
+
+
+VIEWS = ("content", "metadata")
+
+
+def _matrix(lists: pa.Array) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
+def with_odds(rows: DataFrame, views: list[View], keep: list[str]) -> DataFrame:
+    """``keep`` of each row and its odds in both views."""
+    held = rows.sparkSession.sparkContext.broadcast(views)
+    rows = rows.select(*keep, *[v for v in VIEWS if v not in keep])
+    schema = T.StructType([rows.schema[k] for k in keep])
+    for v in VIEWS:
+        schema = schema.add(f"{v}_odds", "double")
+
+    def task(batches):
+        for b in batches:
+            odds = [pa.array(view.odds(_matrix(b.column(v))), pa.float64()) for v, view in zip(VIEWS, held.value)]
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], *odds], names=schema.fieldNames())
+
+    return rows.mapInArrow(task, schema)
+
+
+def confident(unlabelled: DataFrame, views: list[View], share: float, take: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each view (counts, rows) by label of those rows that the *other* is most sure of."""
+    ask = [take * (1 - share), 1 - take * share]
+    odds = with_odds(unlabelled, views, [])
+    cuts = odds.agg(*[F.percentile_approx(f"{v}_odds", ask).alias(v) for v in VIEWS]).first()
+    out = []
+    rows = with_odds(unlabelled, views, list(VIEWS))
+    sums = None
+    for v, other in zip(VIEWS, reversed(VIEWS)):
+        at, (low, high) = F.col(f"{v}_odds"), cuts[v] or (0.0, 0.0)
+        label = F.when((at <= low) & (at < 0), 0).when((at >= high) & (at > 0), 1)
+        # one more feature, -1, counts the rows themselves
+        part = rows.withColumn("label", label).filter("label is not null").select(F.lit(other).alias("view"), "label", F.explode(F.concat(F.array(F.lit(-1)), other)).alias("feature"))
+        sums = part if sums is None else sums.union(part)
+    found = sums.groupBy("view", "label", "feature").agg(F.count("*").alias("n")).toPandas()
+    for v, view in zip(VIEWS, views):
+        counts, total = np.zeros((2, len(view.weight))), np.zeros(2)
+        mine = found[found["view"] == v]
+        one = mine["feature"].to_numpy() < 0
+        np.add.at(total, mine["label"].to_numpy()[one], mine["n"].to_numpy()[one])
+        counts[mine["label"].to_numpy()[~one], mine["feature"].to_numpy()[~one]] = mine["n"].to_numpy()[~one]
+        out.append((counts, total))
+    return out
+
+
+def co_train(seen: list[np.ndarray], label: np.ndarray, weigh: np.ndarray, sizes: list[int], unlabelled: DataFrame, share: float, rounds: int = ROUNDS) -> tuple[list[View], np.ndarray]:
+    """(both views, weights (a, b, c) of their calibrated sum). ``seen`` holds the features
+    of the labelled rows in each view, ``sizes`` the number of features."""
+    total = np.array([weigh[label == l].sum() for l in (0, 1)])
+    counts = [np.array([np.bincount(on[label == l].ravel(), np.repeat(weigh[label == l], on.shape[1]), minlength=n) for l in (0, 1)]) for on, n in zip(seen, sizes)]
+    views = [learned(c, total) for c in counts]
+    for r in range(1, rounds + 1):
+        named = confident(unlabelled, views, share, CONFIDENT * r)
+        views = []
+        for base, (more, n) in zip(counts, named):
+            scale = np.where(n > 0, TRUST * CONFIDENT * r * total / np.maximum(1, n), 0.0)
+            views.append(learned(base + scale[:, None] * more, total + scale * n))
     for v, view in enumerate(views):
         a, c = platt(view.odds(seen[v]), label, weigh)
         view.weight, view.bias = a * view.weight, a * view.bias + c
@@ -122,45 +175,28 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, content_score, metadata_score, score of every document."""
     docs = pick(docs, "doc_id", "text", "lang", "source", "n_chars").withColumn("meta", _metadata(docs))
     sample, share = labelled_sample(docs, labels, "quality", (LABELLED, LABELLED))
-    known = docs.join(F.broadcast(sample.select("doc_id", "label")), "doc_id").dropDuplicates(["doc_id"])
-    pool = docs.join(pick(labels, "doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(POOL).select("doc_id")
-    pool = docs.join(F.broadcast(written(pool)), "doc_id", "left_semi").select("doc_id", F.lit(-1).alias("label"), "text", "meta")
 
     def work():
         return lambda texts: {"figures": pa.array(content(texts).tolist(), pa.list_(pa.float64()))}
 
-    rows = map_text(known.select("doc_id", "label", "text", "meta").union(pool), "figures array<double>", work, keep=["doc_id", "label", "meta"]).orderBy("label", "doc_id").collect()
-    mark = np.array([r.label for r in rows])
-    ready = len(rows) and (mark == 0).any() and (mark == 1).any()
-    if ready:
-        figures, meta = np.array([r.figures for r in rows]), np.array([r.meta for r in rows])
-        label = mark[mark >= 0].astype(float)
-        weigh = np.where(label == 1, share / label.sum(), (1 - share) / (1 - label).sum()) * len(label)
-        views, joint = co_train([figures[mark >= 0], meta[mark >= 0]], label, weigh, [figures[mark < 0], meta[mark < 0]], share)
-    else:
-        views, joint = None, None
-    held = docs.sparkSession.sparkContext.broadcast((views, joint, share))
-
-    def scored():
-        views, joint, share = held.value
-
-        def make(texts: pa.Array) -> dict[str, pa.Array]:
-            odds = views[0].odds(content(texts)) if views else np.zeros(len(texts))
-            return {"content_odds": pa.array(odds, pa.float64())}
-
-        return make
-
-    out = map_text(docs, "content_odds double", scored, keep=["doc_id", "meta"])
-    if not ready:
-        return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), *[F.lit(share).alias(c) for c in ("content_score", "metadata_score", "score")])
-    meta_odds = F.lit(float(views[1].bias))
-    for i in range(3):
-        part = F.lit([float(x) for x in views[1].weight[i * _BUCKETS : (i + 1) * _BUCKETS]])
-        meta_odds = meta_odds + F.get(part, F.get("meta", i))
-    out = out.withColumn("meta_odds", meta_odds)
+    rows = written(map_text(docs, "figures array<double>", work, keep=["doc_id", "meta"]))
+    out = ["doc_id", held_out(F.col("doc_id")).alias("held_out")]
+    sample = sample.select("doc_id", "label")
+    if {r.label for r in sample.select("label").distinct().collect()} != {0, 1}:
+        return rows.select(*out, *[F.lit(share).alias(c) for c in ("content_score", "metadata_score", "score")])
+    cuts = rows.agg(*[F.percentile_approx(F.get("figures", F.lit(i)), [k / _BINS for k in range(1, _BINS)]).alias(c) for i, c in enumerate(CONTENT)]).first()
+    labelled = pick(labels, "doc_id").distinct().withColumn("named", F.lit(True))
+    rows = written(rows.select("doc_id", *_on(np.array(list(cuts)))).join(labelled, "doc_id", "left").withColumn("free", F.col("named").isNull() & F.col("doc_id").isNotNull()).drop("named"))
+    # one row per id of the sample: the least, if an id has several
+    known = rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("label").alias("label"), F.min(F.struct(*VIEWS)).alias("on")).orderBy("label", "doc_id").collect()
+    label = np.array([r.label for r in known], float)
+    weigh = np.where(label == 1, share / label.sum(), (1 - share) / (1 - label).sum()) * len(label)
+    seen = [np.array([r.on[v] for r in known]) for v in VIEWS]
+    views, joint = co_train(seen, label, weigh, [_BINS * len(CONTENT), 3 * _BUCKETS], rows.filter("free"), share)
 
     def sigmoid(z: Column) -> Column:
         return 1 / (1 + F.exp(-z))
 
-    joined = F.lit(float(joint[0])) * F.col("content_odds") + F.lit(float(joint[1])) * F.col("meta_odds") + F.lit(float(joint[2]))
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), sigmoid(F.col("content_odds")).alias("content_score"), sigmoid(F.col("meta_odds")).alias("metadata_score"), sigmoid(joined).alias("score"))
+    joined = F.lit(float(joint[0])) * F.col("content_odds") + F.lit(float(joint[1])) * F.col("metadata_odds") + F.lit(float(joint[2]))
+    scored = with_odds(rows, views, ["doc_id"])
+    return scored.select(*out, *[sigmoid(F.col(f"{v}_odds")).alias(f"{v}_score") for v in VIEWS], sigmoid(joined).alias("score"))
