@@ -42,6 +42,16 @@ def v2(spark, sf_dir):
     return fr.track_subjects(derived.detections(spark, sf_dir))
 
 
+@register("v2_track_looks")
+def v2_looks(spark, sf_dir):
+    return fr.track_subjects(derived.looks(spark, sf_dir), fr.Tracking(look_size=derived.LOOK_SIZE))
+
+
+@register("v2_track_through_cuts")
+def v2_through_cuts(spark, sf_dir):
+    return fr.track_subjects(derived.detections(spark, sf_dir), fr.Tracking(cut_resets=False))
+
+
 OBS = DET + """, obs as (select clip_id, t_ms, subject as track_id, x, y, w, h, type, (frame % 10) / 10.0e0 as speaking, 0.5e0 + (frame % 5) / 10.0e0 as conf, row_number() over (partition by clip_id, subject order by t_ms) as hits from dets),
  cl as (select clip_id, count(*) as n, (max(t_ms) - min(t_ms)) / greatest(1, count(*) - 1) as step from frames group by 1),
  rw as (select o.*, n, step, coalesce(t_ms - lag(t_ms) over (partition by clip_id, track_id order by t_ms) > 600 + step, false) as f from obs o join cl using (clip_id)),

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from clipspark.operators.framing import TRACK_COLUMNS, TRACK_SCHEMA, no_tracks, track_rows
+from clipspark.operators.framing import TRACK_COLUMNS, TRACK_SCHEMA, Tracking, no_tracks, track_rows
 
 STALE_S = 120
 TRACK_EXPIRY_MS = 1_600
@@ -108,7 +108,7 @@ class _InOrder(StatefulProcessor):
             for ms, part in pdf.groupby("ms", sort=False):
                 ms = int(ms)
                 held = json.loads(self.waiting.getValue((ms,))[0]) if self.waiting.containsKey((ms,)) else []
-                held += json.loads(part.drop(columns="ts").to_json(orient="records"))
+                held += json.loads(part.drop(columns="ts").to_json(orient="records", double_precision=15))
                 self.waiting.updateValue((ms,), (json.dumps(held),))
                 times.append(ms)
         self._wake(min(times), timerValues.getCurrentWatermarkInMs())
@@ -179,27 +179,35 @@ def stream_stale(heartbeats: DataFrame, delay: str = "10 seconds") -> DataFrame:
 _BOXES = ["clip_id", "frame", "t_ms", "subject", "x", "y", "w", "h", "type", "scene_cut"]
 
 
+def _boxes(rules: Tracking) -> list[str]:
+    return [*_BOXES, "appearance"] if rules.look_size else _BOXES
+
+
 class _Tracker(_InOrder):
     """The clip tracker with its live tracks kept between frames. A clip's state goes
     ``TRACK_EXPIRY_MS`` after its last frame, when no track is live any more."""
 
+    def __init__(self, rules: Tracking):
+        self.rules = rules
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.state = handle.getValueState("tracks", "ms long, next_id long, last_t double, tracks string")
 
     def advance(self, key, rows: list[dict], now: int) -> Iterator[pd.DataFrame]:
-        ms, next_id, last_t, tracks = None, 1, None, no_tracks()
+        none = no_tracks(self.rules.look_size)
+        ms, next_id, last_t, tracks = None, 1, None, none
         if self.state.exists():
             ms, next_id, last_t, text = self.state.get()
-            tracks = {f: np.array(v, tracks[f].dtype) for f, v in json.loads(text).items()}
+            tracks = {f: np.array(v, none[f].dtype).reshape(len(v), *none[f].shape[1:]) for f, v in json.loads(text).items()}
         while rows:
             if ms is not None and rows[0]["ms"] > ms + TRACK_EXPIRY_MS:
-                next_id, last_t, tracks = 1, None, no_tracks()
+                next_id, last_t, tracks = 1, None, none
             n, ms = 1, rows[0]["ms"]
             while n < len(rows) and rows[n]["ms"] <= ms + TRACK_EXPIRY_MS:
                 n, ms = n + 1, rows[n]["ms"]
-            frames, rows = pd.DataFrame(rows[:n], columns=_BOXES).astype({c: float for c in "xywh"}), rows[n:]
-            out, tracks, next_id, last_t = track_rows(int(key[0]), frames, tracks, int(next_id), last_t)
+            frames, rows = pd.DataFrame(rows[:n], columns=_boxes(self.rules)).astype({c: float for c in "xywh"}), rows[n:]
+            out, tracks, next_id, last_t = track_rows(int(key[0]), frames, tracks, int(next_id), last_t, self.rules)
             if len(out):
                 yield out[TRACK_COLUMNS]
         if ms is None or now > ms + TRACK_EXPIRY_MS:
@@ -211,10 +219,10 @@ class _Tracker(_InOrder):
         return self.state.get()[0] + TRACK_EXPIRY_MS + 1 if self.state.exists() else None
 
 
-def stream_tracks(dets: DataFrame, delay: str = "2 seconds") -> DataFrame:
+def stream_tracks(dets: DataFrame, delay: str = "2 seconds", rules: Tracking = Tracking()) -> DataFrame:
     """Subject tracking as boxes arrive: a frame is tracked, whole, once the watermark passes
     its time, so rows may come in any order within ``delay`` and a frame may be split over
     batches; later rows are dropped. ``dets``: the columns of ``track_subjects`` and ts, the
     time of the frame. A clip silent for longer than 1.6 s starts anew. Needs RocksDB."""
-    rows = dets.withWatermark("ts", delay).select("ts", F.unix_millis("ts").alias("ms"), *_BOXES)
-    return rows.groupBy("clip_id").transformWithStateInPandas(statefulProcessor=_Tracker(), outputStructType=TRACK_SCHEMA, outputMode="Append", timeMode="EventTime")
+    rows = dets.withWatermark("ts", delay).select("ts", F.unix_millis("ts").alias("ms"), *_boxes(rules))
+    return rows.groupBy("clip_id").transformWithStateInPandas(statefulProcessor=_Tracker(rules), outputStructType=TRACK_SCHEMA, outputMode="Append", timeMode="EventTime")
