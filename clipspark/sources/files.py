@@ -6,9 +6,15 @@ are spread over the cluster by file."""
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Callable
 from functools import reduce
+from typing import BinaryIO
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -135,19 +141,61 @@ def read_jobs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return parse_jobs(read_documents(spark, path))
 
 
-def fingerprint_files(spark: SparkSession, path: str) -> DataFrame:
-    """Size, modification time and content id of each file: the hash covers the head,
-    middle and tail 64 KiB, or the whole of a small file. A file is one row, read where
-    it lies."""
+def open_ranged(path: str) -> pa.NativeFile:
+    """A file as Spark lists it, opened for reading at any place."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem().open_input_file("/" + rest.lstrip("/"))
+    system, at = fs.FileSystem.from_uri(quote(path.replace("s3a:", "s3:", 1), safe=":/@"))
+    return system.open_input_file(at)
+
+
+RANGED = ("file", "s3", "s3a", "gs", "abfs", "abfss")
+
+
+def _sampled_hash(path: str, size: int, opener: Callable[[str], BinaryIO]) -> str:
+    digest = hashlib.sha256()
+    starts = (0, size // 2 - CHUNK // 2, size - CHUNK) if size > 3 * CHUNK else (0,)
+    with opener(path) as f:
+        for start in starts:
+            f.seek(start)
+            digest.update(f.read(CHUNK if len(starts) > 1 else size))
+    return digest.hexdigest()
+
+
+def _whole_hash() -> Column:
     size = F.col("length")
     piece = lambda start: F.substring("content", start, CHUNK)
     middle = (F.floor(size / 2) - CHUNK // 2 + 1).cast("int")
-    sampled = F.concat(F.expr(f"substring(content, 1, {CHUNK})"), piece(middle), piece((size - CHUNK + 1).cast("int")))
-    body = F.when(size <= 3 * CHUNK, F.col("content")).otherwise(sampled)
-    hashed = F.sha2(body, 256)
-    return spark.read.format("binaryFile").load(path).select(
-        "path", F.col("length").alias("bytes"), F.unix_seconds("modificationTime").alias("mtime_s"), hashed.alias("content_hash"),
-        F.substring(F.sha2(F.concat_ws("|", size.cast("string"), hashed), 256), 1, 16).alias("fingerprint_id"),
+    sampled = F.concat(piece(F.lit(1)), piece(middle), piece((size - CHUNK + 1).cast("int")))
+    return F.sha2(F.when(size <= 3 * CHUNK, F.col("content")).otherwise(sampled), 256)
+
+
+def fingerprint_files(spark: SparkSession, path: str, opener: Callable[[str], BinaryIO] | None = None) -> DataFrame:
+    """Size, modification time and content id of each file: the hash covers the head,
+    middle and tail 64 KiB, or the whole of a small file.
+
+    Spark lists the files; a task seeks the three ranges of each, so that a file costs at
+    most 192 KiB however large it is. ``opener`` opens a listed path for reading;
+    ``open_ranged`` knows the schemes in ``RANGED``. Under any other scheme, and without an
+    ``opener``, Spark's reader brings whole files, of at most 2 GiB each. Empty files are
+    not in the catalog, as Spark's listing leaves them out."""
+    listed = spark.read.format("binaryFile").load(path)
+    one = listed.select("path").first()
+    if opener is None and one and one.path.partition(":")[0] in RANGED:
+        opener = open_ranged
+    if opener is None:
+        hashed = listed.select("path", "length", "modificationTime", _whole_hash().alias("content_hash"))
+    else:
+        def task(batches):
+            for b in batches:
+                found = [_sampled_hash(p, n, opener) for p, n in zip(b.column("path").to_pylist(), b.column("length").to_pylist())]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], names=[*b.schema.names, "content_hash"])
+
+        hashed = listed.select("path", "length", "modificationTime").mapInArrow(task, "path string, length long, modificationTime timestamp, content_hash string")
+    return hashed.select(
+        "path", F.col("length").alias("bytes"), F.unix_seconds("modificationTime").alias("mtime_s"), "content_hash",
+        F.substring(F.sha2(F.concat_ws("|", F.col("length").cast("string"), "content_hash"), 256), 1, 16).alias("fingerprint_id"),
     )
 
 

@@ -1,5 +1,6 @@
 """Readers and run publishing."""
 
+import hashlib
 import json
 
 from clipspark.sources import files
@@ -51,3 +52,30 @@ def test_a_source_of_the_second_table_only_is_published(spark, tmp_path):
     files.write_run({"scores": a, "clips": b}, path)
     assert rows(files.read_run(spark, path, "clips"), "source_id", "w") == [("s1", "5"), ("s2", "6")]
     assert rows(files.unfinished(b.select("source_id"), path)) == []
+
+
+def test_fingerprints_of_all_sizes_by_both_readers(spark, tmp_path, monkeypatch):
+    """Around the limits, with names that need care, against hashes made here."""
+    chunk, want = files.CHUNK, {}
+    for n in (0, 1, chunk, 3 * chunk - 1, 3 * chunk, 3 * chunk + 1, 5 * chunk + 7):
+        data = bytes((i * i + n) % 251 for i in range(n))
+        (tmp_path / f"a b%20#{n}.bin").write_bytes(data)
+        middle = n // 2 - chunk // 2
+        told = data if n <= 3 * chunk else data[:chunk] + data[middle : middle + chunk] + data[-chunk:]
+        if n:  # Spark's listing leaves empty files out
+            want[n] = hashlib.sha256(told).hexdigest()
+    ranged = files.fingerprint_files(spark, str(tmp_path))
+    assert {r.bytes: r.content_hash for r in ranged.collect()} == want
+    monkeypatch.setattr(files, "RANGED", ())
+    whole = files.fingerprint_files(spark, str(tmp_path))
+    assert rows(whole) == rows(ranged)
+
+
+def test_a_file_larger_than_an_array_is_read_in_ranges(spark, tmp_path):
+    size = 5 << 30
+    with open(tmp_path / "large.bin", "wb") as f:  # sparse: takes hardly any disk
+        f.truncate(size)
+        f.seek(size - 1)
+        f.write(b"!")
+    got = files.fingerprint_files(spark, str(tmp_path)).first()
+    assert got.bytes == size and got.content_hash == hashlib.sha256(bytes(3 * files.CHUNK - 1) + b"!").hexdigest()
