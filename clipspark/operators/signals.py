@@ -451,6 +451,11 @@ def payoff_block(curve: DataFrame, advisory: DataFrame, threshold: float = 0.35)
     advised span: their union where they meet, the advice where they do not.
 
     ``advisory``: source_id, seq, a0, a1 (null when there is none), duration."""
+    return payoff_ends(curve, advisory, threshold).select(*CAND, "s0", "s1", "start_offset", "end_offset")
+
+
+def payoff_ends(curve: DataFrame, advisory: DataFrame, threshold: float) -> DataFrame:
+    """``payoff_block`` beside the curve it was found on, ``c``, and the advice."""
     arrays = curve.groupBy(*CAND).agg(F.sort_array(F.collect_list(F.struct("bin", "norm"))).alias("c"))
     rows = pin(arrays, top=F.array_max(F.transform("c", lambda p: p["norm"])))
     rows = pin(
@@ -470,7 +475,7 @@ def payoff_block(curve: DataFrame, advisory: DataFrame, threshold: float = 0.35)
     meets = (F.least("s1", "a1") > F.greatest("s0", "a0")) & (F.col("s1") > F.col("s0"))
     start = F.when(none, F.col("s0")).when(meets, F.greatest(F.lit(0.0), F.least("s0", "a0"))).otherwise(F.greatest(F.lit(0.0), F.col("a0")))
     end = F.when(none, F.col("s1")).when(meets, F.least("duration", F.greatest("s1", "a1"))).otherwise(F.least("duration", F.col("a1")))
-    return ends.select(*CAND, "s0", "s1", start.alias("start_offset"), end.alias("end_offset"))
+    return ends.select(*CAND, "c", "a0", "a1", "s0", "s1", start.alias("start_offset"), end.alias("end_offset"))
 
 
 def interpret_regions(regions: DataFrame, tolerance: float = 0.5, strict: bool = True) -> DataFrame:

@@ -5,11 +5,15 @@ start-end pairs tried are bounded per candidate; candidates are what spreads the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipspark.functions.exprs import clamp, first_match, pin
-from clipspark.operators.signals import CAND, payoff_block
+from clipspark.operators.signals import CAND, payoff_ends
 
 # Component weights, penalties and limits (milliseconds).
 WEIGHTS = {
@@ -24,74 +28,155 @@ PHRASE_GAP_MS = 350
 SNAP_MS = 60
 
 
-def _bins(lo_ms: Column, hi_ms: Column) -> Column:
-    """The curve's seconds that a span touches, ends clipped to the curve."""
-    last = F.size("c") - 1
-    lo = F.least(F.greatest(F.floor(lo_ms / 1000), F.lit(0)), last).cast("int")
-    hi = F.least(F.greatest(F.floor(F.greatest(lo_ms, hi_ms - 1) / 1000), F.lit(0)), last).cast("int")
-    return F.slice("c", lo + 1, hi - lo + 1)
-
-
-def _mean(xs: Column) -> Column:
-    return F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x) / (10_000.0 * F.size(xs))
-
-
-def _low(xs: Column) -> Column:
-    return F.size(F.filter(xs, lambda x: x < int(BORING * 10_000))) / F.size(xs)
-
-
-def _score(pairs: DataFrame) -> DataFrame:
-    """Score every (start, end) row; ``c`` is the curve in ten-thousandths."""
-    s, e, d = F.col("s"), F.col("e"), F.col("e") - F.col("s")
-    hook_end = F.least(e, s + HOOK_MS)
-    late = F.floor((s * 10 + d * 4) / 10)
-    rows = pin(
-        pairs, head=_bins(s, hook_end), body=_bins(s, e), tail=_bins(F.greatest(s, e - TAIL_MS), e), late=_bins(late, e),
-        snapped=F.exists("u", lambda x: F.abs(s - F.greatest(F.lit(0), x["start_ms"] - PRE_MS)) < SNAP_MS),
-        stop=F.get(F.filter("u", lambda x: F.abs(e - F.least(F.col("duration_ms"), x["end_ms"] + POST_MS)) < SNAP_MS), F.lit(0)),
-    )
-    spoken = F.size("u") > 0
-    inside = F.when(F.col("peak_ms").between(s, e), 1.0).otherwise(0.0)
-    block = F.col("b1") - F.col("b0")
-    covered = F.greatest(F.lit(0.0), F.least(e, F.col("b1")) - F.greatest(s, F.col("b0")))
-    start_quality = F.when(F.col("snapped"), 1.0).otherwise(F.when(spoken, 0.3).otherwise(0.5))
-    end_quality = first_match(
-        [(F.col("stop.terminal"), 1.0), (F.col("stop.gap_after_ms") >= PHRASE_GAP_MS, 0.65), (F.col("stop").isNotNull(), 0.4), (spoken, 0.0)], 0.5
-    )
-    share = F.when(d < TARGET_MIN_MS, (d - MIN_MS) / float(TARGET_MIN_MS - MIN_MS)).otherwise((MAX_MS - d) / float(MAX_MS - TARGET_MAX_MS))
-    advised = F.col("a0").isNotNull()
-    meet = F.greatest(F.lit(0.0), F.least(e, F.col("a1")) - F.greatest(s, F.col("a0")))
+def rounded(x: np.ndarray) -> np.ndarray:
+    """Spark's ``round(x, 4)`` of values from 0 on: half up on the shortest decimal form,
+    which is a tie just where ``x`` is the number nearest to it."""
+    k = np.floor(x * 10_000)
+    return (k + (x >= (2 * k + 1) / 20_000)) / 10_000
+
+
+class _Curves:
+    """The curves of a batch in ten-thousandths, one after another: means, low shares and
+    maxima of a span of one, each from a fixed number of look-ups."""
+
+    def __init__(self, values: np.ndarray, edges: np.ndarray):
+        self.first, self.last = edges[:-1], edges[1:] - 1
+        self.sums, self.lows = (np.concatenate([[0], np.cumsum(x)]) for x in (values, values < int(BORING * 10_000)))
+        longest = int((edges[1:] - edges[:-1]).max(initial=1))
+        self.tops = [values]
+        while 1 << len(self.tops) <= longest:
+            top, half = self.tops[-1], 1 << len(self.tops) - 1
+            self.tops.append(np.maximum(top, np.concatenate([top[half:], top[-1:].repeat(half)])[: len(top)]))
+
+    def bins(self, of: np.ndarray, lo_ms: np.ndarray, hi_ms: np.ndarray):
+        """The seconds that a span touches, ends clipped to the curve."""
+        size = self.last[of] - self.first[of]
+        lo, hi = (np.clip(ms // 1000, 0, size) + self.first[of] for ms in (lo_ms, np.maximum(lo_ms, hi_ms - 1)))
+        return lo, hi
+
+    def mean(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        return (self.sums[hi + 1] - self.sums[lo]) / (10_000.0 * (hi - lo + 1))
+
+    def low(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        return (self.lows[hi + 1] - self.lows[lo]) / (hi - lo + 1)
+
+    def top(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        level = np.frexp(hi - lo + 1)[1] - 1
+        out = np.zeros(len(lo), np.int64)
+        for k in np.unique(level):
+            at = np.flatnonzero(level == k)
+            out[at] = np.maximum(self.tops[k][lo[at]], self.tops[k][hi[at] - (1 << int(k)) + 1])
+        return out
+
+
+def _score(curves: _Curves, of: np.ndarray, s: np.ndarray, e: np.ndarray, start_quality, end_quality, setup, peak, b0, b1, a0, a1) -> np.ndarray:
+    """Score every (start, end) pair; ``of`` is the curve of each."""
+    d = e - s
+    head, body, late = (curves.bins(of, lo, hi) for lo, hi in ((s, np.minimum(e, s + HOOK_MS)), (s, e), ((s * 10 + d * 4) // 10, e)))
+    inside = ((peak >= s) & (peak <= e)).astype(float)
+    covered = np.maximum(0.0, np.minimum(e, b1) - np.maximum(s, b0))
+    share = np.where(d < TARGET_MIN_MS, (d - MIN_MS) / float(TARGET_MIN_MS - MIN_MS), (MAX_MS - d) / float(MAX_MS - TARGET_MAX_MS))
+    # fmin and fmax pass over a missing end of the advice
+    meet = np.fmax(0.0, np.fmin(e, a1) - np.fmax(s, a0))
     parts = {
-        "hook": _mean(F.col("head")),
-        "payoff": 0.7 * (F.array_max("late") / 10_000.0) + 0.3 * inside,
-        "payoff_coverage": F.when(block <= 0, 0.5).otherwise(F.least(F.lit(1.0), F.try_divide(covered, block))),
-        "mean_activity": _mean(F.col("body")),
+        "hook": curves.mean(*head),
+        "payoff": 0.7 * (curves.top(*late) / 10_000.0) + 0.3 * inside,
+        "payoff_coverage": np.where(b1 - b0 <= 0, 0.5, np.minimum(1.0, np.divide(covered, b1 - b0, out=np.zeros(len(s)), where=b1 - b0 != 0))),
+        "mean_activity": curves.mean(*body),
         "completeness": 0.4 * start_quality + 0.6 * end_quality,
-        "setup_preserved": first_match(
-            [(F.col("setup_ms").isNull(), 0.5), (s <= F.col("setup_ms") + 250, 1.0), (s < F.col("peak_ms"), 0.5)], 0.0
-        ),
-        "duration_prior": F.when(d.between(TARGET_MIN_MS, TARGET_MAX_MS), 1.0).otherwise(0.35 + 0.65 * clamp(share, 0.0, 1.0)),
-        "advisory_overlap": F.when(advised, F.try_divide(meet, F.greatest(e, F.col("a1")) - F.least(s, F.col("a0")))),
+        "setup_preserved": np.select([np.isnan(setup), s <= setup + 250, s < peak], [0.5, 1.0, 0.5], 0.0),
+        "duration_prior": np.where((d >= TARGET_MIN_MS) & (d <= TARGET_MAX_MS), 1.0, 0.35 + 0.65 * np.clip(share, 0.0, 1.0)),
     }
-    rows = pin(rows, **{n: F.round(v, 4) for n, v in parts.items()})
+    advised = rounded(meet / (np.fmax(e, a1) - np.fmin(s, a0)))
     plain = None
-    for name, w in WEIGHTS.items():
-        if name != "advisory_overlap":
-            plain = F.col(name) * w if plain is None else plain + F.col(name) * w
-    total = sum(w for n, w in WEIGHTS.items() if n != "advisory_overlap")
-    positive = F.when(advised, (plain + F.col("advisory_overlap") * WEIGHTS["advisory_overlap"]) / (total + WEIGHTS["advisory_overlap"])).otherwise(plain / total)
-    lead = F.round(LEAD_PENALTY * _low(F.col("head")), 4)
-    tail = F.round(TAIL_PENALTY * _low(F.col("tail")), 4)
-    return rows.withColumn("score", F.round(clamp(100.0 * positive - lead - tail, 0.0, 100.0), 4))
-
-
-def _best(base: DataFrame, starts: Column, ends: Column, source: str) -> DataFrame:
-    tried = base.select("*", F.explode(starts).alias("s")).select("*", F.explode(ends).alias("e"))
-    fitting = tried.where((F.col("e") - F.col("s")).between(MIN_MS, MAX_MS))
-    pick = F.struct((-F.col("score")).alias("k"), (F.col("e") - F.col("s")).alias("w"), "s", "e", "score")
-    return _score(fitting).groupBy(*CAND).agg(F.min(pick).alias("p"), F.count(F.lit(1)).alias("evaluated")).select(
-        *CAND, F.lit(source).alias("boundary_source"), F.col("p.s").alias("start_ms"), F.col("p.e").alias("end_ms"), F.col("p.score").alias("score"), "evaluated"
-    )
+    for name, part in parts.items():
+        plain = rounded(part) * WEIGHTS[name] if plain is None else plain + rounded(part) * WEIGHTS[name]
+    total, w = sum(WEIGHTS[n] for n in parts), WEIGHTS["advisory_overlap"]
+    positive = np.where(np.isnan(a0), plain / total, (plain + advised * w) / (total + w))
+    lead = rounded(LEAD_PENALTY * curves.low(*head))
+    tail = rounded(TAIL_PENALTY * curves.low(*curves.bins(of, np.maximum(s, e - TAIL_MS), e)))
+    return rounded(np.clip(100.0 * positive - lead - tail, 0.0, 100.0))
+
+
+def _fitting(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    d = ends - starts[:, None]
+    return np.nonzero((d >= MIN_MS) & (d <= MAX_MS))
+
+
+def _phrases(start, end, terminal, gap, run, duration: int, peak: int):
+    """Pairs on phrase edges: starts, ends, the quality of each, and when the peak's run begins."""
+    snaps, stops = np.maximum(0, start - PRE_MS), np.minimum(duration, end + POST_MS)
+    starts, ends = np.unique(np.append(snaps, 0)), np.unique(np.append(stops, duration))
+    i, j = _fitting(starts, ends)
+    if not len(i):
+        return None
+    snapped = (np.abs(starts[:, None] - snaps) < SNAP_MS).any(axis=1)
+    near = np.abs(ends[:, None] - stops) < SNAP_MS
+    quality = np.where(terminal, 1.0, np.where(gap >= PHRASE_GAP_MS, 0.65, 0.4))
+    end_quality = np.where(near.any(axis=1), quality[near.argmax(axis=1)], 0.0)
+    holding = np.flatnonzero((start <= peak) & (peak <= end))
+    mine = run[holding[0]] if len(holding) else run[np.lexsort((run, start, np.abs(start - peak)))[0]]
+    setup = max(0, int(start[np.flatnonzero(run == mine)[0]]) - PRE_MS)
+    return starts[i], ends[j], np.where(snapped, 1.0, 0.3)[i], end_quality[j], setup
+
+
+def _grid(duration: int):
+    at = np.unique(np.minimum(np.arange(duration // GRID_MS + 2) * GRID_MS, duration))
+    i, j = _fitting(at, at)
+    half = np.full(len(i), 0.5)
+    return (at[i], at[j], half, half, np.nan) if len(i) else None
+
+
+def _search(names: list[str]):
+    """The best pair of each candidate of a batch; pairs are scored a bounded number at a time."""
+
+    def best(at: np.ndarray, tried: list, curves: _Curves, peak, spans: list[np.ndarray]):
+        size = np.array([len(t[0]) for t in tried])
+        of = np.repeat(at, size)
+        s, e, sq, eq = (np.concatenate([t[k] for t in tried]) for k in range(4))
+        setup = np.repeat(np.array([t[4] for t in tried], float), size)
+        score = _score(curves, of, s, e, sq, eq, setup, peak[of], *(x[of] for x in spans))
+        order = np.lexsort((s, e - s, -score, of))
+        first = order[np.concatenate([[0], np.cumsum(size)[:-1]])]
+        return s[first], e[first], score[first], size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            flat = {n: (batch[n].flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(batch[n]).fill_null(0).to_numpy())])) for n in ("c", "us", "ue", "ut", "ug", "ur")}
+            values, edges = flat["c"][0].to_numpy(zero_copy_only=False), flat["c"][1]
+            curves = _Curves(values, edges)
+            said = [flat[n][0].fill_null(False).to_numpy(zero_copy_only=False) if n == "ut" else flat[n][0].to_numpy(zero_copy_only=False) for n in ("us", "ue", "ut", "ug", "ur")]
+            u = flat["us"][1]
+            peak = np.array([int(values[a:b].argmax()) * 1000 for a, b in zip(edges, edges[1:])], np.int64)
+            spans = [batch[n].cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False) for n in ("b0", "b1", "a0", "a1")]
+            timed, length = batch["duration_ms"].is_valid().to_numpy(zero_copy_only=False), batch["duration_ms"].fill_null(MAX_MS).to_numpy(zero_copy_only=False)
+            n = batch.num_rows
+            s, e, evaluated, how = np.zeros(n, np.int64), np.minimum(length, MAX_MS).astype(np.int64), np.zeros(n, np.int64), np.full(n, "full_candidate", object)
+            score = rounded(100.0 * curves.mean(*curves.bins(np.arange(n), s, e)))
+            at, tried, pairs, grids = [], [], 0, {}
+            for i in range(n):
+                d, found = int(length[i]), None
+                if timed[i] and d > MIN_MS:
+                    if u[i + 1] > u[i]:
+                        found, how[i] = _phrases(*(x[u[i] : u[i + 1]] for x in said), d, int(peak[i])), "speech_units"
+                    if found is None:
+                        found, how[i] = grids.setdefault(d, None) or _grid(d), "grid"
+                        grids[d] = found
+                    if found is None:
+                        how[i] = "full_candidate"
+                    else:
+                        at.append(i)
+                        tried.append(found)
+                        pairs += len(found[0])
+                if at and (pairs > 500_000 or i == n - 1):
+                    k = np.array(at)
+                    s[k], e[k], score[k], evaluated[k] = best(k, tried, curves, peak, spans)
+                    at, tried, pairs = [], [], 0
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in CAND), *map(pa.array, (how, s, e, score, evaluated))], names=names)
+
+    return run
 
 
 def refine_subclip(cands: DataFrame, units: DataFrame, curve: DataFrame, advisory: DataFrame) -> DataFrame:
@@ -104,36 +189,18 @@ def refine_subclip(cands: DataFrame, units: DataFrame, curve: DataFrame, advisor
     said = units.groupBy(*CAND).agg(
         F.sort_array(F.collect_list(F.struct("start_ms", "end_ms", "terminal", "gap_after_ms", "run_index"))).alias("u")
     )
-    levels = curve.groupBy(*CAND).agg(F.sort_array(F.collect_list(F.struct("bin", F.round(F.col("norm") * 10_000).cast("long").alias("v")))).alias("cv"))
-    block = payoff_block(curve, advisory, BORING).select(
-        *CAND, (F.col("start_offset") * 1000).cast("long").alias("b0"), (F.col("end_offset") * 1000).cast("long").alias("b1")
-    )
-    advice = advisory.select(*CAND, (F.col("a0") * 1000).cast("long").alias("a0"), (F.col("a1") * 1000).cast("long").alias("a1"))
-    base = cands.join(levels, CAND).join(said, CAND, "left").join(block, CAND).join(advice, CAND, "left")
-    none = F.expr("cast(array() as array<struct<start_ms:bigint,end_ms:bigint,terminal:boolean,gap_after_ms:bigint,run_index:bigint>>)")
-    base = pin(base, c=F.transform("cv", lambda x: x["v"]), u=F.coalesce("u", none)).drop("cv")
-    base = pin(base, peak_ms=(F.array_position("c", F.array_max("c")) - 1) * 1000)
-    at = F.col("peak_ms")
-    holding = F.get(F.filter("u", lambda x: (x["start_ms"] <= at) & (at <= x["end_ms"])), F.lit(0))
-    nearest = F.get(F.sort_array(F.transform("u", lambda x: F.struct(F.abs(x["start_ms"] - at).alias("d"), x["start_ms"].alias("s"), x["run_index"].alias("run_index")))), F.lit(0))
-    base = pin(base, run=F.coalesce(holding["run_index"], nearest["run_index"]))
-    opening = F.get(F.filter("u", lambda x: x["run_index"] == F.col("run")), F.lit(0))["start_ms"]
-    base = pin(base, setup_ms=F.greatest(F.lit(0), opening - PRE_MS)).withColumn("setup_ms", F.when(F.col("run").isNotNull(), F.col("setup_ms")))
-    long_enough = base.where(F.col("duration_ms") > MIN_MS)
-    zero = F.array(F.lit(0).cast("long"))
-    starts = F.array_distinct(F.concat(zero, F.transform("u", lambda x: F.greatest(F.lit(0), x["start_ms"] - PRE_MS))))
-    ends = F.array_distinct(F.concat(F.array("duration_ms"), F.transform("u", lambda x: F.least(F.col("duration_ms"), x["end_ms"] + POST_MS))))
-    phrased = _best(long_enough.where(F.size("u") > 0), starts, ends, "speech_units")
-    grid = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.floor(F.col("duration_ms") / GRID_MS) + 1), lambda i: F.least(i * GRID_MS, F.col("duration_ms"))
+
+    def ms(c: str) -> Column:
+        return (F.col(c) * 1000).cast("long")
+
+    block = payoff_ends(curve, advisory, BORING).select(
+        *CAND, F.transform("c", lambda x: F.round(x["norm"] * 10_000).cast("long")).alias("c"),
+        ms("start_offset").alias("b0"), ms("end_offset").alias("b1"), ms("a0").alias("a0"), ms("a1").alias("a1"),
     )
-    left = long_enough.join(phrased, CAND, "left_anti")
-    bare = left.withColumn("u", none).withColumn("setup_ms", F.lit(None).cast("long"))
-    gridded = _best(bare, F.array_distinct(grid), F.array_distinct(grid), "grid")
-    found = phrased.unionByName(gridded)
-    end = F.least("duration_ms", F.lit(MAX_MS).cast("long"))
-    whole = base.join(found, CAND, "left_anti").select(
-        *CAND, F.lit("full_candidate").alias("boundary_source"), F.lit(0).cast("long").alias("start_ms"), end.alias("end_ms"),
-        F.round(100.0 * _mean(_bins(F.lit(0), end)), 4).alias("score"), F.lit(0).cast("long").alias("evaluated"),
+    base = cands.join(block, CAND).join(said, CAND, "left").select(
+        *CAND, "duration_ms", "c", "b0", "b1", "a0", "a1", F.col("u.start_ms").alias("us"), F.col("u.end_ms").alias("ue"),
+        F.col("u.terminal").alias("ut"), F.col("u.gap_after_ms").alias("ug"), F.col("u.run_index").alias("ur"),
     )
-    return found.unionByName(whole)
+    types = [f"{c} {base.schema[c].dataType.simpleString()}" for c in CAND]
+    schema = [*types, "boundary_source string", "start_ms long", "end_ms long", "score double", "evaluated long"]
+    return base.mapInArrow(_search([c.split()[0] for c in schema]), ", ".join(schema))
