@@ -12,12 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from clipspark.operators.framing import TRACK_COLUMNS, TRACK_SCHEMA, Tracking, no_tracks, track_rows
+from clipspark.operators.framing import TRACK_SCHEMA, Tracking, no_tracks, track_rows
 
 STALE_S = 120
 TRACK_EXPIRY_MS = 1_600
@@ -98,20 +99,26 @@ class _InOrder(StatefulProcessor):
     """Holds the rows of a key until the watermark passes their time, and then hands all of
     them on in order of time, so that results don't depend on the borders of batches."""
 
+    SPAN_MS: int
+    """Rows are held by spans of this length, as each call on the state is a message to the JVM."""
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "ms long", "rows string")
+        self.waiting = handle.getMapState("waiting", "span long", "rows string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        times = []
+        first, found = None, {}
         for pdf in rows:
-            for ms, part in pdf.groupby("ms", sort=False):
-                ms = int(ms)
-                held = json.loads(self.waiting.getValue((ms,))[0]) if self.waiting.containsKey((ms,)) else []
-                held += json.loads(part.drop(columns="ts").to_json(orient="records", double_precision=15))
-                self.waiting.updateValue((ms,), (json.dumps(held),))
-                times.append(ms)
-        self._wake(min(times), timerValues.getCurrentWatermarkInMs())
+            texts = pdf.drop(columns="ts").to_json(orient="records", lines=True, double_precision=15).strip("\n").split("\n")
+            for ms, text in zip(pdf["ms"].tolist(), texts):
+                found.setdefault(int(ms) // self.SPAN_MS, []).append(text)
+                first = int(ms) if first is None else min(first, int(ms))
+        have = {k[0] for k in self.waiting.keys()}
+        for span, texts in found.items():
+            if span in have:
+                texts = [self.waiting.getValue((span,))[0], *texts]
+            self.waiting.updateValue((span,), (",".join(texts),))
+        self._wake(first, timerValues.getCurrentWatermarkInMs())
         yield from ()
 
     def _wake(self, ms: int, now: int) -> None:
@@ -120,12 +127,26 @@ class _InOrder(StatefulProcessor):
             self.handle.registerTimer(ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, times = timerValues.getCurrentWatermarkInMs(), sorted(k[0] for k in self.waiting.keys())
-        due = [(ms, json.loads(self.waiting.getValue((ms,))[0])) for ms in times if ms <= now]
-        for ms, _ in due:
-            self.waiting.removeKey((ms,))
-        yield from self.advance(key, [r for _, rows in due for r in rows], now)
-        later = [t for t in (*(ms for ms in times if ms > now), self.ends()) if t is not None]
+        now, due, after = timerValues.getCurrentWatermarkInMs(), [], None
+        held = sorted((k[0], v[0]) for k, v in self.waiting.iterator())
+        past = [span for span, _ in held if span * self.SPAN_MS <= now]
+        for span, texts in held[: len(past) + 1]:
+            rows = sorted(json.loads(f"[{texts}]"), key=lambda r: r["ms"])  # stable: rows of a time stay as they came
+            ready = sum(r["ms"] <= now for r in rows)
+            due += rows[:ready]
+            if ready < len(rows):
+                after = rows[ready]["ms"] if after is None else after
+                if ready:
+                    self.waiting.updateValue((span,), (",".join(map(json.dumps, rows[ready:])),))
+                if span in past:
+                    past.remove(span)
+        if len(past) == len(held):
+            self.waiting.clear()
+        else:
+            for span in past:
+                self.waiting.removeKey((span,))
+        yield from self.advance(key, due, now)
+        later = [t for t in (after, self.ends()) if t is not None]
         if later:
             self._wake(min(later), now)
 
@@ -145,6 +166,8 @@ class _Heartbeat(_InOrder):
     """Remembers an owner's last sign of life and its open job; speaks up when the next is
     later than the limit, or when the watermark passes the limit without one."""
 
+    SPAN_MS = 86_400_000
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.last = handle.getValueState("last", "ms long, job string")
@@ -183,10 +206,17 @@ def _boxes(rules: Tracking) -> list[str]:
     return [*_BOXES, "appearance"] if rules.look_size else _BOXES
 
 
+def _box_types(rules: Tracking) -> pa.Schema:
+    known = {"type": pa.string(), "scene_cut": pa.bool_(), "appearance": pa.list_(pa.float64())} | {c: pa.float64() for c in "xywh"}
+    return pa.schema([(c, known.get(c, pa.int64())) for c in _boxes(rules)])
+
+
 class _Tracker(_InOrder):
     """The clip tracker with its live tracks kept between frames. A clip's state goes
     ``TRACK_EXPIRY_MS`` after its last frame, when no track is live any more."""
 
+    SPAN_MS = 400
+
     def __init__(self, rules: Tracking):
         self.rules = rules
 
@@ -206,10 +236,10 @@ class _Tracker(_InOrder):
             n, ms = 1, rows[0]["ms"]
             while n < len(rows) and rows[n]["ms"] <= ms + TRACK_EXPIRY_MS:
                 n, ms = n + 1, rows[n]["ms"]
-            frames, rows = pd.DataFrame(rows[:n], columns=_boxes(self.rules)).astype({c: float for c in "xywh"}), rows[n:]
-            out, tracks, next_id, last_t = track_rows(int(key[0]), frames, tracks, int(next_id), last_t, self.rules)
+            frames, rows = pa.Table.from_pylist([r | {"clip_id": key[0]} for r in rows[:n]], _box_types(self.rules)), rows[n:]
+            out, tracks, next_id, last_t = track_rows(frames, tracks, int(next_id), last_t, self.rules)
             if len(out):
-                yield out[TRACK_COLUMNS]
+                yield out.to_pandas()
         if ms is None or now > ms + TRACK_EXPIRY_MS:
             self.state.clear()
         else:
