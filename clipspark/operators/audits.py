@@ -250,7 +250,9 @@ def file_actions(files: DataFrame, replicas: DataFrame, aggressive: bool = False
     published); ``replicas``: key, bytes, sha. Equal sizes don't make a true copy when both
     checksums are known and differ."""
     r = replicas.select("key", F.col("bytes").alias("_rb"), F.col("sha").alias("_rs"), F.lit(True).alias("_there"))
-    rows = files.join(r, "key", "left")
+    # files without a key meet no replica: in the join they would all go to one task
+    found = files.where(F.col("key").isNotNull()).join(r, "key", "left")
+    rows = found.unionByName(files.where(F.col("key").isNull()), allowMissingColumns=True)
     copied = F.col("kind").isin("clip", "source")
     sized = F.coalesce(F.col("_rb") == F.col("bytes"), F.lit(False))
     same = sized & F.coalesce(F.col("_rs") == F.col("sha"), F.lit(True))

@@ -19,6 +19,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clipspark.functions.exprs import pin
 from clipspark.operators.stages import materialise
 
 CHUNK = 65_536
@@ -39,7 +40,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def _parse(raw: DataFrame, schema: str) -> DataFrame:
     valid = F.try_parse_json("value").isNotNull()
-    return raw.withColumn("doc", F.when(valid, F.from_json("value", schema)))
+    return pin(raw, doc=F.when(valid, F.from_json("value", schema)))
 
 
 def parse_transcripts(raw: DataFrame) -> dict[str, DataFrame]:

@@ -146,16 +146,13 @@ class _InOrder(StatefulProcessor):
             for span in past:
                 self.waiting.removeKey((span,))
         yield from self.advance(key, due, now)
-        later = [t for t in (after, self.ends()) if t is not None]
+        later = [t for t in (after, self.end) if t is not None]
         if later:
             self._wake(min(later), now)
 
     def advance(self, key, rows: list[dict], now: int) -> Iterator[pd.DataFrame]:
-        """Results of the rows, which come in order, given that time is ``now``."""
-        raise NotImplementedError
-
-    def ends(self) -> int | None:
-        """When the state of the key ends if nothing comes, or None without state."""
+        """Results of the rows, which come in order, given that time is ``now``. Sets ``end``:
+        when the state of the key ends if nothing comes, or None without state."""
         raise NotImplementedError
 
     def close(self) -> None:
@@ -173,7 +170,7 @@ class _Heartbeat(_InOrder):
         self.last = handle.getValueState("last", "ms long, job string")
 
     def advance(self, key, rows: list[dict], now: int) -> Iterator[pd.DataFrame]:
-        last, found = tuple(self.last.get()) if self.last.exists() else None, []
+        last, found = self.last.get(), []
         for ms, job in sorted((r["ms"], r["job_id"]) for r in rows):
             if last and ms - last[0] > STALE_S * 1000:
                 found.append(last)
@@ -181,13 +178,11 @@ class _Heartbeat(_InOrder):
         if last and now - last[0] > STALE_S * 1000:
             found.append(last)
             last = None
-        self.last.update(last) if last else self.last.clear()
+        self.last.update(tuple(last)) if last else self.last.clear()
+        self.end = last[0] + STALE_S * 1000 + 1 if last else None
         if found:
             yield pd.DataFrame({"owner": [key[0]] * len(found), "last_seen_ms": [f[0] for f in found], "orphaned_job": [f[1] for f in found]})
 
-    def ends(self) -> int | None:
-        return self.last.get()[0] + STALE_S * 1000 + 1 if self.last.exists() else None
-
 
 def stream_stale(heartbeats: DataFrame, delay: str = "10 seconds") -> DataFrame:
     """Owners silent for more than two minutes, with the job each leaves behind.
@@ -227,8 +222,9 @@ class _Tracker(_InOrder):
     def advance(self, key, rows: list[dict], now: int) -> Iterator[pd.DataFrame]:
         none = no_tracks(self.rules.look_size)
         ms, next_id, last_t, tracks = None, 1, None, none
-        if self.state.exists():
-            ms, next_id, last_t, text = self.state.get()
+        kept = self.state.get()
+        if kept:
+            ms, next_id, last_t, text = kept
             tracks = {f: np.array(v, none[f].dtype).reshape(len(v), *none[f].shape[1:]) for f, v in json.loads(text).items()}
         while rows:
             if ms is not None and rows[0]["ms"] > ms + TRACK_EXPIRY_MS:
@@ -240,14 +236,12 @@ class _Tracker(_InOrder):
             out, tracks, next_id, last_t = track_rows(frames, tracks, int(next_id), last_t, self.rules)
             if len(out):
                 yield out.to_pandas()
-        if ms is None or now > ms + TRACK_EXPIRY_MS:
+        self.end = None if ms is None or now > ms + TRACK_EXPIRY_MS else int(ms) + TRACK_EXPIRY_MS + 1
+        if self.end is None:
             self.state.clear()
         else:
             self.state.update((int(ms), int(next_id), float(last_t), json.dumps({f: v.tolist() for f, v in tracks.items()})))
 
-    def ends(self) -> int | None:
-        return self.state.get()[0] + TRACK_EXPIRY_MS + 1 if self.state.exists() else None
-
 
 def stream_tracks(dets: DataFrame, delay: str = "2 seconds", rules: Tracking = Tracking()) -> DataFrame:
     """Subject tracking as boxes arrive: a frame is tracked, whole, once the watermark passes
