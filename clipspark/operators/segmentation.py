@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipspark.functions.exprs import digest
+from clipspark.functions.exprs import digest, pin
 from clipspark.operators.intervals import interval_join
 from clipspark.operators.blocks import DAY_MS, block_of, number_rows, with_lookahead
 from clipspark.operators.chains import reach
@@ -217,10 +217,11 @@ def chapter_plan(
         .withColumn("then", F.lead("me").over(by_time))
         .withColumn("all", F.sort_array(F.collect_list(F.struct("me", "then")).over(view)))
         .where(~F.col("halo"))
-        .withColumn("run", F.filter("all", lambda x: x["me"]["id"] >= F.col("segment_id")))
-        .withColumn("hit", F.get(F.filter("run", lambda x: closes(x["me"])), F.lit(0))["me"])
-        .withColumn("last", F.coalesce("hit", F.element_at("run", -1)["then"], F.element_at("run", -1)["me"]))
     )
+    # each step once per row: copied into every use, the look-ahead was sorted and searched many times
+    seen = pin(seen, run=F.filter("all", lambda x: x["me"]["id"] >= F.col("segment_id"))).drop("all")
+    seen = pin(seen, hit=F.get(F.filter("run", lambda x: closes(x["me"])), F.lit(0))["me"])
+    seen = pin(seen, last=F.coalesce("hit", F.element_at("run", -1)["then"], F.element_at("run", -1)["me"])).drop("run")
     final = F.col("last.next_id").isNull()
     pointers = seen.select(
         "source_id",

@@ -1,6 +1,8 @@
 """Work done once, and spread: parses, and rows that can meet nothing in a join."""
 
-from clipspark.operators import audits
+import pytest
+
+from clipspark.operators import audits, segmentation
 from clipspark.sources import files
 
 
@@ -20,3 +22,18 @@ def test_files_without_a_key_stay_out_of_the_join(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     joined = plan[plan.index("Join"):]
     assert "Union" in plan[: plan.index("Join")] and "isnotnull" in joined
+
+
+def test_the_look_ahead_of_chapters_is_searched_once(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def caught(nodes, *_):
+        raise Seen(nodes)
+
+    monkeypatch.setattr(segmentation, "reach", caught)
+    s = spark.createDataFrame([(1, k, k * 5_000, k * 5_000 + 4_000, "x.") for k in range(9)], "source_id long, segment_id long, start_ms long, end_ms long, text string")
+    with pytest.raises(Seen) as e:
+        segmentation.chapter_plan(s)
+    plan = e.value.args[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sort_array(") == 1
