@@ -31,7 +31,7 @@ def test_the_look_ahead_of_chapters_is_searched_once(spark, monkeypatch):
     def caught(nodes, *_):
         raise Seen(nodes)
 
-    monkeypatch.setattr(segmentation, "reach", caught)
+    monkeypatch.setattr(segmentation, "materialise", caught)
     s = spark.createDataFrame([(1, k, k * 5_000, k * 5_000 + 4_000, "x.") for k in range(9)], "source_id long, segment_id long, start_ms long, end_ms long, text string")
     with pytest.raises(Seen) as e:
         segmentation.chapter_plan(s)
