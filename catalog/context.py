@@ -121,7 +121,8 @@ card as (select c.source_id, c.card, c.start_ms, case when c.ns - c.e0 > 0 and c
 
 
 def _cards(spark, sf_dir):
-    return sg.caption_cards(derived.words(spark, sf_dir))
+    lines, spread = derived.lines(spark, sf_dir)
+    return sg.caption_cards(lines, spread=spread)
 
 
 @register("g6_caption_events", CARDS + "select source_id, card, start_ms, end_ms, text from card")

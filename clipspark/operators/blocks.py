@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clipspark.operators.stages import materialise
+
 DAY_MS = 86_400_000
 
 
@@ -21,6 +23,22 @@ def block_of(at: Column, width: int) -> Column:
     return F.floor(at / F.lit(width)).cast("long")
 
 
+def block_links(df: DataFrame, keys: Sequence[str], at: str, width: int, rows: int = 1) -> DataFrame | None:
+    """``keys, block, _to``: each block that has others before it, with the ``rows + 1``
+    before it. None where every source is one block."""
+    keys = list(keys)
+    past = Window.partitionBy(*keys).orderBy("block")
+    earlier = F.array(*[F.lag("block", i).over(past) for i in range(1, rows + 2)])
+    links = materialise(
+        df.select(*keys, block_of(F.col(at), width).alias("block"))
+        .distinct()
+        .select(*keys, "block", earlier.alias("_tos"))
+        .select(*keys, "block", F.explode("_tos").alias("_to"))
+        .where(F.col("_to").isNotNull())
+    )
+    return None if links.isEmpty() else links
+
+
 def with_lookahead(
     df: DataFrame,
     keys: Sequence[str],
@@ -29,14 +47,20 @@ def with_lookahead(
     width: int,
     ahead: int,
     rows: int = 1,
+    links: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``block`` and ``halo``. Each block also receives, flagged as halo, what its
     last rows may need to see: every row starting within ``ahead`` of the block's end,
-    and at least the ``rows`` next rows however long the silence before them."""
+    and at least the ``rows`` next rows however long the silence before them.
+
+    Rows travel to other blocks only in sources of several blocks (``links``, see
+    ``block_links``; None: there are none)."""
     if ahead > width:
         raise ValueError("the look-ahead must fit in one block")
     keys = list(keys)
     own = df.withColumn("block", block_of(F.col(at), width))
+    if links is None:
+        return own.withColumn("halo", F.lit(False))
     near = (F.col(at) - F.col("block") * F.lit(width) < F.lit(ahead)) & (F.col("block") > 0)
     shift = F.when(near, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     timed = (
@@ -46,25 +70,17 @@ def with_lookahead(
         .drop("_shift")
     )
     # and the first rows beyond that stretch: they lie in the next non-empty blocks, of
-    # which the very next may end before the stretch does
-    past = Window.partitionBy(*keys).orderBy("block")
-    earlier = F.array(*[F.lag("block", i).over(past) for i in range(1, rows + 2)])
-    targets = (
-        own.groupBy(*keys, "block")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*keys, "block", earlier.alias("_tos"))
-        .select(*keys, "block", F.explode("_tos").alias("_to"))
-        .where(F.col("_to").isNotNull())
-    )
-    # a block's first rows, and its first beyond the stretch, are found once for all targets
+    # which the very next may end before the stretch does. A block's first rows, and its
+    # first beyond the stretch, are found once for all targets
     late = F.col(at) - F.col("block") * F.lit(width) >= F.lit(ahead)
     first = Window.partitionBy(*keys, "block", "_late").orderBy(*order)
     within = Window.partitionBy(*keys, "block", "_to").orderBy(*order)
     heads = (
-        own.withColumn("_late", late)
+        own.join(links.select(*keys).distinct(), keys, "left_semi")
+        .withColumn("_late", late)
         .withColumn("_rn", F.row_number().over(first))
         .where(F.col("_rn") <= rows)
-        .join(targets, [*keys, "block"])
+        .join(links, [*keys, "block"])
         .where(F.col("_late") | (F.col("_to") != F.col("block") - 1))
         .withColumn("_rn", F.row_number().over(within))
         .where(F.col("_rn") <= rows)

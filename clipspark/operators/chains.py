@@ -41,8 +41,26 @@ def _visits(rows: pa.Table, low: int, high: int) -> Iterator[tuple[int, list[int
         yield low + int(i), path
 
 
+def whole_blocks(batches: Iterator[pa.RecordBatch], names: Sequence[str]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Tables of whole blocks (equal ``names``) of a sorted partition, and the blocks' edges;
+    holds one block and one batch."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        new = np.zeros(max(len(rows) - 1, 0), bool)
+        for n in names:
+            new |= pc.not_equal(rows[n].slice(1), rows[n].slice(0, max(len(rows) - 1, 0))).to_numpy()
+        edges = [0, *(np.flatnonzero(new) + 1).tolist()]
+        held = rows.slice(edges[-1])
+        if len(edges) > 1:
+            yield rows.slice(0, edges[-1]), edges
+    if held is not None and len(held):
+        yield held, [0, len(held)]
+
+
 def _walker(names: Sequence[str]):
-    """Walks the blocks (equal ``names``) of a sorted partition; holds one block and one batch."""
+    """Walks the blocks (equal ``names``) of a sorted partition."""
 
     def walk(rows: pa.Table, edges: list[int]) -> pa.Table:
         found = [v for low, high in zip(edges, edges[1:]) for v in _visits(rows, low, high) if v[1]]
@@ -55,19 +73,8 @@ def _walker(names: Sequence[str]):
         return taken.append_column("entry", first["pos"]).append_column("root", first["root"]).append_column("tail", pa.array(tail))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = rows if held is None else pa.concat_tables([held, rows])
-            new = np.zeros(max(len(rows) - 1, 0), bool)
-            for n in names:
-                new |= pc.not_equal(rows[n].slice(1), rows[n].slice(0, max(len(rows) - 1, 0))).to_numpy()
-            edges = [0, *(np.flatnonzero(new) + 1).tolist()]
-            held = rows.slice(edges[-1])
-            if len(edges) > 1:
-                yield from walk(rows, edges).to_batches()
-        if held is not None and len(held):
-            yield from walk(held, [0, len(held)]).to_batches()
+        for rows, edges in whole_blocks(batches, names):
+            yield from walk(rows, edges).to_batches()
 
     return run
 

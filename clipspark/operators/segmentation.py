@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from bisect import bisect_left
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipspark.functions.exprs import digest, pin
 from clipspark.operators.intervals import interval_join
-from clipspark.operators.blocks import DAY_MS, block_of, number_rows, with_lookahead
+from clipspark.operators.blocks import DAY_MS, block_links, block_of, number_rows, with_lookahead
 from clipspark.operators.chains import reach
+from clipspark.operators.cutting import Piece, Units, cut, entries
 from clipspark.operators.stages import materialise
 
 SEGMENTATION_VERSION = "1.0.0"
@@ -20,62 +26,54 @@ def _ms(value: float) -> int:
     return int(round(value * 1000))
 
 
-def window_pointers(
-    segments: DataFrame, target: float, max_seconds: float, overlap: float, block_ms: int
-) -> DataFrame:
-    """For every segment: the window that would start there and where the next starts.
-
-    Looks ahead ``max_seconds`` by start time only; anything later cannot be part of
-    the window. The pointer to the next window may lie beyond that after a long
-    silence, and is then the first segment after the look-ahead.
-    """
-    reach_ms = _ms(max_seconds)
-    advance = _ms(max(MIN_ADVANCE_S, target - overlap))
-    narrow = segments.where(F.trim("text") != "").select("source_id", "segment_id", "start_ms", "end_ms")
-    rows = with_lookahead(
-        narrow, ["source_id"], "start_ms", ["start_ms", "segment_id"], block_ms, reach_ms + 1, rows=1
-    )
-    by_time = Window.partitionBy("source_id", "block").orderBy("start_ms", "segment_id")
-    view = Window.partitionBy("source_id", "block").orderBy("start_ms").rangeBetween(0, reach_ms)
-    following = F.lead(F.struct(F.col("segment_id").alias("id"), F.col("start_ms").alias("s"))).over(by_time)
-    item = F.struct(
-        F.col("segment_id").alias("id"), F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), "lead"
-    )
-    seen = (
-        rows.withColumn("lead", following)
-        .withColumn("all", F.sort_array(F.collect_list(item).over(view)))
-        .where(~F.col("halo"))
-        .withColumn("run", F.filter("all", lambda x: x["id"] >= F.col("segment_id")))
-    )
-    goal = F.col("start_ms") + F.lit(_ms(target))
-    limit = F.col("start_ms") + F.lit(reach_ms)
-    later = F.col("start_ms") + F.lit(advance)
-    closer = F.get(F.filter("run", lambda x: (x["id"] > F.col("segment_id")) & (x["e"] >= goal)), F.lit(0))
-    shown = (
-        seen.withColumn("closer", closer)
-        .withColumn(
-            "members",
-            F.when(F.col("closer").isNull(), F.col("run"))
-            .when(F.col("closer.e") <= limit, F.filter("run", lambda x: x["id"] <= F.col("closer.id")))
-            .otherwise(F.filter("run", lambda x: x["id"] < F.col("closer.id"))),
-        )
-        .withColumn("tail", F.element_at("members", -1))
-        .withColumn("near", F.get(F.filter("run", lambda x: x["s"] >= later), F.lit(0)))
-        .withColumn("edge", F.element_at("run", -1)["lead"])
-    )
-    onward_id = F.coalesce(F.col("near.id"), F.col("edge.id"))
-    onward_s = F.coalesce(F.col("near.s"), F.col("edge.s"))
-    ends_source = F.col("tail.lead").isNull()
-    return shown.select(
-        "source_id",
-        "block",
-        F.col("segment_id").cast("long").alias("pos"),
-        F.when(~ends_source, onward_id).cast("long").alias("nxt"),
-        F.when(~ends_source, block_of(onward_s, block_ms)).alias("nxt_block"),
-        "start_ms",
-        F.col("tail.e").alias("end_ms"),
-        F.transform("members", lambda x: x["id"]).alias("segment_ids"),
-        ends_source.alias("ends_source"),
+def _read_windows(target: int, reach: int, advance: int, least: int, width: int):
+    """Segments of blocks, and the window that would start at each of them. It looks ahead
+    ``reach`` by start time only; the next window may start beyond that, after a silence."""
+
+    def read(rows: pa.Table, edges: list[int]) -> Units:
+        pos, s, e = (rows[c].to_pylist() for c in ("segment_id", "start_ms", "end_ms"))
+        low, high = edges[:-1], edges[1:]
+        seen = np.concatenate([[0], np.cumsum(rows["halo"].to_numpy())])
+        own = [h - int(seen[h] - seen[k]) for k, h in zip(low, high)]
+        block = rows["block"].to_pylist()
+
+        def piece(i: int, n: int) -> tuple[int, int]:
+            limit, goal, later = s[i] + reach, s[i] + target, s[i] + advance
+            end = i + 1
+            while end < n and s[end] <= limit and e[end] < goal:
+                end += 1
+            if end < n and s[end] <= limit and e[end] <= limit:
+                end += 1
+            if end >= n:
+                return n, -1
+            onward = i + 1
+            while onward < n and s[onward] < later and s[onward] <= limit:
+                onward += 1
+            return end, onward if onward < n else -1
+
+        def counted(i: int, end: int, n: int) -> bool:
+            span = e[end - 1] - s[i]
+            return span >= least or (end >= n and span >= least * TAIL_SHARE)
+
+        doors = [bisect_left(s, block[k] * width + advance, k, o) + 1 for k, o in zip(low, own)]
+        return Units(pos, [x // width for x in s], low, own, high, doors, piece, counted)
+
+    return read
+
+
+def _emit_windows(rows: pa.Table, units: Units, pieces: list[Piece]) -> pa.Table:
+    texts = rows["text"].to_pylist()
+    first = pa.array([p.first for p in pieces], pa.int64())
+    last = pa.array([p.end - 1 for p in pieces], pa.int64())
+    return pa.table(
+        {
+            "source_id": rows["source_id"].take(first),
+            "candidate_seq": pa.array([p.number for p in pieces], pa.int64()),
+            "start_ms": rows["start_ms"].take(first),
+            "end_ms": rows["end_ms"].take(last),
+            "segment_ids": pa.array([units.pos[p.first : p.end] for p in pieces], pa.list_(rows["segment_id"].type)),
+            "text": pa.array([" ".join(texts[p.first : p.end]) for p in pieces], pa.string()),
+        }
     )
 
 
@@ -93,45 +91,45 @@ def candidate_windows(
     """
     if not 0 < min_seconds <= target_seconds <= max_seconds:
         raise ValueError("need 0 < min <= target <= max")
-    pointers = materialise(
-        window_pointers(segments, target_seconds, max_seconds, overlap_seconds, block_ms)
-    )
-    reached = reach(pointers, ["source_id"], ["start_ms", "end_ms", "segment_ids", "ends_source"])
-    span = F.col("end_ms") - F.col("start_ms")
-    kept = reached.where(
-        (span >= _ms(min_seconds)) | (F.col("ends_source") & (span >= _ms(min_seconds) * TAIL_SHARE))
-    )
-    spoken = segments.where(F.trim("text") != "")
-    numbered = number_rows(kept, ["source_id"], "block", [F.col("pos")], "candidate_seq").select(
-        "source_id", "candidate_seq", "start_ms", "end_ms", F.explode("segment_ids").alias("segment_id")
-    )
-    words = F.struct("segment_id", F.trim("text").alias("text"))
-    text = F.array_join(F.transform("parts", lambda p: p["text"]), " ")
-    windows = (
-        numbered.join(spoken.select("source_id", "segment_id", "text"), ["source_id", "segment_id"])
-        .groupBy("source_id", "candidate_seq", "start_ms", "end_ms")
-        .agg(F.sort_array(F.collect_list(words)).alias("parts"))
-    )
-    # sources in which nothing qualified become one window over everything said
-    whole = (
-        spoken.join(kept.select("source_id").distinct(), "source_id", "left_anti")
-        .groupBy("source_id")
-        .agg(
-            F.min_by("start_ms", "segment_id").alias("start_ms"),
-            F.max_by("end_ms", "segment_id").alias("end_ms"),
-            F.sort_array(F.collect_list(words)).alias("parts"),
+    reach_ms, advance = _ms(max_seconds), _ms(max(MIN_ADVANCE_S, target_seconds - overlap_seconds))
+    spoken = segments.select("source_id", "segment_id", "start_ms", "end_ms", F.trim("text").alias("text")).where(F.col("text") != "")
+    links = block_links(spoken, ["source_id"], "start_ms", block_ms)
+    order = ["start_ms", "segment_id"]
+    rows = with_lookahead(spoken, ["source_id"], "start_ms", order, block_ms, reach_ms + 1, rows=1, links=links)
+    read = _read_windows(_ms(target_seconds), reach_ms, advance, _ms(min_seconds), block_ms)
+    known = None if links is None else entries(rows.drop("text"), links, order, {}, read)
+    types = {f.name: f.dataType.simpleString() for f in spoken.schema}
+    schema = (
+        f"source_id {types['source_id']}, candidate_seq bigint, start_ms {types['start_ms']}, end_ms {types['end_ms']}, "
+        f"segment_ids array<{types['segment_id']}>, text string"
+    )
+    windows = cut(rows, known, order, {}, read, _emit_windows, schema)
+    if known is not None:
+        # sources of several blocks in which nothing qualified: one window over everything said
+        parts = F.sort_array(F.collect_list(F.struct("segment_id", "text")))
+        whole = (
+            spoken.join(known.where("total = 0").select("source_id").distinct(), "source_id", "left_semi")
+            .groupBy("source_id")
+            .agg(
+                F.min_by("start_ms", "segment_id").alias("start_ms"),
+                F.max_by("end_ms", "segment_id").alias("end_ms"),
+                parts.alias("parts"),
+            )
+            .select(
+                "source_id", F.lit(1).cast("long").alias("candidate_seq"), "start_ms", "end_ms",
+                F.col("parts.segment_id").alias("segment_ids"), F.array_join("parts.text", " ").alias("text"),
+            )
         )
-        .withColumn("candidate_seq", F.lit(1).cast("long"))
-    )
-    return windows.unionByName(whole).select(
+        windows = windows.unionByName(whole)
+    return windows.select(
         "source_id",
         "candidate_seq",
         F.format_string("cand_%03d", F.col("candidate_seq")).alias("candidate_id"),
         "start_ms",
         "end_ms",
         (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"),
-        F.transform("parts", lambda p: p["segment_id"]).alias("segment_ids"),
-        text.alias("text"),
+        "segment_ids",
+        "text",
     )
 
 
@@ -197,7 +195,8 @@ def chapter_plan(
         flagged = flagged.join(snapped, ["source_id", "segment_id"], "left").withColumn("cut", F.coalesce("cut", F.lit(False)))
     else:
         flagged = flagged.withColumn("cut", F.lit(False))
-    rows = with_lookahead(flagged, ["source_id"], "start_ms", ["start_ms", "segment_id"], block_ms, reach_ms + 1, rows=2)
+    links = block_links(segments, ["source_id"], "start_ms", block_ms, rows=2)
+    rows = with_lookahead(flagged, ["source_id"], "start_ms", ["start_ms", "segment_id"], block_ms, reach_ms + 1, rows=2, links=links)
     by_time = Window.partitionBy("source_id", "block").orderBy("start_ms", "segment_id")
     view = Window.partitionBy("source_id", "block").orderBy("start_ms").rangeBetween(0, reach_ms)
     me = F.struct(
@@ -302,75 +301,98 @@ def plan_hash(digests: DataFrame) -> DataFrame:
     )
 
 
+def _read_cards(max_words: int, max_chars: int, pause: int, width: int):
+    """Words of blocks, and the card that would start at each of them."""
+
+    def read(rows: pa.Table, edges: list[int]) -> Units:
+        size = pc.list_value_length(rows["said"]).fill_null(0).to_numpy()
+        upto = np.concatenate([[0], np.cumsum(size)])
+        word = pc.list_flatten(rows["said"])
+        chars = pc.utf8_length(word).fill_null(0).to_numpy().tolist()
+
+        def ends_with(marks):
+            found = np.zeros(len(word), bool)
+            for m in marks:
+                found |= pc.ends_with(word, m).fill_null(False).to_numpy()
+            return found.tolist()
+
+        stop, comma = ends_with(TERMINAL_MARKS), ends_with(PAUSE_MARKS)
+        s, e = pc.list_flatten(rows["begins"]), pc.list_flatten(rows["ends"])
+        silent = np.zeros(len(word), bool)
+        silent[:-1] = pc.greater_equal(pc.subtract(s.slice(1), e.slice(0, max(len(e) - 1, 0))), pause).fill_null(False).to_numpy()
+        silent = silent.tolist()
+        pos = pc.list_flatten(rows["places"]).to_pylist()
+        block = np.repeat(rows["start_ms"].to_numpy() // width, size).tolist()
+        low, high = upto[edges[:-1]].tolist(), upto[edges[1:]].tolist()
+        ahead = np.concatenate([[0], np.cumsum(np.where(rows["halo"].to_numpy(), size, 0))])
+        own = [h - int(ahead[b] - ahead[a]) for a, b, h in zip(edges, edges[1:], high)]
+
+        def piece(i: int, n: int) -> tuple[int, int]:
+            total, last = 0, min(i + max_words, n)
+            for j in range(i, last):
+                total += chars[j]
+                if stop[j] or silent[j] or (comma[j] and j > i) or total + j - i >= max_chars:
+                    last = j + 1
+                    break
+            return last, last if last < n else -1
+
+        return Units(pos, block, low, own, high, [k + max_words for k in low], piece, lambda i, end, n: True)
+
+    return read
+
+
+def _emit_cards(rows: pa.Table, units: Units, pieces: list[Piece]) -> pa.Table:
+    first = np.array([p.first for p in pieces], np.int64)
+    end = np.array([p.end for p in pieces], np.int64)
+    high = np.array(units.high, np.int64)[[p.k for p in pieces]]
+    offsets = np.concatenate([[0], np.cumsum(end - first)])
+    held = pa.array(np.arange(offsets[-1]) + np.repeat(first - offsets[:-1], end - first))
+    columns = [pc.list_flatten(rows[c]).combine_chunks() for c in ("places", "begins", "ends", "said")]
+    words = pa.StructArray.from_arrays([c.take(held) for c in columns], ["pos", "s", "e", "word"])
+    line = np.searchsorted(np.cumsum(pc.list_value_length(rows["said"]).fill_null(0).to_numpy()), first, "right")
+    return pa.table(
+        {
+            "source_id": rows["source_id"].take(pa.array(line)),
+            "card": pa.array([p.number for p in pieces], pa.int64()),
+            "start_ms": columns[1].take(pa.array(first)),
+            "last_ms": columns[2].take(pa.array(end - 1)),
+            "next_start_ms": columns[1].take(pa.array(end, mask=end >= high)),
+            "words": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words),
+        }
+    )
+
+
 def caption_cards(
     words: DataFrame, max_words: int = 4, max_chars: int = 32, pause_s: float = 0.35, min_s: float = 0.4,
-    block_ms: int = DAY_MS,
+    block_ms: int = DAY_MS, spread: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Short subtitle cards: closed by sentence ends, pauses, or the size limits.
 
-    ``words``: source_id, pos (order in the source), start_ms, end_ms, word. Only lengths
-    and flags travel while cards are cut; the words are counted off by marks at the cards'
-    first words.
+    ``words``: source_id, pos (order in the source), start_ms, end_ms, word. Or lines of one
+    word or more (source_id, pos, start_ms and what else ``spread`` names), with ``spread``
+    telling each line's words as arrays ``places``, ``begins``, ``ends``, ``said``. Only lines
+    travel and are sorted; they are spread out where cards are cut, and cards leave the pass
+    with their words.
     """
-    def ends_with(marks):
-        out = F.lit(False)
-        for m in marks:
-            out = out | F.col("word").endswith(m)
-        return F.coalesce(out, F.lit(False))
-
-    # where a card that starts at a word would end: sizes and flags of the words ahead, no texts
-    slim = words.select(
-        "source_id", "pos", "start_ms", "end_ms", F.coalesce(F.length("word"), F.lit(0)).alias("chars"),
-        ends_with(TERMINAL_MARKS).alias("stop"), ends_with(PAUSE_MARKS).alias("comma"),
-    )
-    rows = with_lookahead(slim, ["source_id"], "start_ms", ["pos"], block_ms, 0, rows=max_words + 1)
-    by_pos = Window.partitionBy("source_id", "block").orderBy("pos")
-    ahead = rows.select(
-        "source_id", "block", "pos", "halo",
-        *[F.lead(c, i).over(by_pos).alias(f"{c}_{i}") for c in ("stop", "comma", "chars", "end_ms") for i in range(max_words)],
-        *[F.lead(c, i).over(by_pos).alias(f"{c}_{i}") for c in ("pos", "start_ms") for i in range(1, max_words + 1)],
-    ).where(~F.col("halo"))
-    nxt, nxt_start, chars = None, None, F.lit(0)
-    for i in range(max_words):
-        chars = chars + F.col(f"chars_{i}")
-        silent = F.coalesce(F.col(f"start_ms_{i + 1}") - F.col(f"end_ms_{i}") >= _ms(pause_s), F.lit(False))
-        full = F.lit(i + 1 >= max_words) | (chars + i >= max_chars) | F.col(f"pos_{i + 1}").isNull()
-        closed = F.col(f"stop_{i}") | silent | (F.col(f"comma_{i}") & F.lit(i >= 1)) | full
-        here = F.col(f"pos_{i + 1}"), F.col(f"start_ms_{i + 1}")
-        nxt, nxt_start = (F.when(closed, h) if w is None else w.when(closed, h) for w, h in zip((nxt, nxt_start), here))
-    pointers = materialise(
-        ahead.select("source_id", "block", "pos", nxt.alias("nxt"), block_of(nxt_start, block_ms).alias("nxt_block"), nxt_start.alias("next_start_ms"))
-    )
-    heads = reach(pointers, ["source_id"], ["next_start_ms"])
-    # cards are numbered through the blocks; words before a block's first card end the card before
-    past = Window.partitionBy("source_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    begun = heads.select("source_id", "block", F.lit(1).alias("n")).unionByName(
-        pointers.select("source_id", "block").distinct().withColumn("n", F.lit(0))
-    )
-    base = begun.groupBy("source_id", "block").agg(F.sum("n").alias("n")).select(
-        "source_id", "block", F.coalesce(F.sum("n").over(past), F.lit(0)).alias("base")
-    )
-    # a mark before each card's first word, counted along the block
-    marks = heads.select("source_id", "block", "pos", F.lit(1).alias("mark"), "next_start_ms")
-    spoken = words.select(
-        "source_id", block_of(F.col("start_ms"), block_ms).alias("block"), "pos", F.lit(0).alias("mark"),
-        F.struct("pos", F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), "word").alias("w"),
-    )
-    so_far = Window.partitionBy("source_id", "block").orderBy("pos", F.col("mark").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    cards = (
-        spoken.unionByName(marks, allowMissingColumns=True)
-        .withColumn("card", F.sum("mark").over(so_far))
-        .join(base, ["source_id", "block"])
-        .groupBy("source_id", (F.col("card") + F.col("base")).alias("card"))
-        .agg(F.sort_array(F.collect_list("w")).alias("words"), F.max("next_start_ms").alias("next_start_ms"))
-        .withColumn("start_ms", F.get("words", F.lit(0))["s"])
-        .withColumn("end_ms", F.greatest(F.element_at("words", -1)["e"], F.col("start_ms") + _ms(min_s)))
+    if spread is None:
+        spread = {k: F.array(c) for k, c in {"places": "pos", "begins": "start_ms", "ends": "end_ms", "said": "word"}.items()}
+    links = block_links(words, ["source_id"], "start_ms", block_ms, rows=max_words + 1)
+    rows = with_lookahead(words, ["source_id"], "start_ms", ["pos"], block_ms, 0, rows=max_words + 1, links=links)
+    read = _read_cards(max_words, max_chars, _ms(pause_s), block_ms)
+    known = None if links is None else entries(rows, links, ["pos"], spread, read)
+    types = {f.name: f.dataType.simpleString() for f in words.withColumns(spread).schema}
+    place, at, until, said = (types[c][len("array<") : -1] for c in ("places", "begins", "ends", "said"))
+    schema = (
+        f"source_id {types['source_id']}, card bigint, start_ms {at}, last_ms {until}, next_start_ms {at}, "
+        f"words array<struct<pos: {place}, s: {at}, e: {until}, word: {said}>>"
+    )
+    cards = cut(rows, known, ["pos"], spread, read, _emit_cards, schema).withColumn(
+        "end_ms", F.greatest("last_ms", F.col("start_ms") + _ms(min_s))
     )
     gap = F.col("next_start_ms") - F.col("end_ms")
     bridged = F.when((gap > 0) & (gap < BRIDGE_MS), F.col("next_start_ms")).otherwise(F.col("end_ms"))
     return cards.select(
-        "source_id", "card", "start_ms", bridged.alias("end_ms"),
-        F.array_join(F.transform("words", lambda x: x["word"]), " ").alias("text"), "words",
+        "source_id", "card", "start_ms", bridged.alias("end_ms"), F.array_join("words.word", " ").alias("text"), "words"
     )
 
 

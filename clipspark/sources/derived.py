@@ -149,6 +149,20 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, Column]]:
+    """The same words by segment: the segments, and each one's words as arrays."""
+    n = F.size(F.split("text", r"\s+")) - 1
+    start, place = F.col("start_ms"), F.col("pos")
+    spread = {
+        "places": F.sequence(place, place + n),
+        "begins": F.sequence(start, start + n * 400, F.lit(400).cast("long")),
+        "ends": F.sequence(start + 340, start + 340 + n * 400, F.lit(400).cast("long")),
+        "said": F.split("text", r"\s+"),
+    }
+    rows = segments(spark, sf_dir)
+    return rows.select("source_id", (F.col("segment_id") * 100_000).alias("pos"), "start_ms", "text"), spread
+
+
 def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping one-minute candidates, one per 45 s in which somebody speaks."""
     return (
