@@ -1,11 +1,23 @@
-"""Word-based scoring of candidate text, entirely in column expressions."""
+"""Word-based scoring of candidate text.
+
+Words are counted on Arrow batches: a text is a list of chunks between white space, and what a
+chunk holds is looked up once per distinct chunk. Scores are column expressions over the counts.
+"""
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from clipspark.functions.exprs import clamp, first_match, flag_list, tokens, word_set
+from clipspark.functions.exprs import clamp, first_match, flag_list
 
 # Vocabularies the scores are defined over (Russian and English).
 QUESTION_WORDS = (
@@ -35,18 +47,149 @@ INFO_WORDS = (
 DANGLING_WORDS = ("и", "а", "но", "да", "короче", "так вот", "ну", "and", "but", "so", "well")
 CLOSING_MARKS = (".", "!", "?")
 CLOSING_QUOTED = ('."', '!"', '?"')
-NUMBER_PATTERN = r"(?U)\b\d+([.,]\d+)?\b|%|\$|€|₽"
+OPENING_WORDS = 25
+OPENING_CHARS = 120
+
+WORD_KINDS = {"Lu", "Ll", "Lt", "Lm", "Lo", "Nl", "Mn", "Mc", "Me", "Pc"}
+CIRCLED_LETTERS = ((0x24B6, 0x24E9), (0x1F130, 0x1F149), (0x1F150, 0x1F169), (0x1F170, 0x1F189))
+
+
+class _Kinds(dict):
+    """What a character is to the patterns: ``l`` part of a word, ``d`` a digit, ``_``, a
+    sign they name, or ``o``. As ``\\w`` and ``\\d`` with Unicode classes."""
+
+    def __missing__(self, c: int) -> str:
+        kind = unicodedata.category(chr(c))
+        if chr(c) in "_%$€₽.,":
+            found = chr(c)
+        elif kind == "Nd":
+            found = "d"
+        elif kind in WORD_KINDS or c in (0x200C, 0x200D) or any(a <= c <= b for a, b in CIRCLED_LETTERS):
+            found = "l"
+        else:
+            found = "o"
+        self[c] = found
+        return found
+
+
+KINDS = _Kinds()
+WORD_SHAPE = re.compile(r"(?<![ld_])l{2,}(?![ld_])")
+NUMBER_SHAPE = re.compile(r"(?<![ld_])d+(?:[.,]d+)?(?![ld_])|[%$€₽]")
+
+
+# chunks of letters whose case is one character for one, between common marks: most of all
+PLAIN_MARKS = ".,;:!?\"'()-"
+PLAIN_WORD = "^[A-Za-zÀ-ÖØ-Þà-öø-ÿА-яЁё]+$"
+
+
+def _chunk(chunk: str) -> tuple[list[str], int, bool]:
+    """Lower-case words of two letters or more, numbers and signs, and whether it is in capitals."""
+    low = chunk.lower()
+    words = [low[m.start() : m.end()] for m in WORD_SHAPE.finditer(low.translate(KINDS))]
+    numbers = sum(1 for _ in NUMBER_SHAPE.finditer(chunk.translate(KINDS)))
+    return words, numbers, len(chunk) > 2 and low != chunk and chunk.upper() == chunk
+
+
+def _chunks(chunks: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of distinct chunks in a row, and for each chunk: how many are its own, its
+    numbers, and whether it is in capitals. Plain chunks are taken all at once."""
+    core = pc.utf8_trim(chunks, PLAIN_MARKS)
+    plain = pc.match_substring_regex(core, PLAIN_WORD).to_numpy(zero_copy_only=False)
+    held = (plain & (pc.utf8_length(core).to_numpy() > 1)).astype(np.int64)
+    numbers = np.zeros(len(chunks), np.int64)
+    shout = pc.and_(pc.equal(pc.utf8_upper(chunks), chunks), pc.not_equal(pc.utf8_lower(chunks), chunks))
+    loud = plain & (pc.utf8_length(chunks).to_numpy() > 2) & shout.to_numpy(zero_copy_only=False)
+    owner, words = [np.flatnonzero(held)], []
+    other = np.flatnonzero(~plain)
+    for i, chunk in zip(other.tolist(), chunks.take(pa.array(other)).to_pylist()):
+        found, numbers[i], loud[i] = _chunk(chunk)
+        held[i] = len(found)
+        words += found
+    owner.append(np.repeat(other, held[other]))
+    said = pa.concat_arrays([pc.utf8_lower(core.take(pa.array(owner[0]))), pa.array(words, pa.string())])
+    return said.take(pa.array(np.argsort(np.concatenate(owner), kind="stable"))), held, numbers, loud
 
 
-def _top_count(words: Column) -> Column:
-    """Occurrences of the most frequent word, by one pass over the sorted words."""
-    start = F.struct(F.lit("").alias("word"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+COUNTS = {
+    "_n": "int", "_bangs": "int", "_emo": "int", "_info": "int", "_caps": "int", "_nums": "int", "_kinds": "int", "_top": "int",
+    "_ask": "boolean", "_tease": "boolean", "_talk": "boolean", "_dangling": "boolean",
+}
 
-    def step(acc: Column, w: Column) -> Column:
-        run = F.when(acc["word"] == w, acc["run"] + 1).otherwise(F.lit(1))
-        return F.struct(w.alias("word"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
 
-    return F.aggregate(F.sort_array(words), start, step, lambda acc: acc["best"])
+def _count(text: pa.Array) -> dict[str, np.ndarray]:
+    """The columns of ``COUNTS`` for each text (null: empty)."""
+    t = pc.utf8_trim(pc.fill_null(text, ""), " ")
+    chunks = pc.ascii_split_whitespace(t)
+    size = pc.list_value_length(chunks).to_numpy()
+    coded = pc.list_flatten(chunks).dictionary_encode()
+    code, rows = coded.indices.to_numpy(), len(t)
+    edges = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+
+    def per_text(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        upto = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+        return upto[edges[1:]] - upto[edges[:-1]]
+
+    # the words of distinct chunks, numbered
+    said, held, numbers, loud = _chunks(coded.dictionary)
+    numbered = said.dictionary_encode()
+    flat, kind_of = numbered.indices.to_numpy(), numbered.dictionary
+    begin = np.cumsum(held) - held
+
+    # the words of every text, in order
+    many = held[code]
+    upto = np.concatenate([[0], np.cumsum(many)])
+    word = flat[np.repeat(begin[code] - upto[:-1], many) + np.arange(upto[-1])]
+    word_edges = upto[edges]
+    n = np.diff(word_edges)
+    row = np.repeat(np.arange(rows), n)
+
+    def is_in(words: tuple[str, ...]) -> np.ndarray:
+        return pc.is_in(kind_of, pa.array(words)).to_numpy(zero_copy_only=False)[word]
+
+    opening = np.arange(len(word)) - word_edges[row] < OPENING_WORDS
+    some = n > 0
+    first = np.zeros(rows, bool)
+    first[some] = is_in(DANGLING_WORDS)[word_edges[:-1][some]]
+
+    # runs of equal words, text by text
+    key = np.sort(row * max(len(kind_of), 1) + word)
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    run = np.diff(np.concatenate([at, [len(key)]]))
+    kinds = np.bincount(row[at], minlength=rows)
+    top = np.zeros(rows, np.int64)
+    if len(at):
+        top[some] = np.maximum.reduceat(run, (np.cumsum(kinds) - kinds)[some])
+    start = pc.utf8_slice_codeunits(t, 0, OPENING_CHARS)
+    return {
+        "_n": n,
+        "_bangs": pc.count_substring(t, "!").to_numpy(),
+        "_emo": per_text(is_in(EMOTION_WORDS), word_edges),
+        "_info": per_text(is_in(INFO_WORDS), word_edges),
+        "_caps": per_text(loud[code], edges),
+        "_nums": per_text(numbers[code], edges),
+        "_kinds": kinds,
+        "_top": top,
+        "_ask": (per_text(opening & is_in(QUESTION_WORDS), word_edges) > 0) | pc.match_substring(start, "?").to_numpy(zero_copy_only=False),
+        "_tease": per_text(opening & is_in(INTRIGUE_WORDS), word_edges) > 0,
+        "_talk": per_text(opening & is_in(ADDRESS_WORDS), word_edges) > 0,
+        "_dangling": first,
+    }
+
+
+def with_counts(cands: DataFrame) -> DataFrame:
+    """``cands`` and the columns of ``COUNTS``, of its ``text``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                counts = _count(batch.column("text"))
+                added = [pa.array(counts[c], pa.bool_() if kind == "boolean" else pa.int32()) for c, kind in COUNTS.items()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *COUNTS])
+
+    schema = T.StructType(list(cands.schema.fields))
+    for c, kind in COUNTS.items():
+        schema = schema.add(c, T.BooleanType() if kind == "boolean" else T.IntegerType())
+    return cands.mapInArrow(run, schema)
 
 
 def score_heuristic(cands: DataFrame) -> DataFrame:
@@ -55,30 +198,8 @@ def score_heuristic(cands: DataFrame) -> DataFrame:
     ``cands`` needs ``text`` and ``duration_ms``; scores are 0-100 at one decimal.
     """
     t = F.trim("text")
-    feat = (
-        cands.withColumn("_w", tokens(t))
-        .withColumn("_n", F.size("_w"))
-        .withColumn("_open", F.slice("_w", 1, 25))
-        .withColumn("_bangs", F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit(""))))
-        .withColumn("_emo", F.size(F.filter("_w", lambda w: w.isin(*EMOTION_WORDS))))
-        .withColumn("_info", F.size(F.filter("_w", lambda w: w.isin(*INFO_WORDS))))
-        .withColumn(
-            "_caps",
-            F.size(
-                F.filter(
-                    F.split(t, r"\s+"),
-                    lambda x: (F.length(x) > 2) & (F.upper(x) == x) & (F.lower(x) != x),
-                )
-            ),
-        )
-        .withColumn("_nums", F.size(F.regexp_extract_all(t, F.lit(NUMBER_PATTERN), F.lit(0))))
-        .withColumn("_kinds", F.size(F.array_distinct("_w")))
-        .withColumn("_top", _top_count(F.col("_w")))
-        .withColumn("_wpm", F.col("_n") / F.greatest(F.lit(1.0), F.col("duration_ms") / 1000.0) * 60.0)
-        .withColumn("_ask", F.substring(t, 1, 120).contains("?") | F.arrays_overlap("_open", word_set(QUESTION_WORDS)))
-        .withColumn("_tease", F.arrays_overlap("_open", word_set(INTRIGUE_WORDS)))
-        .withColumn("_talk", F.arrays_overlap("_open", word_set(ADDRESS_WORDS)))
-    )
+    wpm = F.col("_n") / F.greatest(F.lit(1.0), F.col("duration_ms") / 1000.0) * 60.0
+    feat = with_counts(cands).withColumn("_wpm", wpm)
     n = F.col("_n")
 
     def bonus(cond: Column, value: float) -> Column:
@@ -104,7 +225,7 @@ def score_heuristic(cands: DataFrame) -> DataFrame:
         closed = closed | t.endswith(mark)
     standalone = clamp(
         60.0
-        + F.when(F.get("_w", F.lit(0)).isin(*DANGLING_WORDS), F.lit(-20.0)).otherwise(F.lit(15.0))
+        + F.when(F.col("_dangling"), F.lit(-20.0)).otherwise(F.lit(15.0))
         + F.when(closed, F.lit(15.0)).otherwise(F.lit(-10.0))
         + bonus(n >= 50, 10.0),
         10.0,

@@ -93,7 +93,9 @@ def candidate_windows(
         raise ValueError("need 0 < min <= target <= max")
     reach_ms, advance = _ms(max_seconds), _ms(max(MIN_ADVANCE_S, target_seconds - overlap_seconds))
     spoken = segments.select("source_id", "segment_id", "start_ms", "end_ms", F.trim("text").alias("text")).where(F.col("text") != "")
-    links = block_links(spoken, ["source_id"], "start_ms", block_ms)
+    # asked of all segments first, for which no text has to travel
+    links = block_links(segments, ["source_id"], "start_ms", block_ms)
+    links = None if links is None else block_links(spoken, ["source_id"], "start_ms", block_ms)
     order = ["start_ms", "segment_id"]
     rows = with_lookahead(spoken, ["source_id"], "start_ms", order, block_ms, reach_ms + 1, rows=1, links=links)
     read = _read_windows(_ms(target_seconds), reach_ms, advance, _ms(min_seconds), block_ms)
