@@ -208,9 +208,11 @@ def e16_mapping(spark, sf_dir):
      from candidates c left join (select * from (select *, row_number() over (partition by source_id order by score desc, candidate_seq) as rank from heuristic) where rank <= 5) h using (source_id, candidate_seq)""",
 )
 def e17(spark, sf_dir):
-    cands = materialise(segmentation.candidate_windows(derived.segments(spark, sf_dir)))
-    ranked = ranking.rank_predictions(lexical.score_heuristic(cands).select("source_id", "candidate_seq", "score"))
-    return au.review_export(cands, ranked.where(F.col("rank") <= 5))
+    # scored where they are cut: texts are not written
+    cands = lexical.score_heuristic(segmentation.candidate_windows(derived.segments(spark, sf_dir)))
+    scored = materialise(cands.select("source_id", "candidate_seq", "start_ms", "end_ms", "score"))
+    ranked = ranking.rank_predictions(scored.select("source_id", "candidate_seq", "score"))
+    return au.review_export(scored.drop("score"), ranked.where(F.col("rank") <= 5))
 
 
 @register(
@@ -317,8 +319,14 @@ def e21(spark, sf_dir):
      from (select *, row_number() over (partition by source_id order by score desc, candidate_seq) as rank from heuristic) h join candidates c using (source_id, candidate_seq) where rank <= 3""",
 )
 def e22(spark, sf_dir):
-    scored = materialise(lexical.score_heuristic(segmentation.candidate_windows(derived.segments(spark, sf_dir))))
-    top = ranking.rank_predictions(scored).where(F.col("rank") <= 3)
+    cands = lexical.score_heuristic(segmentation.candidate_windows(derived.segments(spark, sf_dir)))
+    scored = materialise(
+        cands.select(
+            "source_id", "candidate_seq", "start_ms", "end_ms", "text", "score", "hook_score", "emotion_score", "information_score"
+        )
+    )
+    # texts are written once, not again for the ranks
+    top = ranking.rank_predictions(scored.select("source_id", "candidate_seq", "start_ms", "end_ms", "score")).where(F.col("rank") <= 3)
     q = F.col("candidate_seq")
     clips = scored.where(q % 4 != 3).select(
         "source_id", "candidate_seq", F.when(F.col("source_id") % 5 == 0, "failed").otherwise("success").alias("status"),
