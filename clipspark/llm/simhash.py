@@ -41,6 +41,12 @@ QUERY_STEP = 100
 _LANES = (1 << 32) + 1
 
 
+def _large(df: DataFrame) -> DataFrame:
+    """A side of a join that must not be broadcast: Spark sizes files as they are packed, and
+    rows after an explode as if each had stayed one."""
+    return df.hint("merge")
+
+
 def fingerprints(df: DataFrame, keep: list[str], texts: list[str]) -> DataFrame:
     """The columns ``keep`` and for each text column t its fingerprint in two halves,
     ``t_0`` and ``t_1`` of type long. ``keep`` holds small columns."""
@@ -111,9 +117,9 @@ def with_next(docs: DataFrame, step: Column) -> tuple[DataFrame, DataFrame]:
         linked.selectExpr("not p.last as zero", "p.id as id", "own", "not following.last as next_zero", "following.id as next_id", "not leading.last as to_zero", "leading.id as to_id", "leading.wanted as wanted")
     )
     # `own` is the least MD5 of an id, so only its row is not above it
-    gifts = rows.join(links.withColumnRenamed("own", "least"), ["zero", "id"]).filter(F.md5("text") <= F.col("least"))
+    gifts = rows.join(_large(links.withColumnRenamed("own", "least")), ["zero", "id"]).filter(F.md5("text") <= F.col("least"))
     gifts = written(gifts.selectExpr("to_zero as zero", "to_id as id", "substring(text, 1, cast(wanted as int)) as gift").dropDuplicates(["zero", "id"]))
-    return rows.join(gifts, ["zero", "id"]), links.select("zero", "id", "next_zero", "next_id", "own")
+    return rows.join(_large(gifts), ["zero", "id"]), links.select("zero", "id", "next_zero", "next_id", "own")
 
 
 def within(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -136,7 +142,7 @@ def within(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataF
         return df.select(a, b, F.explode(F.array(*keys)).alias("t")).select(a, b, "t.i", "t.j", "t.key")
 
     left = tables(queries.select(F.col("f0").alias("q0"), F.col("f1").alias("q1")), "q0", "q1")
-    pairs = left.join(tables(prints.select("f0", "f1"), "f0", "f1"), ["key", "i", "j"])
+    pairs = left.join(_large(tables(prints.select("f0", "f1"), "f0", "f1")), ["key", "i", "j"])
     same = [(block("q0", "q1", i) == block("f0", "f1", i)).cast("int") for i in range(n)]
     # the first table in which two fingerprints meet is that of the first two blocks they share
     before = sum((F.when(F.col("j") > i, same[i]).otherwise(0) for i in range(n)), F.lit(0))
@@ -159,12 +165,12 @@ def fingerprint_table(documents: DataFrame) -> DataFrame:
     edited = F.concat(kept, F.expr("substring(gift, 1, cast(length(text) div 4 as int))"))
     rows = rows.select("doc_id", "zero", "id", "text", edited.alias("edited")).select("*", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("own"), F.sha2("edited", 256).alias("edited_sha256"))
     prints = written(fingerprints(rows, ["doc_id", "zero", "id", "own", "n_chars", "edited_sha256"], ["text", "edited"]))
-    first = prints.join(links.select("zero", "id", "own"), ["zero", "id", "own"]).groupBy("zero", "id").agg(F.min("text_0").alias("n0"), F.min("text_1").alias("n1"))
-    nexts = links.select("zero", "id", F.col("next_zero"), F.col("next_id")).join(first.select(F.col("zero").alias("next_zero"), F.col("id").alias("next_id"), "n0", "n1"), ["next_zero", "next_id"])
+    first = prints.join(_large(links.select("zero", "id", "own")), ["zero", "id", "own"]).groupBy("zero", "id").agg(F.min("text_0").alias("n0"), F.min("text_1").alias("n1"))
+    nexts = links.select("zero", "id", F.col("next_zero"), F.col("next_id")).join(_large(first.select(F.col("zero").alias("next_zero"), F.col("id").alias("next_id"), "n0", "n1")), ["next_zero", "next_id"])
     distinct = written(prints.groupBy(F.col("text_0").alias("f0"), F.col("text_1").alias("f1")).agg(F.count("*").alias("n"), F.max(F.coalesce(F.col("doc_id") % QUERY_STEP == 0, F.lit(False))).alias("asked")))
-    pairs = within(distinct.filter("asked"), distinct).join(distinct.select("f0", "f1", "n"), ["f0", "f1"])
+    pairs = within(distinct.filter("asked"), distinct).join(_large(distinct.select("f0", "f1", "n")), ["f0", "f1"])
     near = pairs.groupBy("q0", "q1").agg(F.sum("n").alias("found"))
-    out = prints.join(nexts.select("zero", "id", "n0", "n1"), ["zero", "id"]).join(near.withColumnsRenamed({"q0": "text_0", "q1": "text_1"}), ["text_0", "text_1"], "left")
+    out = prints.join(_large(nexts.select("zero", "id", "n0", "n1")), ["zero", "id"]).join(_large(near.withColumnsRenamed({"q0": "text_0", "q1": "text_1"})), ["text_0", "text_1"], "left")
     return out.select(
         "doc_id",
         "n_chars",

@@ -138,6 +138,19 @@ def test_block_tables_find_all(spark, radius):
     assert got == want and len(want) >= 100
 
 
+def test_no_table_of_fingerprints_is_broadcast(spark, tmp_path):
+    """28 rows of each fingerprint come out of the explode, which Spark sizes as one."""
+    path = str(tmp_path / "prints")
+    spark.range(3_000).selectExpr("id * 7919 as f0", "id * 104729 as f1").write.parquet(path)
+    df = spark.read.parquet(path)
+    found = within(df.limit(10), df)
+    docs = spark.range(300).selectExpr("id as doc_id", "concat_ws(' ', 'text', id, id + 1, id * 3) as text")
+    for out in (found, fingerprint_table(docs)):
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
 def vectors(n=400, dims=16):
     rng = np.random.default_rng(9)
     rows = [(int(i), rng.normal(0, 0.2, dims).tolist(), int(i) % 5 if i % 7 else None) for i in rng.permutation(n)]
