@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipspark.functions.exprs import first_match
+from clipspark.operators.beside import Met, Work, beside, counted, joined, lists, longs
+from clipspark.operators.blocks import DAY_MS
 from clipspark.operators.intervals import asof, interval_join, ordered_text
 
 CAND = ["source_id", "candidate_seq"]
@@ -61,8 +66,18 @@ def surrounding_context(cands: DataFrame, segments: DataFrame, window_ms: int =
     )
 
 
+def _sides(met: Met) -> dict[str, pa.Array]:
+    """The texts before, inside (where the candidate has none of its own) and after."""
+    s, e = (longs(met.segs, c)[met.seg] for c in ("start_ms", "end_ms"))
+    b0, c0, c1, a1 = (longs(met.cands, c)[met.cand] for c in ("b0", "c0", "c1", "a1"))
+    own = met.cands["own"].fill_null("").combine_chunks()
+    blank = pc.equal(own, "")
+    inside = joined(met, (s < c1) & (e > c0) & blank.to_numpy(zero_copy_only=False)[met.cand])
+    return {"before_text": joined(met, (s < c0) & (e > b0)), "candidate_text": pc.if_else(blank, inside, own), "after_text": joined(met, (s < a1) & (e > c1))}
+
+
 def context_windows(
-    cands: DataFrame, segments: DataFrame, lengths: DataFrame, before_ms: int = 75_000, after_ms: int = 25_000
+    cands: DataFrame, segments: DataFrame, lengths: DataFrame, before_ms: int = 75_000, after_ms: int = 25_000, block_ms: int = DAY_MS
 ) -> DataFrame:
     """BEFORE, CANDIDATE and AFTER spans inside the source, each with the text of every
     segment it overlaps (a segment across an edge belongs to both sides)."""
@@ -76,25 +91,16 @@ def context_windows(
         .withColumn("a1", F.least(F.col("upper"), F.col("c1") + after_ms))
         .select(*CAND, "b0", "c0", "c1", "a1", F.trim("text").alias("own"))
     )
-    met = interval_join(spans, segments, "source_id", ("b0", "a1"), ("start_ms", "end_ms"))
-    s, e = F.col("start_ms"), F.col("end_ms")
-
-    def side(lo: str, hi: str) -> Column:
-        return ordered_text(["start_ms", "segment_id"], when=(s < F.col(hi)) & (e > F.col(lo)))
-
-    texts = met.groupBy(*CAND).agg(
-        side("b0", "c0").alias("before_text"), side("c0", "c1").alias("inside"), side("c1", "a1").alias("after_text")
-    )
-    blank = F.lit("")
-    return spans.join(texts, CAND, "left").select(
+    said = segments.select("source_id", "segment_id", "start_ms", "end_ms", "text")
+    return beside(spans, said, ("b0", "a1"), "before_text string, candidate_text string, after_text string", _sides, block_ms).select(
         *CAND,
         F.col("b0").alias("before_start_ms"),
         F.col("c0").alias("start_ms"),
         F.col("c1").alias("end_ms"),
         F.col("a1").alias("after_end_ms"),
-        F.coalesce("before_text", blank).alias("before_text"),
-        F.when(F.col("own") != "", F.col("own")).otherwise(F.coalesce("inside", blank)).alias("candidate_text"),
-        F.coalesce("after_text", blank).alias("after_text"),
+        "before_text",
+        "candidate_text",
+        "after_text",
     )
 
 
@@ -307,34 +313,52 @@ def refine_boundaries(
     )
 
 
-def speech_units(cands: DataFrame, segments: DataFrame, min_ms: int = 150) -> DataFrame:
+def _units(min_ms: int, texts: bool) -> Work:
+    """A list per field of a unit, by candidate."""
+
+    def work(met: Met) -> dict[str, pa.Array]:
+        c0, c1 = (longs(met.cands, c)[met.cand] for c in ("start_ms", "end_ms"))
+        start, end = np.maximum(longs(met.segs, "start_ms")[met.seg], c0) - c0, np.minimum(longs(met.segs, "end_ms")[met.seg], c1) - c0
+        order = np.lexsort((longs(met.segs, "segment_id")[met.seg], start, met.cand))
+        order = order[(end - start >= min_ms)[order]]
+        of, seg, start, end = met.cand[order], met.seg[order], start[order], end[order]
+        next_too = np.append(of[1:] == of[:-1], False)[: len(of)]
+        gap = np.where(next_too, np.append(start[1:], 0)[: len(of)] - end, 0)
+        fresh = np.append(False, next_too[:-1] & (gap[:-1] > RUN_GAP_MS))[: len(of)]
+        edges, runs = counted(of, len(met.cands)), np.cumsum(fresh)
+        begin = runs[edges[:-1][of]] if len(of) else runs
+        ended = pc.or_kleene(met.segs["ends"].take(pa.array(seg)).combine_chunks(), pa.array(gap >= RUN_GAP_MS))
+        values = {"unit_start": pa.array(start), "unit_end": pa.array(end), "terminal": ended, "gap_after": pa.array(np.maximum(0, gap)), "run": pa.array(runs - begin)}
+        if texts:
+            values["unit_text"] = met.segs["text"].take(pa.array(seg)).combine_chunks()
+        return {name: lists(edges, v) for name, v in values.items()}
+
+    return work
+
+
+UNIT_FIELDS = "unit_start array<long>, unit_end array<long>, terminal array<boolean>, gap_after array<long>, run array<long>"
+
+
+def unit_segments(segments: DataFrame, texts: bool = True, keep: Sequence[str] = ()) -> DataFrame:
+    """Segments as ``_units`` takes them: whether each ends a thought, the text where wanted."""
+    text = F.trim("text")
+    return segments.select("source_id", "segment_id", "start_ms", "end_ms", *keep, text.rlike(TERMINAL_PATTERN).alias("ends"), *([text.alias("text")] if texts else []))
+
+
+def speech_units(cands: DataFrame, segments: DataFrame, min_ms: int = 150, block_ms: int = DAY_MS) -> DataFrame:
     """Segments clipped to the candidate and re-based to it, with the pause after each,
     whether it ends a thought, and which uninterrupted run it belongs to."""
-    met = _near(cands, segments, 0, 0)
-    clipped = met.select(
+    rows = beside(cands.select(*CAND, "start_ms", "end_ms"), unit_segments(segments), ("start_ms", "end_ms"), UNIT_FIELDS + ", unit_text array<string>", _units(min_ms, True), block_ms)
+    units = F.arrays_zip("unit_start", "unit_end", "unit_text", "terminal", "gap_after", "run")
+    return rows.select(*CAND, F.posexplode(units).alias("unit", "u")).select(
         *CAND,
-        "segment_id",
-        (F.greatest("start_ms", "c0") - F.col("c0")).alias("start"),
-        (F.least("end_ms", "c1") - F.col("c0")).alias("end"),
-        F.trim("text").alias("text"),
-    ).where(F.col("end") - F.col("start") >= min_ms)
-    # a candidate is at most a few minutes long, so its units are few
-    order = Window.partitionBy(*CAND).orderBy("start", "segment_id")
-    gap = F.coalesce(F.lead("start").over(order) - F.col("end"), F.lit(0))
-    fresh = (F.col("start") - F.lag("end").over(order) > RUN_GAP_MS).cast("long")
-    return (
-        clipped.withColumn("gap", gap)
-        .withColumn("fresh", F.coalesce(fresh, F.lit(0)))
-        .select(
-            *CAND,
-            (F.row_number().over(order) - 1).cast("long").alias("unit"),
-            F.col("start").alias("start_ms"),
-            F.col("end").alias("end_ms"),
-            "text",
-            (F.col("text").rlike(TERMINAL_PATTERN) | (F.col("gap") >= RUN_GAP_MS)).alias("terminal"),
-            F.greatest(F.lit(0), F.col("gap")).alias("gap_after_ms"),
-            F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("run_index"),
-        )
+        F.col("unit").cast("long").alias("unit"),
+        F.col("u.unit_start").alias("start_ms"),
+        F.col("u.unit_end").alias("end_ms"),
+        F.col("u.unit_text").alias("text"),
+        F.col("u.terminal").alias("terminal"),
+        F.col("u.gap_after").alias("gap_after_ms"),
+        F.col("u.run").alias("run_index"),
     )
 
 
