@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipspark.functions.exprs import clamp, first_match, pin
-from clipspark.operators.blocks import with_key_totals
+from clipspark.operators.beside import Met, beside, lists, longs, spread
+from clipspark.operators.blocks import DAY_MS, with_key_totals
 
 # Thresholds and weights of the series formulas.
 SILENCE = 0.01
@@ -101,7 +104,8 @@ def energy_percentile(features: DataFrame, profile: DataFrame, value: str = "rms
 def _on_bins(cands: DataFrame, series: DataFrame, bin_col: str = "bin") -> DataFrame:
     """Series rows of each candidate, ``start_bin`` included and ``end_bin`` not."""
     seconds = cands.select(*CAND, "start_bin", "end_bin", F.explode(F.sequence(F.col("start_bin"), F.col("end_bin") - 1)).alias(bin_col))
-    return seconds.join(series, ["source_id", bin_col])
+    # Spark would broadcast the listed seconds by their packed size, a small part of what they take
+    return seconds.hint("merge").join(series, ["source_id", bin_col])
 
 
 def audio_features(cands: DataFrame, pcm: DataFrame, width: int) -> DataFrame:
@@ -345,37 +349,49 @@ def reaction_signals(cands: DataFrame, activity: DataFrame) -> DataFrame:
     )
 
 
-def transcript_curve(cands: DataFrame, segments: DataFrame) -> DataFrame:
+def rounded(x: np.ndarray) -> np.ndarray:
+    """Spark's ``round(x, 4)`` of values from 0 on: half up on the shortest decimal form,
+    which is a tie just where ``x`` is the number nearest to it."""
+    k = np.floor(x * 10_000)
+    return (k + (x >= (2 * k + 1) / 20_000)) / 10_000
+
+
+def _spoken(met: Met) -> dict[str, pa.Array]:
+    """A list per figure of the transcript's curve, by candidate; a second is an element."""
+    begin, close = (longs(met.cands, c) for c in ("start_ms", "end_ms"))
+    edges = np.concatenate([[0], np.cumsum(np.maximum(0, -((begin - close) // 1000)))])
+    real = (longs(met.segs, "end_ms") > longs(met.segs, "start_ms"))[met.seg]
+    of, seg = met.cand[real], met.seg[real]
+    s, e, c0 = longs(met.segs, "start_ms")[seg], longs(met.segs, "end_ms")[seg], begin[of]
+    a, b = np.maximum(s, c0) - c0, np.minimum(e, close[of]) - c0
+    rate = longs(met.segs, "chars")[seg] / ((e - s) / 1000.0)
+    piece, second = spread(a // 1000, (b - 1) // 1000 - a // 1000 + 1)
+    ms = np.minimum(b[piece], (second + 1) * 1000) - np.maximum(a[piece], second * 1000)
+    at, n = edges[of[piece]] + second, int(edges[-1])
+    speech = np.minimum(1.0, np.bincount(at, ms, n) / 1000.0)
+    chars = np.bincount(at, rate[piece] * ms / 1000.0, n)
+    some = np.flatnonzero(np.diff(edges))
+    top = np.repeat(np.maximum.reduceat(chars, edges[some]), np.diff(edges)[some]) if len(some) else chars
+    energy = np.divide(chars, top, out=np.zeros(n), where=top > 1e-9)
+    figures = {"speech": speech, "energy": energy, "combined": np.minimum(1.0, 0.65 * speech + 0.35 * energy)}
+    return {name: lists(edges, pa.array(rounded(v))) for name, v in figures.items()}
+
+
+SPOKEN_FIELDS = "speech array<double>, energy array<double>, combined array<double>"
+
+
+def transcript_curves(cands: DataFrame, segments: DataFrame, block_ms: int = DAY_MS) -> DataFrame:
+    """``transcript_curve`` with a row per candidate: a list per figure, an element per second."""
+    said = segments.select("source_id", "segment_id", "start_ms", "end_ms", F.length("text").alias("chars"))
+    return beside(cands.select(*CAND, "start_ms", "end_ms"), said, ("start_ms", "end_ms"), SPOKEN_FIELDS, _spoken, block_ms).drop("start_ms", "end_ms")
+
+
+def transcript_curve(cands: DataFrame, segments: DataFrame, block_ms: int = DAY_MS) -> DataFrame:
     """Share of each second somebody speaks and how fast, from segment times alone.
 
     ``cands``: source_id, seq, start_ms, end_ms."""
-    from clipspark.operators.intervals import interval_join
-
-    spans = cands.select(*CAND, F.col("start_ms").alias("c0"), F.col("end_ms").alias("c1"))
-    met = interval_join(spans, segments, "source_id", ("c0", "c1"), ("start_ms", "end_ms"))
-    a = F.greatest("start_ms", "c0") - F.col("c0")
-    b = F.least("end_ms", "c1") - F.col("c0")
-    rate = F.length("text") / ((F.col("end_ms") - F.col("start_ms")) / 1000.0)
-    pieces = met.where(F.col("end_ms") > F.col("start_ms")).select(
-        *CAND, a.alias("a"), b.alias("b"), rate.alias("rate"),
-        F.explode(F.sequence(F.floor(a / 1000), F.floor((b - 1) / 1000))).alias("bin"),
-    )
-    ms = F.least(F.col("b"), (F.col("bin") + 1) * 1000) - F.greatest(F.col("a"), F.col("bin") * 1000)
-    sums = pieces.groupBy(*CAND, "bin").agg(
-        F.least(F.lit(1.0), F.sum(ms) / 1000.0).alias("speech"), F.sum(F.col("rate") * ms / 1000.0).alias("chars")
-    )
-    top = F.max("chars").over(Window.partitionBy(*CAND))
-    every = cands.select(
-        *CAND, F.explode(F.sequence(F.lit(0).cast("long"), F.ceil((F.col("end_ms") - F.col("start_ms")) / 1000) - 1)).alias("bin")
-    )
-    rows = every.join(sums, [*CAND, "bin"], "left").select(
-        *CAND, "bin", F.coalesce("speech", F.lit(0.0)).alias("speech"), F.coalesce("chars", F.lit(0.0)).alias("chars")
-    )
-    rows = rows.withColumn("top", top).withColumn("energy", F.when(F.col("top") > 1e-9, F.try_divide("chars", "top")).otherwise(F.lit(0.0)))
-    return rows.select(
-        *CAND, "bin", F.round("speech", 4).alias("speech"), F.round("energy", 4).alias("energy"),
-        F.round(F.least(F.lit(1.0), 0.65 * F.col("speech") + 0.35 * F.col("energy")), 4).alias("combined"),
-    )
+    rows = transcript_curves(cands, segments, block_ms).select(*CAND, F.posexplode(F.arrays_zip("speech", "energy", "combined")).alias("bin", "p"))
+    return rows.select(*CAND, F.col("bin").cast("long").alias("bin"), "p.speech", "p.energy", "p.combined")
 
 
 def pcm_curve(cands: DataFrame, pcm: DataFrame, width: int) -> DataFrame:
@@ -402,48 +418,78 @@ def pcm_curve(cands: DataFrame, pcm: DataFrame, width: int) -> DataFrame:
     )
 
 
+def by_second(combined: str) -> Column:
+    """Points of a curve that has an element for each second."""
+    return F.transform(combined, lambda v, i: F.struct(i.cast("long").alias("bin"), v.alias("combined")))
+
+
+def settled(rows: DataFrame, ladder: Sequence[tuple[str, str]], duration: Column) -> DataFrame:
+    """``rows`` with ``curve_source`` and the curve ``c`` (bin, combined, norm) in order of bin,
+    without the ladder's columns, each a list of points (bin, combined) or null."""
+    flat = F.transform(F.sequence(F.lit(0).cast("long"), duration - 1), lambda i: F.struct(i.alias("bin"), F.lit(0.5).alias("combined")))
+    usable = [F.size(points) >= (2 if i < len(ladder) - 1 else 1) for i, (_, points) in enumerate(ladder)]
+    name = first_match([(u, n) for u, (n, _) in zip(usable, ladder)], "flat")
+    chosen = first_match([(u, F.col(points)) for u, (_, points) in zip(usable, ladder)], flat)
+    kept = rows.columns
+    rows = pin(rows, curve_source=name, _c=chosen)
+    level = F.transform("_c", lambda p: p["combined"])
+    rows = pin(rows, _lo=F.array_min(level), _span=F.array_max(level) - F.array_min(level))
+    norm = lambda v: F.when(F.col("_span") < 1e-9, F.lit(0.5)).otherwise(F.round(F.try_divide(v - F.col("_lo"), F.col("_span")), 4))
+    c = F.sort_array(F.transform("_c", lambda p: F.struct(p["bin"].alias("bin"), p["combined"].alias("combined"), norm(p["combined"]).alias("norm"))))
+    return pin(rows, c=c).select(*[k for k in kept if k not in {points for _, points in ladder}], "curve_source", "c")
+
+
+def signal_curves(cands: DataFrame, ladder: Sequence[tuple[str, DataFrame]]) -> DataFrame:
+    """``signal_curve`` with a row per candidate, the curve as ``settled`` gives it. A ladder
+    entry may have a row per candidate too, with the lists of ``transcript_curves``."""
+    rows, names = cands.select(*CAND, "duration"), []
+    for i, (name, df) in enumerate(ladder):
+        if "bin" in df.columns:
+            point = F.struct(F.col("bin").cast("long").alias("bin"), "combined")
+            rows = rows.join(df.groupBy(*CAND).agg(F.collect_list(point).alias(f"_p{i}")), CAND, "left")
+        else:
+            one = rows.join(df.select(*CAND, F.col("combined").alias(f"_l{i}")), CAND, "left")
+            rows = one.withColumn(f"_p{i}", by_second(f"_l{i}")).drop(f"_l{i}")
+        names.append((name, f"_p{i}"))
+    return settled(rows, names, F.col("duration")).drop("duration")
+
+
 def signal_curve(cands: DataFrame, ladder: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     """Per candidate the first curve of the ladder that it has (at least two points, or
     for the last rung any), else a flat one; normalised to [0, 1], flat being 0.5.
 
     Ladder entries: (name, rows of source_id, seq, bin, combined)."""
-    parts = None
-    for i, (name, df) in enumerate(ladder):
-        one = df.select(*CAND, F.col("bin").cast("long").alias("bin"), "combined", F.lit(i).alias("_p"), F.lit(name).alias("curve_source"))
-        parts = one if parts is None else parts.unionByName(one)
-    flat = cands.select(
-        *CAND, F.explode(F.sequence(F.lit(0).cast("long"), F.col("duration") - 1)).alias("bin"), F.lit(0.5).alias("combined"),
-        F.lit(len(ladder)).alias("_p"), F.lit("flat").alias("curve_source"),
-    )
-    every = parts.join(cands.select(*CAND), CAND, "left_semi").unionByName(flat)
-    mine = Window.partitionBy(*CAND)
-    rung = Window.partitionBy(*CAND, "_p")
-    usable = every.withColumn("_n", F.count(F.lit(1)).over(rung)).where((F.col("_n") >= 2) | (F.col("_p") >= len(ladder) - 1))
-    best = usable.withColumn("_best", F.min("_p").over(mine)).where(F.col("_p") == F.col("_best"))
-    rows = best.withColumn("_lo", F.min("combined").over(mine)).withColumn("_hi", F.max("combined").over(mine))
-    span = F.col("_hi") - F.col("_lo")
+    return signal_curves(cands, ladder).select(*CAND, "curve_source", F.inline("c")).select(*CAND, "bin", "curve_source", "combined", "norm")
+
+
+def curve_spans(rows: DataFrame, threshold: float = 0.35) -> DataFrame:
+    """``span_stats`` of rows that hold the curve beside the span: source_id, seq, span,
+    start_offset, end_offset, ``c`` (list of bin, norm; or null)."""
+    last = F.array_max(F.transform("c", lambda p: p["bin"]))
+    lo = F.least(F.greatest(F.floor("start_offset"), F.lit(0)), last)
+    rows = pin(rows, _lo=lo, _hi=F.least(F.greatest(F.ceil("end_offset") - 1, lo), last))
+    rows = pin(rows, _s=F.filter("c", lambda p: (p["bin"] >= F.col("_lo")) & (p["bin"] <= F.col("_hi"))))
+    norms = F.filter(F.transform("_s", lambda p: p["norm"]), lambda v: v.isNotNull())
+    # the curve has four decimals: sum whole numbers, so the mean does not depend on order
+    total = F.aggregate(norms, F.lit(0).cast("long"), lambda s, v: s + F.round(v * 10_000).cast("long"))
+    low = F.size(F.filter(norms, lambda v: v < threshold))
+    peak = F.array_max(F.transform("_s", lambda p: F.struct(p["norm"], (-p["bin"]).alias("b"))))
     return rows.select(
-        *CAND, "bin", "curve_source", "combined",
-        F.when(span < 1e-9, F.lit(0.5)).otherwise(F.round(F.try_divide(F.col("combined") - F.col("_lo"), span), 4)).alias("norm"),
+        *CAND, "span",
+        F.round(F.when(F.size("_s") > 0, total / (10_000.0 * F.size("_s"))).otherwise(F.lit(0.5)), 6).alias("mean"),
+        F.coalesce(F.array_max(norms), F.lit(0.5)).alias("peak"),
+        F.round(F.when(F.size(norms) > 0, low / F.size(norms)).otherwise(F.lit(0.0)), 6).alias("low_ratio"),
+        F.coalesce(-peak["b"], F.lit(0)).cast("long").alias("peak_bin"),
     )
 
 
+def _as_lists(curve: DataFrame) -> DataFrame:
+    return curve.groupBy(*CAND).agg(F.sort_array(F.collect_list(F.struct("bin", "norm"))).alias("c"))
+
+
 def span_stats(curve: DataFrame, spans: DataFrame, threshold: float = 0.35) -> DataFrame:
     """Mean, peak and share of low bins of each span of a curve (ends clipped to it)."""
-    last = curve.groupBy(*CAND).agg(F.max("bin").alias("_last"))
-    rows = spans.join(last, CAND, "left")
-    lo = F.least(F.greatest(F.floor("start_offset"), F.lit(0)), F.col("_last"))
-    hi = F.least(F.greatest(F.ceil("end_offset") - 1, lo), F.col("_last"))
-    bins = rows.where(F.col("_last").isNotNull()).select(*CAND, "span", F.explode(F.sequence(lo, hi)).alias("bin"))
-    stats = bins.join(curve.select(*CAND, "bin", "norm"), [*CAND, "bin"]).groupBy(*CAND, "span").agg(
-        # the curve has four decimals: sum whole numbers, so the mean does not depend on order
-        (F.sum(F.round(F.col("norm") * 10_000).cast("long")) / (10_000.0 * F.count(F.lit(1)))).alias("mean"), F.max("norm").alias("peak"), F.avg((F.col("norm") < threshold).cast("double")).alias("low_ratio"),
-        F.max_by("bin", F.struct("norm", (-F.col("bin")).alias("b"))).alias("peak_bin"),
-    )
-    return spans.select(*CAND, "span").join(stats, [*CAND, "span"], "left").select(
-        *CAND, "span", F.round(F.coalesce("mean", F.lit(0.5)), 6).alias("mean"), F.coalesce("peak", F.lit(0.5)).alias("peak"),
-        F.round(F.coalesce("low_ratio", F.lit(0.0)), 6).alias("low_ratio"), F.coalesce("peak_bin", F.lit(0)).cast("long").alias("peak_bin"),
-    )
+    return curve_spans(spans.select(*CAND, "span", "start_offset", "end_offset").join(_as_lists(curve), CAND, "left"), threshold)
 
 
 def payoff_block(curve: DataFrame, advisory: DataFrame, threshold: float = 0.35) -> DataFrame:
@@ -451,13 +497,14 @@ def payoff_block(curve: DataFrame, advisory: DataFrame, threshold: float = 0.35)
     advised span: their union where they meet, the advice where they do not.
 
     ``advisory``: source_id, seq, a0, a1 (null when there is none), duration."""
-    return payoff_ends(curve, advisory, threshold).select(*CAND, "s0", "s1", "start_offset", "end_offset")
+    rows = _as_lists(curve).join(advisory, CAND, "left")
+    return payoff_ends(rows, threshold).select(*CAND, "s0", "s1", "start_offset", "end_offset")
 
 
-def payoff_ends(curve: DataFrame, advisory: DataFrame, threshold: float) -> DataFrame:
-    """``payoff_block`` beside the curve it was found on, ``c``, and the advice."""
-    arrays = curve.groupBy(*CAND).agg(F.sort_array(F.collect_list(F.struct("bin", "norm"))).alias("c"))
-    rows = pin(arrays, top=F.array_max(F.transform("c", lambda p: p["norm"])))
+def payoff_ends(rows: DataFrame, threshold: float) -> DataFrame:
+    """``payoff_block`` of rows that hold the curve, ``c``, beside the advice, as new columns."""
+    kept = rows.columns
+    rows = pin(rows, top=F.array_max(F.transform("c", lambda p: p["norm"])))
     rows = pin(
         rows,
         cut=F.greatest(F.lit(threshold), 0.5 * F.col("top")),
@@ -470,12 +517,12 @@ def payoff_ends(curve: DataFrame, advisory: DataFrame, threshold: float) -> Data
         rows,
         s0=F.coalesce(before + 1, F.get("c", F.lit(0))["bin"]).cast("double"),
         s1=F.coalesce(after, F.element_at("c", -1)["bin"] + 1).cast("double"),
-    ).join(advisory, CAND, "left")
+    )
     none = F.col("a0").isNull() | F.col("a1").isNull()
     meets = (F.least("s1", "a1") > F.greatest("s0", "a0")) & (F.col("s1") > F.col("s0"))
     start = F.when(none, F.col("s0")).when(meets, F.greatest(F.lit(0.0), F.least("s0", "a0"))).otherwise(F.greatest(F.lit(0.0), F.col("a0")))
     end = F.when(none, F.col("s1")).when(meets, F.least("duration", F.greatest("s1", "a1"))).otherwise(F.least("duration", F.col("a1")))
-    return ends.select(*CAND, "c", "a0", "a1", "s0", "s1", start.alias("start_offset"), end.alias("end_offset"))
+    return ends.select(*kept, "s0", "s1", start.alias("start_offset"), end.alias("end_offset"))
 
 
 def interpret_regions(regions: DataFrame, tolerance: float = 0.5, strict: bool = True) -> DataFrame:

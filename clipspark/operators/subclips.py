@@ -13,7 +13,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipspark.operators.signals import CAND, payoff_ends
+from clipspark.operators import context, signals
+from clipspark.operators.beside import Met, beside
+from clipspark.operators.blocks import DAY_MS
+from clipspark.operators.signals import CAND, payoff_ends, rounded
 
 # Component weights, penalties and limits (milliseconds).
 WEIGHTS = {
@@ -28,13 +31,6 @@ PHRASE_GAP_MS = 350
 SNAP_MS = 60
 
 
-def rounded(x: np.ndarray) -> np.ndarray:
-    """Spark's ``round(x, 4)`` of values from 0 on: half up on the shortest decimal form,
-    which is a tie just where ``x`` is the number nearest to it."""
-    k = np.floor(x * 10_000)
-    return (k + (x >= (2 * k + 1) / 20_000)) / 10_000
-
-
 class _Curves:
     """The curves of a batch in ten-thousandths, one after another: means, low shares and
     maxima of a span of one, each from a fixed number of look-ups."""
@@ -179,6 +175,24 @@ def _search(names: list[str]):
     return run
 
 
+def _refined(rows: DataFrame) -> DataFrame:
+    """The search over rows that hold all of a candidate: duration_ms, the curve ``c``, the units
+    ``u`` (a list, or null), the advice a0, a1 and its duration."""
+
+    def ms(c: str) -> Column:
+        return (F.col(c) * 1000).cast("long")
+
+    base = payoff_ends(rows, BORING).select(
+        *CAND, "duration_ms", F.transform("c", lambda x: F.round(x["norm"] * 10_000).cast("long")).alias("c"),
+        ms("start_offset").alias("b0"), ms("end_offset").alias("b1"), ms("a0").alias("a0"), ms("a1").alias("a1"),
+        F.col("u.start_ms").alias("us"), F.col("u.end_ms").alias("ue"),
+        F.col("u.terminal").alias("ut"), F.col("u.gap_after_ms").alias("ug"), F.col("u.run_index").alias("ur"),
+    )
+    types = [f"{c} {base.schema[c].dataType.simpleString()}" for c in CAND]
+    schema = [*types, "boundary_source string", "start_ms long", "end_ms long", "score double", "evaluated long"]
+    return base.mapInArrow(_search([c.split()[0] for c in schema]), ", ".join(schema))
+
+
 def refine_subclip(cands: DataFrame, units: DataFrame, curve: DataFrame, advisory: DataFrame) -> DataFrame:
     """Best start and end inside each candidate: on phrase edges, else on a half-second
     grid, else the whole candidate up to the longest allowed.
@@ -189,18 +203,32 @@ def refine_subclip(cands: DataFrame, units: DataFrame, curve: DataFrame, advisor
     said = units.groupBy(*CAND).agg(
         F.sort_array(F.collect_list(F.struct("start_ms", "end_ms", "terminal", "gap_after_ms", "run_index"))).alias("u")
     )
-
-    def ms(c: str) -> Column:
-        return (F.col(c) * 1000).cast("long")
-
-    block = payoff_ends(curve, advisory, BORING).select(
-        *CAND, F.transform("c", lambda x: F.round(x["norm"] * 10_000).cast("long")).alias("c"),
-        ms("start_offset").alias("b0"), ms("end_offset").alias("b1"), ms("a0").alias("a0"), ms("a1").alias("a1"),
-    )
-    base = cands.join(block, CAND).join(said, CAND, "left").select(
-        *CAND, "duration_ms", "c", "b0", "b1", "a0", "a1", F.col("u.start_ms").alias("us"), F.col("u.end_ms").alias("ue"),
-        F.col("u.terminal").alias("ut"), F.col("u.gap_after_ms").alias("ug"), F.col("u.run_index").alias("ur"),
+    shape = curve.groupBy(*CAND).agg(F.sort_array(F.collect_list(F.struct("bin", "norm"))).alias("c"))
+    advice = advisory.select(*CAND, "a0", "a1", "duration")
+    return _refined(cands.select(*CAND, "duration_ms").join(shape, CAND).join(said, CAND, "left").join(advice, CAND, "left"))
+
+
+def refine_spoken(cands: DataFrame, segments: DataFrame, block_ms: int = DAY_MS) -> DataFrame:
+    """``refine_subclip`` from the transcript alone: units and curve of a candidate are made
+    where its segments meet it, and stay in its row.
+
+    ``cands``: source_id, seq, start_ms, end_ms, duration_ms, a0, a1 in seconds (null when
+    no advice)."""
+    units, curve = context._units(150, False), signals._spoken
+
+    def work(met: Met) -> dict[str, pa.Array]:
+        return units(met) | curve(met)
+
+    said = context.unit_segments(segments.withColumn("chars", F.length("text")), texts=False, keep=["chars"])
+    fields = f"{context.UNIT_FIELDS}, {signals.SPOKEN_FIELDS}"
+    rows = beside(cands, said, ("start_ms", "end_ms"), fields, work, block_ms)
+    u = F.transform(
+        F.arrays_zip("unit_start", "unit_end", "terminal", "gap_after", "run"),
+        lambda x: F.struct(
+            x["unit_start"].alias("start_ms"), x["unit_end"].alias("end_ms"), x["terminal"].alias("terminal"),
+            x["gap_after"].alias("gap_after_ms"), x["run"].alias("run_index"),
+        ),
     )
-    types = [f"{c} {base.schema[c].dataType.simpleString()}" for c in CAND]
-    schema = [*types, "boundary_source string", "start_ms long", "end_ms long", "score double", "evaluated long"]
-    return base.mapInArrow(_search([c.split()[0] for c in schema]), ", ".join(schema))
+    rows = rows.select(*CAND, "duration_ms", "a0", "a1", F.sort_array(u).alias("u"), signals.by_second("combined").alias("spoken"))
+    seconds = F.ceil(F.col("duration_ms") / 1000.0)
+    return _refined(signals.settled(rows, [("transcript", "spoken")], seconds).withColumn("duration", F.col("duration_ms") / 1000.0))

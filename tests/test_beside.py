@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from clipspark.operators import context
+from clipspark.operators import context, signals, subclips
 from clipspark.operators.beside import beside
 from clipspark.operators.blocks import DAY_MS
+from clipspark.sources import derived
+from tests.conftest import rows
 
 SEG = "source_id long, segment_id long, start_ms long, end_ms long, text string"
 CAND = "source_id long, candidate_seq long, start_ms long, end_ms long, text string"
@@ -59,6 +61,46 @@ def test_windows_of_odd_candidates(spark, block):
         assert b[2] is None or (list(a[2:6]), *a[6:]) == b[2:]
 
 
+@pytest.mark.parametrize("block", [5_000, DAY_MS])
+def test_units_and_curves_of_odd_candidates(spark, block):
+    s, c, segs, cands = _odd(spark)
+    units, shape = [], {}
+    for source, seq, c0, c1, _ in cands:
+        met = [g for g in segs if g[0] == source and source is not None and _meets(g, c0, c1)]
+        cut = sorted((max(g[2], c0) - c0, g[1], min(g[3], c1) - c0, (g[4] or "").strip() if g[4] is not None else None) for g in met if min(g[3], c1) - max(g[2], c0) >= 150)
+        run = 0
+        for k, (a, _, b, text) in enumerate(cut):
+            gap = cut[k + 1][0] - b if k + 1 < len(cut) else 0
+            run += k > 0 and a - cut[k - 1][2] > 1_200
+            ends = True if gap >= 1_200 else None if text is None else text.endswith(".")
+            units.append((source, seq, k, a, b, text, ends, max(0, gap), run))
+        if c0 is not None:
+            speech, chars = [0.0] * max(0, -((c0 - c1) // 1000)), [0.0] * max(0, -((c0 - c1) // 1000))
+            for g in (g for g in met if g[3] > g[2]):
+                a, b = max(g[2], c0) - c0, min(g[3], c1) - c0
+                for k in range(a // 1000, (b - 1) // 1000 + 1):
+                    ms = min(b, k * 1000 + 1000) - max(a, k * 1000)
+                    speech[k] += ms / 1000
+                    chars[k] += len(g[4] or "") / ((g[3] - g[2]) / 1000) * ms / 1000
+            for k, (x, y) in enumerate(zip(speech, chars)):
+                energy = y / max(chars) if max(chars) > 1e-9 else 0.0
+                shape[source, seq, k] = (min(1.0, x), energy, min(1.0, 0.65 * min(1.0, x) + 0.35 * energy))
+    assert rows(context.speech_units(c, s, block_ms=block)) == sorted(tuple(map(str, u)) for u in units)
+    got = signals.transcript_curve(c.withColumnRenamed("candidate_seq", "seq"), s, block_ms=block).collect()
+    assert {(r[0], r[1], r[2]) for r in got} == set(shape) and len(got) == len(shape)
+    assert all(abs(v - w) <= 5.1e-5 for r in got for v, w in zip(r[3:], shape[r[0], r[1], r[2]]))
+
+
+def test_the_search_in_one_pass_is_that_of_its_parts(spark, sf_dir):
+    clips, seg = derived.clips(spark, sf_dir).withColumnRenamed("candidate_seq", "seq"), derived.segments(spark, sf_dir)
+    at = F.when(F.col("seq") % 2 == 1, (F.col("source_id") % 30).cast("double"))
+    c = clips.select("source_id", "seq", "start_ms", "end_ms", F.lit(60_000).cast("long").alias("duration_ms"), at.alias("a0"), (at + 12).alias("a1"))
+    units = context.speech_units(c.withColumnRenamed("seq", "candidate_seq"), seg).withColumnRenamed("candidate_seq", "seq")
+    curve = signals.signal_curve(c.select("source_id", "seq", F.lit(60).cast("long").alias("duration")), [("transcript", signals.transcript_curve(c, seg))])
+    whole = subclips.refine_subclip(c, units, curve, c.select("source_id", "seq", "a0", "a1", F.lit(60.0).alias("duration")))
+    assert rows(subclips.refine_spoken(c, seg)) == rows(whole)
+
+
 def _shuffles(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
 
@@ -66,6 +108,7 @@ def _shuffles(df):
 def test_rows_that_lie_by_source_are_shuffled_once(spark, sf_dir):
     """Of documents cut into segments: the segments, and those that candidates are made of."""
     q = entry.queries()
+    assert _shuffles(q["a18_refine_subclip"](spark, sf_dir)) == 2
     # and the lengths of sources, which come with the documents' rows
     assert _shuffles(q["j2_context_windows"](spark, sf_dir)) <= 4
     assert _shuffles(q["j7_speech_units"](spark, sf_dir)) == 2
