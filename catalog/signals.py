@@ -218,16 +218,20 @@ LADDER = f"""{CURVE}, {PCM}, {PCURVE.replace('{spans}', 'spans')}, {TCURVE},
 """
 
 
-def _signal(spark, sf_dir):
+def _ladder(spark, sf_dir):
+    """Candidates and the rungs of their curve. Transcripts of other candidates are not looked at."""
     a, c = _act(spark, sf_dir)
-    curve = sig.candidate_curve(c, a.where(F.col("source_id") % 3 != 0))
     seen = sig._on_bins(c, a).where(F.col("source_id") % 3 != 0).select(
         "source_id", "seq", (F.col("bin") - F.col("start_bin")).alias("bin"), "combined"
     )
-    return sig.signal_curve(
-        c.withColumn("duration", F.col("end_bin") - F.col("start_bin")),
-        [("activity", seen), ("pcm", sig.pcm_curve(c, derived.pcm(spark, sf_dir), WIDTH)), ("transcript", _tcurve(spark, sf_dir))],
-    )
+    clips = derived.clips(spark, sf_dir).withColumnRenamed("candidate_seq", "seq").join(c.select("source_id", "seq"), ["source_id", "seq"], "left_semi")
+    said = derived.segments(spark, sf_dir).join(c.select("source_id").distinct(), "source_id", "left_semi")
+    spoken = sig.transcript_curves(clips, said)
+    return c.withColumn("duration", F.col("end_bin") - F.col("start_bin")), [("activity", seen), ("pcm", sig.pcm_curve(c, derived.pcm(spark, sf_dir), WIDTH)), ("transcript", spoken)]
+
+
+def _signal(spark, sf_dir):
+    return sig.signal_curve(*_ladder(spark, sf_dir))
 
 
 @register("a14_signal_curve", f"with {LADDER} select * from signal")
@@ -243,12 +247,9 @@ def a14(spark, sf_dir):
      from r join signal g on g.source_id = r.source_id and g.seq = r.seq and g.bin between lo and hi group by 1, 2, 3""",
 )
 def a15(spark, sf_dir):
-    _, c = _act(spark, sf_dir)
     k = F.col("span")
-    spans = c.select("source_id", "seq", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("span")).select(
-        "source_id", "seq", "span", (k * 7 + 0.5).alias("start_offset"), (k * 7 + 11.5).alias("end_offset")
-    )
-    return sig.span_stats(_signal(spark, sf_dir), spans)
+    spans = sig.signal_curves(*_ladder(spark, sf_dir)).select("source_id", "seq", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("span"))
+    return sig.curve_spans(spans.select("source_id", "seq", "c", "span", (k * 7 + 0.5).alias("start_offset"), (k * 7 + 11.5).alias("end_offset")))
 
 
 @register(

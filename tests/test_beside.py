@@ -114,6 +114,18 @@ def test_rows_that_lie_by_source_are_shuffled_once(spark, sf_dir):
     assert _shuffles(q["j7_speech_units"](spark, sf_dir)) == 2
 
 
+def test_spans_are_read_off_the_curve_in_its_row(spark, sf_dir):
+    plan = entry.queries()["a15_span_stats"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    head = plan[: plan.index("Join")]
+    assert "Aggregate" not in head and "Window" not in head
+
+
+def test_listed_seconds_are_not_broadcast(spark):
+    cands = spark.range(3).selectExpr("0L as source_id", "id as seq", "id * 20 as start_bin", "id * 20 + 40 as end_bin")
+    df = signals._on_bins(cands, spark.range(100).selectExpr("0L as source_id", "id as bin"))
+    assert df.count() == 120 and "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_no_candidates(spark):
     s, c, _, _ = _odd(spark)
     assert context.speech_units(c.limit(0), s).count() == 0
