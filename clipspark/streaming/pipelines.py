@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from clipspark.operators.framing import TRACK_SCHEMA, Tracking, no_tracks, track_rows
+from clipspark.operators.framing import SIDE_BY_SIDE, TRACK_SCHEMA, Tracking, no_tracks, track_rows
 
 STALE_S = 120
 TRACK_EXPIRY_MS = 1_600
@@ -194,6 +194,8 @@ def stream_stale(heartbeats: DataFrame, delay: str = "10 seconds") -> DataFrame:
     )
 
 
+#: Stands for a missing clip, which would turn a column of ids into floating numbers.
+NO_CLIP = -(1 << 63)
 _BOXES = ["clip_id", "frame", "t_ms", "subject", "x", "y", "w", "h", "type", "scene_cut"]
 
 
@@ -202,51 +204,180 @@ def _boxes(rules: Tracking) -> list[str]:
 
 
 def _box_types(rules: Tracking) -> pa.Schema:
-    known = {"type": pa.string(), "scene_cut": pa.bool_(), "appearance": pa.list_(pa.float64())} | {c: pa.float64() for c in "xywh"}
-    return pa.schema([(c, known.get(c, pa.int64())) for c in _boxes(rules)])
+    known = {"type": pa.string(), "scene_cut": pa.bool_(), "appearance": pa.list_(pa.float64())} | {c: pa.float64() for c in (*"xywh", "subject")}
+    return pa.schema([(c, known.get(c, pa.int64())) for c in ("ms", *_boxes(rules))])
 
 
-class _Tracker(_InOrder):
-    """The clip tracker with its live tracks kept between frames. A clip's state goes
-    ``TRACK_EXPIRY_MS`` after its last frame, when no track is live any more."""
+def _packed(*tables: pa.Table) -> bytes:
+    """Tables one after another, as ``_unpacked`` reads them."""
+    sink = pa.BufferOutputStream()
+    for table in tables:
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+    return sink.getvalue().to_pybytes()
 
-    SPAN_MS = 400
+
+def _unpacked(data: bytes) -> list[pa.Table]:
+    source, found = pa.BufferReader(bytes(data)), []
+    while source.tell() < source.size():
+        found.append(pa.ipc.open_stream(source).read_all())
+    return found
+
+
+class _Clips:
+    """The clips of a group that are not over: by clip the time of its last frame (``ms``), its
+    next free id and last time, and the live tracks of all, with the place of their clip."""
+
+    def __init__(self, rules: Tracking):
+        self.rules = rules
+        self.clip, self.ms, self.next_id = (np.zeros(0, np.int64) for _ in range(3))
+        self.last_t, self.tracks = np.zeros(0), no_tracks(rules.look_size)
+
+    def packed(self) -> bytes:
+        clips = pa.table({"clip": self.clip, "ms": self.ms, "next_id": self.next_id, "last_t": self.last_t})
+        tracks = {f: pa.array(v, pa.string() if f == "kind" else None) for f, v in self.tracks.items() if f != "look"}
+        return _packed(clips, pa.table(tracks), pa.table({"look": self.tracks["look"].ravel()}))
+
+    def unpack(self, data: bytes) -> None:
+        clips, tracks, look = _unpacked(data)
+        self.clip, self.ms, self.next_id, self.last_t = (clips[c].to_numpy() for c in ("clip", "ms", "next_id", "last_t"))
+        self.tracks = {f: tracks[f].to_numpy().astype(object if f == "kind" else tracks[f].type.to_pandas_dtype()) for f in tracks.column_names}
+        self.tracks["look"] = look["look"].to_numpy().reshape(tracks.num_rows, self.rules.look_size)
+
+    def _keep(self, rows: np.ndarray) -> None:
+        """Only these clips, in this order."""
+        place = np.full(len(self.clip), -1)
+        place[rows] = np.arange(len(rows))
+        at = place[self.tracks["clip"]]
+        self.tracks = {f: (at if f == "clip" else v)[at >= 0] for f, v in self.tracks.items()}
+        self.clip, self.ms, self.next_id, self.last_t = (v[rows] for v in (self.clip, self.ms, self.next_id, self.last_t))
+
+    def advance(self, rows: pa.Table) -> pa.Table:
+        """Track the rows, which hold all of their frames and come after those before."""
+        clip, ms = rows["clip_id"].to_numpy(), rows["ms"].to_numpy()
+        order = np.lexsort((ms, clip))
+        rows, clip, ms = rows.take(pa.array(order)), clip[order], ms[order]
+        other = np.append(True, clip[1:] != clip[:-1])
+        head = other | np.append(True, np.diff(ms) > TRACK_EXPIRY_MS)
+        of, first = clip[head], other[head]
+        last, until = np.append(first[1:], True), ms[np.append(head[1:], True)]
+        at = np.minimum(np.searchsorted(self.clip, of), max(len(self.clip) - 1, 0))
+        known = np.zeros(len(of), bool)
+        if len(self.clip):
+            known = first & (self.clip[at] == of) & (ms[head] <= self.ms[at] + TRACK_EXPIRY_MS)
+        next_id, last_t = np.ones(len(of), int), np.full(len(of), np.nan)
+        next_id[known], last_t[known] = self.next_id[at[known]], self.last_t[at[known]]
+        unit = np.full(len(self.clip), -1)
+        unit[at[known]] = np.flatnonzero(known)
+        mine = unit[self.tracks["clip"]]
+        state = {f: (mine if f == "clip" else v)[mine >= 0] for f, v in self.tracks.items()}
+        out, state, next_id, last_t = track_rows(rows, self.rules, np.cumsum(head) - 1, state, next_id, last_t)
+        self._keep(np.flatnonzero(~np.isin(self.clip, of)))
+        n, ends = len(self.clip), np.flatnonzero(last)
+        place = np.full(len(of), -1)
+        place[ends] = n + np.arange(len(ends))
+        mine = place[state["clip"]]
+        self.tracks = {f: np.concatenate([v, (mine if f == "clip" else state[f])[mine >= 0]]) for f, v in self.tracks.items()}
+        self.clip, self.ms = np.append(self.clip, of[ends]), np.append(self.ms, until[ends])
+        self.next_id, self.last_t = np.append(self.next_id, next_id[ends]), np.append(self.last_t, last_t[ends])
+        self._keep(np.argsort(self.clip, kind="stable"))
+        return out
+
+    def end(self, now: int) -> int | None:
+        """Forget clips that are silent for too long; when the next one will be."""
+        self._keep(np.flatnonzero(self.ms + TRACK_EXPIRY_MS >= now))
+        return int(self.ms.min()) + TRACK_EXPIRY_MS + 1 if len(self.ms) else None
+
+
+class _Tracker(StatefulProcessor):
+    """The clip tracker for a group of clips, which it takes side by side. Boxes are held, by
+    spans of time, until the watermark passes them. A clip's state goes ``TRACK_EXPIRY_MS``
+    after its last frame, when no track is live any more."""
+
+    SPAN_MS = 200  # a frame: spans are seldom due in part
 
     def __init__(self, rules: Tracking):
         self.rules = rules
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.state = handle.getValueState("tracks", "ms long, next_id long, last_t double, tracks string")
+        self.handle, self.types = handle, _box_types(self.rules)
+        self.waiting = handle.getMapState("waiting", "span long", "rows binary")
+        self.state = handle.getValueState("clips", "data binary")
 
-    def advance(self, key, rows: list[dict], now: int) -> Iterator[pd.DataFrame]:
-        none = no_tracks(self.rules.look_size)
-        ms, next_id, last_t, tracks = None, 1, None, none
-        kept = self.state.get()
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first, found = None, {}
+        for pdf in rows:
+            table = pa.Table.from_pandas(pdf[self.types.names], self.types, preserve_index=False)
+            ms = table["ms"].to_numpy()
+            first = int(ms.min()) if first is None else min(first, int(ms.min()))
+            span = ms // self.SPAN_MS
+            order = np.argsort(span, kind="stable")
+            table, span = table.take(pa.array(order)), span[order]
+            edges = np.append(np.flatnonzero(np.append(True, np.diff(span) > 0)), len(span))
+            for low, high in zip(edges, edges[1:]):
+                found.setdefault(int(span[low]), []).append(_packed(table.slice(low, high - low)))
+        have = {k[0] for k in self.waiting.keys()}
+        for span, parts in found.items():
+            if span in have:
+                parts = [bytes(self.waiting.getValue((span,))[0]), *parts]
+            self.waiting.updateValue((span,), (b"".join(parts),))
+        self._wake(first, timerValues.getCurrentWatermarkInMs())
+        yield from ()
+
+    def _wake(self, ms: int, now: int) -> None:
+        """Have a timer run out at ``ms`` or before; those up to ``now`` are spent."""
+        if not any(now < t <= ms for t in self.handle.listTimers()):
+            self.handle.registerTimer(ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, clips = timerValues.getCurrentWatermarkInMs(), _Clips(self.rules)
+        kept, due, size, after = self.state.get(), [], 0, None
         if kept:
-            ms, next_id, last_t, text = kept
-            tracks = {f: np.array(v, none[f].dtype).reshape(len(v), *none[f].shape[1:]) for f, v in json.loads(text).items()}
-        while rows:
-            if ms is not None and rows[0]["ms"] > ms + TRACK_EXPIRY_MS:
-                next_id, last_t, tracks = 1, None, none
-            n, ms = 1, rows[0]["ms"]
-            while n < len(rows) and rows[n]["ms"] <= ms + TRACK_EXPIRY_MS:
-                n, ms = n + 1, rows[n]["ms"]
-            frames, rows = pa.Table.from_pylist([r | {"clip_id": key[0]} for r in rows[:n]], _box_types(self.rules)), rows[n:]
-            out, tracks, next_id, last_t = track_rows(frames, tracks, int(next_id), last_t, self.rules)
-            if len(out):
-                yield out.to_pandas()
-        self.end = None if ms is None or now > ms + TRACK_EXPIRY_MS else int(ms) + TRACK_EXPIRY_MS + 1
-        if self.end is None:
+            clips.unpack(kept[0])
+        for span in sorted(k[0] for k in self.waiting.keys()):
+            if span * self.SPAN_MS > now:
+                after = span * self.SPAN_MS if after is None else after
+                break
+            rows = pa.concat_tables(_unpacked(self.waiting.getValue((span,))[0]))
+            ready = rows["ms"].to_numpy() <= now
+            if ready.all():
+                self.waiting.removeKey((span,))
+            else:
+                rest = rows.filter(pa.array(~ready))
+                after = int(rest["ms"].to_numpy().min())
+                rows = rows.filter(pa.array(ready))
+                if len(rows):
+                    self.waiting.updateValue((span,), (_packed(rest),))
+            if len(rows):
+                due.append(rows)
+                size += len(rows)
+            if size >= SIDE_BY_SIDE:
+                yield clips.advance(pa.concat_tables(due)).to_pandas()
+                due, size = [], 0
+        if due:
+            yield clips.advance(pa.concat_tables(due)).to_pandas()
+        later = [t for t in (after, clips.end(now)) if t is not None]
+        if len(clips.clip):
+            self.state.update((clips.packed(),))
+        elif kept:
             self.state.clear()
-        else:
-            self.state.update((int(ms), int(next_id), float(last_t), json.dumps({f: v.tolist() for f, v in tracks.items()})))
+        if later:
+            self._wake(min(later), now)
+
+    def close(self) -> None:
+        pass
 
 
-def stream_tracks(dets: DataFrame, delay: str = "2 seconds", rules: Tracking = Tracking()) -> DataFrame:
+def stream_tracks(dets: DataFrame, delay: str = "2 seconds", rules: Tracking = Tracking(), groups: int = 256) -> DataFrame:
     """Subject tracking as boxes arrive: a frame is tracked, whole, once the watermark passes
     its time, so rows may come in any order within ``delay`` and a frame may be split over
     batches; later rows are dropped. ``dets``: the columns of ``track_subjects`` and ts, the
-    time of the frame. A clip silent for longer than 1.6 s starts anew. Needs RocksDB."""
-    rows = dets.withWatermark("ts", delay).select("ts", F.unix_millis("ts").alias("ms"), *_boxes(rules))
-    return rows.groupBy("clip_id").transformWithStateInPandas(statefulProcessor=_Tracker(rules), outputStructType=TRACK_SCHEMA, outputMode="Append", timeMode="EventTime")
+    time of the frame. A clip silent for longer than 1.6 s starts anew. Needs RocksDB.
+
+    Clips are dealt over ``groups`` by their hash, and those of a group are tracked side by
+    side. State is kept by group, so a query has to be restarted with as many."""
+    clip = F.coalesce("clip_id", F.lit(NO_CLIP)).alias("clip_id")
+    group = F.pmod(F.xxhash64("clip_id"), F.lit(groups)).alias("clip_group")
+    rows = dets.withWatermark("ts", delay).select("ts", F.unix_millis("ts").alias("ms"), group, *[clip if c == "clip_id" else c for c in _boxes(rules)])
+    found = rows.groupBy("clip_group").transformWithStateInPandas(statefulProcessor=_Tracker(rules), outputStructType=TRACK_SCHEMA, outputMode="Append", timeMode="EventTime")
+    return found.withColumn("clip_id", F.nullif("clip_id", F.lit(NO_CLIP)))

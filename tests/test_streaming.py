@@ -89,3 +89,18 @@ def test_silent_owner_is_reported(rocks, tmp_path):
     ).select("owner", F.timestamp_seconds(F.col("t") + 1000).alias("ts"), "job_id")
     out = _run(st.stream_stale(_stream(spark, beats, str(tmp_path / "h"), 3, "ts")), "stale_out", tmp_path)
     assert ("a", "1000000", "j1") in rows(out)
+
+
+def test_clips_share_state_by_group(spark):
+    """Boxes of 1,500 clips, cut by time, with a silence in some and one row of no clip: the
+    tracks of the batch run, from a state with fewer rows than clips."""
+    box = "id % 2 as subject, 10 + 9 * (id % 5) as x, 10 as y, 50 as w, 50 as h, 'face' as type, id % 7 = 0 as scene_cut"
+    d = spark.sql(f"select id % 1500 as clip_id, id div 1500 as frame, id div 1500 * 400 as t_ms, {box} from range(9000) where id % 11 <> 3")
+    d = d.unionByName(d.where("clip_id = 5").withColumn("clip_id", F.lit(None).cast("long")))
+    at = d.selectExpr("*", "timestamp_millis(t_ms + 86400000) as ts")
+    end = at.where("clip_id = 7 and frame = 1").selectExpr("-1L as clip_id", *d.columns[1:], "ts + interval 1 day as ts")
+    run = replay(spark, [{"in": at.where("frame < 3")}, {"in": at.where("frame >= 3")}, {"in": end}], lambda s: st.stream_tracks(s["in"], "200 milliseconds"))
+    got = run.table.drop("batch").where("clip_id >= 0 or clip_id is null")
+    assert rows(got.where("clip_id is not null")) == rows(framing.track_subjects(d.where("clip_id is not null")))
+    assert rows(got.where("clip_id is null").drop("clip_id")) == rows(got.where("clip_id = 5").drop("clip_id")) != []
+    assert max(run.kept) < 1_500
